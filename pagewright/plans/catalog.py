@@ -299,10 +299,10 @@ _FILLED_SQL = f"""
       FROM found WHERE value IS NOT NULL AND key NOT IN ('title', 'author', 'h1', 'lang', 'n_paragraphs'))"""
 
 
-def _combine_sql(body: str) -> str:
+def _combine_sql(body: str, extra: str = "") -> str:
     base = with_views(["batch_json"], "SELECT 1")
     head = base[: base.rindex("SELECT 1")].rstrip()
-    return f"{head},{_KV_SQL},{_FOUND_SQL},{_FILLED_SQL}\n{body}"
+    return f"{head},{_KV_SQL},{_FOUND_SQL},{_FILLED_SQL}{extra}\n{body}"
 
 
 @register("template_keys", with_views(["batch_json"], """
@@ -430,3 +430,302 @@ def _money_sql(x: str) -> str:
     FROM ({_COST_SQL.format(prices=QUERY_PRICES_SQL)}) c LEFT JOIN doc_stats s ON s.doc = c.doc"""))
 def q_usage_report(spark, sf):
     return metrics.usage_report(V.usage_log(spark, sf), V.doc_stats(spark, sf), metrics.price_table(spark, QUERY_PRICES))
+
+
+# ------------------------------------------------------ 2.5 budget batching
+
+BUDGET_TOKENS, BUDGET_PAGES = 4096, 10
+
+
+def _budget_sql(body: str) -> str:
+    head = with_views(["text_pages"], "SELECT 1")
+    head = head[: head.rindex("SELECT 1")].rstrip()
+    return "WITH RECURSIVE" + head[len("WITH"):] + f""",
+    tp AS (SELECT doc_id, page_no, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM text_pages),
+    g(doc_id, page_no, t, batch_no, used, cnt) AS (
+      SELECT doc_id, page_no, t, 1, t, 1 FROM tp WHERE page_no = 1
+      UNION ALL
+      SELECT tp.doc_id, tp.page_no, tp.t,
+             CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN g.batch_no + 1 ELSE g.batch_no END,
+             CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN tp.t ELSE g.used + tp.t END,
+             CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN 1 ELSE g.cnt + 1 END
+      FROM g JOIN tp ON tp.doc_id = g.doc_id AND tp.page_no = g.page_no + 1)
+    {body}"""
+
+
+def budget_pages(spark, sf):
+    tp = V.text_pages(spark, sf)
+    return tp.select("doc_id", "page_no", textfn.text_tokens("text").alias("tokens"))
+
+
+@register("budget_batches", _budget_sql("""
+    SELECT doc_id, CAST(batch_no AS BIGINT) AS batch_no, min(page_no) AS start_page, max(page_no) AS end_page,
+           CAST(count(*) AS BIGINT) AS n_pages, CAST(sum(t) AS BIGINT) AS tokens
+    FROM g GROUP BY doc_id, batch_no"""))
+def q_budget_batches(spark, sf):
+    from pagewright.operators import budget
+
+    a = budget.budget_batches(budget_pages(spark, sf), BUDGET_TOKENS, BUDGET_PAGES, doc="doc_id")
+    return budget.batch_totals(a, doc="doc_id")
+
+
+@register("image_tokens", with_views(["image_dims"], """
+    SELECT page_id, width, height,
+           CAST(85 + 170 * ceil(width / 512.0) * ceil(height / 512.0) AS BIGINT) AS tokens
+    FROM image_dims"""))
+def q_image_tokens(spark, sf):
+    d = V.image_dims(spark, sf)
+    return d.select("page_id", "width", "height", textfn.image_tokens("width", "height").alias("tokens"))
+
+
+@register("base64_pages", with_views(["text_pages"], """
+    SELECT doc_id, page_no, to_base64(encode(text)) AS b64,
+           'data:image/jpeg;base64,' || to_base64(encode(text)) AS url
+    FROM text_pages"""))
+def q_base64_pages(spark, sf):
+    tp = V.text_pages(spark, sf)
+    raw = F.encode("text", "UTF-8")
+    return tp.select("doc_id", "page_no", textfn.b64(raw).alias("b64"), textfn.data_url(raw).alias("url"))
+
+
+@register("float_or_text", f"""
+    SELECT page_id, {_STEM_SQL} AS stem,
+           CASE WHEN regexp_matches({_STEM_SQL}, '^[0-9]+$') THEN CAST({_STEM_SQL} AS DOUBLE) END AS number
+    FROM pages""")
+def q_float_or_text(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", textfn.file_stem("url").alias("stem"))
+    number, _ = textfn.float_or_text("stem")
+    return p.select("page_id", "stem", number.alias("number"))
+
+
+# ---------------------------------------------------- 2.8/2.9 requests, model
+
+
+def _template_json() -> str:
+    import json
+
+    return json.dumps(dict(V.BINDER_TEMPLATE), separators=(",", ":"))
+
+
+def _request_batches(spark, sf):
+    b = paging.assign_batches(V.text_pages(spark, sf), 10, "doc_id")
+    return paging.collect_batches(b, "text", "doc_id")
+
+
+def _requests(spark, sf):
+    from pagewright.operators import requests
+
+    system, user = requests.fields_prompt(_template_json())
+    return requests.build_request(_request_batches(spark, sf), system, user, kind="text")
+
+
+def _request_sql(body: str) -> str:
+    from pagewright.operators import requests
+    from pagewright.plans.oracle_views import _sql_str
+
+    system, user = requests.fields_prompt(_template_json())
+    return with_views(["text_pages"], f"""
+    WITH_REQ AS (
+      SELECT doc_id, batch_no, count(*) AS n_pages, sum(length(text)) AS n_chars,
+             json_object('messages', json_array(
+                 json_object('role', 'system', 'content', json_array(json_object('type', 'text', 'text', {_sql_str(system)}))),
+                 json_object('role', 'user', 'content', to_json(list_concat(
+                     [json_object('type', 'text', 'text', {_sql_str(user)})],
+                     list(json_object('type', 'text', 'text', text) ORDER BY page_no))))),
+               'temperature', 0, 'top_p', 0, 'max_tokens', 4096)::VARCHAR AS payload
+      FROM (SELECT *, CAST((page_no - 1) // 10 + 1 AS BIGINT) AS batch_no FROM text_pages)
+      GROUP BY doc_id, batch_no)
+    {body}""")
+
+
+def _fix_req(sql: str) -> str:
+    # the request CTE is appended to the view list
+    head, rest = sql.split("WITH_REQ AS", 1)
+    return head.rstrip().rstrip("\n") + ",\nreq AS" + rest if head.strip().startswith("WITH") else sql
+
+
+@register("build_requests", _fix_req(_request_sql("SELECT doc_id, batch_no, payload FROM req")))
+def q_build_requests(spark, sf):
+    return _requests(spark, sf).select("doc_id", "batch_no", "payload")
+
+
+def rule_reply(payload: str) -> str:
+    """A deterministic stand-in model: counts the pages and characters sent."""
+    import json
+    import math
+
+    req = json.loads(payload)
+    parts = req["messages"][1]["content"][1:]
+    content = json.dumps(
+        {"pages": len(parts), "chars": sum(len(p.get("text") or "") for p in parts)}, separators=(",", ":")
+    )
+    usage = {"prompt_tokens": math.ceil(len(payload) / 4), "completion_tokens": math.ceil(len(content) / 4)}
+    return json.dumps({"choices": [{"message": {"content": content}}], "usage": usage})
+
+
+@register("call_model", _fix_req(_request_sql("""
+    SELECT doc_id, batch_no, 'ok' AS status, 1 AS attempts,
+           '{"pages":' || CAST(n_pages AS VARCHAR) || ',"chars":' || CAST(n_chars AS VARCHAR) || '}' AS content,
+           CAST(ceil(length(payload) / 4.0) AS BIGINT) AS prompt_tokens
+    FROM req""")))
+def q_call_model(spark, sf):
+    from pagewright.operators import model
+
+    called = model.call_model(_requests(spark, sf).select("doc_id", "batch_no", "payload"), rule_reply, base_delay=0.0)
+    out = replies.reply_usage(replies.reply_text(called))
+    return out.select("doc_id", "batch_no", "status", "attempts", "content", "prompt_tokens")
+
+
+# -------------------------------------------------------- 2.9 extraction
+
+
+@register("fill_template", """
+    SELECT page_id, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
+           coalesce(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
+           coalesce(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1
+    FROM pages""")
+def q_fill_template(spark, sf):
+    from pagewright.operators import extract
+
+    p = read_table(spark, sf, "pages", ["page_id", "html"])
+    return extract.fill_template(p, "html", V.BINDER_RULES).select("page_id", "title", "lang", "h1")
+
+
+@register("to_markdown", with_views(["markdown_pages"], "SELECT doc, page_no, md FROM markdown_pages"))
+def q_to_markdown(spark, sf):
+    return V.markdown_pages(spark, sf)
+
+
+def _clean_md_sql():
+    from pagewright.plans.oracle_views import clean_markdown_sql
+
+    return with_views(["markdown_pages"], f"SELECT doc, page_no, {clean_markdown_sql('md')} AS md FROM markdown_pages")
+
+
+@register("clean_markdown", _clean_md_sql())
+def q_clean_markdown(spark, sf):
+    from pagewright.operators import extract
+
+    m = V.markdown_pages(spark, sf)
+    return m.select("doc", "page_no", extract.clean_markdown("md").alias("md"))
+
+
+_LINES_SQL = """
+    lines AS (
+      SELECT doc, page_no, line_no, line, kind,
+             sum(CASE WHEN kind IN ('header', 'subheader') THEN 1 ELSE 0 END)
+               OVER (PARTITION BY doc, page_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no
+      FROM (SELECT doc, page_no, CAST(line_no AS BIGINT) AS line_no, line,
+                   CASE WHEN regexp_matches(line, '^## ') THEN 'header'
+                        WHEN regexp_matches(line, '^### ') THEN 'subheader'
+                        WHEN regexp_matches(line, '^[-*] ') THEN 'list'
+                        WHEN regexp_matches(line, '\\[[^\\]]*\\]\\([^)]*\\)') THEN 'link'
+                        WHEN trim(line) = '' THEN 'blank'
+                        ELSE 'text' END AS kind
+            FROM (SELECT doc, page_no, unnest(string_split(md, chr(10))) AS line,
+                         generate_subscripts(string_split(md, chr(10)), 1) AS line_no
+                  FROM markdown_pages))),
+    outline AS (
+      SELECT doc, page_no, CAST(section_no AS BIGINT) AS section_no,
+             coalesce(max(CASE WHEN kind IN ('header', 'subheader') THEN regexp_replace(line, '^#+ ', '') END), '') AS section,
+             CAST(coalesce(max(CASE WHEN kind = 'header' THEN 2 WHEN kind = 'subheader' THEN 3 END), 0) AS BIGINT) AS level,
+             CAST(sum(CASE WHEN kind = 'list' THEN 1 ELSE 0 END) AS BIGINT) AS n_lists,
+             CAST(sum(CASE WHEN kind = 'link' THEN 1 ELSE 0 END) AS BIGINT) AS n_links,
+             CAST(sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END) AS BIGINT) AS n_text,
+             CAST(sum(CASE WHEN kind IN ('list', 'link', 'text') THEN length(line) ELSE 0 END) AS BIGINT) AS n_chars
+      FROM lines GROUP BY doc, page_no, section_no)"""
+
+
+def _outline_sql(body: str) -> str:
+    head = with_views(["markdown_pages"], "SELECT 1")
+    head = head[: head.rindex("SELECT 1")].rstrip()
+    return f"{head},{_LINES_SQL}\n{body}"
+
+
+@register("markdown_outline", _outline_sql(
+    "SELECT doc, page_no, section_no, section, level, n_lists, n_links, n_text, n_chars FROM outline"))
+def q_markdown_outline(spark, sf):
+    from pagewright.operators import extract
+
+    return extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
+
+
+@register("assemble_pages", _outline_sql("""
+    SELECT doc, '{' || string_agg('"Page ' || CAST(page_no AS VARCHAR) || '":' || page_obj, ',' ORDER BY page_no) || '}' AS record
+    FROM (SELECT doc, page_no,
+                 '{"Header":' || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
+                 || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 1 THEN to_json(section)::VARCHAR END, ','
+                                                           ORDER BY section_no), '') || ']}' AS page_obj
+          FROM outline GROUP BY doc, page_no)
+    GROUP BY doc"""))
+def q_assemble_pages(spark, sf):
+    from pagewright.operators import extract
+
+    o = extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
+    return extract.assemble_pages(o, "doc")
+
+
+@register("infer_shape")
+def q_infer_shape(spark, sf):
+    from pagewright.operators import extract
+
+    return extract.infer_shape(V.batch_json(spark, sf), "j", ["doc"]).select("doc", "shape", "n_replies")
+
+
+# --------------------------------------------------------------- 2.10 checks
+
+TEMPLATE_EXAMPLES = {"title": '""', "author": '""', "h1": '""', "lang": '""', "n_paragraphs": "0"}
+
+
+@register("check_template", _combine_sql("""
+    SELECT doc, batch_no, t.key, 'missing' AS problem
+    FROM batch_json CROSS JOIN (VALUES ('title'), ('author'), ('h1'), ('lang'), ('n_paragraphs')) t(key)
+    WHERE NOT list_contains(json_keys(j), t.key)
+    UNION ALL
+    SELECT doc, batch_no, key, 'extra' AS problem FROM kv
+    WHERE key NOT IN ('title', 'author', 'h1', 'lang', 'n_paragraphs')
+    UNION ALL
+    SELECT doc, batch_no, key, 'kind' AS problem FROM kv
+    WHERE key IN ('title', 'author', 'h1', 'lang', 'n_paragraphs') AND value <> '""'
+      AND (CASE WHEN key = 'n_paragraphs' THEN left(value, 1) IN ('"', '{', '[', 't', 'f', 'n')
+                ELSE left(value, 1) <> '"' END)"""))
+def q_check_template(spark, sf):
+    from pagewright.operators import checks
+
+    return checks.check_template(V.batch_json(spark, sf), V.BINDER_TEMPLATE, ["doc", "batch_no"], "j", TEMPLATE_EXAMPLES)
+
+
+@register("check_grounded", _combine_sql("""
+    SELECT f.doc, f.key, f.value, bool_or(coalesce(instr(lower(b.html), lower(f.value)) > 0, false)) AS grounded
+    FROM (SELECT doc, key, json_extract_string(value, '$') AS value FROM filled WHERE left(value, 1) = '"') f
+    LEFT JOIN page_src b ON b.doc = f.doc
+    WHERE f.value <> ''
+    GROUP BY f.doc, f.key, f.value""", ",\n    page_src AS (SELECT CAST(page_id // 5 AS BIGINT) AS doc, html FROM pages)"))
+def q_check_grounded(spark, sf):
+    from pagewright.operators import checks
+
+    entries = combine.combine_entries(V.batch_json(spark, sf), V.BINDER_TEMPLATE)
+    strings = entries.where(F.substring("value", 1, 1) == '"').select(
+        "doc", "key", F.try_parse_json("value").cast("string").alias("value")
+    )
+    src = V.binder_pages(spark, sf).select("doc", F.col("html").alias("text"))
+    return checks.check_grounded(strings, src, "doc", "value", "text", ["key"])
+
+
+@register("check_headings", with_views(["markdown_pages"], """
+    SELECT doc, page_no, CAST(len(regexp_extract_all(md, '(?m)^# ')) AS BIGINT) AS single_hash_lines FROM markdown_pages"""))
+def q_check_headings(spark, sf):
+    from pagewright.operators import checks
+
+    return checks.check_headings(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
+
+
+@register("check_coverage", with_views(["text_pages"], f"""
+    SELECT doc_id, page_no FROM text_pages WHERE (page_no - 1) % {OVERSIZED_BATCH} >= 10"""))
+def q_check_coverage(spark, sf):
+    from pagewright.operators import checks
+
+    tp = V.text_pages(spark, sf)
+    b = paging.cap_pages(paging.collect_batches(paging.assign_batches(tp, OVERSIZED_BATCH, "doc_id"), "text", "doc_id"), 10)
+    sent = b.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_no").alias("page_no"))
+    return checks.check_coverage(tp.select("doc_id", "page_no"), sent, ["doc_id", "page_no"])

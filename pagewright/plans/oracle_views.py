@@ -46,7 +46,7 @@ def html_to_markdown_sql(html: str, page_no: str | None) -> str:
         ],
     )
     for entity, char in HTML_ENTITIES:
-        e = f"replace({e}, '{entity}', '{char}')"
+        e = f"replace({e}, {_sql_str(entity)}, {_sql_str(char)})"
     e = regex_chain(e, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])
     if page_no is not None:
         e = f"'Page ' || CAST({page_no} AS VARCHAR) || {NL} || {NL} || {e}"
