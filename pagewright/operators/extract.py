@@ -28,6 +28,22 @@ HTML_ENTITIES = [
     ("&middot;", "·"),
     ("&amp;", "&"),
 ]
+# Markup-to-markdown rules, applied in order (Java replacement syntax).
+MARKUP_RULES = [
+    (r"(?s)<head>.*?</head>", ""),
+    (r"(?s)<script[^>]*>.*?</script>", ""),
+    (r"(?s)<style[^>]*>.*?</style>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"<h[12][^>]*>", "\n\n## "),
+    (r"<h[3-6][^>]*>", "\n\n### "),
+    (r"</h[1-6]>", "\n\n"),
+    (r"<li[^>]*>", "\n- "),
+    (r'<a href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
+    (r"<br */?>", "\n"),
+    (r"</?p( [^>]*)?>", "\n\n"),
+    (r"</?(div|ul|ol|nav|article|section|header|footer|main|table|tr|blockquote)( [^>]*)?>", "\n\n"),
+    (r"<[^>]+>", ""),
+]
 # What the markdown cleaner removes (the reference lists images, "click
 # here", "Listen to this article", page numbers and logos).
 CLEAN_PATTERNS = [
@@ -82,23 +98,7 @@ def html_to_markdown(html: Column, page_no: Column | None = None) -> Column:
     entities decoded; runs of blank lines are squeezed.  ``Page <n>`` is put
     on top when ``page_no`` is given.
     """
-    c = _replace_all(
-        html,
-        [
-            (r"(?s)<head>.*?</head>", ""),
-            (r"(?s)<script[^>]*>.*?</script>", ""),
-            (r"(?s)<style[^>]*>.*?</style>", ""),
-            (r"(?s)<!--.*?-->", ""),
-            (r"<h[12][^>]*>", "\n\n## "),
-            (r"<h[3-6][^>]*>", "\n\n### "),
-            (r"</h[1-6]>", "\n\n"),
-            (r"<li[^>]*>", "\n- "),
-            (r'<a href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
-            (r"<br */?>", "\n"),
-            (r"</?p( [^>]*)?>", "\n\n"),
-            (r"<[^>]+>", ""),
-        ],
-    )
+    c = _replace_all(html, MARKUP_RULES)
     for entity, char in HTML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     c = _replace_all(c, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])

@@ -27,12 +27,13 @@ STITCH_HEADER = "# Page "
 
 
 def explode_pages(df: DataFrame, doc_col: str, text_col: str, lines_per_page: int = 10) -> DataFrame:
-    """One row per page: ``(doc, page_no, text)``, pages of ``lines_per_page`` lines.
+    """One row per page: ``(doc, page_no, num_pages, text)``, pages of ``lines_per_page`` lines.
 
     Re-aimed from PDF rendering to text: lines are split on ``\\n`` (empty
     trailing lines kept), page ``p`` holds lines ``(p-1)*n+1 .. p*n`` joined
     with ``\\n``.  An empty text gives one empty page; NULL text gives none.
-    Narrow: no shuffle, the page list is built inside the row.
+    Narrow: no shuffle, the page list is built inside the row, and the
+    document's page count comes from the same row (no count joined back).
     """
     n = int(lines_per_page)
     lines = F.split(F.col(text_col), "\n", -1)
@@ -42,8 +43,10 @@ def explode_pages(df: DataFrame, doc_col: str, text_col: str, lines_per_page: in
         lambda p: F.array_join(F.slice(lines, p * n + 1, F.lit(n)), "\n"),
     )
     return df.select(
-        F.col(doc_col), F.posexplode(F.when(F.col(text_col).isNotNull(), pages)).alias("_i", "text")
-    ).select(F.col(doc_col), (F.col("_i") + 1).cast("bigint").alias("page_no"), "text")
+        F.col(doc_col),
+        n_pages.cast("bigint").alias("num_pages"),
+        F.posexplode(F.when(F.col(text_col).isNotNull(), pages)).alias("_i", "text"),
+    ).select(F.col(doc_col), (F.col("_i") + 1).cast("bigint").alias("page_no"), "num_pages", "text")
 
 
 def number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
@@ -78,14 +81,18 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
 
     Adds ``batch_no = (page_no - 1) div size + 1``, ``num_pages`` (pages of the
     document), ``total_batches = ceil(num_pages / size)`` and
-    ``pages_in_batch``.  The per-document count is an aggregate joined back.
+    ``pages_in_batch``.  A ``num_pages`` column already present (as
+    ``explode_pages`` gives) is used as is; otherwise the per-document count
+    is a partial aggregate joined back.
     """
     size = int(size)
     with_batch = df.withColumn(
         "batch_no", (F.floor((F.col(page_col) - 1) / F.lit(size)) + 1).cast("bigint")
     )
-    counts = page_count(df, doc_col)
-    out = with_batch.join(counts, doc_col, "left")
+    if "num_pages" in df.columns:
+        out = with_batch
+    else:
+        out = with_batch.join(page_count(df, doc_col), doc_col, "left")
     return out.withColumn(
         "total_batches", F.ceil(F.col("num_pages") / F.lit(float(size))).cast("bigint")
     ).withColumn(
@@ -95,14 +102,15 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
 
 
 def collect_batches(df: DataFrame, payload_col: str, doc_col: str = "doc", page_col: str = "page_no",
-                    batch_col: str = "batch_no") -> DataFrame:
+                    batch_col: str = "batch_no", extra_cols: Sequence[str] = ()) -> DataFrame:
     """Gather each batch's pages in page order.
 
-    Output ``(doc, batch_no, start_page, end_page, pages)`` where ``pages`` is
-    ``array<struct<page_no, payload>>`` sorted by page.  A batch holds a bounded
-    number of pages, so the grouped list is bounded too.
+    Output ``(doc, batch_no, extra..., start_page, end_page, pages)`` where
+    ``pages`` is ``array<struct<page_no, payload>>`` sorted by page;
+    ``extra_cols`` are per-document values carried along (e.g. ``num_pages``).
+    A batch holds a bounded number of pages, so the grouped list is bounded.
     """
-    return df.groupBy(doc_col, batch_col).agg(
+    return df.groupBy(doc_col, batch_col, *extra_cols).agg(
         F.min(page_col).alias("start_page"),
         F.max(page_col).alias("end_page"),
         F.array_sort(

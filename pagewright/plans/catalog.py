@@ -87,13 +87,13 @@ def q_list_pages(spark, sf):
 
 @register("explode_pages", with_views(["text_pages"], "SELECT doc_id, page_no, text FROM text_pages"))
 def q_explode_pages(spark, sf):
-    return V.text_pages(spark, sf)
+    return V.text_pages(spark, sf).select("doc_id", "page_no", "text")
 
 
 @register("select_pages", with_views(["text_pages"], f"""
     SELECT doc_id, page_no, text FROM text_pages WHERE page_no BETWEEN {SELECT_FIRST} AND {SELECT_LAST}"""))
 def q_select_pages(spark, sf):
-    return paging.select_pages(V.text_pages(spark, sf), SELECT_FIRST, SELECT_LAST)
+    return paging.select_pages(V.text_pages(spark, sf), SELECT_FIRST, SELECT_LAST).select("doc_id", "page_no", "text")
 
 
 @register("cap_pages", with_views(["text_pages"], f"""
@@ -200,9 +200,7 @@ def q_stem_sort(spark, sf):
     GROUP BY doc_id"""))
 def q_stitch_pages(spark, sf):
     b = paging.assign_batches(V.text_pages(spark, sf), 10, "doc_id")
-    parts = paging.collect_batches(b.withColumn("num_pages", F.col("num_pages")), "text", "doc_id")
-    counts = paging.page_count(V.text_pages(spark, sf), "doc_id")
-    parts = parts.join(counts, "doc_id").select(
+    parts = paging.collect_batches(b, "text", "doc_id", extra_cols=["num_pages"]).select(
         "doc_id",
         textfn.batch_label("start_page", "end_page", "num_pages").alias("label"),
         F.array_join(F.transform("pages", lambda p: p["payload"]), "\n").alias("content"),

@@ -7,7 +7,7 @@ DuckDB writes back-references as ``\\1`` and needs the ``'g'`` flag.
 
 from __future__ import annotations
 
-from pagewright.operators.extract import CLEAN_PATTERNS, HTML_ENTITIES
+from pagewright.operators.extract import CLEAN_PATTERNS, HTML_ENTITIES, MARKUP_RULES
 
 NL = "chr(10)"
 
@@ -28,23 +28,7 @@ def regex_chain(expr: str, rules) -> str:
 
 def html_to_markdown_sql(html: str, page_no: str | None) -> str:
     """SQL twin of ``extract.html_to_markdown``."""
-    e = regex_chain(
-        html,
-        [
-            (r"(?s)<head>.*?</head>", ""),
-            (r"(?s)<script[^>]*>.*?</script>", ""),
-            (r"(?s)<style[^>]*>.*?</style>", ""),
-            (r"(?s)<!--.*?-->", ""),
-            (r"<h[12][^>]*>", "\n\n## "),
-            (r"<h[3-6][^>]*>", "\n\n### "),
-            (r"</h[1-6]>", "\n\n"),
-            (r"<li[^>]*>", "\n- "),
-            (r'<a href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
-            (r"<br */?>", "\n"),
-            (r"</?p( [^>]*)?>", "\n\n"),
-            (r"<[^>]+>", ""),
-        ],
-    )
+    e = regex_chain(html, MARKUP_RULES)
     for entity, char in HTML_ENTITIES:
         e = f"replace({e}, {_sql_str(entity)}, {_sql_str(char)})"
     e = regex_chain(e, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])

@@ -31,11 +31,11 @@ BINDER_TEMPLATE = [("title", ""), ("author", ""), ("h1", ""), ("lang", ""), ("n_
 
 
 def documents(spark: SparkSession, sf_dir: str, columns=("doc_id", "text")) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", list(columns))
+    return read_table(spark, sf_dir, "documents", list(columns), spread_by="doc_id")
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page_no, text): documents cut into pages of 10 lines."""
+    """(doc_id, page_no, num_pages, text): documents cut into pages of 10 lines."""
     return paging.explode_pages(documents(spark, sf_dir), "doc_id", "text", LINES_PER_PAGE)
 
 
@@ -48,7 +48,7 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def binder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page_no, page_id, html, url): web pages bound five to a binder."""
-    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"], spread_by="page_id")
     return pages.select(
         F.floor(F.col("page_id") / PAGES_PER_BINDER).cast("bigint").alias("doc"),
         (F.col("page_id") % PAGES_PER_BINDER + 1).cast("bigint").alias("page_no"),
@@ -107,7 +107,7 @@ def dirty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     By event_id % 5: 0 fenced; 1 bare; 2 fenced with text after the fence;
     3 cut before the closing brace; 4 empty.
     """
-    ev = read_table(spark, sf_dir, "events", ["event_id", "props", "user_id", "value"])
+    ev = read_table(spark, sf_dir, "events", ["event_id", "props", "user_id", "value"], spread_by="event_id")
     props = F.col("props")
     k = F.col("event_id") % 5
     fence = F.lit("```json\n")
