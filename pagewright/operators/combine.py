@@ -80,9 +80,14 @@ def template_keys(template) -> list[str]:
     return seen
 
 
-def reply_entries(df: DataFrame, json_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """``(keys..., pos, key, value, truthy)`` for every top-level entry of each reply."""
-    e = df.select(*key_cols, F.posexplode(object_entries(F.col(json_col))).alias("pos", "_kv"))
+def reply_entries(df: DataFrame, json_col: str, key_cols: Sequence[str], outer: bool = False) -> DataFrame:
+    """``(keys..., pos, key, value, truthy)`` for every top-level entry of each reply.
+
+    With ``outer=True`` a reply without entries (``{}``, or not an object)
+    still gives one row with NULL key, so its document is not lost.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
+    e = df.select(*key_cols, explode(object_entries(F.col(json_col))).alias("pos", "_kv"))
     e = e.select(
         *key_cols,
         (F.col("pos") + 1).cast("bigint").alias("pos"),
@@ -120,7 +125,7 @@ def with_defaults(found: DataFrame, template, doc_col: str = "doc") -> DataFrame
     tkeys = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
     per_doc = found.groupBy(doc_col).agg(
         F.map_from_entries(
-            F.collect_list(F.when(F.col("value").isNotNull(), F.struct("key", "value")))
+            F.collect_list(F.when(F.col("value").isNotNull() & F.col("key").isNotNull(), F.struct("key", "value")))
         ).alias("_found"),
         F.array_sort(
             F.collect_list(
@@ -162,7 +167,7 @@ def combine_entries(batches: DataFrame, template, doc_col: str = "doc", batch_co
     ``natural_key`` of a file name to order by names).
     """
     order_expr = F.col(order_col) if isinstance(order_col, str) else (order_col if order_col is not None else F.col(batch_col))
-    e = reply_entries(batches.withColumn("_border", order_expr), json_col, [doc_col, "_border"])
+    e = reply_entries(batches.withColumn("_border", order_expr), json_col, [doc_col, "_border"], outer=True)
     found = last_non_empty(e, doc_col, F.struct(F.col("_border"), F.col("pos")), keep_zero)
     return with_defaults(found, template, doc_col)
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import ensure_checkpoint_dir
+
 
 def _num_partitions(df: DataFrame) -> int:
     spark = df.sparkSession
@@ -31,9 +33,12 @@ def rank_within(
     """Add ``out`` = 1-based position of each row within its group by ``order_cols``.
 
     ``order_cols`` must make the order total (end them with a unique key) so
-    that a task retry numbers rows the same way.  Two shuffles: the range sort,
-    and the join that brings each task's offset back (keyed by group and task
-    id, so a hot group is spread over many join tasks too).
+    that a task retry numbers rows the same way.  The sorted, numbered rows are
+    written once with ``checkpoint()`` (to the session's checkpoint folder):
+    the per-task counts and the rows themselves must come from the very same
+    partitioning, and two separate evaluations of a range exchange may sample
+    different bounds.  Then one small aggregation and a join on (group, task
+    id), so a hot group is spread over many join tasks too.
     """
     n = num_partitions or _num_partitions(df)
     keys = [F.col(g) for g in group_cols]
@@ -44,6 +49,8 @@ def rank_within(
         .withColumn("_pw_task", F.spark_partition_id())
         .withColumn("_pw_pos", F.monotonically_increasing_id())
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     segments = ordered.groupBy(*group_cols, "_pw_task").agg(
         F.min("_pw_pos").alias("_pw_first"), F.count(F.lit(1)).alias("_pw_n")
     )
