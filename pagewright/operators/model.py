@@ -41,6 +41,7 @@ def call_model(df: DataFrame, fn: Callable[[str], str], payload_col: str = "payl
     """
     from pyspark.sql.types import StructType
 
+    _ship_by_value()
     in_fields = df.schema
     reply_schema = StructType.fromDDL(REPLY_COLUMNS)
     out_schema = StructType(list(in_fields.fields) + list(reply_schema.fields))
@@ -75,6 +76,20 @@ def call_model(df: DataFrame, fn: Callable[[str], str], payload_col: str = "payl
     return src.mapInPandas(run, out_schema)
 
 
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers need not
+    have it on their path (only the caller's own modules must be importable)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    pkg = sys.modules[__name__.split(".")[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except ValueError:
+        pass
+
+
 def persist_replies(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write replies once and read them back, so later steps never call again."""
     df.write.mode(mode).parquet(path)
