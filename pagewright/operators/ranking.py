@@ -23,15 +23,32 @@ def _num_partitions(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Groups up to this many rows are numbered with a plain window (one shuffle);
+# if any group is larger, every row takes the range-partitioned path.
+MAX_WINDOW_GROUP = 1_000_000
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the largest group (a partial aggregation, then a max)."""
+    row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0] or 0)
+
+
 def rank_within(
     df: DataFrame,
     group_cols: Sequence[str],
     order_cols: Sequence[Column | str],
     out: str = "rank",
     num_partitions: int | None = None,
+    max_window_group: int = MAX_WINDOW_GROUP,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row within its group by ``order_cols``.
 
+    When every group has at most ``max_window_group`` rows (one small
+    aggregation decides), a window partitioned by the group is used.  Else the
+    range-partitioned plan below numbers all rows, so a hot group never sits
+    in one task.  Both give the same numbers.
+
     ``order_cols`` must make the order total (end them with a unique key) so
     that a task retry numbers rows the same way.  The sorted, numbered rows are
     written once with ``checkpoint()`` (to the session's checkpoint folder):
@@ -40,9 +57,15 @@ def rank_within(
     different bounds.  Then one small aggregation and a join on (group, task
     id), so a hot group is spread over many join tasks too.
     """
-    n = num_partitions or _num_partitions(df)
-    keys = [F.col(g) for g in group_cols]
     order = [F.col(o) if isinstance(o, str) else o for o in order_cols]
+    if max_window_group > 0 and largest_group(df, group_cols) <= max_window_group:
+        w = Window.partitionBy(*group_cols).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+    return _rank_by_range(df, group_cols, order, out, num_partitions or _num_partitions(df))
+
+
+def _rank_by_range(df: DataFrame, group_cols: Sequence[str], order: list[Column], out: str, n: int) -> DataFrame:
+    keys = [F.col(g) for g in group_cols]
     ordered = (
         df.repartitionByRange(n, *keys, *order)
         .sortWithinPartitions(*keys, *order)

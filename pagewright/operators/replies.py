@@ -20,6 +20,23 @@ def _parsed(reply_col: str):
     return F.from_json(F.col(reply_col), REPLY_SCHEMA)
 
 
+def reply_fields(df: DataFrame, reply_col: str = "reply") -> DataFrame:
+    """Content and usage of each reply, parsing the reply JSON once.
+
+    Adds ``content`` (``""`` without choices), ``prompt_tokens``,
+    ``completion_tokens`` and ``total_tokens``.
+    """
+    p = df.withColumn("_reply", _parsed(reply_col))
+    u = F.col("_reply.usage")
+    return p.select(
+        "*",
+        F.coalesce(F.get(F.col("_reply.choices"), 0)["message"]["content"], F.lit("")).alias("content"),
+        u["prompt_tokens"].alias("prompt_tokens"),
+        u["completion_tokens"].alias("completion_tokens"),
+        (u["prompt_tokens"] + u["completion_tokens"]).alias("total_tokens"),
+    ).drop("_reply")
+
+
 def reply_text(df: DataFrame, reply_col: str = "reply", out: str = "content") -> DataFrame:
     """``choices[0].message.content``; ``""`` when there is no choice."""
     p = _parsed(reply_col)

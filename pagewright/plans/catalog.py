@@ -269,7 +269,7 @@ def q_invalid_replies(spark, sf):
           FROM reply_envelopes)
     WHERE completion_tokens >= 4096 OR NOT json_valid(cleaned)"""))
 def q_flag_truncated(spark, sf):
-    r = replies.reply_usage(replies.parse_reply_json(replies.reply_text(V.reply_envelopes(spark, sf))))
+    r = replies.parse_reply_json(replies.reply_fields(V.reply_envelopes(spark, sf)))
     return replies.flag_truncated(r).select("event_id", "completion_tokens", "reason")
 
 
@@ -570,7 +570,7 @@ def q_call_model(spark, sf):
     from pagewright.operators import model
 
     called = model.call_model(_requests(spark, sf).select("doc_id", "batch_no", "payload"), rule_reply, base_delay=0.0)
-    out = replies.reply_usage(replies.reply_text(called))
+    out = replies.reply_fields(called)
     return out.select("doc_id", "batch_no", "status", "attempts", "content", "prompt_tokens")
 
 

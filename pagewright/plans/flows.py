@@ -60,7 +60,7 @@ def pages_to_records(pages: DataFrame, template, fn: Callable[[str], str], kind:
     batches = page_batches(pages, size, doc_col, payload_col)
     req = requests.build_request(batches, system, user, kind=kind)
     called = _persist(model.call_model(req.drop("pages"), fn), replies_path)
-    parsed = replies.parse_reply_json(replies.reply_usage(replies.reply_text(called)), strict=strict)
+    parsed = replies.parse_reply_json(replies.reply_fields(called), strict=strict)
     good, rejects = replies.split_valid(parsed)
     records = combine.combine_last_non_empty(good, template, doc_col, "batch_no", "json")
     usage = parsed.select(

@@ -100,7 +100,9 @@ def test_rank_within_hot_group_matches_window(spark):
     rnd = random.Random(5)
     rows = [(0 if i % 3 == 0 else rnd.randint(1, 50), rnd.randint(0, 1000), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g int, v int, id int")
-    got = {r.id: r.rank for r in rank_within(df, ["g"], ["v", "id"], "rank", num_partitions=7).collect()}
+    got = {r.id: r.rank for r in rank_within(df, ["g"], ["v", "id"], "rank", num_partitions=7, max_window_group=0).collect()}
+    small = {r.id: r.rank for r in rank_within(df, ["g"], ["v", "id"], "rank").collect()}
     w = Window.partitionBy("g").orderBy("v", "id")
     exp = {r.id: r.rank for r in df.withColumn("rank", F.row_number().over(w)).collect()}
     assert got == exp
+    assert small == exp
