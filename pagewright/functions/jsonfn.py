@@ -69,6 +69,18 @@ def is_truthy_json(json_text: Column | str) -> Column:
     )
 
 
+def compute_once(df, **cols):
+    """Add derived columns through a one-row generator.
+
+    Filters on the new columns cannot be pushed below a generator, so each
+    expression is evaluated once per row (instead of once in the filter and
+    again in the projection), and after any repartition above the scan.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def variant_json(col: Column | str) -> Column:
     """Minified JSON text of a VARIANT value."""
     return F.to_json(_c(col))

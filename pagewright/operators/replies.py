@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.jsonfn import clean_json, is_valid_json
+from pagewright.functions.jsonfn import clean_json, compute_once, is_valid_json
 
 # Shape of a chat-completion reply (the fields the reference reads).
 REPLY_SCHEMA = (
@@ -26,21 +26,21 @@ def reply_fields(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     Adds ``content`` (``""`` without choices), ``prompt_tokens``,
     ``completion_tokens`` and ``total_tokens``.
     """
-    p = df.withColumn("_reply", _parsed(reply_col))
+    p = compute_once(df, _reply=_parsed(reply_col))
     u = F.col("_reply.usage")
     return p.select(
-        "*",
+        *df.columns,
         F.coalesce(F.get(F.col("_reply.choices"), 0)["message"]["content"], F.lit("")).alias("content"),
         u["prompt_tokens"].alias("prompt_tokens"),
         u["completion_tokens"].alias("completion_tokens"),
         (u["prompt_tokens"] + u["completion_tokens"]).alias("total_tokens"),
-    ).drop("_reply")
+    )
 
 
 def reply_text(df: DataFrame, reply_col: str = "reply", out: str = "content") -> DataFrame:
     """``choices[0].message.content``; ``""`` when there is no choice."""
     p = _parsed(reply_col)
-    return df.withColumn(out, F.coalesce(F.get(p["choices"], 0)["message"]["content"], F.lit("")))
+    return compute_once(df, **{out: F.coalesce(F.get(p["choices"], 0)["message"]["content"], F.lit(""))})
 
 
 def reply_usage(df: DataFrame, reply_col: str = "reply") -> DataFrame:
@@ -54,8 +54,8 @@ def reply_usage(df: DataFrame, reply_col: str = "reply") -> DataFrame:
 def parse_reply_json(df: DataFrame, text_col: str = "content", strict: bool = False,
                      out: str = "json") -> DataFrame:
     """Clean a reply's text and test it: adds ``out`` (cleaned text) and ``valid``."""
-    cleaned = clean_json(F.col(text_col), strict)
-    return df.withColumn(out, cleaned).withColumn("valid", is_valid_json(F.col(out)))
+    with_clean = compute_once(df, **{out: clean_json(F.col(text_col), strict)})
+    return compute_once(with_clean, valid=is_valid_json(F.col(out)))
 
 
 def split_valid(df: DataFrame, valid_col: str = "valid") -> tuple[DataFrame, DataFrame]:
