@@ -69,10 +69,14 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
     """
     v = values.where(F.col(value_col) != "").select(doc_col, *key_cols, value_col)
     s = sources.select(doc_col, F.lower(F.col(source_col)).alias("_src"))
-    hit = v.join(s, doc_col, "left").withColumn(
+    # Inner join: AQE may split a hot document's pages on either side; values
+    # of documents without any source row are added back as not grounded.
+    hit = v.join(s, doc_col, "inner").withColumn(
         "_hit", F.coalesce(F.instr(F.col("_src"), F.lower(F.col(value_col))) > 0, F.lit(False))
     )
-    return hit.groupBy(doc_col, *key_cols, value_col).agg(F.max("_hit").alias("grounded"))
+    found = hit.groupBy(doc_col, *key_cols, value_col).agg(F.max("_hit").alias("grounded"))
+    no_source = v.join(s.select(doc_col).distinct(), doc_col, "left_anti").withColumn("grounded", F.lit(False))
+    return found.unionByName(no_source)
 
 
 def check_headings(pages: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:

@@ -87,7 +87,7 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
     """
     size = int(size)
     with_batch = df.withColumn(
-        "batch_no", (F.floor((F.col(page_col) - 1) / F.lit(size)) + 1).cast("bigint")
+        "batch_no", (F.expr(f"(`{page_col}` - 1) div {size}") + 1).cast("bigint")
     )
     if "num_pages" in df.columns:
         out = with_batch

@@ -50,7 +50,7 @@ def binder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page_no, page_id, html, url): web pages bound five to a binder."""
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"], spread_by="page_id")
     return pages.select(
-        F.floor(F.col("page_id") / PAGES_PER_BINDER).cast("bigint").alias("doc"),
+        F.expr(f"page_id div {PAGES_PER_BINDER}").cast("bigint").alias("doc"),
         (F.col("page_id") % PAGES_PER_BINDER + 1).cast("bigint").alias("page_no"),
         "page_id",
         "html",
@@ -83,7 +83,7 @@ def batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
          "h1": first page's h1, "n_paragraphs": sum, "stats": {"pages": n}}.
     """
     f = binder_fields(spark, sf_dir).withColumn(
-        "batch_no", (F.floor((F.col("page_no") - 1) / PAGES_PER_REPLY) + 1).cast("bigint")
+        "batch_no", (F.expr(f"(page_no - 1) div {PAGES_PER_REPLY}") + 1).cast("bigint")
     )
     g = f.groupBy("doc", "batch_no").agg(
         F.min_by("title", "page_no").alias("title"),
