@@ -154,6 +154,32 @@ def stem_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str
     return rank_within(df, group_cols, [file_stem(name_col), F.col(name_col)], out)
 
 
+def stitch_block(label_col: str, content_col: str, page_token_col: str | None = None) -> Column:
+    """One stitched part: ``# Page <p>``, blank line, content, blank line."""
+    token = (
+        F.col(page_token_col)
+        if page_token_col
+        else F.split(F.split(F.col(label_col), "_", -1).getItem(1), r"\.", -1).getItem(0)
+    )
+    return F.concat(F.lit(STITCH_HEADER), token, F.lit("\n\n"), F.col(content_col), F.lit("\n\n"))
+
+
+def stitch_parts(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",
+                 page_token_col: str | None = None) -> DataFrame:
+    """The stitched document as ordered rows: ``(doc, part_no, markdown)``.
+
+    ``part_no`` is the part's rank in natural label order (skew-safe rank), so
+    a document of any size is never gathered into one row; concatenating the
+    rows of a document by ``part_no`` gives ``stitch_pages``' text.  Use with
+    ``sinks.write_markdown_parts``.
+    """
+    from pagewright.functions.textfn import natural_key as nk
+
+    blocks = parts.select(doc_col, label_col, stitch_block(label_col, content_col, page_token_col).alias(out))
+    ranked = rank_within(blocks, [doc_col], [nk(label_col), F.col(label_col)], "part_no")
+    return ranked.select(doc_col, "part_no", out)
+
+
 def stitch_pages(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",
                  page_token_col: str | None = None) -> DataFrame:
     """Concatenate a document's parts in natural order of their labels.
@@ -161,14 +187,10 @@ def stitch_pages(parts: DataFrame, doc_col: str, label_col: str, content_col: st
     Each part is written as ``# Page <p>``, a blank line, the content and a
     blank line, where ``<p>`` is the start page as written in the label
     (``Pages_01_to_10`` gives ``01``), or ``page_token_col`` when given.
-    The output is one row per document by definition; parts are bounded.
+    The output is one row per document, which the final group must hold:
+    for documents too large for one row use ``stitch_parts``.
     """
-    token = (
-        F.col(page_token_col)
-        if page_token_col
-        else F.split(F.split(F.col(label_col), "_", -1).getItem(1), r"\.", -1).getItem(0)
-    )
-    block = F.concat(F.lit(STITCH_HEADER), token, F.lit("\n\n"), F.col(content_col), F.lit("\n\n"))
+    block = stitch_block(label_col, content_col, page_token_col)
     g = parts.groupBy(doc_col).agg(
         F.array_sort(
             F.collect_list(F.struct(natural_key(label_col).alias("k"), F.col(label_col).alias("l"), block.alias("b")))

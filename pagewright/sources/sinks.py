@@ -48,3 +48,19 @@ def write_markdown(df: DataFrame, path: str, doc_col: str = "doc", md_col: str =
                    mode: str = "overwrite") -> None:
     """One stitched markdown file per document (line breaks kept as written)."""
     _writer(df.select(doc_col, F.col(md_col).alias("value")), doc_col, mode).option("lineSep", "\n").text(path)
+
+
+def write_markdown_parts(parts: DataFrame, path: str, doc_col: str = "doc", part_col: str = "part_no",
+                         md_col: str = "markdown", mode: str = "overwrite") -> None:
+    """Write ordered parts (``paging.stitch_parts``) as one folder per document.
+
+    Rows are range-partitioned on ``(doc, part_no)`` and sorted within each
+    task, so part files of a document follow the document order (a large
+    document spans several tasks and files; read the folder's files in name
+    order to concatenate).  Each part's final newline is written as the line
+    separator (stitched parts end with one).
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = parts.repartitionByRange(n, doc_col, part_col).sortWithinPartitions(doc_col, part_col)
+    value = F.regexp_replace(F.col(md_col), r"\n\z", "")
+    _writer(ordered.select(doc_col, value.alias("value")), doc_col, mode).option("lineSep", "\n").text(path)
