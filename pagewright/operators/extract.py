@@ -175,11 +175,11 @@ def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> Dat
     ).withColumn("section", F.coalesce(F.col("section"), F.lit("")))
 
 
-def assemble_pages(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "record") -> DataFrame:
-    """One JSON object per document: ``{"Page n": {"Header": h, "Sections": [...]}}``.
+def page_entries(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "entry") -> DataFrame:
+    """One ``"Page n": {"Header": h, "Sections": [...]}`` entry per page.
 
     ``Header`` is the page's first heading (``""`` if none); ``Sections``
-    lists the other headings in order.  Keys are written in page order.
+    lists the other headings in order.  Groups are single pages (bounded).
     """
     per_page = outline.groupBy(doc_col, page_col).agg(
         F.array_sort(
@@ -194,8 +194,18 @@ def assemble_pages(outline: DataFrame, doc_col: str, page_col: str = "page_no",
         F.lit("]}"),
     )
     entry = F.concat(F.lit('"Page '), F.col(page_col).cast("string"), F.lit('":'), page_obj)
-    g = per_page.groupBy(doc_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("p"), entry.alias("e")))).alias("_e")
+    return per_page.select(doc_col, page_col, entry.alias(out))
+
+
+def assemble_pages(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "record") -> DataFrame:
+    """One JSON object per document: ``{"Page n": {...}, ...}`` in page order.
+
+    The record is one row per document by definition; for documents too large
+    for one row keep ``page_entries`` (one row per page) instead.
+    """
+    e = page_entries(outline, doc_col, page_col, "_entry")
+    g = e.groupBy(doc_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("p"), F.col("_entry").alias("e")))).alias("_e")
     )
     return g.select(doc_col, F.concat(F.lit("{"), F.array_join(F.transform("_e", lambda x: x["e"]), ","), F.lit("}")).alias(out))
 

@@ -90,3 +90,16 @@ def test_read_template_and_request_shape(spark, tmp_path):
     assert len(req["messages"][1]["content"]) == 11  # instruction + 10 pages, the rest capped
     assert req["max_tokens"] == 4096 and req["temperature"] == 0 and req["top_p"] == 0
     assert req["messages"][1]["content"][0]["text"].endswith('{"title":"","n":0}')
+
+
+def test_image_request_parts(spark):
+    import base64
+
+    pages = spark.createDataFrame([(1, 1, [(p, bytes([p]) * 5) for p in range(1, 12)])],
+                                  "doc int, batch_no int, pages array<struct<page_no:int,payload:binary>>")
+    req = json.loads(requests.build_request(pages, requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind="image").first().payload)
+    parts = req["messages"][1]["content"]
+    assert parts[0] == {"type": "text", "text": requests.MARKDOWN_USER}
+    assert len(parts) == 11 and all(p["type"] == "image_url" for p in parts[1:])
+    assert parts[1]["image_url"]["url"] == "data:image/jpeg;base64," + base64.b64encode(bytes([1]) * 5).decode()
+    assert req["messages"][0]["content"] == [{"type": "text", "text": requests.MARKDOWN_SYSTEM}]
