@@ -117,9 +117,13 @@ def budget_batches(pages: DataFrame, max_tokens: int, max_pages: int = 10, doc:
     ``fold_limit`` pages take the distributed pointer-doubling path; both
     paths give the same batches.
     """
-    src = pages.select(doc, page, tokens)
-    counts = src.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    sized = src.join(counts, doc)
+    if "num_pages" in pages.columns:  # page count carried from the split
+        sized = pages.select(doc, page, tokens, F.col("num_pages").alias("_n"))
+        counts = sized.select(doc, "_n")
+    else:
+        src = pages.select(doc, page, tokens)
+        counts = src.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+        sized = src.join(counts, doc)
     small = sized.where(F.col("_n") <= fold_limit).drop("_n")
     out = _fold_batches(small, doc, page, tokens, max_tokens, max_pages)
     if counts.where(F.col("_n") > fold_limit).limit(1).count() > 0:

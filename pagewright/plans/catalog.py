@@ -453,7 +453,7 @@ def _budget_sql(body: str) -> str:
 
 def budget_pages(spark, sf):
     tp = V.text_pages(spark, sf)
-    return tp.select("doc_id", "page_no", textfn.text_tokens("text").alias("tokens"))
+    return tp.select("doc_id", "page_no", "num_pages", textfn.text_tokens("text").alias("tokens"))
 
 
 @register("budget_batches", _budget_sql("""

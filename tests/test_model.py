@@ -32,3 +32,15 @@ def test_retry_then_ok_and_errors(spark):
 def test_backoff_delays():
     # the delays the reference waits after rate-limit replies: 60, 120, 240 s
     assert [model.BASE_DELAY_S * model.BACKOFF_FACTOR ** r for r in range(model.MAX_RETRIES)] == [60, 120, 240]
+
+
+def test_concurrent_calls_keep_order(spark):
+    import time as _t
+
+    def fn(payload):
+        _t.sleep(0.01 * (int(payload) % 3))
+        return json.dumps({"choices": [{"message": {"content": payload}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+
+    df = spark.createDataFrame([(str(i),) for i in range(60)], "payload string").repartition(2)
+    out = replies.reply_text(model.call_model(df, fn, concurrency=8)).collect()
+    assert all(r.content == r.payload and r.status == "ok" for r in out) and len(out) == 60
