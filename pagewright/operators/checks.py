@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.combine import reply_entries, template_keys
+from pagewright.operators.combine import template_keys
+from pagewright.session import ensure_checkpoint_dir
 
 
 def json_kind(json_text: Column) -> Column:
@@ -36,30 +37,40 @@ def check_template(replies: DataFrame, template, key_cols: Sequence[str], json_c
     ``missing``: a template key absent from the reply; ``extra``: a key not in
     the template; ``kind``: value kind differs from the template example's
     (only when ``examples`` maps keys to example JSON texts; ``""`` values
-    are not kind-checked, being the template's own default).  Missing keys are
-    found with ``array_except`` on the reply's own key list, not with a join
-    of replies and template.
+    are not kind-checked, being the template's own default).  One narrow pass
+    per reply (array functions on the reply's own entries): no join with the
+    template and no shuffle.
     """
     keys = template_keys(template)
     tkeys = F.array(*[F.lit(k) for k in keys])
-    per = replies.select(*key_cols, F.map_keys(F.from_json(F.col(json_col), "map<string,string>")).alias("_k"))
-    missing = per.select(*key_cols, F.explode(F.array_except(tkeys, F.coalesce(F.col("_k"), F.array().cast("array<string>")))).alias("key")) \
-        .withColumn("problem", F.lit("missing"))
-    entries = reply_entries(replies, json_col, key_cols)
-    extra = entries.where(~F.array_contains(tkeys, F.col("key"))).select(*key_cols, "key").withColumn("problem", F.lit("extra"))
-    out = missing.unionByName(extra)
+    entries = F.coalesce(
+        F.map_entries(F.from_json(F.col(json_col), "map<string,variant>")),
+        F.array().cast("array<struct<key:string,value:variant>>"),
+    )
+    present = F.transform(entries, lambda e: e["key"])
+
+    def problem(key, what):
+        return F.struct(key.alias("key"), F.lit(what).alias("problem"))
+
+    missing = F.transform(F.array_except(tkeys, present), lambda k: problem(k, "missing"))
+    extra = F.transform(F.filter(present, lambda k: ~F.array_contains(tkeys, k)), lambda k: problem(k, "extra"))
+    parts = [missing, extra]
     if examples:
         kinds = F.create_map(*[x for k, v in examples.items() for x in (F.lit(k), F.lit(v))])
-        want = json_kind(F.try_element_at(kinds, F.col("key")))
-        bad = entries.where(
-            F.array_contains(tkeys, F.col("key")) & (F.col("value") != '""') & (json_kind(F.col("value")) != want)
-        ).select(*key_cols, "key").withColumn("problem", F.lit("kind"))
-        out = out.unionByName(bad)
-    return out
+
+        def bad_kind(e):
+            v = F.to_json(e["value"])
+            want = json_kind(F.try_element_at(kinds, e["key"]))
+            return F.array_contains(tkeys, e["key"]) & (v != '""') & (json_kind(v) != want)
+
+        parts.append(F.transform(F.filter(entries, bad_kind), lambda e: problem(e["key"], "kind")))
+    out = replies.select(*key_cols, F.explode(F.concat(*parts)).alias("_p"))
+    return out.select(*key_cols, F.col("_p.key").alias("key"), F.col("_p.problem").alias("problem"))
 
 
 def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc", value_col: str = "value",
-                   source_col: str = "text", key_cols: Sequence[str] = ("key",)) -> DataFrame:
+                   source_col: str = "text", key_cols: Sequence[str] = ("key",),
+                   materialize: bool = True) -> DataFrame:
     """Is each found string value written somewhere in its document's source?
 
     ``values``: ``(doc, key..., value)`` plain strings; ``sources``: one or more
@@ -68,6 +79,10 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
     gathered into one row.  Empty values are not checked.
     """
     v = values.where(F.col(value_col) != "").select(doc_col, *key_cols, value_col)
+    if materialize:
+        # Found values (a few per document) feed two branches; write them once.
+        ensure_checkpoint_dir(v.sparkSession)
+        v = v.checkpoint(eager=True)
     s = sources.select(doc_col, F.lower(F.col(source_col)).alias("_src"))
     # Inner join: AQE may split a hot document's pages on either side; values
     # of documents without any source row are added back as not grounded.
