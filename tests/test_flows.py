@@ -59,3 +59,29 @@ def test_incremental_folder_run(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.doc: r.num_pages for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": 1, "b": 2, "c": 1}
+
+
+def test_single_call_records(spark):
+    def fake(payload):
+        req = json.loads(payload)
+        n = len(req["messages"][1]["content"]) - 1
+        content = json.dumps({"Page 1": {"Header": "H", "images": n}})
+        return json.dumps({"choices": [{"message": {"content": content}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+
+    rows = [("d", p, f"p{p}") for p in range(1, 14)]
+    pages = spark.createDataFrame(rows, "doc string, page_no bigint, payload string")
+    r = flows.single_call_records(pages, fake, kind="text").first()
+    assert r.valid and json.loads(r.json)["Page 1"]["images"] == 10 and r.dropped_pages == 3
+
+
+def test_markdown_to_records(spark):
+    def fake(payload):
+        req = json.loads(payload)
+        assert req["response_format"] == {"type": "json_object"} and "max_tokens" not in req
+        md = req["messages"][1]["content"]
+        content = json.dumps({"title": md.splitlines()[0]})
+        return json.dumps({"choices": [{"message": {"content": content}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+
+    md = spark.createDataFrame([("d", "# Page 1\n\nbody")], "doc string, markdown string")
+    r = flows.markdown_to_records(md, fake, template=["title"]).first()
+    assert r.valid and json.loads(r.json) == {"title": "# Page 1"}
