@@ -52,3 +52,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   max_partition_bytes: int = 256 << 20) -> int:
+    """Size shuffle partitions and scan splits for an input of ``input_bytes``.
+
+    Shuffle partitions: enough for ~``target_partition_bytes`` each and at
+    least twice the cores (AQE coalesces small ones and splits skewed ones at
+    run time, with the same target).  Scan splits: ``max_partition_bytes``.
+    Returns the number of shuffle partitions set.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * target_partition_bytes))
+    return n

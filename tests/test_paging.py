@@ -132,3 +132,15 @@ def test_markdown_parts_sink(spark, tmp_path):
     files = sorted(glob.glob(os.path.join(out, "doc=1", "part-*")))
     text = "".join(open(f).read() for f in files)
     assert text == "".join(r[2] for r in rows)
+
+
+def test_size_for_input(spark):
+    from pagewright.session import size_for_input
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert size_for_input(spark, 10) == 2 * cores
+        assert size_for_input(spark, 100 << 40) == (100 << 40) // (256 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
