@@ -663,7 +663,24 @@ def q_assemble_pages(spark, sf):
     return extract.assemble_pages(o, "doc")
 
 
-@register("infer_shape")
+_TYPE_SQL = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT'
+                      WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'DOUBLE' THEN 'DOUBLE' WHEN 'NULL' THEN 'VOID' ELSE {t} END"""
+
+
+@register("infer_shape", _combine_sql(f"""
+    SELECT doc, 'OBJECT<' || string_agg(key || ': ' || kind, ', ' ORDER BY key) || '>' AS shape,
+           max(n_replies) AS n_replies
+    FROM (SELECT k.doc, k.key, CASE WHEN count(DISTINCT k.kind) = 1 THEN any_value(k.kind) ELSE 'VARIANT' END AS kind,
+                 max(n.n_replies) AS n_replies
+          FROM (SELECT doc, key,
+                       CASE WHEN json_type(value) = 'OBJECT' THEN
+                         'OBJECT<' || (SELECT string_agg(ik || ': ' || {_TYPE_SQL.format(t="json_type(value, '$.\"' || ik || '\"')")}, ', ' ORDER BY ik)
+                                       FROM (SELECT unnest(json_keys(value)) AS ik)) || '>'
+                       ELSE {_TYPE_SQL.format(t='json_type(value)')} END AS kind
+                FROM kv) k
+          JOIN (SELECT doc, CAST(count(*) AS BIGINT) AS n_replies FROM batch_json GROUP BY doc) n ON n.doc = k.doc
+          GROUP BY k.doc, k.key)
+    GROUP BY doc"""))
 def q_infer_shape(spark, sf):
     from pagewright.operators import extract
 
