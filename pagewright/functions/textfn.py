@@ -130,7 +130,7 @@ def float_or_text(col: Column | str) -> tuple[Column, Column]:
     is NULL where the text is not all ASCII digits.
     """
     c = _c(col)
-    return F.when(c.rlike("^[0-9]+$"), c.cast("double")), c
+    return F.when(c.rlike(r"^[0-9]+\z"), c.cast("double")), c
 
 
 def token_cost(tokens: Column | str, per_1k: Column | str) -> Column:

@@ -96,7 +96,7 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
 
 def check_headings(pages: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
     """Count of lines starting with a single ``# `` per page (should be 0)."""
-    n = F.size(F.regexp_extract_all(F.col(md_col), F.lit(r"(?m)^# "), 0))
+    n = F.size(F.regexp_extract_all(F.col(md_col), F.lit(r"(?dm)^# "), 0))
     return pages.select(*key_cols, n.cast("bigint").alias("single_hash_lines"))
 
 

@@ -45,12 +45,13 @@ MARKUP_RULES = [
     (r"<[^>]+>", ""),
 ]
 # What the markdown cleaner removes (the reference lists images, "click
-# here", "Listen to this article", page numbers and logos).
+# here", "Listen to this article", page numbers and logos).  "(?d)" makes
+# only "\n" end a line in Java, as in RE2 (the SQL twin drops the flag).
 CLEAN_PATTERNS = [
     r"!\[[^\]]*\]\([^)]*\)",
     r"(?i)click here",
     r"(?i)listen to this article",
-    r"(?m)^[ \t]*(Page[ \t]+)?[0-9]+[ \t]*$",
+    r"(?dm)^[ \t]*(Page[ \t]+)?[0-9]+[ \t]*$",
 ]
 
 

@@ -21,6 +21,7 @@ def _sql_str(s: str) -> str:
 
 def regex_chain(expr: str, rules) -> str:
     for pattern, repl in rules:
+        pattern = pattern.replace("(?dm)", "(?m)")  # RE2 has no UNIX_LINES flag; "\n" is its only line end
         repl = repl.replace("$1", "\\1").replace("$2", "\\2")
         expr = f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', {_sql_str(repl)}, 'g')"
     return expr
