@@ -31,17 +31,17 @@ def write_final(df: DataFrame, path: str, doc_col: str = "doc", record_col: str
 
 
 def _ascii_json(rec):
-    """JSON text with every non-ASCII character written as ``\\uXXXX`` units."""
-    units = F.split(rec, "", -1)
-    esc = F.transform(
-        units,
-        lambda ch: F.when(F.ascii(ch) < 128, ch).otherwise(
-            F.concat(F.lit("\\u"), F.lower(F.hex(F.encode(ch, "UTF-16BE"))))
-        ),
-    )
-    # Characters beyond the basic plane encode to 8 hex digits: split them.
-    joined = F.array_join(esc, "")
-    return F.regexp_replace(joined, r"\\u([0-9a-f]{4})([0-9a-f]{4})", "\\\\u$1\\\\u$2")
+    """JSON text with every non-ASCII character written as ``\\uXXXX`` units.
+
+    Characters beyond the basic plane encode to two UTF-16 units (eight hex
+    digits) and are written as a surrogate pair.
+    """
+    def esc(ch):
+        h = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        pair = F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.lit("\\u"), F.substring(h, 5, 4))
+        return F.when(F.ascii(ch) < 128, ch).when(F.length(h) == 8, pair).otherwise(F.concat(F.lit("\\u"), h))
+
+    return F.array_join(F.transform(F.split(rec, "", -1), esc), "")
 
 
 def write_markdown(df: DataFrame, path: str, doc_col: str = "doc", md_col: str = "markdown",
