@@ -93,3 +93,25 @@ def test_ascii_escape_against_python(spark, xs):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(recs)], "i int, r string")
     got = {r.i: r.a for r in df.select("i", _ascii_json(F.col("r")).alias("a")).collect()}
     assert [got[i] for i in range(len(xs))] == [json.dumps({"v": x}, separators=(",", ":")) for x in xs]
+
+
+paths = st.text(alphabet="ab./", max_size=10)
+
+
+@SETTINGS
+@given(st.lists(paths, min_size=1, max_size=80))
+def test_file_stem_against_python(spark, xs):
+    import os
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, p string")
+    got = {r.i: (r.s, r.e) for r in df.select("i", textfn.file_stem("p").alias("s"), textfn.file_extension("p").alias("e")).collect()}
+    assert [got[i] for i in range(len(xs))] == [os.path.splitext(os.path.basename(x)) for x in xs]
+
+
+@SETTINGS
+@given(st.lists(replies, min_size=1, max_size=60))
+def test_default_clean(spark, xs):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, r string")
+    got = {r.i: r.c for r in df.select("i", jsonfn.clean_json("r").alias("c")).collect()}
+    expected = [re.sub(r"\n```[^`]*\Z", "", x.replace("```json\n", "")) for x in xs]
+    assert [got[i] for i in range(len(xs))] == expected
