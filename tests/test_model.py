@@ -44,3 +44,23 @@ def test_concurrent_calls_keep_order(spark):
     df = spark.createDataFrame([(str(i),) for i in range(60)], "payload string").repartition(2)
     out = replies.reply_text(model.call_model(df, fn, concurrency=8)).collect()
     assert all(r.content == r.payload and r.status == "ok" for r in out) and len(out) == 60
+
+
+def test_cached_calls_skip_done_requests(spark, tmp_path):
+    store = str(tmp_path / "replies")
+    acc = spark.sparkContext.accumulator(0)
+
+    def fn(payload):
+        acc.add(1)
+        if payload == "bad":
+            raise ValueError("nope")
+        return json.dumps({"choices": [{"message": {"content": payload}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}})
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad")], "id int, payload string")
+    out = {r.id: (r.status, r.reply is not None) for r in model.call_model_cached(df, fn, store).collect()}
+    assert out == {1: ("ok", True), 2: ("ok", True), 3: ("ok", True), 4: ("error", False)}
+    assert acc.value == 3  # "a" once, "b", "bad"
+    more = spark.createDataFrame([(5, "a"), (6, "c"), (7, "bad")], "id int, payload string")
+    out2 = {r.id: r.status for r in model.call_model_cached(more, fn, store).collect()}
+    assert out2 == {5: "ok", 6: "ok", 7: "error"}
+    assert acc.value == 5  # only "c" and the failed "bad" are sent again
