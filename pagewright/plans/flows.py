@@ -24,12 +24,17 @@ from pagewright.operators import combine, model, paging, replies, requests
 from pagewright.session import ensure_checkpoint_dir
 
 
-def _persist(df: DataFrame, path: str | None) -> DataFrame:
-    """Model replies are written once (or checkpointed) before being read twice."""
+def _call(req: DataFrame, fn: Callable[[str], str], path: str | None) -> DataFrame:
+    """Call the model once per request and keep the replies.
+
+    With ``path`` the replies go to a store keyed by payload hash, so a rerun
+    sends only requests without a good reply; without it the replies are
+    checkpointed, because later steps read them twice.
+    """
     if path:
-        return model.persist_replies(df, path)
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        return model.call_model_cached(req, fn, path)
+    ensure_checkpoint_dir(req.sparkSession)
+    return model.call_model(req, fn).checkpoint(eager=True)
 
 
 def page_batches(pages: DataFrame, size: int = 10, doc_col: str = "doc", payload_col: str = "payload",
@@ -59,7 +64,7 @@ def pages_to_records(pages: DataFrame, template, fn: Callable[[str], str], kind:
     system, user = requests.fields_prompt(tjson, description)
     batches = page_batches(pages, size, doc_col, payload_col)
     req = requests.build_request(batches, system, user, kind=kind)
-    called = _persist(model.call_model(req.drop("pages"), fn), replies_path)
+    called = _call(req.drop("pages"), fn, replies_path)
     parsed = replies.parse_reply_json(replies.reply_fields(called), strict=strict)
     good, rejects = replies.split_valid(parsed)
     records = combine.combine_last_non_empty(good, template, doc_col, "batch_no", "json")
@@ -76,7 +81,7 @@ def pages_to_markdown(pages: DataFrame, fn: Callable[[str], str], kind: str = "i
     """Variant 3, first half: ``(doc, markdown)`` stitched from batch replies."""
     batches = page_batches(pages, size, doc_col, payload_col)
     req = requests.build_request(batches, requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind=kind)
-    called = _persist(model.call_model(req.drop("pages"), fn), replies_path)
+    called = _call(req.drop("pages"), fn, replies_path)
     parts = replies.reply_text(called).select(doc_col, "label", "content")
     return paging.stitch_pages(parts, doc_col, "label", "content")
 

@@ -85,3 +85,19 @@ def test_markdown_to_records(spark):
     md = spark.createDataFrame([("d", "# Page 1\n\nbody")], "doc string, markdown string")
     r = flows.markdown_to_records(md, fake, template=["title"]).first()
     assert r.valid and json.loads(r.json) == {"title": "# Page 1"}
+
+
+def test_records_with_reply_store(spark, tmp_path):
+    def fake(payload):
+        req = json.loads(payload)
+        n = len(req["messages"][1]["content"]) - 1
+        content = json.dumps({"title": f"t{n}"})
+        return json.dumps({"choices": [{"message": {"content": content}}], "usage": {"prompt_tokens": 2, "completion_tokens": 1}})
+
+    rows = [("d", p, 3, f"p{p}") for p in range(1, 4)]
+    pages = spark.createDataFrame(rows, "doc string, page_no bigint, num_pages bigint, payload string")
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        records, rejects, usage = flows.pages_to_records(pages, ["title"], fake, kind="text", replies_path=store)
+        assert json.loads(records.first().record) == {"title": "t3"}
+    assert spark.read.parquet(store).count() == 1
