@@ -276,17 +276,15 @@ def q_flag_truncated(spark, sf):
 # --------------------------------------------------------- 2.3/2.4 combine
 
 _KV_SQL = """
-    kv AS (SELECT doc, batch_no, key, CAST(pos AS BIGINT) AS pos,
-                  json_extract(j, '$."' || key || '"')::VARCHAR AS value
-           FROM (SELECT doc, batch_no, j, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS pos
-                 FROM batch_json))"""
+    SELECT doc, batch_no, key, CAST(pos AS BIGINT) AS pos, json_extract(j, '$."' || key || '"')::VARCHAR AS value
+    FROM (SELECT doc, batch_no, j, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS pos
+          FROM batch_json)"""
 _FOUND_SQL = f"""
-    found AS (SELECT doc, key,
-                     arg_max(value, batch_no * 1000000 + pos) FILTER (WHERE {truthy_sql('value')}) AS value,
-                     min(batch_no * 1000000 + pos) FILTER (WHERE {truthy_sql('value')}) AS first_seen
-              FROM kv GROUP BY doc, key)"""
+    SELECT doc, key,
+           arg_max(value, batch_no * 1000000 + pos) FILTER (WHERE {truthy_sql('value')}) AS value,
+           min(batch_no * 1000000 + pos) FILTER (WHERE {truthy_sql('value')}) AS first_seen
+    FROM kv GROUP BY doc, key"""
 _FILLED_SQL = f"""
-    filled AS (
       SELECT d.doc, CAST(t.ord AS BIGINT) AS ord, t.key, coalesce(f.value, '""') AS value,
              CASE WHEN f.value IS NULL THEN 'default' ELSE 'found' END AS origin
       FROM (SELECT DISTINCT doc FROM found) d CROSS JOIN {TEMPLATE_SQL}
@@ -294,13 +292,12 @@ _FILLED_SQL = f"""
       UNION ALL
       SELECT doc, CAST(5 + row_number() OVER (PARTITION BY doc ORDER BY first_seen, key) AS BIGINT) AS ord,
              key, value, 'extra' AS origin
-      FROM found WHERE value IS NOT NULL AND key NOT IN ('title', 'author', 'h1', 'lang', 'n_paragraphs'))"""
+      FROM found WHERE value IS NOT NULL AND key NOT IN ('title', 'author', 'h1', 'lang', 'n_paragraphs')"""
 
 
-def _combine_sql(body: str, extra: str = "") -> str:
-    base = with_views(["batch_json"], "SELECT 1")
-    head = base[: base.rindex("SELECT 1")].rstrip()
-    return f"{head},{_KV_SQL},{_FOUND_SQL},{_FILLED_SQL}{extra}\n{body}"
+def _combine_sql(body: str, extra=()) -> str:
+    ctes = [("kv", _KV_SQL), ("found", _FOUND_SQL), ("filled", _FILLED_SQL), *extra]
+    return with_views(["batch_json"], body, ctes)
 
 
 @register("template_keys", with_views(["batch_json"], """
@@ -435,20 +432,21 @@ def q_usage_report(spark, sf):
 BUDGET_TOKENS, BUDGET_PAGES = 4096, 10
 
 
-def _budget_sql(body: str) -> str:
-    head = with_views(["text_pages"], "SELECT 1")
-    head = head[: head.rindex("SELECT 1")].rstrip()
-    return "WITH RECURSIVE" + head[len("WITH"):] + f""",
-    tp AS (SELECT doc_id, page_no, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM text_pages),
-    g(doc_id, page_no, t, batch_no, used, cnt) AS (
+_BUDGET_CTES = [
+    ("tp", "SELECT doc_id, page_no, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM text_pages"),
+    ("g(doc_id, page_no, t, batch_no, used, cnt)", f"""
       SELECT doc_id, page_no, t, 1, t, 1 FROM tp WHERE page_no = 1
       UNION ALL
       SELECT tp.doc_id, tp.page_no, tp.t,
              CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN g.batch_no + 1 ELSE g.batch_no END,
              CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN tp.t ELSE g.used + tp.t END,
              CASE WHEN g.used + tp.t > {BUDGET_TOKENS} OR g.cnt >= {BUDGET_PAGES} THEN 1 ELSE g.cnt + 1 END
-      FROM g JOIN tp ON tp.doc_id = g.doc_id AND tp.page_no = g.page_no + 1)
-    {body}"""
+      FROM g JOIN tp ON tp.doc_id = g.doc_id AND tp.page_no = g.page_no + 1"""),
+]
+
+
+def _budget_sql(body: str) -> str:
+    return with_views(["text_pages"], body, _BUDGET_CTES, recursive=True)
 
 
 def budget_pages(spark, sf):
@@ -522,8 +520,7 @@ def _request_sql(body: str) -> str:
     from pagewright.plans.oracle_views import _sql_str
 
     system, user = requests.fields_prompt(_template_json())
-    return with_views(["text_pages"], f"""
-    WITH_REQ AS (
+    req = f"""
       SELECT doc_id, batch_no, count(*) AS n_pages, sum(length(text)) AS n_chars,
              json_object('messages', json_array(
                  json_object('role', 'system', 'content', json_array(json_object('type', 'text', 'text', {_sql_str(system)}))),
@@ -532,17 +529,11 @@ def _request_sql(body: str) -> str:
                      list(json_object('type', 'text', 'text', text) ORDER BY page_no))))),
                'temperature', 0, 'top_p', 0, 'max_tokens', 4096)::VARCHAR AS payload
       FROM (SELECT *, CAST((page_no - 1) // 10 + 1 AS BIGINT) AS batch_no FROM text_pages)
-      GROUP BY doc_id, batch_no)
-    {body}""")
-
-
-def _fix_req(sql: str) -> str:
-    # the request CTE is appended to the view list
-    head, rest = sql.split("WITH_REQ AS", 1)
-    return head.rstrip().rstrip("\n") + ",\nreq AS" + rest if head.strip().startswith("WITH") else sql
+      GROUP BY doc_id, batch_no"""
+    return with_views(["text_pages"], body, [("req", req)])
 
 
-@register("build_requests", _fix_req(_request_sql("SELECT doc_id, batch_no, payload FROM req")))
+@register("build_requests", _request_sql("SELECT doc_id, batch_no, payload FROM req"))
 def q_build_requests(spark, sf):
     return _requests(spark, sf).select("doc_id", "batch_no", "payload")
 
@@ -561,11 +552,11 @@ def rule_reply(payload: str) -> str:
     return json.dumps({"choices": [{"message": {"content": content}}], "usage": usage})
 
 
-@register("call_model", _fix_req(_request_sql("""
+@register("call_model", _request_sql("""
     SELECT doc_id, batch_no, 'ok' AS status, 1 AS attempts,
            '{"pages":' || CAST(n_pages AS VARCHAR) || ',"chars":' || CAST(n_chars AS VARCHAR) || '}' AS content,
            CAST(ceil(length(payload) / 4.0) AS BIGINT) AS prompt_tokens
-    FROM req""")))
+    FROM req"""))
 def q_call_model(spark, sf):
     from pagewright.operators import model
 
@@ -609,7 +600,6 @@ def q_clean_markdown(spark, sf):
 
 
 _LINES_SQL = """
-    lines AS (
       SELECT doc, page_no, line_no, line, kind,
              sum(CASE WHEN kind IN ('header', 'subheader') THEN 1 ELSE 0 END)
                OVER (PARTITION BY doc, page_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no
@@ -622,8 +612,8 @@ _LINES_SQL = """
                         ELSE 'text' END AS kind
             FROM (SELECT doc, page_no, unnest(string_split(md, chr(10))) AS line,
                          generate_subscripts(string_split(md, chr(10)), 1) AS line_no
-                  FROM markdown_pages))),
-    outline AS (
+                  FROM markdown_pages))"""
+_OUTLINE_SQL = """
       SELECT doc, page_no, CAST(section_no AS BIGINT) AS section_no,
              coalesce(max(CASE WHEN kind IN ('header', 'subheader') THEN regexp_replace(line, '^#+ ', '') END), '') AS section,
              CAST(coalesce(max(CASE WHEN kind = 'header' THEN 2 WHEN kind = 'subheader' THEN 3 END), 0) AS BIGINT) AS level,
@@ -631,13 +621,11 @@ _LINES_SQL = """
              CAST(sum(CASE WHEN kind = 'link' THEN 1 ELSE 0 END) AS BIGINT) AS n_links,
              CAST(sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END) AS BIGINT) AS n_text,
              CAST(sum(CASE WHEN kind IN ('list', 'link', 'text') THEN length(line) ELSE 0 END) AS BIGINT) AS n_chars
-      FROM lines GROUP BY doc, page_no, section_no)"""
+      FROM lines GROUP BY doc, page_no, section_no"""
 
 
 def _outline_sql(body: str) -> str:
-    head = with_views(["markdown_pages"], "SELECT 1")
-    head = head[: head.rindex("SELECT 1")].rstrip()
-    return f"{head},{_LINES_SQL}\n{body}"
+    return with_views(["markdown_pages"], body, [("lines", _LINES_SQL), ("outline", _OUTLINE_SQL)])
 
 
 @register("markdown_outline", _outline_sql(
@@ -715,7 +703,7 @@ def q_check_template(spark, sf):
     FROM (SELECT doc, key, json_extract_string(value, '$') AS value FROM filled WHERE left(value, 1) = '"') f
     LEFT JOIN page_src b ON b.doc = f.doc
     WHERE f.value <> ''
-    GROUP BY f.doc, f.key, f.value""", ",\n    page_src AS (SELECT CAST(page_id // 5 AS BIGINT) AS doc, html FROM pages)"))
+    GROUP BY f.doc, f.key, f.value""", [("page_src", "SELECT CAST(page_id // 5 AS BIGINT) AS doc, html FROM pages")]))
 def q_check_grounded(spark, sf):
     from pagewright.operators import checks
 

@@ -115,8 +115,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_views(names, body: str) -> str:
-    """``WITH`` clause holding the named views (and what they use), then ``body``."""
+def with_views(names, body: str, extra=(), recursive: bool = False) -> str:
+    """``WITH`` clause holding the named views (and what they use), then the
+    query-specific CTEs ``extra`` (``[(name, sql), ...]``), then ``body``."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -128,7 +129,8 @@ def with_views(names, body: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    ctes = [f"{n} AS ({VIEWS[n][1]}\n)" for n in order] + [f"{n} AS ({sql}\n)" for n, sql in extra]
+    if not ctes:
         return body.strip()
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(ctes) + "\n" + body.strip()
