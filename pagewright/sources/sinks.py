@@ -11,22 +11,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _writer(df: DataFrame, partition_col: str, mode: str):
+BUCKET_COL = "doc_bucket"
+
+
+def with_bucket(df: DataFrame, doc_col: str, buckets: int) -> DataFrame:
+    """Adds ``doc_bucket = pmod(hash(doc), buckets)`` (stable across runs)."""
+    return df.withColumn(BUCKET_COL, F.pmod(F.xxhash64(F.col(doc_col)), F.lit(buckets)))
+
+
+def _writer(df: DataFrame, partition_col: str, mode: str, buckets: int | None = None):
+    """Writer partitioned by document, or by a hash bucket of it when
+    ``buckets`` is given (millions of documents would make millions of
+    folders; the document stays a column)."""
     df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if buckets:
+        return with_bucket(df, partition_col, buckets).write.mode(mode).partitionBy(BUCKET_COL)
     return df.write.mode(mode).partitionBy(partition_col)
 
 
-def write_batches(df: DataFrame, path: str, doc_col: str = "doc", mode: str = "overwrite") -> None:
-    """One JSON line per batch (with its label and reply), partitioned by document."""
-    _writer(df.repartition(doc_col), doc_col, mode).json(path)
+def write_batches(df: DataFrame, path: str, doc_col: str = "doc", batch_col: str = "batch_no",
+                  mode: str = "overwrite", buckets: int | None = None) -> None:
+    """One JSON line per batch (with its label and reply), partitioned by document.
+
+    Rows are range-partitioned on ``(doc, batch)`` first: small documents
+    share a writer task, a document with very many batches is split over
+    several (each writes its own file in the document's folder).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, doc_col, batch_col).sortWithinPartitions(doc_col, batch_col)
+    _writer(ordered, doc_col, mode, buckets).json(path)
 
 
 def write_final(df: DataFrame, path: str, doc_col: str = "doc", record_col: str = "record",
-                ascii_only: bool = False, mode: str = "overwrite") -> None:
-    """One JSON record per document as text, in a folder per document."""
+                ascii_only: bool = False, mode: str = "overwrite", buckets: int | None = None) -> None:
+    """One JSON record per document as text, in a folder per document.
+
+    With ``buckets`` the records go to one folder per hash bucket as JSON
+    lines ``{"doc": ..., "record": {...}}`` instead (text files cannot hold the
+    document name as a column).
+    """
     rec = F.col(record_col)
     if ascii_only:
         rec = _ascii_json(rec)
+    if buckets:
+        line = F.concat(F.lit('{"doc":'), F.to_json(F.col(doc_col).cast("string").cast("variant")),
+                        F.lit(',"record":'), rec, F.lit("}"))
+        with_bucket(df.select(doc_col, line.alias("value")), doc_col, buckets).select(BUCKET_COL, "value") \
+            .write.mode(mode).partitionBy(BUCKET_COL).text(path)
+        return
     _writer(df.select(doc_col, rec.alias("value")), doc_col, mode).text(path)
 
 

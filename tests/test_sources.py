@@ -103,3 +103,18 @@ def test_image_request_parts(spark):
     assert len(parts) == 11 and all(p["type"] == "image_url" for p in parts[1:])
     assert parts[1]["image_url"]["url"] == "data:image/jpeg;base64," + base64.b64encode(bytes([1]) * 5).decode()
     assert req["messages"][0]["content"] == [{"type": "text", "text": requests.MARKDOWN_SYSTEM}]
+
+
+def test_bucketed_sinks(spark, tmp_path):
+    rows = [(f"doc{i}", b, f"L{b}", '{"t":1}') for i in range(20) for b in (1, 2)]
+    df = spark.createDataFrame(rows, "doc string, batch_no int, label string, j string")
+    out = str(tmp_path / "b")
+    sinks.write_batches(df, out, buckets=4)
+    back = spark.read.json(out)
+    assert back.count() == 40 and back.select("doc_bucket").distinct().count() <= 4
+    final = spark.createDataFrame([(f"doc{i}", '{"a":"é"}') for i in range(20)], "doc string, record string")
+    out2 = str(tmp_path / "f")
+    sinks.write_final(final, out2, ascii_only=True, buckets=4)
+    lines = [json.loads(r.value) for r in spark.read.text(out2).collect()]
+    assert sorted(x["doc"] for x in lines) == sorted(f"doc{i}" for i in range(20))
+    assert all(x["record"] == {"a": "é"} for x in lines)
