@@ -67,44 +67,57 @@ def _fold_batches(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens
 
 
 def _next_starts(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens: int, max_pages: int) -> DataFrame:
-    """``(doc, i, nxt, used)``: the batch opened at page ``i`` ends before ``nxt``."""
+    """``(doc, i, nxt, n)``: the batch opened at page ``i`` ends before ``nxt``.
+
+    ``n`` is the document's page count (column ``_n`` of ``pages``); ``nxt`` is
+    NULL when the batch reaches the end of the document, so no end-marker
+    value is shared by many rows (it would be one hot join key).
+    """
     shifted = pages.select(
-        doc, page, F.col(tokens).cast("bigint").alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(max_pages - 1))).alias("_k")
-    ).select(doc, (F.col(page) - F.col("_k")).alias("i"), F.col("_k").alias("k"), F.col("_t").alias("t")).where(F.col("i") >= 1)
-    look = shifted.groupBy(doc, "i").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("_w"))
+        doc, page, "_n", F.col(tokens).cast("bigint").alias("_t"),
+        F.explode(F.sequence(F.lit(0), F.lit(max_pages - 1))).alias("_k"),
+    ).select(doc, (F.col(page) - F.col("_k")).alias("i"), F.col("_k").alias("k"), F.col("_t").alias("t"), "_n") \
+        .where(F.col("i") >= 1)
+    look = shifted.groupBy(doc, "i").agg(
+        F.array_sort(F.collect_list(F.struct("k", "t"))).alias("_w"), F.max("_n").alias("n")
+    )
     # Only the gap-free prefix of the window counts (k = 0, 1, 2, ...).
     contiguous = F.filter("_w", lambda x, idx: x["k"] == idx)
     took = _take(contiguous, max_tokens, max_pages)
-    return look.select(doc, "i", (F.col("i") + took["m"]).alias("nxt"), took["used"].alias("used"))
+    end = F.col("i") + took["m"]
+    return look.select(doc, "i", F.when(end <= F.col("n"), end).alias("nxt"), "n")
 
 
 def _jump_batches(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens: int, max_pages: int) -> DataFrame:
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nxt = _next_starts(pages, doc, page, tokens, max_tokens, max_pages).checkpoint()
+    # jump: i -> the start 2^r batches later; NULL once past the end.
     jump = nxt.select(doc, "i", F.col("nxt").alias("j"))
     chain = nxt.where(F.col("i") == 1).select(doc, F.col("i").alias("node"), F.lit(0).cast("bigint").alias("dist"))
     size, step = chain.count(), 1
     while True:
-        reached = chain.join(jump.withColumnRenamed("i", "node"), [doc, "node"]).select(
+        live = jump.where(F.col("j").isNotNull())
+        reached = chain.join(live.withColumnRenamed("i", "node"), [doc, "node"]).select(
             doc, F.col("j").alias("node"), (F.col("dist") + F.lit(step)).alias("dist")
         )
-        # Keep only targets that are pages (a target past the end is not).
-        reached = reached.join(jump.select(doc, F.col("i").alias("node")), [doc, "node"], "left_semi")
-        chain = chain.unionByName(reached).checkpoint()
+        chain = chain.unionByName(reached).repartition(parts, doc, "node").checkpoint()
         new_size = chain.count()
         if new_size == size:
             break
         size = new_size
-        twice = jump.alias("a").join(
+        # Pointers already past the end stay NULL; only live ones are joined
+        # (NULL keys would all hash to one task).
+        twice = live.alias("a").join(
             jump.alias("b"), (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.j") == F.col("b.i")), "left"
-        ).select(F.col(f"a.{doc}").alias(doc), F.col("a.i").alias("i"), F.coalesce(F.col("b.j"), F.col("a.j")).alias("j"))
-        jump = twice.checkpoint()
+        ).select(F.col(f"a.{doc}").alias(doc), F.col("a.i").alias("i"), F.col("b.j").alias("j"))
+        done = jump.where(F.col("j").isNull())
+        jump = twice.unionByName(done).repartition(parts, doc, "i").checkpoint()
         step *= 2
     starts = chain.join(nxt.withColumnRenamed("i", "node"), [doc, "node"])
-    spans = starts.select(
-        doc, (F.col("dist") + 1).alias("batch_no"), F.explode(F.sequence(F.col("node"), F.col("nxt") - 1)).alias(page)
-    )
+    last = F.coalesce(F.col("nxt") - 1, F.col("n"))
+    spans = starts.select(doc, (F.col("dist") + 1).alias("batch_no"), F.explode(F.sequence(F.col("node"), last)).alias(page))
     return spans.join(pages.select(doc, page, F.col(tokens).cast("bigint").alias(tokens)), [doc, page])
 
 
@@ -127,7 +140,7 @@ def budget_batches(pages: DataFrame, max_tokens: int, max_pages: int = 10, doc:
     small = sized.where(F.col("_n") <= fold_limit).drop("_n")
     out = _fold_batches(small, doc, page, tokens, max_tokens, max_pages)
     if counts.where(F.col("_n") > fold_limit).limit(1).count() > 0:
-        big = sized.where(F.col("_n") > fold_limit).drop("_n")
+        big = sized.where(F.col("_n") > fold_limit)
         out = out.unionByName(_jump_batches(big, doc, page, tokens, max_tokens, max_pages).select(doc, page, tokens, "batch_no"))
     return out
 
