@@ -50,9 +50,12 @@ def explode_pages(df: DataFrame, doc_col: str, text_col: str, lines_per_page: in
 
 
 def number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
-                  out: str = "row_no") -> DataFrame:
-    """1-based row number within each group (skew-safe, see ``ranking``)."""
-    return rank_within(df, group_cols, order_cols, out)
+                  out: str = "row_no", **rank_args) -> DataFrame:
+    """1-based row number within each group (skew-safe, see ``ranking``).
+
+    Pass rows without large payload columns: the window path sorts whole rows.
+    """
+    return rank_within(df, group_cols, order_cols, out, **rank_args)
 
 
 def select_pages(df: DataFrame, first: int | None = None, last: int | None = None,
@@ -138,20 +141,22 @@ def batch_labels(batched: DataFrame, doc_col: str = "doc", page_col: str = "page
     return g.withColumn("label", batch_label("start_page", "end_page", total_col, ext))
 
 
-def natural_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str = "natural_rank") -> DataFrame:
+def natural_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str = "natural_rank",
+                  **rank_args) -> DataFrame:
     """Rank of each name within its group in natural order (digit runs as numbers).
 
     Equal keys (``Page_7`` and ``page_007``) are ordered by the raw name.
     """
-    return rank_within(df, group_cols, [natural_key(name_col), F.col(name_col)], out)
+    return rank_within(df, group_cols, [natural_key(name_col), F.col(name_col)], out, **rank_args)
 
 
-def stem_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str = "stem_rank") -> DataFrame:
+def stem_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str = "stem_rank",
+               **rank_args) -> DataFrame:
     """Rank of each name within its group by plain comparison of the file stem.
 
     Right only for zero-padded names, as in the reference.
     """
-    return rank_within(df, group_cols, [file_stem(name_col), F.col(name_col)], out)
+    return rank_within(df, group_cols, [file_stem(name_col), F.col(name_col)], out, **rank_args)
 
 
 def stitch_block(label_col: str, content_col: str, page_token_col: str | None = None) -> Column:
@@ -165,7 +170,7 @@ def stitch_block(label_col: str, content_col: str, page_token_col: str | None =
 
 
 def stitch_parts(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",
-                 page_token_col: str | None = None) -> DataFrame:
+                 page_token_col: str | None = None, **rank_args) -> DataFrame:
     """The stitched document as ordered rows: ``(doc, part_no, markdown)``.
 
     ``part_no`` is the part's rank in natural label order (skew-safe rank), so
@@ -176,8 +181,10 @@ def stitch_parts(parts: DataFrame, doc_col: str, label_col: str, content_col: st
     from pagewright.functions.textfn import natural_key as nk
 
     blocks = parts.select(doc_col, label_col, stitch_block(label_col, content_col, page_token_col).alias(out))
-    ranked = rank_within(blocks, [doc_col], [nk(label_col), F.col(label_col)], "part_no")
-    return ranked.select(doc_col, "part_no", out)
+    # Rank the small (doc, label) keys only, then bring the text back by key.
+    keys = parts.select(doc_col, label_col)
+    ranked = rank_within(keys, [doc_col], [nk(label_col), F.col(label_col)], "part_no", **rank_args)
+    return ranked.join(blocks, [doc_col, label_col]).select(doc_col, "part_no", out)
 
 
 def stitch_pages(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",

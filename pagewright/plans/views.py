@@ -154,14 +154,15 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev = conv.select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.length("text").alias("prev_len")
     )
-    turns = conv.where(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    turns = conv.where(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left") \
+        .select("conv_id", "turn", "prev_len", F.length("text").alias("text_len"))
     ranked = paging.number_within(turns, ["conv_id"], ["turn"], "request_no")
     return ranked.select(
         F.col("conv_id").alias("doc"),
         F.when(F.col("turn") % 4 == 1, F.lit("vision")).otherwise(F.lit("text")).alias("model"),
         "request_no",
         F.ceil(F.coalesce(F.col("prev_len"), F.lit(0)) / F.lit(4.0)).cast("bigint").alias("prompt_tokens"),
-        F.ceil(F.length("text") / F.lit(4.0)).cast("bigint").alias("completion_tokens"),
+        F.ceil(F.col("text_len") / F.lit(4.0)).cast("bigint").alias("completion_tokens"),
     )
 
 

@@ -103,11 +103,52 @@ def main(argv) -> None:
             V.batch_json(spark, sf).withColumn("doc", F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")))
             .withColumn("batch_no", F.col("batch_no") * 1000000 + F.col("doc")), V.BINDER_TEMPLATE),
     }
+    def hot_binder_values():
+        from pagewright.operators import combine as C
+
+        bj = V.batch_json(spark, sf).withColumn("doc", F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")))
+        e = C.combine_entries(bj.withColumn("batch_no", F.col("batch_no") * 1000000 + F.col("doc")), V.BINDER_TEMPLATE)
+        return e.where(F.substring("value", 1, 1) == '"').select("doc", "key", F.try_parse_json("value").cast("string").alias("value"))
+
+    def hot_binder_pages():
+        b = V.binder_pages(spark, sf)
+        return b.select(F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")).alias("doc"), F.col("html").alias("text"))
+
+    def grounded():
+        from pagewright.operators import checks
+
+        return checks.check_grounded(hot_binder_values(), hot_binder_pages())
+
+    def stitched_parts():
+        parts = names.withColumn("label", F.concat(F.lit("Pages_"), F.col("page_no").cast("string"), F.lit("_to_x")))
+        return paging.stitch_parts(parts, "doc_id", "label", "text", max_window_group=0)
+
+    cases["stitch: ordered parts (stitch_parts, range path)"] = stitched_parts
+    # Sort-merge join with AQE's skew split; thresholds lowered to this data size
+    # (the defaults, 256 MB and 5x the median, apply at cluster scale).
+    cases["grounding: inner join, AQE skew split"] = grounded
+    conf_for = {
+        "grounding: inner join, AQE skew split": {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536",
+        }
+    }
     results = {}
     for i, (label, build) in enumerate(cases.items()):
         group = f"case{i}"
+        saved = {k: spark.conf.get(k, None) for k in conf_for.get(label, {})}
+        for k, v in conf_for.get(label, {}).items():
+            spark.conf.set(k, v)
         sc.setJobGroup(group, label)
         build().write.format("noop").mode("overwrite").save()
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
         results[label] = group
     spark.stop()
     print("# Hot-document skew report\n")
