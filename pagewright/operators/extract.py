@@ -79,6 +79,39 @@ def fill_template(df: DataFrame, source_col: str, rules: Sequence[tuple[str, str
     return df.select("*", *cols)
 
 
+def _rule_value(source: Column, pattern: str, kind: str) -> Column:
+    if kind == "all":  # every match: a list value (e.g. authors)
+        return F.regexp_extract_all(source, F.lit(pattern), 1)
+    first = F.regexp_extract(source, pattern, 1)
+    if kind == "int":  # a number, NULL (JSON null) when not found
+        return first.try_cast("bigint")
+    return F.coalesce(first, F.lit(""))
+
+
+def template_record(df: DataFrame, source_col: str, rules: Sequence[tuple], out: str = "j") -> DataFrame:
+    """Fill a nested template by rule and write it as one JSON object per row.
+
+    ``rules``: ``(path, pattern)`` or ``(path, pattern, kind)`` in template
+    order; ``path`` is dotted for nested objects (``survey.savings.total``);
+    ``kind`` is ``one`` (string, ``""`` when not found), ``all`` (list of every
+    match) or ``int``.  Keys keep template order at every level.
+    """
+    tree: dict = {}
+    for rule in rules:
+        path, pattern = rule[0], rule[1]
+        kind = rule[2] if len(rule) > 2 else "one"
+        node = tree
+        *parents, leaf = path.split(".")
+        for p in parents:
+            node = node.setdefault(p, {})
+        node[leaf] = _rule_value(F.col(source_col), pattern, kind)
+
+    def build(node: dict) -> Column:
+        return F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()])
+
+    return df.withColumn(out, F.to_json(build(tree), {"ignoreNullFields": "false"}))
+
+
 def fields_to_json(df: DataFrame, keys: Sequence[str], out: str = "j") -> DataFrame:
     """One JSON object per row from the given columns, in the given order."""
     return df.withColumn(out, F.to_json(F.struct(*[F.col(k) for k in keys])))
