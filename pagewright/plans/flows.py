@@ -11,6 +11,8 @@ Variant 3, batches -> markdown per batch -> stitch -> one reply per document:
     ``pages_to_markdown`` then ``markdown_to_records``
 Variant 1, first ten pages -> one reply per document:
     ``single_call_records``
+Without a model, rule-based fill per page -> combine:
+    ``rule_records``
 """
 
 from __future__ import annotations
@@ -122,3 +124,22 @@ def single_call_records(pages: DataFrame, fn: Callable[[str], str], kind: str =
     req = requests.build_request(capped, requests.SINGLE_CALL_SYSTEM, requests.SINGLE_CALL_USER, kind=kind)
     called = model.call_model(req.drop("pages"), fn)
     return replies.parse_reply_json(replies.reply_text(called)).select(doc_col, "json", "valid", "dropped_pages")
+
+
+def rule_records(pages: DataFrame, rules, doc_col: str = "doc", page_col: str = "page_no",
+                 text_col: str = "text", keep_zero: bool = False) -> DataFrame:
+    """Variant 2 without a model: fill the template on every page by rule,
+    then combine pages in page order (last non-empty value per key wins).
+
+    ``rules`` as in ``extract.template_record``; their top-level keys are the
+    template.  Returns ``(doc, record)``.
+    """
+    from pagewright.operators import extract
+
+    keys = []
+    for rule in rules:
+        top = rule[0].split(".")[0]
+        if top not in keys:
+            keys.append(top)
+    per_page = extract.template_record(pages, text_col, rules, "j").select(doc_col, page_col, "j")
+    return combine.combine_last_non_empty(per_page, keys, doc_col, page_col, "j", keep_zero=keep_zero)

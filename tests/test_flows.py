@@ -101,3 +101,15 @@ def test_records_with_reply_store(spark, tmp_path):
         records, rejects, usage = flows.pages_to_records(pages, ["title"], fake, kind="text", replies_path=store)
         assert json.loads(records.first().record) == {"title": "t3"}
     assert spark.read.parquet(store).count() == 1
+
+
+def test_rule_records(spark):
+    rows = [("d", 1, "Title: First\nBy Ann Lee"), ("d", 2, "nothing here"), ("d", 3, "Title: Second\nTotal: 40"),
+            ("e", 1, "Total: 0")]
+    pages = spark.createDataFrame(rows, "doc string, page_no bigint, text string")
+    rules = [("title", r"Title: ([^\n]*)"), ("authors", r"By ([A-Z][a-z]+ [A-Z][a-z]+)", "all"),
+             ("stats.total", r"Total: ([0-9]+)", "int")]
+    got = {r.doc: json.loads(r.record) for r in flows.rule_records(pages, rules).collect()}
+    assert got["d"] == {"title": "Second", "authors": ["Ann Lee"], "stats": {"total": 40}}
+    # nested values are replaced whole; {"total": 0} is a non-empty object
+    assert got["e"] == {"title": "", "authors": "", "stats": {"total": 0}}
