@@ -67,6 +67,22 @@ def scan_page_images(spark: SparkSession, path: str, drop_invalid: bool = True)
     )
 
 
+def scan_page_sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Page image sizes from file headers: ``(path, name, width, height)``.
+
+    Like opening an image for its size, only the header is parsed (PNG, JPEG;
+    NULL for other files); no pixel is decoded, unlike the ``image`` source.
+    """
+    from pagewright.functions.imagefn import image_size
+
+    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    size = image_size(F.col("content"))
+    return df.select(
+        "path", F.regexp_extract(F.col("path"), r"([^/]*)\z", 1).alias("name"),
+        size["width"].alias("width"), size["height"].alias("height"),
+    )
+
+
 def read_text_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Whole text files (markdown / JSON) as UTF-8: ``(name, sort_key, text)``."""
     df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)

@@ -118,3 +118,27 @@ def test_bucketed_sinks(spark, tmp_path):
     lines = [json.loads(r.value) for r in spark.read.text(out2).collect()]
     assert sorted(x["doc"] for x in lines) == sorted(f"doc{i}" for i in range(20))
     assert all(x["record"] == {"a": "é"} for x in lines)
+
+
+def write_image(spark, path, w, h, fmt):
+    jvm = spark.sparkContext._jvm
+    img = jvm.java.awt.image.BufferedImage(w, h, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    assert jvm.javax.imageio.ImageIO.write(img, fmt, jvm.java.io.File(path))
+
+
+def test_page_sizes_from_headers(spark, tmp_path):
+    d = tmp_path / "imgs"
+    d.mkdir()
+    write_image(spark, str(d / "a.jpeg"), 700, 1100, "jpeg")
+    write_image(spark, str(d / "b.png"), 1700, 2200, "png")
+    write_image(spark, str(d / "c.jpeg"), 640, 480, "jpeg")
+    raw = (d / "c.jpeg").read_bytes()
+    # an APP1 segment holding a fake frame header (like an EXIF thumbnail) must be skipped
+    fake_sof = bytes.fromhex("FFC0001108000A000A03012200021101031101")
+    app1 = b"\xff\xe1" + (2 + len(fake_sof)).to_bytes(2, "big") + fake_sof
+    (d / "c.jpeg").write_bytes(raw[:2] + app1 + raw[2:])
+    (d / "note.txt").write_text("not an image")
+    got = {r.name: (r.width, r.height) for r in files.scan_page_sizes(spark, str(d)).collect()}
+    assert got == {"a.jpeg": (700, 1100), "b.png": (1700, 2200), "c.jpeg": (640, 480), "note.txt": (None, None)}
+    decoded = {r.name: (r.width, r.height) for r in files.scan_page_images(spark, str(d)).collect()}
+    assert decoded == {k: v for k, v in got.items() if k != "note.txt"}
