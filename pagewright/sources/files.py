@@ -94,3 +94,34 @@ def order_by_name(df: DataFrame, name_col: Column | str = "name") -> DataFrame:
     """Natural order of file names (for display or a single ordered sink)."""
     c = F.col(name_col) if isinstance(name_col, str) else name_col
     return df.orderBy(natural_key(c), c)
+
+
+def image_folder_pages(spark: SparkSession, path: str, glob: str = "*.jpeg") -> DataFrame:
+    """Page images laid out as ``<path>/<doc>/<Page_n>.<ext>``: one row per page.
+
+    Output ``(doc, page_no, num_pages, name, payload, width, height, tokens)``:
+    ``doc`` is the folder name, ``page_no`` the rank of the file name in
+    natural order (skew-safe), ``payload`` the file bytes, size from the
+    header, ``tokens`` the image-token estimate.  Ready for ``budget`` or
+    fixed batching and ``requests.build_request(kind="image")``.
+    """
+    from pagewright.functions.imagefn import image_size
+    from pagewright.functions.textfn import image_tokens
+    from pagewright.operators.ranking import rank_within
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", "true").load(path)
+    size = image_size(F.col("content"))
+    pages = raw.select(
+        F.regexp_extract(F.col("path"), r"([^/]*)/[^/]*\z", 1).alias("doc"),
+        F.regexp_extract(F.col("path"), r"([^/]*)\z", 1).alias("name"),
+        F.col("content").alias("payload"),
+        size["width"].alias("width"), size["height"].alias("height"),
+    )
+    keys = pages.select("doc", "name")
+    ranked = rank_within(keys, ["doc"], [natural_key(F.col("name")), F.col("name")], "page_no")
+    counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("num_pages"))
+    return ranked.join(pages, ["doc", "name"]).join(counts, "doc").select(
+        "doc", "page_no", "num_pages", "name", "payload", "width", "height",
+        image_tokens("width", "height").alias("tokens"),
+    )

@@ -142,3 +142,27 @@ def test_page_sizes_from_headers(spark, tmp_path):
     assert got == {"a.jpeg": (700, 1100), "b.png": (1700, 2200), "c.jpeg": (640, 480), "note.txt": (None, None)}
     decoded = {r.name: (r.width, r.height) for r in files.scan_page_images(spark, str(d)).collect()}
     assert decoded == {k: v for k, v in got.items() if k != "note.txt"}
+
+
+def test_image_folder_pages_to_budget_batches(spark, tmp_path):
+    from pagewright.operators import budget
+
+    for doc, n in (("docA", 12), ("docB", 3)):
+        d = tmp_path / doc
+        d.mkdir()
+        for p in range(1, n + 1):
+            write_image(spark, str(d / f"Page_{p}.jpeg"), 600 + 40 * p, 800, "jpeg")
+    pages = files.image_folder_pages(spark, str(tmp_path))
+    rows = sorted((r.doc, r.page_no, r.name, r.width) for r in pages.collect())
+    assert [r[2] for r in rows if r[0] == "docA"][:3] == ["Page_1.jpeg", "Page_2.jpeg", "Page_3.jpeg"]
+    assert all(w == 600 + 40 * p for _, p, _, w in rows)
+    batches = budget.batch_totals(budget.budget_batches(pages, 3000, 10))
+    got = sorted((r.doc, r.batch_no, r.n_pages) for r in batches.collect())
+    # 2 x 2 tiles -> 765 tokens a page until width passes 1024 (page 11): 3 pages per 3000-token batch
+    assert got[0] == ("docA", 1, 3) and ("docB", 1, 3) in got
+    req = requests.build_request(
+        budget.budget_batches(pages, 3000, 10).join(pages.select("doc", "page_no", "payload"), ["doc", "page_no"])
+        .groupBy("doc", "batch_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "payload"))).alias("pages")),
+        requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind="image")
+    first = json.loads(req.where("doc = 'docB'").first().payload)
+    assert first["messages"][1]["content"][1]["image_url"]["url"].startswith("data:image/jpeg;base64,/9j/")
