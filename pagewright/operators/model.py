@@ -33,7 +33,7 @@ class RateLimited(Exception):
 def call_model(df: DataFrame, fn: Callable[[str], str], payload_col: str = "payload",
                max_retries: int = MAX_RETRIES, base_delay: float = BASE_DELAY_S,
                factor: float = BACKOFF_FACTOR, sleep: Callable[[float], None] = time.sleep,
-               partitions: int | None = None, concurrency: int = 1, batch_rows: int = 32) -> DataFrame:
+               partitions: int | None = None, concurrency: int = 1, batch_rows: int | None = None) -> DataFrame:
     """Adds ``reply, status, attempts, elapsed, error`` by calling ``fn(payload)``.
 
     ``status`` is ``ok``, ``rate_limited`` (all tries hit the limit) or
@@ -42,18 +42,20 @@ def call_model(df: DataFrame, fn: Callable[[str], str], payload_col: str = "payl
     Arrow batch at the same time (replies keep row order), so the number of
     requests in flight is ``partitions x concurrency``.
 
-    A request with ten page images is megabytes, so Arrow batches are capped
-    at ``batch_rows`` rows: the session's
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` is lowered to it (never
-    raised) -- a session-wide setting, read when the job runs.
+    A request with ten page images is megabytes; Arrow batches sent to the
+    workers are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``
+    (64 MB by default).  ``batch_rows`` additionally lowers the session's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` (never raises it), e.g.
+    to keep slow model calls in small batches.
     """
     from pyspark.sql.types import StructType
 
     _ship_by_value()
-    conf = df.sparkSession.conf
-    current = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if current <= 0 or current > batch_rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    if batch_rows:
+        conf = df.sparkSession.conf
+        current = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+        if current <= 0 or current > batch_rows:
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     in_fields = df.schema
     reply_schema = StructType.fromDDL(REPLY_COLUMNS)
     out_schema = StructType(list(in_fields.fields) + list(reply_schema.fields))
