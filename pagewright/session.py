@@ -40,14 +40,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) is a fresh scratch folder created
-    under /tmp and set on the session.
+    is.  Only when it is unset on a ``local[...]`` master (tests) is a fresh
+    scratch folder created under /tmp and set on the session; a cluster
+    without one is an error, since a machine-local folder would lose the
+    checkpoint with its executor.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder on shared storage that every executor can read"
+        )
     local = tempfile.mkdtemp(prefix="pagewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -166,3 +166,43 @@ def test_image_folder_pages_to_budget_batches(spark, tmp_path):
         requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind="image")
     first = json.loads(req.where("doc = 'docB'").first().payload)
     assert first["messages"][1]["content"][1]["image_url"]["url"].startswith("data:image/jpeg;base64,/9j/")
+
+
+class _StubConf(dict):
+    def get(self, k, default=None):
+        return super().get(k, default)
+
+    def set(self, k, v):
+        self[k] = v
+
+
+class _StubContext:
+    def __init__(self, master, ckpt=None):
+        self.master, self._ckpt = master, ckpt
+
+    def getCheckpointDir(self):
+        return self._ckpt
+
+    def setCheckpointDir(self, d):
+        self._ckpt = d
+
+
+class _StubSession:
+    def __init__(self, master, conf=None, ckpt=None):
+        self.conf, self.sparkContext = _StubConf(conf or {}), _StubContext(master, ckpt)
+
+
+def test_checkpoint_dir_rule(tmp_path, monkeypatch):
+    import pytest
+
+    from pagewright.session import ensure_checkpoint_dir
+
+    shared = "hdfs://nn/shared/ckpt"
+    assert ensure_checkpoint_dir(_StubSession("yarn", {"spark.checkpoint.dir": shared})) == shared
+    assert ensure_checkpoint_dir(_StubSession("k8s://api", ckpt=shared)) == shared
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_StubSession("spark://master:7077"))
+    monkeypatch.setenv("TMPDIR", str(tmp_path))
+    s = _StubSession("local[2]")
+    local = ensure_checkpoint_dir(s)
+    assert local.startswith(str(tmp_path)) and s.conf["spark.checkpoint.dir"] == local
