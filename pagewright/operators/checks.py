@@ -74,24 +74,38 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
     """Is each found string value written somewhere in its document's source?
 
     ``values``: ``(doc, key..., value)`` plain strings; ``sources``: one or more
-    rows of text per document (pages).  Values are matched case-insensitively
-    against each source row, then ``max`` per value: a document's text is never
-    gathered into one row.  Empty values are not checked.
+    rows of text per document (pages).  One row per distinct
+    ``(doc, key..., value)``.  Values are matched case-insensitively; empty
+    values are not checked.
+
+    Plan: a document's distinct lower-cased values form one short array
+    (bounded by its template keys), joined many-to-one to its source rows, so
+    every page is lower-cased and scanned once and emits only the values it
+    contains; a hot document's pages stay one row each, and AQE's skew join
+    can split them.  The distinct hits are joined back to the values; a
+    document's text is never gathered into one row.
     """
-    v = values.where(F.col(value_col) != "").select(doc_col, *key_cols, value_col)
+    v = (values.where(F.col(value_col) != "").select(doc_col, *key_cols, value_col)
+         .withColumn("_lv", F.lower(F.col(value_col))))
     if materialize:
         # Found values (a few per document) feed two branches; write them once.
         ensure_checkpoint_dir(v.sparkSession)
         v = v.checkpoint(eager=True)
-    s = sources.select(doc_col, F.lower(F.col(source_col)).alias("_src"))
-    # Inner join: AQE may split a hot document's pages on either side; values
-    # of documents without any source row are added back as not grounded.
-    hit = v.join(s, doc_col, "inner").withColumn(
-        "_hit", F.coalesce(F.instr(F.col("_src"), F.lower(F.col(value_col))) > 0, F.lit(False))
+    wanted = v.groupBy(doc_col).agg(F.collect_set("_lv").alias("_vals")).withColumnRenamed(doc_col, "_wdoc")
+    s = sources.where(F.col(doc_col).isNotNull()).select(doc_col, F.lower(F.col(source_col)).alias("_src"))
+    # AQE splits a hot document's pages only when Spark itself shuffles both
+    # join sides for the join.  ``wanted`` comes out of an aggregate already
+    # partitioned by document, which an equi-join on ``doc`` would reuse; the
+    # null-safe key (no NULL docs on either side, so the same match) is
+    # partitioned afresh on both sides.
+    hits = (
+        s.join(wanted, F.col(doc_col).eqNullSafe(F.col("_wdoc")), "inner")
+        .select(doc_col, F.explode(F.filter("_vals", lambda x: F.instr(F.col("_src"), x) > 0)).alias("_lv"))
+        .distinct()
+        .withColumn("grounded", F.lit(True))
     )
-    found = hit.groupBy(doc_col, *key_cols, value_col).agg(F.max("_hit").alias("grounded"))
-    no_source = v.join(s.select(doc_col).distinct(), doc_col, "left_anti").withColumn("grounded", F.lit(False))
-    return found.unionByName(no_source)
+    out = v.dropDuplicates([doc_col, *key_cols, value_col, "_lv"]).join(hits, [doc_col, "_lv"], "left")
+    return out.select(doc_col, *key_cols, value_col, F.coalesce(F.col("grounded"), F.lit(False)).alias("grounded"))
 
 
 def check_headings(pages: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:

@@ -30,3 +30,23 @@ def test_check_coverage(spark):
     sent = spark.createDataFrame([(1, p) for p in range(1, 11)], "doc int, page_no int")
     got = sorted(r.page_no for r in checks.check_coverage(pages, sent).collect())
     assert got == [11, 12]
+
+
+def test_check_grounded_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    words = ["Alpha", "beta", "GAMMA", "delta", "alpha beta", "Zeta", ""]
+    values = [(rnd.randint(1, 6), f"k{rnd.randint(1, 4)}", rnd.choice(words)) for _ in range(80)]
+    values += values[:10]  # duplicate rows give one result row
+    pages = [(d, " ".join(rnd.choice(["alpha", "Beta", "gamma", "x", "alpha beta"]) for _ in range(3)))
+             for d in range(1, 5) for _ in range(rnd.randint(0, 3))]  # docs 5 and 6 have no pages
+    want = {
+        (d, k, v): any(v.lower() in t.lower() for dd, t in pages if dd == d)
+        for d, k, v in values if v != ""
+    }
+    vdf = spark.createDataFrame(values, "doc int, key string, value string").repartition(5)
+    sdf = spark.createDataFrame(pages, "doc int, text string").repartition(3)
+    rows = checks.check_grounded(vdf, sdf).collect()
+    got = {(r.doc, r.key, r.value): r.grounded for r in rows}
+    assert len(rows) == len(got) and got == want

@@ -126,9 +126,9 @@ def main(argv) -> None:
     cases["stitch: ordered parts (stitch_parts, range path)"] = stitched_parts
     # Sort-merge join with AQE's skew split; thresholds lowered to this data size
     # (the defaults, 256 MB and 5x the median, apply at cluster scale).
-    cases["grounding: inner join, AQE skew split"] = grounded
+    cases["grounding: per-document value arrays, AQE skew split"] = grounded
     conf_for = {
-        "grounding: inner join, AQE skew split": {
+        "grounding: per-document value arrays, AQE skew split": {
             "spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
