@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.ranking import join_per_group
 from pagewright.session import ensure_checkpoint_dir
 
 DEFAULT_FOLD_LIMIT = 4096
@@ -136,7 +137,7 @@ def budget_batches(pages: DataFrame, max_tokens: int, max_pages: int = 10, doc:
     else:
         src = pages.select(doc, page, tokens)
         counts = src.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-        sized = src.join(counts, doc)
+        sized = join_per_group(src, counts, [doc])
     small = sized.where(F.col("_n") <= fold_limit).drop("_n")
     out = _fold_batches(small, doc, page, tokens, max_tokens, max_pages)
     if counts.where(F.col("_n") > fold_limit).limit(1).count() > 0:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.textfn import batch_label, file_stem, natural_key
-from pagewright.operators.ranking import rank_within
+from pagewright.operators.ranking import join_per_group, rank_within
 
 # Fixed values from the reference: the request limit of ten images, and the
 # header the stitcher writes before each part.
@@ -95,7 +95,7 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
     if "num_pages" in df.columns:
         out = with_batch
     else:
-        out = with_batch.join(page_count(df, doc_col), doc_col, "left")
+        out = join_per_group(with_batch, page_count(df, doc_col), [doc_col], "left")
     return out.withColumn(
         "total_batches", F.ceil(F.col("num_pages") / F.lit(float(size))).cast("bigint")
     ).withColumn(

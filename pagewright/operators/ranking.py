@@ -28,6 +28,25 @@ def _num_partitions(df: DataFrame) -> int:
 MAX_WINDOW_GROUP = 1_000_000
 
 
+def join_per_group(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row per group (e.g. a ``groupBy(keys)`` aggregate) onto ``rows``.
+
+    AQE splits a hot group's rows across tasks only when Spark itself
+    shuffles both join sides for the join.  An aggregate on ``keys`` is
+    already partitioned by them, so a plain equi-join would reuse that and
+    the hot group would stay in one task.  Here the keys are matched
+    null-safely (``<=>``, with NULL keys of ``rows`` matching nothing, as
+    in an equi-join): the same matches, and a fresh shuffle on both sides.
+    """
+    side = per_group
+    cond = None
+    for k in keys:
+        side = side.withColumnRenamed(k, f"_pg_{k}")
+        c = F.col(k).isNotNull() & F.col(k).eqNullSafe(F.col(f"_pg_{k}"))
+        cond = c if cond is None else cond & c
+    return rows.join(side, cond, how).drop(*[f"_pg_{k}" for k in keys])
+
+
 def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
     """Row count of the largest group (a partial aggregation, then a max)."""
     row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()

@@ -107,7 +107,7 @@ def image_folder_pages(spark: SparkSession, path: str, glob: str = "*.jpeg") ->
     """
     from pagewright.functions.imagefn import image_size
     from pagewright.functions.textfn import image_tokens
-    from pagewright.operators.ranking import rank_within
+    from pagewright.operators.ranking import join_per_group, rank_within
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(path)
@@ -121,7 +121,7 @@ def image_folder_pages(spark: SparkSession, path: str, glob: str = "*.jpeg") ->
     keys = pages.select("doc", "name")
     ranked = rank_within(keys, ["doc"], [natural_key(F.col("name")), F.col("name")], "page_no")
     counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("num_pages"))
-    return ranked.join(pages, ["doc", "name"]).join(counts, "doc").select(
+    return join_per_group(ranked.join(pages, ["doc", "name"]), counts, ["doc"]).select(
         "doc", "page_no", "num_pages", "name", "payload", "width", "height",
         image_tokens("width", "height").alias("tokens"),
     )

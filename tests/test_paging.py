@@ -144,3 +144,33 @@ def test_size_for_input(spark):
         assert size_for_input(spark, 100 << 40) == (100 << 40) // (256 << 20)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_count_join_back_is_split_for_a_hot_document(spark):
+    """A per-document count joined back onto the pages: AQE must be able to
+    split the hot document (skew join), and the result equals the plain join."""
+    from pagewright.operators.ranking import join_per_group
+
+    rows = [(0 if i % 3 == 0 else i, i) for i in range(3000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "doc long, page long").repartition(8)
+    counts = df.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+    }
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for how in ("inner", "left"):
+            joined = join_per_group(df, counts, ["doc"], how)
+            got = sorted(joined.collect(), key=lambda r: (r.page,))
+            want = sorted(df.join(counts, "doc", how).select("doc", "page", "n").collect(), key=lambda r: (r.page,))
+            assert [tuple(r) for r in got] == [tuple(r) for r in want]
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
