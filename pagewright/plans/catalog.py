@@ -199,13 +199,33 @@ def q_stem_sort(spark, sf):
           GROUP BY doc_id, batch_no)
     GROUP BY doc_id"""))
 def q_stitch_pages(spark, sf):
+    return paging.stitch_pages(_stitch_inputs(spark, sf), "doc_id", "label", "content")
+
+
+def _stitch_inputs(spark, sf):
+    """``(doc_id, label, content)``: one labelled part per batch of 10 text pages."""
     b = paging.assign_batches(V.text_pages(spark, sf), 10, "doc_id")
-    parts = paging.collect_batches(b, "text", "doc_id", extra_cols=["num_pages"]).select(
+    return paging.collect_batches(b, "text", "doc_id", extra_cols=["num_pages"]).select(
         "doc_id",
         textfn.batch_label("start_page", "end_page", "num_pages").alias("label"),
         F.array_join(F.transform("pages", lambda p: p["payload"]), "\n").alias("content"),
     )
-    return paging.stitch_pages(parts, "doc_id", "label", "content")
+
+
+# The bounded form of stitch_pages: the same blocks as ordered rows, so a
+# document of any size is never one row.
+@register("stitch_parts", with_views(["text_pages"], """
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_page) AS BIGINT) AS part_no,
+           '# Page ' || split_part(label, '_', 2) || chr(10) || chr(10) || content || chr(10) || chr(10) AS markdown
+    FROM (SELECT doc_id, min(page_no) AS start_page,
+                 'Pages_' || lpad(CAST(min(page_no) AS VARCHAR), CAST(length(CAST(max(num_pages) AS VARCHAR)) AS INTEGER), '0') || '_to_'
+                          || lpad(CAST(max(page_no) AS VARCHAR), CAST(length(CAST(max(num_pages) AS VARCHAR)) AS INTEGER), '0') AS label,
+                 string_agg(text, chr(10) ORDER BY page_no) AS content
+          FROM (SELECT *, CAST((page_no - 1) // 10 + 1 AS BIGINT) AS batch_no,
+                       count(*) OVER (PARTITION BY doc_id) AS num_pages FROM text_pages)
+          GROUP BY doc_id, batch_no)"""))
+def q_stitch_parts(spark, sf):
+    return paging.stitch_parts(_stitch_inputs(spark, sf), "doc_id", "label", "content")
 
 
 # ----------------------------------------------------- 2.2 / 2.8 replies
@@ -651,6 +671,21 @@ def q_assemble_pages(spark, sf):
     return extract.assemble_pages(o, "doc")
 
 
+# The bounded form of assemble_pages: one entry row per page.
+@register("page_entries", _outline_sql("""
+    SELECT doc, page_no,
+           '"Page ' || CAST(page_no AS VARCHAR) || '":{"Header":'
+           || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
+           || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 1 THEN to_json(section)::VARCHAR END, ','
+                                                     ORDER BY section_no), '') || ']}' AS entry
+    FROM outline GROUP BY doc, page_no"""))
+def q_page_entries(spark, sf):
+    from pagewright.operators import extract
+
+    o = extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
+    return extract.page_entries(o, "doc")
+
+
 _TYPE_SQL = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT'
                       WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'DOUBLE' THEN 'DOUBLE' WHEN 'NULL' THEN 'VOID' ELSE {t} END"""
 
