@@ -93,6 +93,10 @@ def _jump_batches(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # These are the huge documents.  Rows arriving partitioned by document
+    # alone would be reused as is by the (doc, start) aggregate below (a subset
+    # of its keys satisfies it) and keep a hot document in one task.
+    pages = pages.repartition(parts, doc, page)
     nxt = _next_starts(pages, doc, page, tokens, max_tokens, max_pages).checkpoint()
     # jump: i -> the start 2^r batches later; NULL once past the end.
     jump = nxt.select(doc, "i", F.col("nxt").alias("j"))

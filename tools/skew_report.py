@@ -124,18 +124,25 @@ def main(argv) -> None:
         return paging.stitch_parts(parts, "doc_id", "label", "text", max_window_group=0)
 
     cases["stitch: ordered parts (stitch_parts, range path)"] = stitched_parts
+    # Page counts joined back onto the pages (no num_pages carried).  The
+    # input is spread round-robin, as a file scan's splits are: AQE splits a
+    # skewed partition along its map outputs, and ``names`` is partitioned by
+    # document (one map task would hold the hot document whole).
+    scanned = names.repartition(16)
+    cases["page count join-back: plain equi-join"] = lambda: scanned.join(
+        paging.page_count(scanned, "doc_id"), "doc_id", "left")
+    cases["page count join-back: join_per_group"] = lambda: paging.assign_batches(scanned, 10, "doc_id")
     # Sort-merge join with AQE's skew split; thresholds lowered to this data size
     # (the defaults, 256 MB and 5x the median, apply at cluster scale).
     cases["grounding: per-document value arrays, AQE skew split"] = grounded
-    conf_for = {
-        "grounding: per-document value arrays, AQE skew split": {
-            "spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536",
-        }
+    skew_conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536",
     }
+    conf_for = {label: skew_conf for label in cases if label.startswith(("grounding", "page count"))}
     results = {}
     for i, (label, build) in enumerate(cases.items()):
         group = f"case{i}"
