@@ -54,3 +54,19 @@ def test_clean_markdown(spark):
     df = spark.createDataFrame([(md,)], "md string")
     got = df.select(extract.clean_markdown("md").alias("c")).first().c
     assert got == "## T\n\n to read\n\nkeep"
+
+
+def test_page_entries_rebuild_the_assembled_record(spark):
+    """The bounded form: a document's entries joined in page order give its record."""
+    md = spark.createDataFrame(
+        [(1, 2, "# B\n## b1"), (1, 1, "# A\n## a1\n## a2"), (1, 10, "no headings"), (2, 1, "## only sub")],
+        "doc int, page_no int, md string",
+    )
+    o = extract.markdown_outline(md, "md", ["doc", "page_no"])
+    entries = extract.page_entries(o, "doc").collect()
+    rebuilt = {}
+    for r in sorted(entries, key=lambda r: (r.doc, r.page_no)):
+        rebuilt.setdefault(r.doc, []).append(r.entry)
+    records = {r.doc: r.record for r in extract.assemble_pages(o, "doc").collect()}
+    assert {d: "{" + ",".join(es) + "}" for d, es in rebuilt.items()} == records
+    assert json.loads(records[1])["Page 1"] == {"Header": "a1", "Sections": ["a2"]}
