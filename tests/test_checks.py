@@ -50,3 +50,30 @@ def test_check_grounded_against_brute_force(spark):
     rows = checks.check_grounded(vdf, sdf).collect()
     got = {(r.doc, r.key, r.value): r.grounded for r in rows}
     assert len(rows) == len(got) and got == want
+
+
+def test_check_grounded_splits_a_hot_document(spark):
+    """The page join must stay splittable by AQE when one document holds most pages."""
+    pages = spark.createDataFrame(
+        [(0 if i % 3 else i, f"page {i} alpha") for i in range(3000)], "doc long, text string"
+    ).repartition(8)
+    values = spark.createDataFrame([(0, "k", "Alpha"), (0, "m", "zeta"), (3, "k", "page 3")],
+                                   "doc long, key string, value string")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+    }
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = checks.check_grounded(values, pages)
+        got = sorted((r.doc, r.key, r.grounded) for r in out.collect())
+        assert got == [(0, "k", True), (0, "m", False), (3, "k", True)]
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
