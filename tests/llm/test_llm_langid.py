@@ -1,0 +1,108 @@
+"""PPM: exact code lengths against a plain implementation, and held-out accuracy."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from conftest import SF_ORACLE
+from pagewright.llm import langid
+
+TEXTS = {"x": ["abracadabra abra", "abc cab", "aé"], "y": ["zebra zoo", "zazu bra"]}
+
+
+def counts(texts, order):
+    rows = []
+    for lang, some in texts.items():
+        for k in range(1, order + 2):
+            c = Counter()
+            for t in some:
+                raw = t.encode()
+                c.update(raw[i:i + k] for i in range(len(raw) - k + 1))
+            rows += [(lang, k, int.from_bytes(s, "big"), n) for s, n in c.items()]
+    return pd.DataFrame(rows, columns=["lang", "k", "seq", "n"])
+
+
+def slow_bits(texts, order, raw):
+    follow = defaultdict(Counter)
+    for t in texts:
+        t = t.encode()
+        for i in range(len(t)):
+            for k in range(min(i, order) + 1):
+                follow[t[i - k:i]][t[i]] += 1
+    bits = 0.0
+    for i, byte in enumerate(raw):
+        for k in range(min(i, order), -1, -1):
+            seen = follow.get(raw[i - k:i])
+            if not seen:
+                continue
+            t, d = sum(seen.values()), len(seen)
+            if byte in seen:
+                bits -= math.log2(seen[byte] / (t + d))
+                break
+            bits -= math.log2(d / (t + d))
+        else:
+            bits += 8.0
+    return bits
+
+
+def test_code_lengths_are_exact(monkeypatch):
+    for order in (1, 2, 3):
+        model = langid.build_model(["x", "y"], counts(TEXTS, order), order)
+        texts = ["", "abra", "zebra", "qqq\x00é", "abracadabra", "\U0001f600 zoo bra", "a"]
+        for block in (1 << 19, 4):
+            monkeypatch.setattr(langid, "BLOCK", block)
+            got = langid.code_lengths(model, [t.encode() for t in texts])
+            want = [[slow_bits(TEXTS[lang], order, t.encode()) for lang in ("x", "y")] for t in texts]
+            assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+
+
+def test_counts_in_spark(spark):
+    rows = [(lang, t) for lang, some in TEXTS.items() for t in some]
+    got = langid.count_sequences(spark.createDataFrame(rows, "lang string, text string").repartition(3), 3).toPandas()
+    want = counts(TEXTS, 3)
+    key = ["lang", "k", "seq"]
+    assert got.sort_values(key).values.tolist() == want.sort_values(key).values.tolist()
+
+
+def test_model_size_is_bounded_and_closed(spark):
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    model = langid.train(langid.labelled_rows(docs), max_docs=50, max_nodes=2000)
+    assert all(len(c) <= 2002 for c in model.cost)
+    assert all(np.isfinite(c).all() for c in model.cost)
+
+
+def test_held_out_accuracy_and_rule(spark):
+    import zlib
+
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = langid.identify(docs).collect()
+    assert len(got) == len(lang)
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+SCHEMA = "doc_id long, text string, lang string, lang_pred string, score int, _row int"
+
+
+def test_edge_cases(spark):
+    data = [(i, t, lang, "c", 1, 1) for i, (lang, t) in enumerate([(k, t) for k, v in TEXTS.items() for t in v] * 4)]
+    data += [(100, None, "x", "c", 1, 1), (101, "", "x", "c", 1, 1), (102, "12 34 !", "x", "c", 1, 1), (103, "abra", None, "c", 1, 1),
+             (103, "abra", None, "c", 1, 1), (None, "zebra", "y", "c", 1, 1), (104, "\U0001f600é" * 3 + "Ω" * 50, None, "c", 1, 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert {got[i]["lang_pred"] for i in (100, 101, 102)} == {"und"} and got[100]["score"] == 0.0
+    assert got[103]["lang_pred"] == "x" and got[None]["lang_pred"] == "y" and got[None]["held_out"] in (True, False)
+    kept = langid.drop_rejected(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert not {100, 101, 102, 104} & set(ids) and ids.count(103) == 2 and None in ids
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
+    assert langid.drop_rejected(unlabelled).count() == len(data)
+    assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
