@@ -6,13 +6,13 @@ its group by that digit.  A group of one is finished; so is a group whose
 texts have ended, and its members are equal because every byte was compared.
 No digest decides equality.
 
-The digit starts at 32 bytes and grows eightfold a round (up to 16 MB), so
+The digit starts at 256 bytes and grows eightfold a round (up to 16 MB), so
 the number of rounds is logarithmic in the text length and long shared
 prefixes cost few rounds.  A round is one partial aggregation (copies are
 counted map-side before the shuffle) and one join with the written groups,
 both on ``(group, digit, ended)``; both join sides are read from storage, so
 AQE splits a hot group's rows over tasks.  Each round's rows are written to the
-shared folder and only undecided rows carry their text on.
+shared folder; only undecided rows go on, with what is left of their text.
 
 Nulls: a null text counts as empty; a null id sorts below every id.  Empty
 texts form one group.  Repeated rows (same id, same text) are one group and
@@ -24,54 +24,50 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import materialize, packed, text_of
 from pagewright.operators.ranking import join_per_group
 
-FIRST_DIGIT = 32
+FIRST_DIGIT = 256
 GROWTH = 8
 LONGEST_DIGIT = 16 << 20
 
 
-def _digit(offset: int, width: int):
-    raw = F.col("_text").cast("binary")
-    return F.substring(raw, offset + 1, width), F.octet_length("_text") <= offset + width
-
-
-def _rounds(rows: DataFrame, carry: list[str], digest: bool) -> list[DataFrame]:
+def _rounds(rows: DataFrame, carried: Column | None) -> list[DataFrame]:
     """Written tables, one per round, whose decided rows are ``alone`` or ``ended``.
 
-    ``rows`` has ``_id, _text`` and ``carry``; ``digest`` adds ``_sha`` (an
-    output column only).
+    ``rows`` has ``_id`` and either ``_tail``, the text's bytes, or ``_row``
+    with ``carried``, the text inside it.  Undecided rows take on to the next
+    round what is left of ``_tail``, or ``_row``.
     """
     current = rows.withColumn("_gid", F.lit(0).cast("long"))
     tables: list[DataFrame] = []
     offset, width = 0, FIRST_DIGIT
     while True:
-        digit, ended = _digit(offset, width)
-        keyed = current.withColumn("_digit", digit).withColumn("_ended", ended)
+        if carried is None:
+            digit, ended = F.substring("_tail", 1, width), F.octet_length("_tail") <= width
+            keyed = current.withColumn("_digit", digit).withColumn("_ended", ended)
+            keyed = keyed.withColumn("_tail", F.substring("_tail", width + 1, 2 ** 31 - 1 - width))
+        else:
+            raw = carried.cast("binary")
+            keyed = current.withColumn("_digit", F.substring(raw, offset + 1, width))
+            keyed = keyed.withColumn("_ended", F.octet_length(raw) <= offset + width)
         groups = (
             keyed.groupBy("_gid", "_digit", "_ended").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
             .select("_gid", "_digit", "_ended", F.monotonically_increasing_id().alias("_next"))
         )
         groups = materialize(groups, "radix-groups")
         joined = keyed.join(groups, ["_gid", "_digit", "_ended"], "left")
-        state = (
-            F.when(F.col("_next").isNull(), "alone").when(F.col("_ended"), "ended").otherwise("open")
-        )
-        keep = ["_id", *carry]
-        cols = [
-            *keep, F.col("_next").alias("_gid"), state.alias("_state"),
-            F.when(state == "open", F.col("_text")).alias("_text"),
-        ]
-        if digest:
-            cols.append(F.col("_sha") if tables else F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
-        if tables:
-            cols.append(F.col("_pos"))
+        state = F.when(F.col("_next").isNull(), "alone").when(F.col("_ended"), "ended").otherwise("open")
+        pos = F.col("_pos") if tables else F.monotonically_increasing_id().alias("_pos")
+        cols = ["_id", F.col("_next").alias("_gid"), state.alias("_state"), pos]
+        if carried is None:
+            cols.append(F.when(state == "open", F.col("_tail")).alias("_tail"))
+            cols.append(F.col("_sha") if tables else F.sha2(F.concat("_digit", "_tail"), 256).alias("_sha"))
         else:
-            cols.append(F.monotonically_increasing_id().alias("_pos"))
+            cols.append(F.col("_row"))
         seen = Observation()
         out = joined.select(*cols).observe(seen, F.count(F.when(F.col("_state") == "open", 1)).alias("open"))
         table = materialize(out, "radix-rows").withColumn("_round", F.lit(len(tables)))
@@ -85,7 +81,7 @@ def _rounds(rows: DataFrame, carry: list[str], digest: bool) -> list[DataFrame]:
 
 def _decided(tables: list[DataFrame]) -> DataFrame:
     """One row per document with ``_keep_id, _size, _kept``."""
-    done = reduce(DataFrame.unionByName, [t.filter("_state <> 'open'").drop("_text") for t in tables])
+    done = reduce(DataFrame.unionByName, [t.filter("_state <> 'open'").drop("_tail") for t in tables])
     ended = done.filter("_state = 'ended'")
     best = F.max(F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"), F.col("_pos").alias("pos")))
     classes = (
@@ -109,8 +105,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep_id`` is the largest id among equal texts; ``text_sha256`` describes
     the text and takes no part in the comparison.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).alias("_text"))
-    done = _decided(_rounds(rows, [], digest=True))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).cast("binary").alias("_tail"))
+    done = _decided(_rounds(rows, None))
     return done.select(
         F.col("_id").alias(id_col), F.col("_keep_id").alias("keep_id"),
         F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"),
@@ -119,9 +115,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they came."""
-    row = packed(docs)
-    rows = row.select(
-        F.col(f"_row.`{id_col}`").alias("_id"), text_of(F.col(f"_row.`{text_col}`")).alias("_text"), "_row"
-    )
-    done = _decided(_rounds(rows, ["_row"], digest=False))
+    rows = packed(docs).select(F.col(f"_row.`{id_col}`").alias("_id"), "_row")
+    done = _decided(_rounds(rows, text_of(F.col(f"_row.`{text_col}`"))))
     return done.filter("_kept").select("_row.*")
