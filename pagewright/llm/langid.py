@@ -44,7 +44,7 @@ TRAIN_DOCS = 2000  # labelled documents per language that are counted, about
 MAX_NODES = 200_000  # sequences of each length that the model keeps
 FOLDS = 5
 BLOCK = 1 << 19  # bytes scored at a time
-REJECT_BITS = 8.0  # a text that no model compresses is in no learned language
+REJECT_BITS = 12.0  # bits per byte; a text that every model codes half as long again as it is, is in no learned language
 
 
 @dataclass
@@ -304,7 +304,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows of ``docs`` in some learned language: not ``und``, and compressed by its model.
+    """The rows of ``docs`` in some learned language: not ``und``, and not far beyond its model.
 
     Without a single labelled document there is nothing to reject by, and every row stays.
     """

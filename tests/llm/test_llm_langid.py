@@ -98,7 +98,7 @@ def test_edge_cases(spark):
     got = {r["doc_id"]: r for r in langid.identify(df).collect()}
     assert {got[i]["lang_pred"] for i in (100, 101, 102)} == {"und"} and got[100]["score"] == 0.0
     assert got[103]["lang_pred"] == "x" and got[None]["lang_pred"] == "y" and got[None]["held_out"] in (True, False)
-    kept = langid.drop_rejected(df)
+    kept = langid.drop_rejected(df, reject_bits=10.0)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert not {100, 101, 102, 104} & set(ids) and ids.count(103) == 2 and None in ids
