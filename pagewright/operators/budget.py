@@ -5,149 +5,113 @@ order; a page joins the current batch while the batch's token sum stays within
 ``max_tokens`` and it holds fewer than ``max_pages`` pages; otherwise it opens
 a new batch.  A page above the budget on its own forms a batch of one.
 
-The fill is sequential within a document, so two exact plans are used:
-
-* documents of at most ``fold_limit`` pages: one ordered array of
-  ``(page, tokens)`` per document (a few bytes a page) folded with
-  ``aggregate()``;
-* larger documents: the next batch start after a start ``i`` depends only on
-  the ``max_pages`` pages from ``i`` (bounded look-ahead, grouped by
-  ``(doc, i)``), and the chain of starts from page 1 is found by pointer
-  doubling, ``O(log pages)`` join rounds with a checkpoint after each, all
-  keyed by ``(doc, page)`` so a hot document is spread over every task.
+The fill is sequential within a document, but only the open batch crosses a
+boundary, and it started at most ``max_pages - 1`` pages earlier.  So a
+document's pages, ranked by page number, are cut into segments of ``SEGMENT``
+pages.  Each segment works out, for every number of pages that the open batch
+may already hold, how many batches it opens and how many pages its last one
+holds.  These small tables are followed in order, one row per segment, and
+then every segment numbers its own pages.  One plan for documents of every
+size; no task holds more than a segment's pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.ranking import join_per_group
+from pagewright.operators.ranking import rank_within
 from pagewright.session import ensure_checkpoint_dir
 
-DEFAULT_FOLD_LIMIT = 4096
+SEGMENT = 128  # pages
 
 
-def _take(window, max_tokens: int, max_pages: int):
-    """Greedy take from a start: ``struct(m pages, used tokens)`` over the
-    look-ahead window ``array<struct<k, t>>`` (sorted by k, k = 0..)."""
-    init = F.struct(F.lit(0).alias("m"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("open"))
+def _opens(acc: Column, t: Column, max_tokens: int, max_pages: int) -> Column:
+    return (acc["cnt"] == 0) | (acc["used"] + t > max_tokens) | (acc["cnt"] >= max_pages)
 
-    def step(acc, x):
-        fits = acc["open"] & (acc["m"] < max_pages) & ((acc["m"] == 0) | (acc["used"] + x["t"] <= max_tokens))
-        return F.when(
-            fits, F.struct((acc["m"] + 1).alias("m"), (acc["used"] + x["t"]).alias("used"), F.lit(True).alias("open"))
-        ).otherwise(F.struct(acc["m"].alias("m"), acc["used"].alias("used"), F.lit(False).alias("open")))
-
-    return F.aggregate(window, init, step)
 
-
-def _fold_batches(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens: int, max_pages: int) -> DataFrame:
-    per_doc = pages.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(tokens).cast("bigint").alias("t")))).alias("_pt")
-    )
-    init = F.struct(
-        F.lit(0).cast("bigint").alias("b"),
-        F.lit(0).cast("bigint").alias("used"),
-        F.lit(0).cast("bigint").alias("cnt"),
-        F.array().cast("array<bigint>").alias("bs"),
-    )
+def _segment_table(max_tokens: int, max_pages: int) -> Column:
+    """``array<struct<cnt, opened>>``: entry ``j`` for an open batch of ``j`` pages before the segment."""
 
     def step(acc, x):
-        new = (acc["cnt"] == 0) | (acc["used"] + x["t"] > max_tokens) | (acc["cnt"] >= max_pages)
+        new = _opens(acc, x["t"], max_tokens, max_pages)
         return F.struct(
-            F.when(new, acc["b"] + 1).otherwise(acc["b"]).alias("b"),
+            F.when(new, F.lit(1)).otherwise(acc["cnt"] + 1).cast("int").alias("cnt"),
             F.when(new, x["t"]).otherwise(acc["used"] + x["t"]).alias("used"),
-            F.when(new, F.lit(1).cast("bigint")).otherwise(acc["cnt"] + 1).alias("cnt"),
-            F.concat(acc["bs"], F.array(F.when(new, acc["b"] + 1).otherwise(acc["b"]))).alias("bs"),
+            (acc["opened"] + F.when(new, 1).otherwise(0)).cast("bigint").alias("opened"),
         )
 
-    folded = per_doc.select(doc, "_pt", F.aggregate("_pt", init, step)["bs"].alias("_bs"))
-    z = folded.select(doc, F.explode(F.arrays_zip(F.col("_pt").alias("pt"), F.col("_bs").alias("b"))).alias("_z"))
-    return z.select(doc, F.col("_z.pt.p").alias(page), F.col("_z.pt.t").alias(tokens), F.col("_z.b").alias("batch_no"))
+    zero = F.lit(0).cast("bigint")
+    entries = []
+    for j in range(max_pages + 1):
+        used = _sum_of_last("_prev", j)
+        init = F.struct(F.lit(j).alias("cnt"), used.alias("used"), zero.alias("opened"))
+        end = F.aggregate("_cur", init, step)
+        entries.append(F.struct(end["cnt"].alias("cnt"), end["opened"].alias("opened")))
+    return F.array(*entries)
 
 
-def _next_starts(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens: int, max_pages: int) -> DataFrame:
-    """``(doc, i, nxt, n)``: the batch opened at page ``i`` ends before ``nxt``.
-
-    ``n`` is the document's page count (column ``_n`` of ``pages``); ``nxt`` is
-    NULL when the batch reaches the end of the document, so no end-marker
-    value is shared by many rows (it would be one hot join key).
-    """
-    shifted = pages.select(
-        doc, page, "_n", F.col(tokens).cast("bigint").alias("_t"),
-        F.explode(F.sequence(F.lit(0), F.lit(max_pages - 1))).alias("_k"),
-    ).select(doc, (F.col(page) - F.col("_k")).alias("i"), F.col("_k").alias("k"), F.col("_t").alias("t"), "_n") \
-        .where(F.col("i") >= 1)
-    look = shifted.groupBy(doc, "i").agg(
-        F.array_sort(F.collect_list(F.struct("k", "t"))).alias("_w"), F.max("_n").alias("n")
-    )
-    # Only the gap-free prefix of the window counts (k = 0, 1, 2, ...).
-    contiguous = F.filter("_w", lambda x, idx: x["k"] == idx)
-    took = _take(contiguous, max_tokens, max_pages)
-    end = F.col("i") + took["m"]
-    return look.select(doc, "i", F.when(end <= F.col("n"), end).alias("nxt"), "n")
-
-
-def _jump_batches(pages: DataFrame, doc: str, page: str, tokens: str, max_tokens: int, max_pages: int) -> DataFrame:
-    spark = pages.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # These are the huge documents.  Rows arriving partitioned by document
-    # alone would be reused as is by the (doc, start) aggregate below (a subset
-    # of its keys satisfies it) and keep a hot document in one task.
-    pages = pages.repartition(parts, doc, page)
-    nxt = _next_starts(pages, doc, page, tokens, max_tokens, max_pages).checkpoint()
-    # jump: i -> the start 2^r batches later; NULL once past the end.
-    jump = nxt.select(doc, "i", F.col("nxt").alias("j"))
-    chain = nxt.where(F.col("i") == 1).select(doc, F.col("i").alias("node"), F.lit(0).cast("bigint").alias("dist"))
-    size, step = chain.count(), 1
-    while True:
-        live = jump.where(F.col("j").isNotNull())
-        reached = chain.join(live.withColumnRenamed("i", "node"), [doc, "node"]).select(
-            doc, F.col("j").alias("node"), (F.col("dist") + F.lit(step)).alias("dist")
-        )
-        chain = chain.unionByName(reached).repartition(parts, doc, "node").checkpoint()
-        new_size = chain.count()
-        if new_size == size:
-            break
-        size = new_size
-        # Pointers already past the end stay NULL; only live ones are joined
-        # (NULL keys would all hash to one task).
-        twice = live.alias("a").join(
-            jump.alias("b"), (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.j") == F.col("b.i")), "left"
-        ).select(F.col(f"a.{doc}").alias(doc), F.col("a.i").alias("i"), F.col("b.j").alias("j"))
-        done = jump.where(F.col("j").isNull())
-        jump = twice.unionByName(done).repartition(parts, doc, "i").checkpoint()
-        step *= 2
-    starts = chain.join(nxt.withColumnRenamed("i", "node"), [doc, "node"])
-    last = F.coalesce(F.col("nxt") - 1, F.col("n"))
-    spans = starts.select(doc, (F.col("dist") + 1).alias("batch_no"), F.explode(F.sequence(F.col("node"), last)).alias(page))
-    return spans.join(pages.select(doc, page, F.col(tokens).cast("bigint").alias(tokens)), [doc, page])
+def _sum_of_last(col: str, j: Column | int) -> Column:
+    """Tokens of the last ``j`` pages in ``col``."""
+    j = F.lit(j) if isinstance(j, int) else j
+    size = F.size(col)
+    last = F.slice(F.col(col), F.greatest(size - j + 1, F.lit(1)), j)
+    return F.aggregate(last, F.lit(0).cast("bigint"), lambda acc, x: acc + x["t"])
 
 
 def budget_batches(pages: DataFrame, max_tokens: int, max_pages: int = 10, doc: str = "doc",
-                   page: str = "page_no", tokens: str = "tokens",
-                   fold_limit: int = DEFAULT_FOLD_LIMIT) -> DataFrame:
+                   page: str = "page_no", tokens: str = "tokens") -> DataFrame:
     """Per page ``(doc, page, tokens, batch_no)`` by greedy token-budget fill.
 
-    ``page`` must number a document's pages 1..n.  Documents above
-    ``fold_limit`` pages take the distributed pointer-doubling path; both
-    paths give the same batches.
+    Pages are taken in the order of ``page``, whatever numbers are missing (a
+    selection of pages is batched as it stands).  A NULL token count fills
+    nothing; a NULL document is a document like any other.
     """
-    if "num_pages" in pages.columns:  # page count carried from the split
-        sized = pages.select(doc, page, tokens, F.col("num_pages").alias("_n"))
-        counts = sized.select(doc, "_n")
-    else:
-        src = pages.select(doc, page, tokens)
-        counts = src.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-        sized = join_per_group(src, counts, [doc])
-    small = sized.where(F.col("_n") <= fold_limit).drop("_n")
-    out = _fold_batches(small, doc, page, tokens, max_tokens, max_pages)
-    if counts.where(F.col("_n") > fold_limit).limit(1).count() > 0:
-        big = sized.where(F.col("_n") > fold_limit)
-        out = out.unionByName(_jump_batches(big, doc, page, tokens, max_tokens, max_pages).select(doc, page, tokens, "batch_no"))
-    return out
+    src = pages.select(
+        F.col(doc).alias("_d"), F.col(page).alias("_p"), F.col(tokens).cast("bigint").alias("_o"),
+        F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("_t"),
+    )
+    ranked = rank_within(src, ["_d"], ["_p", "_t"], "_k").withColumn("_seg", F.floor((F.col("_k") - 1) / SEGMENT))
+    own = ranked.withColumn("_own", F.lit(True))
+    # The last pages of a segment are what an open batch may hold at the next one's start.
+    back = -(-max_pages // SEGMENT)
+    tail = ranked.withColumn("_next", F.explode(F.sequence(F.lit(1), F.lit(back))))
+    tail = tail.withColumn("_seg", F.col("_seg") + F.col("_next")).where(F.col("_seg") * SEGMENT - F.col("_k") < max_pages)
+    rows = own.unionByName(tail.drop("_next").withColumn("_own", F.lit(False)))
+    item = F.struct(F.col("_k").alias("k"), F.col("_p").alias("p"), F.col("_t").alias("t"), F.col("_o").alias("o"))
+    segments = rows.groupBy("_d", "_seg").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_own"), item))).alias("_cur"),
+        F.array_sort(F.collect_list(F.when(~F.col("_own"), item))).alias("_prev"),
+    ).where(F.size("_cur") > 0).withColumn("_table", _segment_table(max_tokens, max_pages))
+    ensure_checkpoint_dir(pages.sparkSession)
+    segments = segments.checkpoint()
+
+    follow = F.struct(F.lit(0).alias("cnt"), F.lit(0).cast("bigint").alias("b"),
+                      F.array().cast("array<struct<cnt:int,b:bigint>>").alias("starts"))
+
+    def walk(acc, s):
+        entry = F.get(s["t"], acc["cnt"])
+        here = F.struct(acc["cnt"].alias("cnt"), acc["b"].alias("b"))
+        return F.struct(entry["cnt"].alias("cnt"), (acc["b"] + entry["opened"]).alias("b"), F.concat(acc["starts"], F.array(here)).alias("starts"))
+
+    per_doc = segments.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct(F.col("_seg").alias("s"), F.col("_table").alias("t")))).alias("_all"))
+    starts = per_doc.select(F.col("_d").alias("_d2"), F.posexplode(F.aggregate("_all", follow, walk)["starts"]).alias("_s2", "_start"))
+
+    def number(acc, x):
+        new = _opens(acc, x["t"], max_tokens, max_pages)
+        b = acc["b"] + F.when(new, 1).otherwise(0)
+        return F.struct(
+            F.when(new, F.lit(1)).otherwise(acc["cnt"] + 1).cast("int").alias("cnt"),
+            F.when(new, x["t"]).otherwise(acc["used"] + x["t"]).alias("used"), b.cast("bigint").alias("b"),
+            F.concat(acc["bs"], F.array(b.cast("bigint"))).alias("bs"),
+        )
+
+    joined = segments.drop("_table").join(starts, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_seg") == F.col("_s2")))
+    init = F.struct(F.col("_start.cnt").alias("cnt"), _sum_of_last("_prev", F.col("_start.cnt")).alias("used"),
+                    F.col("_start.b").alias("b"), F.array().cast("array<bigint>").alias("bs"))
+    numbered = joined.select("_d", "_cur", F.aggregate("_cur", init, number)["bs"].alias("_bs"))
+    z = numbered.select("_d", F.explode(F.arrays_zip(F.col("_cur").alias("x"), F.col("_bs").alias("b"))).alias("_z"))
+    return z.select(F.col("_d").alias(doc), F.col("_z.x.p").alias(page), F.col("_z.x.o").alias(tokens), F.col("_z.b").alias("batch_no"))
 
 
 def batch_totals(assigned: DataFrame, doc: str = "doc", page: str = "page_no", tokens: str = "tokens") -> DataFrame:

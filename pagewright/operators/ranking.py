@@ -23,11 +23,6 @@ def _num_partitions(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Groups up to this many rows are numbered with a plain window (one shuffle);
-# if any group is larger, every row takes the range-partitioned path.
-MAX_WINDOW_GROUP = 1_000_000
-
-
 def join_per_group(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one row per group (e.g. a ``groupBy(keys)`` aggregate) onto ``rows``.
 
@@ -47,46 +42,31 @@ def join_per_group(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], h
     return rows.join(side, cond, how).drop(*[f"_pg_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Row count of the largest group (a partial aggregation, then a max)."""
-    row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
-
 def rank_within(
     df: DataFrame,
     group_cols: Sequence[str],
     order_cols: Sequence[Column | str],
     out: str = "rank",
     num_partitions: int | None = None,
-    max_window_group: int = MAX_WINDOW_GROUP,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row within its group by ``order_cols``.
 
-    When every group has at most ``max_window_group`` rows (one small
-    aggregation decides), a window partitioned by the group is used.  Else the
-    range-partitioned plan below numbers all rows, so a hot group never sits
-    in one task.  Both give the same numbers.
+    One plan for groups of every size: rows are range-partitioned by group and
+    order, so a hot group is spread over many tasks; each task numbers its
+    rows, and one row per (group, task) gives the offsets.  NULL groups are
+    groups like any other.
 
     ``order_cols`` must make the order total (end them with a unique key) so
     that a task retry numbers rows the same way.  The sorted, numbered rows are
     written once with ``checkpoint()`` (to the session's checkpoint folder):
     the per-task counts and the rows themselves must come from the very same
     partitioning, and two separate evaluations of a range exchange may sample
-    different bounds.  Then one small aggregation and a join on (group, task
-    id), so a hot group is spread over many join tasks too.
+    different bounds.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order_cols]
-    if max_window_group > 0 and largest_group(df, group_cols) <= max_window_group:
-        w = Window.partitionBy(*group_cols).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    return _rank_by_range(df, group_cols, order, out, num_partitions or _num_partitions(df))
-
-
-def _rank_by_range(df: DataFrame, group_cols: Sequence[str], order: list[Column], out: str, n: int) -> DataFrame:
     keys = [F.col(g) for g in group_cols]
     ordered = (
-        df.repartitionByRange(n, *keys, *order)
+        df.repartitionByRange(num_partitions or _num_partitions(df), *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_pw_task", F.spark_partition_id())
         .withColumn("_pw_pos", F.monotonically_increasing_id())
@@ -99,10 +79,13 @@ def _rank_by_range(df: DataFrame, group_cols: Sequence[str], order: list[Column]
     earlier = Window.partitionBy(*group_cols).orderBy("_pw_task").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    segments = segments.withColumn(
-        "_pw_offset", F.coalesce(F.sum("_pw_n").over(earlier), F.lit(0))
-    ).drop("_pw_n")
-    ranked = ordered.join(segments, [*group_cols, "_pw_task"], "inner")
-    return ranked.withColumn(
-        out, (F.col("_pw_pos") - F.col("_pw_first") + F.col("_pw_offset") + 1).cast("bigint")
-    ).drop("_pw_task", "_pw_pos", "_pw_first", "_pw_offset")
+    segments = segments.withColumn("_pw_offset", F.coalesce(F.sum("_pw_n").over(earlier), F.lit(0)))
+    side = segments.select(
+        *[F.col(g).alias(f"_pw_g{i}") for i, g in enumerate(group_cols)], F.col("_pw_task").alias("_pw_t"), "_pw_first", "_pw_offset"
+    )
+    match = F.col("_pw_task") == F.col("_pw_t")
+    for i, g in enumerate(group_cols):
+        match = match & F.col(g).eqNullSafe(F.col(f"_pw_g{i}"))
+    ranked = ordered.join(side, match)
+    position = F.col("_pw_pos") - F.col("_pw_first") + F.col("_pw_offset") + 1
+    return ranked.select(*[c for c in df.columns if c != out], position.cast("bigint").alias(out))

@@ -1,4 +1,4 @@
-"""Token-budget batching: both plans equal the greedy rule."""
+"""Token-budget batching equals the greedy rule for any segment length."""
 
 import random
 
@@ -18,8 +18,9 @@ def py_greedy(tokens, max_tokens, max_pages):
     return out
 
 
-@pytest.mark.parametrize("fold_limit", [4096, 0])
-def test_budget_matches_greedy(spark, fold_limit):
+@pytest.mark.parametrize("segment", [128, 3])
+def test_budget_matches_greedy(spark, monkeypatch, segment):
+    monkeypatch.setattr(budget, "SEGMENT", segment)
     rnd = random.Random(11)
     rows, expected = [], {}
     for d in range(25):
@@ -30,7 +31,7 @@ def test_budget_matches_greedy(spark, fold_limit):
         for i, b in enumerate(py_greedy(toks, 2000, 4)):
             expected[(d, i + 1)] = b
     df = spark.createDataFrame(rows, "doc int, page_no bigint, tokens bigint")
-    got = budget.budget_batches(df, 2000, 4, fold_limit=fold_limit).collect()
+    got = budget.budget_batches(df, 2000, 4).collect()
     assert {(r.doc, r.page_no): r.batch_no for r in got} == expected
 
 
@@ -38,3 +39,15 @@ def test_single_page_above_budget_is_its_own_batch(spark):
     df = spark.createDataFrame([(1, 1, 10), (1, 2, 9999), (1, 3, 10)], "doc int, page_no bigint, tokens bigint")
     got = sorted((r.page_no, r.batch_no) for r in budget.budget_batches(df, 100, 10).collect())
     assert got == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("segment", [128, 2])
+def test_selected_pages_null_tokens_and_null_document(spark, monkeypatch, segment):
+    monkeypatch.setattr(budget, "SEGMENT", segment)
+    rows = [(1, p, 5000, 400) for p in range(43, 48)] + [(None, p, 7, 900) for p in (2, 5, 9)] + [(3, p, 4, None) for p in range(1, 5)]
+    df = spark.createDataFrame(rows, "doc int, page_no bigint, num_pages bigint, tokens bigint")
+    got = {(r.doc, r.page_no): (r.tokens, r.batch_no) for r in budget.budget_batches(df, 1000, 3).collect()}
+    assert len(got) == len(rows)
+    assert [got[(1, p)][1] for p in range(43, 48)] == [1, 1, 2, 2, 3]
+    assert [got[(None, p)][1] for p in (2, 5, 9)] == [1, 2, 3]
+    assert [got[(3, p)] for p in range(1, 5)] == [(None, 1), (None, 1), (None, 1), (None, 2)]

@@ -20,6 +20,7 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import Window
 from pyspark.sql import functions as F  # noqa: E402
 
 from pagewright.functions.textfn import page_label, text_tokens  # noqa: E402
@@ -94,11 +95,11 @@ def main(argv) -> None:
     sc = spark.sparkContext
     names = hot_pages(spark, sf).withColumn("name", page_label("page_no", padded=False)).checkpoint()
     cases = {
-        "rank: plain window (hot group in one task)": lambda: rank_within(
-            names, ["doc_id"], [F.col("name")], "r", max_window_group=10**12),
-        "rank: range path (rank_within)": lambda: rank_within(names, ["doc_id"], [F.col("name")], "r", max_window_group=0),
-        "budget: pointer doubling (fold_limit=0)": lambda: budget.budget_batches(
-            names.withColumn("tokens", text_tokens("text")), 4096, 10, doc="doc_id", fold_limit=0),
+        "rank: plain window (hot group in one task)": lambda: names.withColumn(
+            "r", F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))),
+        "rank: range path (rank_within)": lambda: rank_within(names, ["doc_id"], [F.col("name")], "r"),
+        "budget: segments": lambda: budget.budget_batches(
+            names.withColumn("tokens", text_tokens("text")), 4096, 10, doc="doc_id"),
         "combine: last non-empty": lambda: combine.combine_last_non_empty(
             V.batch_json(spark, sf).withColumn("doc", F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")))
             .withColumn("batch_no", F.col("batch_no") * 1000000 + F.col("doc")), V.BINDER_TEMPLATE),
@@ -121,7 +122,7 @@ def main(argv) -> None:
 
     def stitched_parts():
         parts = names.withColumn("label", F.concat(F.lit("Pages_"), F.col("page_no").cast("string"), F.lit("_to_x")))
-        return paging.stitch_parts(parts, "doc_id", "label", "text", max_window_group=0)
+        return paging.stitch_parts(parts, "doc_id", "label", "text")
 
     cases["stitch: ordered parts (stitch_parts, range path)"] = stitched_parts
     # Page counts joined back onto the pages (no num_pages carried).  The
