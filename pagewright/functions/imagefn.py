@@ -6,7 +6,7 @@ the header instead: PNG keeps the size at fixed offsets, and a JPEG's frame
 header (SOFn marker) is found by walking the segment list from the start --
 markers are followed by their lengths, so bytes inside other segments (an
 EXIF thumbnail has its own frame header) are skipped.  Pure column
-expressions (``aggregate`` over at most ``max_segments`` steps).
+expressions (``aggregate`` over the header's segments).
 """
 
 from __future__ import annotations
@@ -25,8 +25,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def image_size(content: Column | str, max_segments: int = 64) -> Column:
-    """``struct<width: bigint, height: bigint>`` of a PNG or JPEG; NULLs otherwise."""
+FIRST_WALK = 64  # header segments of an ordinary file
+
+
+def image_size(content: Column | str) -> Column:
+    """``struct<width: bigint, height: bigint>`` of a PNG or JPEG; NULLs otherwise.
+
+    A JPEG's segments are walked to the frame header.  Only a file with more
+    than ``FIRST_WALK`` of them is walked further, at most to its last byte.
+    """
     c = _c(content)
 
     def uint(pos: Column, n: int) -> Column:
@@ -58,15 +65,20 @@ def image_size(content: Column | str, max_segments: int = 64) -> Column:
                         F.lit(True).alias("done"))
         nxt = F.struct((pos + 2 + seg_len).alias("pos"), acc["width"].alias("width"),
                        acc["height"].alias("height"), F.lit(False).alias("done"))
+        fill = F.struct((pos + 1).alias("pos"), acc["width"].alias("width"), acc["height"].alias("height"),
+                        F.lit(False).alias("done"))
         return (
             F.when(acc["done"], acc)
+            .when(marker == "FFFF", fill)
             .when(is_sof, found)
             # end of image, start of scan, or not a marker: give up
             .when(~is_ff | code.isin("D9", "DA") | seg_len.isNull() | (seg_len < 2), stop)
             .otherwise(nxt)
         )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_segments)), init, step)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_WALK)), init, step)
+    onwards = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(c))), walked, step)
+    walked = F.when(walked["done"], walked).otherwise(onwards)
     jpeg = F.hex(F.substring(c, 1, 2)) == JPEG_START
     jpeg_size = F.struct(walked["width"].alias("width"), walked["height"].alias("height"))
     none = F.struct(F.lit(None).cast("bigint").alias("width"), F.lit(None).cast("bigint").alias("height"))

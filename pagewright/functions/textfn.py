@@ -36,19 +36,22 @@ def natural_key(col: Column | str) -> Column:
     """
     c = _c(col)
     texts = F.split(F.lower(c), "[0-9]+", -1)
+    # A number of any length: without leading zeros, the longer is the larger.
     nums = F.transform(
-        F.regexp_extract_all(c, F.lit("([0-9]+)"), 1), lambda x: x.cast("decimal(38,0)")
+        F.regexp_extract_all(c, F.lit("([0-9]+)"), 1),
+        lambda x: F.struct(F.length(F.ltrim(x, F.lit("0"))).alias("size"), F.ltrim(x, F.lit("0")).alias("digits")),
     )
     return F.arrays_zip(texts.alias("t"), nums.alias("n"))
 
 
-def file_stem(col: Column | str) -> Column:
+def file_stem(col: Column | str, url: bool = True) -> Column:
     """Base name without its last extension, like ``splitext(basename(p))[0]``.
 
-    Query string and fragment of a URL are removed first.  Leading dots do not
+    Query string and fragment of a URL are removed first; ``url=False`` takes a
+    file path, where ``?`` and ``#`` belong to the name.  Leading dots do not
     start an extension (``.env`` keeps its name).
     """
-    path = F.regexp_replace(_c(col), r"[?#].*\z", "")
+    path = F.regexp_replace(_c(col), r"[?#].*\z", "") if url else _c(col)
     base = F.regexp_extract(path, r"([^/]*)\z", 1)
     return F.regexp_extract(base, r"^(\.*.*?)(\.[^.]*)?\z", 1)
 

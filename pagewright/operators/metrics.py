@@ -19,8 +19,6 @@ REFERENCE_PRICES = [
     ("GPT-4-Vision Preview", 0.01, 0.03),
     ("GPT-4-Turbo", 0.01, 0.03),
 ]
-# Rows of a price list we are willing to broadcast; beyond it a shuffle join.
-MAX_BROADCAST_PRICE_ROWS = 100_000
 
 
 def price_table(spark: SparkSession, rows=None) -> DataFrame:
@@ -32,9 +30,15 @@ def price_table(spark: SparkSession, rows=None) -> DataFrame:
 
 
 def _price_side(prices: DataFrame) -> DataFrame:
-    """Broadcast the price list when its row count is proven small."""
-    n = prices.limit(MAX_BROADCAST_PRICE_ROWS + 1).count()
-    return F.broadcast(prices) if n <= MAX_BROADCAST_PRICE_ROWS else prices
+    """One row per model; two different prices for a model are an error, repeats of one are not.
+
+    AQE broadcasts the list by its measured size.
+    """
+    rate = F.struct("prompt_per_1k", "completion_per_1k")
+    p = prices.groupBy("model").agg(F.min(rate).alias("_low"), F.max(rate).alias("_high"))
+    clash = F.raise_error(F.concat(F.lit("two prices for model "), F.col("model")))
+    one = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(clash.cast("struct<prompt_per_1k:double,completion_per_1k:double>"))
+    return p.select("model", one.alias("_p")).select("model", "_p.prompt_per_1k", "_p.completion_per_1k")
 
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.textfn import batch_label, file_stem, natural_key
+from pagewright.functions.jsonfn import compute_once
 from pagewright.operators.ranking import join_per_group, rank_within
 
 # Fixed values from the reference: the request limit of ten images, and the
@@ -36,7 +37,9 @@ def explode_pages(df: DataFrame, doc_col: str, text_col: str, lines_per_page: in
     document's page count comes from the same row (no count joined back).
     """
     n = int(lines_per_page)
-    lines = F.split(F.col(text_col), "\n", -1)
+    # The lines are computed once per row; each page only slices them.
+    df = compute_once(df.select(doc_col, text_col), _pw_lines=F.split(F.col(text_col), "\n", -1))
+    lines = F.col("_pw_lines")
     n_pages = F.ceil(F.size(lines) / F.lit(float(n))).cast("int")
     pages = F.transform(
         F.sequence(F.lit(0), n_pages - 1),
@@ -53,7 +56,7 @@ def number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
                   out: str = "row_no", **rank_args) -> DataFrame:
     """1-based row number within each group (skew-safe, see ``ranking``).
 
-    Pass rows without large payload columns: the window path sorts whole rows.
+    Pass rows without large payload columns: whole rows are sorted and written.
     """
     return rank_within(df, group_cols, order_cols, out, **rank_args)
 
@@ -156,7 +159,7 @@ def stem_order(df: DataFrame, name_col: str, group_cols: Sequence[str], out: str
 
     Right only for zero-padded names, as in the reference.
     """
-    return rank_within(df, group_cols, [file_stem(name_col), F.col(name_col)], out, **rank_args)
+    return rank_within(df, group_cols, [file_stem(name_col, url=False), F.col(name_col)], out, **rank_args)
 
 
 def stitch_block(label_col: str, content_col: str, page_token_col: str | None = None) -> Column:

@@ -76,8 +76,9 @@ def build_request(batches: DataFrame, system: str, user: Column | str, pages_col
 
     ``pages_col`` is ``array<struct<page_no, payload>>`` in page order (see
     ``paging.collect_batches``); ``payload`` is BINARY for ``kind="image"``
-    (sent as a JPEG data URL) or STRING for ``kind="text"``.  Pages past
-    ``max_pages`` are not sent (``paging.cap_pages`` reports them).
+    (sent as a JPEG data URL) or STRING for ``kind="text"``.  A batch
+    of more than ``max_pages`` pages is an error: cut it with
+    ``paging.cap_pages``, which counts what it drops, or batch smaller.
     """
     user_text = F.lit(user) if isinstance(user, str) else user
     if kind == "image":
@@ -89,7 +90,7 @@ def build_request(batches: DataFrame, system: str, user: Column | str, pages_col
     else:
         def page_part(p):
             return _text_part(p["payload"])
-    parts = F.concat(F.array(_text_part(user_text)), F.transform(F.slice(F.col(pages_col), 1, max_pages), page_part))
+    parts = F.concat(F.array(_text_part(user_text)), F.transform(F.col(pages_col), page_part))
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.array(_text_part(F.lit(system))).alias("content")),
         F.struct(F.lit("user").alias("role"), parts.alias("content")),
@@ -97,7 +98,9 @@ def build_request(batches: DataFrame, system: str, user: Column | str, pages_col
     fields = [messages.alias("messages"), F.lit(TEMPERATURE).alias("temperature"), F.lit(TOP_P).alias("top_p")]
     if max_tokens is not None:
         fields.append(F.lit(max_tokens).alias("max_tokens"))
-    return batches.withColumn(out, F.to_json(F.struct(*fields)))
+    size = F.size(pages_col)
+    too_many = F.raise_error(F.concat(F.lit("a batch holds "), size.cast("string"), F.lit(f" pages; a request takes {max_pages}")))
+    return batches.withColumn(out, F.when(size > max_pages, too_many.cast("string")).otherwise(F.to_json(F.struct(*fields))))
 
 
 def fields_prompt(template_json: str, description: str = DOC_DESCRIPTION) -> tuple[str, str]:

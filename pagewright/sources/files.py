@@ -22,7 +22,7 @@ def scan_documents(spark: SparkSession, path: str, glob: str = "*", recursive: b
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.load(path)
-    return df.select(file_stem(F.col("path")).alias("doc"), "path", "modificationTime", "length", "content")
+    return df.select(file_stem(F.col("path"), url=False).alias("doc"), "path", "modificationTime", "length", "content")
 
 
 def with_doc_name(df: DataFrame, path_col: str, out: str = "doc") -> DataFrame:
@@ -109,19 +109,21 @@ def image_folder_pages(spark: SparkSession, path: str, glob: str = "*.jpeg") ->
     from pagewright.functions.textfn import image_tokens
     from pagewright.operators.ranking import join_per_group, rank_within
 
+    # Two documents may share a folder name: rows are matched by their whole path.
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(path)
     size = image_size(F.col("content"))
     pages = raw.select(
+        "path", F.regexp_extract(F.col("path"), r"(.*)/[^/]*\z", 1).alias("_folder"),
         F.regexp_extract(F.col("path"), r"([^/]*)/[^/]*\z", 1).alias("doc"),
         F.regexp_extract(F.col("path"), r"([^/]*)\z", 1).alias("name"),
         F.col("content").alias("payload"),
         size["width"].alias("width"), size["height"].alias("height"),
     )
-    keys = pages.select("doc", "name")
-    ranked = rank_within(keys, ["doc"], [natural_key(F.col("name")), F.col("name")], "page_no")
-    counts = keys.groupBy("doc").agg(F.count(F.lit(1)).alias("num_pages"))
-    return join_per_group(ranked.join(pages, ["doc", "name"]), counts, ["doc"]).select(
+    keys = pages.select("path", "_folder", "name")
+    ranked = rank_within(keys, ["_folder"], [natural_key(F.col("name")), F.col("name"), F.col("path")], "page_no").select("path", "page_no")
+    counts = keys.groupBy("_folder").agg(F.count(F.lit(1)).alias("num_pages"))
+    return join_per_group(ranked.join(pages, ["path"]), counts, ["_folder"]).select(
         "doc", "page_no", "num_pages", "name", "payload", "width", "height",
         image_tokens("width", "height").alias("tokens"),
     )

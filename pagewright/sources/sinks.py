@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from pagewright.session import ensure_checkpoint_dir
 
 BUCKET_COL = "doc_bucket"
 
@@ -23,10 +25,33 @@ def _writer(df: DataFrame, partition_col: str, mode: str, buckets: int | None =
     """Writer partitioned by document, or by a hash bucket of it when
     ``buckets`` is given (millions of documents would make millions of
     folders; the document stays a column)."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     if buckets:
-        return with_bucket(df, partition_col, buckets).write.mode(mode).partitionBy(BUCKET_COL)
-    return df.write.mode(mode).partitionBy(partition_col)
+        df, partition_col = with_bucket(df, partition_col, buckets), BUCKET_COL
+    return df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
+
+
+def _with_others(lines: DataFrame, path: str, doc_col: str, buckets: int, read) -> DataFrame:
+    """``lines`` and, from the buckets they touch, what is stored of other documents.
+
+    ``read(spark)`` gives the stored rows with ``doc_col`` and the bucket.  A
+    rerun replaces whole buckets, so these rows are written again; they are
+    checkpointed first, because the overwrite deletes the files they come from.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = lines.sparkSession
+    lines = with_bucket(lines, doc_col, buckets)
+    try:
+        stored = read(spark)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return lines
+        raise
+    touched, docs = lines.select(BUCKET_COL).distinct(), lines.select(F.col(doc_col).cast("string").alias("_d")).distinct()
+    others = stored.join(touched, BUCKET_COL, "left_semi")
+    others = others.join(docs, F.col(doc_col).cast("string").eqNullSafe(F.col("_d")), "left_anti")
+    ensure_checkpoint_dir(spark)
+    return lines.unionByName(others.checkpoint(), allowMissingColumns=True)
 
 
 def write_batches(df: DataFrame, path: str, doc_col: str = "doc", batch_col: str = "batch_no",
@@ -38,6 +63,10 @@ def write_batches(df: DataFrame, path: str, doc_col: str = "doc", batch_col: str
     several (each writes its own file in the document's folder).
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if buckets and mode == "overwrite":
+        merged = _with_others(df, path, doc_col, buckets, lambda spark: spark.read.schema(
+            StructType([*df.schema.fields, StructField(BUCKET_COL, LongType())])).json(path)).checkpoint()
+        df = merged.drop(BUCKET_COL)
     ordered = df.repartitionByRange(n, doc_col, batch_col).sortWithinPartitions(doc_col, batch_col)
     _writer(ordered, doc_col, mode, buckets).json(path)
 
@@ -56,8 +85,17 @@ def write_final(df: DataFrame, path: str, doc_col: str = "doc", record_col: str
     if buckets:
         line = F.concat(F.lit('{"doc":'), F.to_json(F.col(doc_col).cast("string").cast("variant")),
                         F.lit(',"record":'), rec, F.lit("}"))
-        with_bucket(df.select(doc_col, line.alias("value")), doc_col, buckets).select(BUCKET_COL, "value") \
-            .write.mode(mode).partitionBy(BUCKET_COL).text(path)
+        lines = df.select(doc_col, line.alias("value"))
+        if mode == "overwrite":
+            def stored(spark):
+                old = spark.read.schema(StructType([StructField("value", StringType()), StructField(BUCKET_COL, LongType())])).text(path)
+                return old.withColumn(doc_col, F.get_json_object("value", "$.doc"))
+
+            lines = _with_others(lines.withColumn(doc_col, F.col(doc_col).cast("string")), path, doc_col, buckets, stored)
+        else:
+            lines = with_bucket(lines, doc_col, buckets)
+        lines.select(BUCKET_COL, "value").write.mode(mode).option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(BUCKET_COL).text(path)
         return
     _writer(df.select(doc_col, rec.alias("value")), doc_col, mode).text(path)
 

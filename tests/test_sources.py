@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from pagewright.functions import textfn
-from pagewright.operators import combine, requests
+from pagewright.operators import combine, paging, requests
 from pagewright.sources import files, sinks
 
 
@@ -85,7 +85,7 @@ def test_read_template_and_request_shape(spark, tmp_path):
     pages = spark.createDataFrame([(1, 1, [(p, f"t{p}") for p in range(1, 13)])],
                                   "doc int, batch_no int, pages array<struct<page_no:int,payload:string>>")
     system, user = requests.fields_prompt('{"title":"","n":0}')
-    req = json.loads(requests.build_request(pages, system, user, kind="text").first().payload)
+    req = json.loads(requests.build_request(paging.cap_pages(pages), system, user, kind="text").first().payload)
     assert [m["role"] for m in req["messages"]] == ["system", "user"]
     assert len(req["messages"][1]["content"]) == 11  # instruction + 10 pages, the rest capped
     assert req["max_tokens"] == 4096 and req["temperature"] == 0 and req["top_p"] == 0
@@ -97,7 +97,7 @@ def test_image_request_parts(spark):
 
     pages = spark.createDataFrame([(1, 1, [(p, bytes([p]) * 5) for p in range(1, 12)])],
                                   "doc int, batch_no int, pages array<struct<page_no:int,payload:binary>>")
-    req = json.loads(requests.build_request(pages, requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind="image").first().payload)
+    req = json.loads(requests.build_request(paging.cap_pages(pages), requests.MARKDOWN_SYSTEM, requests.MARKDOWN_USER, kind="image").first().payload)
     parts = req["messages"][1]["content"]
     assert parts[0] == {"type": "text", "text": requests.MARKDOWN_USER}
     assert len(parts) == 11 and all(p["type"] == "image_url" for p in parts[1:])
