@@ -465,8 +465,9 @@ _BUDGET_CTES = [
 ]
 
 
-def _budget_sql(body: str) -> str:
-    return with_views(["text_pages"], body, _BUDGET_CTES, recursive=True)
+def _budget_sql(body: str, first: int = 1) -> str:
+    ctes = [(name, sql.replace("WHERE page_no = 1", f"WHERE page_no = {first}")) for name, sql in _BUDGET_CTES]
+    return with_views(["text_pages"], body, ctes, recursive=True)
 
 
 def budget_pages(spark, sf):
@@ -474,10 +475,22 @@ def budget_pages(spark, sf):
     return tp.select("doc_id", "page_no", "num_pages", textfn.text_tokens("text").alias("tokens"))
 
 
-@register("budget_batches", _budget_sql("""
+_BUDGET_TOTALS = """
     SELECT doc_id, CAST(batch_no AS BIGINT) AS batch_no, min(page_no) AS start_page, max(page_no) AS end_page,
            CAST(count(*) AS BIGINT) AS n_pages, CAST(sum(t) AS BIGINT) AS tokens
-    FROM g GROUP BY doc_id, batch_no"""))
+    FROM g GROUP BY doc_id, batch_no"""
+
+
+@register("budget_selected_pages", _budget_sql(_BUDGET_TOTALS, SELECT_FIRST + 1))
+def q_budget_selected_pages(spark, sf):
+    from pagewright.operators import budget
+
+    chosen = paging.select_pages(budget_pages(spark, sf), first=SELECT_FIRST + 1)
+    a = budget.budget_batches(chosen, BUDGET_TOKENS, BUDGET_PAGES, doc="doc_id")
+    return budget.batch_totals(a, doc="doc_id")
+
+
+@register("budget_batches", _budget_sql(_BUDGET_TOTALS))
 def q_budget_batches(spark, sf):
     from pagewright.operators import budget
 
@@ -485,6 +498,21 @@ def q_budget_batches(spark, sf):
     return budget.batch_totals(a, doc="doc_id")
 
 
+@register("rank_hot_group", """
+    WITH d AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id % 3 = 1 THEN NULL ELSE source END AS grp
+               FROM documents)
+    SELECT doc_id, grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n_chars, doc_id) AS BIGINT) AS rank
+    FROM d""")
+def q_rank_hot_group(spark, sf):
+    from pagewright.operators.ranking import rank_within
+
+    d = read_table(spark, sf, "documents", ["doc_id", "n_chars", "source"])
+    third = F.col("doc_id") % 3
+    grp = F.when(third == 0, F.lit("hot")).when(third == 1, F.lit(None).cast("string")).otherwise(F.col("source"))
+    keyed = d.select("doc_id", "n_chars", grp.alias("grp"))
+    return rank_within(keyed, ["grp"], ["n_chars", "doc_id"]).select("doc_id", "grp", "rank")
+
+
 @register("image_tokens", with_views(["image_dims"], """
     SELECT page_id, width, height,
            CAST(85 + 170 * ceil(width / 512.0) * ceil(height / 512.0) AS BIGINT) AS tokens
