@@ -31,7 +31,7 @@ def _opens(acc: Column, t: Column, max_tokens: int, max_pages: int) -> Column:
 
 
 def _segment_table(max_tokens: int, max_pages: int) -> Column:
-    """``array<struct<cnt, opened>>``: entry ``j`` for an open batch of ``j`` pages before the segment."""
+    """``array<struct<cnt, used, opened>>``: entry ``j`` for an open batch of ``j`` pages before the segment."""
 
     def step(acc, x):
         new = _opens(acc, x["t"], max_tokens, max_pages)
@@ -47,7 +47,9 @@ def _segment_table(max_tokens: int, max_pages: int) -> Column:
         used = _sum_of_last("_prev", j)
         init = F.struct(F.lit(j).alias("cnt"), used.alias("used"), zero.alias("opened"))
         end = F.aggregate("_cur", init, step)
-        entries.append(F.struct(end["cnt"].alias("cnt"), end["opened"].alias("opened")))
+        if j:  # a document's first segment starts without an open batch
+            end = F.when(F.col("_seg") > 0, end)
+        entries.append(end)  # the struct as it is: taking it apart would fold twice
     return F.array(*entries)
 
 
