@@ -81,15 +81,56 @@ def compute_once(df, **cols):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def variant_json(col: Column | str) -> Column:
-    """Minified JSON text of a VARIANT value."""
-    return F.to_json(_c(col))
+# One string literal of a valid JSON text: possessive, so Java matches it without recursion.
+_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+# The same body up to the closing mark (a mark escape right before the closing quote).
+_BODY_TO_MARK = r'[^"\\]*+(?:\\(?!u0001").[^"\\]*+)*+'
+# A control character cannot stand unescaped in valid JSON, so it can fence off numbers.
+_FENCE = "\x03"
+_STRING_MARK, _NUMBER_MARK = "\x01", "\x02"
+
+
+def _marked(json_text: Column) -> Column:
+    """A valid JSON text, minified, with the kind of every scalar marked.
+
+    Strings (keys too) get ``\\u0001`` at both ends, numbers become strings
+    that start with ``\\u0002``.  The parser then neither reformats a number
+    nor hides whether a value was a string.
+    """
+    t = F.regexp_replace(json_text, rf'(?s)("{_BODY}")|[ \t\r\n]+', "$1")
+    t = F.regexp_replace(t, rf'(?s)("{_BODY}")|(-?(?:[0-9][-+.0-9eE]*+|Infinity)|NaN)', f"$1{_FENCE}$2{_FENCE}")
+    t = F.replace(t, F.lit(_FENCE * 2), F.lit(""))
+    t = F.regexp_replace(t, rf'(?s)"({_BODY})"', r'"\\u0001$1\\u0001"')
+    return F.regexp_replace(t, f"{_FENCE}([^{_FENCE}]*+){_FENCE}", r'"\\u0002$1"')
+
+
+def _value_text(marked: Column) -> Column:
+    """JSON text of one parsed, marked value: numbers and nested key order as written."""
+    first = F.substring(marked, 1, 1)
+    nested = F.regexp_replace(marked, rf'(?s)("\\u0001{_BODY}")|"\\u0002([^"]*+)"', "$1$2")
+    nested = F.regexp_replace(nested, rf'(?s)"\\u0001({_BODY_TO_MARK})\\u0001"', '"$1"')
+    return (
+        F.when(marked.isNull(), F.lit("null"))
+        .when(first == _STRING_MARK, F.to_json(marked.substr(F.lit(2), F.length(marked) - 2).cast("variant")))
+        .when(first == _NUMBER_MARK, marked.substr(F.lit(2), F.length(marked)))
+        .otherwise(nested)
+    )
 
 
 def object_entries(json_text: Column | str) -> Column:
-    """Ordered entries of a JSON object as ``array<struct<key, value: variant>>``.
+    """Ordered entries of a JSON object as ``array<struct<key, value>>``.
 
-    Key order and duplicate keys are kept (``map<string,variant>`` parsing),
-    so "last wins" can be decided by position.  Non-objects give NULL.
+    ``value`` is the value's minified JSON text as written: numbers keep their
+    form (``1.0``, ``12.50``, ``1e5``), nested objects their key order and
+    repeated keys.  Key order and repeated keys of the object are kept too, so
+    "last wins" can be decided by position.  Text that is not valid JSON, or
+    not an object, gives NULL.
     """
-    return F.map_entries(F.from_json(_c(json_text), "map<string,variant>"))
+    t = _c(json_text)
+    parsed = F.from_json(F.when(is_valid_json(t), _marked(t)), "map<string,string>")
+    return F.transform(
+        F.map_entries(parsed),
+        lambda e: F.struct(
+            e["key"].substr(F.lit(2), F.length(e["key"]) - 2).alias("key"), _value_text(e["value"]).alias("value")
+        ),
+    )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.jsonfn import object_entries
 from pagewright.operators.combine import template_keys
 from pagewright.session import ensure_checkpoint_dir
 
@@ -44,8 +45,7 @@ def check_template(replies: DataFrame, template, key_cols: Sequence[str], json_c
     keys = template_keys(template)
     tkeys = F.array(*[F.lit(k) for k in keys])
     entries = F.coalesce(
-        F.map_entries(F.from_json(F.col(json_col), "map<string,variant>")),
-        F.array().cast("array<struct<key:string,value:variant>>"),
+        object_entries(F.col(json_col)), F.array().cast("array<struct<key:string,value:string>>")
     )
     present = F.transform(entries, lambda e: e["key"])
 
@@ -59,7 +59,7 @@ def check_template(replies: DataFrame, template, key_cols: Sequence[str], json_c
         kinds = F.create_map(*[x for k, v in examples.items() for x in (F.lit(k), F.lit(v))])
 
         def bad_kind(e):
-            v = F.to_json(e["value"])
+            v = e["value"]
             want = json_kind(F.try_element_at(kinds, e["key"]))
             return F.array_contains(tkeys, e["key"]) & (v != '""') & (json_kind(v) != want)
 

@@ -41,7 +41,7 @@ def template_rows(df: DataFrame, json_col: str, key_cols: Sequence[str] = ()) ->
         *key_cols,
         (F.col("_p") + 1).cast("bigint").alias("ord"),
         F.col("_kv.key").alias("key"),
-        F.to_json(F.col("_kv.value")).alias("example"),
+        F.col("_kv.value").alias("example"),
     )
 
 
@@ -92,7 +92,7 @@ def reply_entries(df: DataFrame, json_col: str, key_cols: Sequence[str], outer:
         *key_cols,
         (F.col("pos") + 1).cast("bigint").alias("pos"),
         F.col("_kv.key").alias("key"),
-        F.to_json(F.col("_kv.value")).alias("value"),
+        F.col("_kv.value").alias("value"),
     )
     return e.withColumn("truthy", is_truthy_json(F.col("value")))
 

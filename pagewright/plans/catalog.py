@@ -295,10 +295,11 @@ def q_flag_truncated(spark, sf):
 
 # --------------------------------------------------------- 2.3/2.4 combine
 
-_KV_SQL = """
+_KV_SQL = "SELECT doc, batch_no, key, CAST(pos AS BIGINT) AS pos, value FROM batch_kv"
+_FLAT_KV_SQL = """
     SELECT doc, batch_no, key, CAST(pos AS BIGINT) AS pos, json_extract(j, '$."' || key || '"')::VARCHAR AS value
     FROM (SELECT doc, batch_no, j, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS pos
-          FROM batch_json)"""
+          FROM flat_batch_json)"""
 _FOUND_SQL = f"""
     SELECT doc, key,
            arg_max(value, batch_no * 1000000 + pos) FILTER (WHERE {truthy_sql('value')}) AS value,
@@ -317,13 +318,10 @@ _FILLED_SQL = f"""
 
 def _combine_sql(body: str, extra=()) -> str:
     ctes = [("kv", _KV_SQL), ("found", _FOUND_SQL), ("filled", _FILLED_SQL), *extra]
-    return with_views(["batch_json"], body, ctes)
+    return with_views(["batch_kv"], body, ctes)
 
 
-@register("template_keys", with_views(["batch_json"], """
-    SELECT doc, batch_no, CAST(pos AS BIGINT) AS ord, key, json_extract(j, '$."' || key || '"')::VARCHAR AS example
-    FROM (SELECT doc, batch_no, j, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS pos
-          FROM batch_json)"""))
+@register("template_keys", _combine_sql("SELECT doc, batch_no, pos AS ord, key, value AS example FROM kv"))
 def q_template_keys(spark, sf):
     return combine.template_rows(V.batch_json(spark, sf), "j", ["doc", "batch_no"])
 
@@ -718,7 +716,7 @@ _TYPE_SQL = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT
                       WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'DOUBLE' THEN 'DOUBLE' WHEN 'NULL' THEN 'VOID' ELSE {t} END"""
 
 
-@register("infer_shape", _combine_sql(f"""
+@register("infer_shape", with_views(["flat_batch_json"], f"""
     SELECT doc, 'OBJECT<' || string_agg(key || ': ' || kind, ', ' ORDER BY key) || '>' AS shape,
            max(n_replies) AS n_replies
     FROM (SELECT k.doc, k.key, CASE WHEN count(DISTINCT k.kind) = 1 THEN any_value(k.kind) ELSE 'VARIANT' END AS kind,
@@ -729,13 +727,13 @@ _TYPE_SQL = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT
                                        FROM (SELECT unnest(json_keys(value)) AS ik)) || '>'
                        ELSE {_TYPE_SQL.format(t='json_type(value)')} END AS kind
                 FROM kv) k
-          JOIN (SELECT doc, CAST(count(*) AS BIGINT) AS n_replies FROM batch_json GROUP BY doc) n ON n.doc = k.doc
+          JOIN (SELECT doc, CAST(count(*) AS BIGINT) AS n_replies FROM flat_batch_json GROUP BY doc) n ON n.doc = k.doc
           GROUP BY k.doc, k.key)
-    GROUP BY doc"""))
+    GROUP BY doc""", [("kv", _FLAT_KV_SQL)]))
 def q_infer_shape(spark, sf):
     from pagewright.operators import extract
 
-    return extract.infer_shape(V.batch_json(spark, sf), "j", ["doc"]).select("doc", "shape", "n_replies")
+    return extract.infer_shape(V.flat_batch_json(spark, sf), "j", ["doc"]).select("doc", "shape", "n_replies")
 
 
 # --------------------------------------------------------------- 2.10 checks
@@ -745,8 +743,9 @@ TEMPLATE_EXAMPLES = {"title": '""', "author": '""', "h1": '""', "lang": '""', "n
 
 @register("check_template", _combine_sql("""
     SELECT doc, batch_no, t.key, 'missing' AS problem
-    FROM batch_json CROSS JOIN (VALUES ('title'), ('author'), ('h1'), ('lang'), ('n_paragraphs')) t(key)
-    WHERE NOT list_contains(json_keys(j), t.key)
+    FROM (SELECT doc, batch_no, list(key) AS keys FROM kv GROUP BY doc, batch_no)
+    CROSS JOIN (VALUES ('title'), ('author'), ('h1'), ('lang'), ('n_paragraphs')) t(key)
+    WHERE NOT list_contains(keys, t.key)
     UNION ALL
     SELECT doc, batch_no, key, 'extra' AS problem FROM kv
     WHERE key NOT IN ('title', 'author', 'h1', 'lang', 'n_paragraphs')

@@ -69,13 +69,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                coalesce(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS h1,
                CAST((length(html) - length(replace(html, '<p>', ''))) // 3 AS BIGINT) AS n_paragraphs
         FROM binder_pages"""),
-    "batch_json": (("binder_fields",), """
+    "flat_batch_json": (("binder_fields",), """
         SELECT doc, batch_no,
                json_object('title', arg_min(title, page_no), 'lang', arg_max(lang, page_no),
                            'h1', arg_min(h1, page_no), 'n_paragraphs', sum(n_paragraphs),
                            'stats', json_object('pages', count(*)))::VARCHAR AS j
         FROM (SELECT *, CAST((page_no - 1) // 2 + 1 AS BIGINT) AS batch_no FROM binder_fields)
         GROUP BY doc, batch_no"""),
+    # Entries as (key, text of the value); "j" is put together from the same texts.
+    "batch_kv": (("binder_fields",), """
+        SELECT doc, batch_no, unnest([1, 2, 3, 4, 5, 6, 7]) AS pos,
+               unnest(['title', 'lang', 'h1', 'n_paragraphs', 'stats', 'ids', 'part_' || batch_no]) AS key,
+               unnest([to_json(title)::VARCHAR, to_json(lang)::VARCHAR, to_json(h1)::VARCHAR, n::VARCHAR,
+                       '{"pages":' || pages || ',"mean":' || CAST(n / 2.0 AS DECIMAL(18, 1)) || '}',
+                       '[' || first_id || ',' || last_id || ']', n || '.50']) AS value
+        FROM (SELECT doc, batch_no, arg_min(title, page_no) AS title, arg_max(lang, page_no) AS lang,
+                     arg_min(h1, page_no) AS h1, sum(n_paragraphs) AS n, count(*) AS pages,
+                     min(page_id) AS first_id, max(page_id) AS last_id
+              FROM (SELECT *, CAST((page_no - 1) // 2 + 1 AS BIGINT) AS batch_no FROM binder_fields)
+              GROUP BY doc, batch_no)"""),
     "dirty_replies": ((), f"""
         SELECT event_id,
                CASE event_id % 5

@@ -76,28 +76,51 @@ def binder_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, batch_no, j): one JSON reply per two binder pages.
+def flat_batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, batch_no, j): one JSON reply per two binder pages, the same keys in every reply.
 
     j = {"title": first page's title, "lang": last page's lang,
          "h1": first page's h1, "n_paragraphs": sum, "stats": {"pages": n}}.
     """
+    return _batches(spark, sf_dir).select(
+        "doc",
+        "batch_no",
+        F.to_json(
+            F.struct("title", "lang", "h1", "n_paragraphs", F.struct("pages").alias("stats"))
+        ).alias("j"),
+    )
+
+
+def batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, batch_no, j): replies with values a parser may change.
+
+    As ``flat_batch_json``, but ``stats`` holds two keys that are not sorted and
+    a decimal (``{"pages": n, "mean": paragraphs / 2}``, which may be ``1.0``),
+    ``ids`` is an array, and ``part_<batch_no>`` a key of this batch alone.
+    """
+    g = _batches(spark, sf_dir)
+    fixed = F.to_json(F.struct(
+        "title", "lang", "h1", "n_paragraphs",
+        F.struct("pages", (F.col("n_paragraphs") / F.lit(2.0)).alias("mean")).alias("stats"),
+        F.array("first_id", "last_id").alias("ids"),
+    ))
+    own = F.concat(F.lit(',"part_'), F.col("batch_no").cast("string"), F.lit('":'),
+                   F.col("n_paragraphs").cast("string"), F.lit(".50}"))
+    return g.select("doc", "batch_no", F.concat(fixed.substr(F.lit(1), F.length(fixed) - 1), own).alias("j"))
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = binder_fields(spark, sf_dir).withColumn(
         "batch_no", (F.expr(f"(page_no - 1) div {PAGES_PER_REPLY}") + 1).cast("bigint")
     )
-    g = f.groupBy("doc", "batch_no").agg(
+    return f.groupBy("doc", "batch_no").agg(
         F.min_by("title", "page_no").alias("title"),
         F.max_by("lang", "page_no").alias("lang"),
         F.min_by("h1", "page_no").alias("h1"),
         F.sum("n_paragraphs").alias("n_paragraphs"),
         F.count(F.lit(1)).alias("pages"),
-    )
-    return g.select(
-        "doc",
-        "batch_no",
-        F.to_json(
-            F.struct("title", "lang", "h1", "n_paragraphs", F.struct("pages").alias("stats"))
-        ).alias("j"),
+        F.min("page_id").alias("first_id"),
+        F.max("page_id").alias("last_id"),
     )
 
 
