@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.jsonfn import object_entries
 from pagewright.operators.combine import template_keys
+from pagewright.operators.ranking import join_per_group
 from pagewright.session import ensure_checkpoint_dir
 
+# Values of a document tested against a page together.
+VALUES_PER_CHUNK = 256
+
 
 def json_kind(json_text: Column) -> Column:
     """Kind of a JSON value from its text: string, object, array, boolean, null or number."""
@@ -78,12 +82,12 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
     ``(doc, key..., value)``.  Values are matched case-insensitively; empty
     values are not checked.
 
-    Plan: a document's distinct lower-cased values form one short array
-    (bounded by its template keys), joined many-to-one to its source rows, so
-    every page is lower-cased and scanned once and emits only the values it
-    contains; a hot document's pages stay one row each, and AQE's skew join
-    can split them.  The distinct hits are joined back to the values; a
-    document's text is never gathered into one row.
+    Plan: a document's distinct lower-cased values are cut by hash into chunks
+    of about ``VALUES_PER_CHUNK``, joined to its source rows; a page is
+    scanned once per chunk and emits only the values it contains.  Pages and
+    chunks both stay one row each, so a hot document splits either way (AQE's
+    skew join).  The distinct hits are joined back to the values; neither a
+    document's text nor all its values are gathered into one row.
     """
     v = (values.where(F.col(value_col) != "").select(doc_col, *key_cols, value_col)
          .withColumn("_lv", F.lower(F.col(value_col))))
@@ -91,13 +95,17 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
         # Found values (a few per document) feed two branches; write them once.
         ensure_checkpoint_dir(v.sparkSession)
         v = v.checkpoint(eager=True)
-    wanted = v.groupBy(doc_col).agg(F.collect_set("_lv").alias("_vals")).withColumnRenamed(doc_col, "_wdoc")
+    distinct = v.select(doc_col, "_lv").distinct()
+    chunks = distinct.groupBy(doc_col).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(VALUES_PER_CHUNK))).alias("_chunks"))
+    wanted = (
+        join_per_group(distinct, chunks, [doc_col])
+        .groupBy(F.col(doc_col).alias("_wdoc"), F.pmod(F.xxhash64("_lv"), F.col("_chunks")).alias("_chunk"))
+        .agg(F.collect_list("_lv").alias("_vals"))
+    )
     s = sources.where(F.col(doc_col).isNotNull()).select(doc_col, F.lower(F.col(source_col)).alias("_src"))
     # AQE splits a hot document's pages only when Spark itself shuffles both
-    # join sides for the join.  ``wanted`` comes out of an aggregate already
-    # partitioned by document, which an equi-join on ``doc`` would reuse; the
-    # null-safe key (no NULL docs on either side, so the same match) is
-    # partitioned afresh on both sides.
+    # join sides for the join; the null-safe key (no NULL docs on either side,
+    # so the same match) never reuses an aggregate's partitioning.
     hits = (
         s.join(wanted, F.col(doc_col).eqNullSafe(F.col("_wdoc")), "inner")
         .select(doc_col, F.explode(F.filter("_vals", lambda x: F.instr(F.col("_src"), x) > 0)).alias("_lv"))

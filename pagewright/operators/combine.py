@@ -7,9 +7,10 @@ their first non-empty sighting; nested values are replaced whole.
 
 Plan: explode each reply's entries (narrow), one partial aggregation on
 ``(doc, key)`` with ``max_by`` / ``min`` over ``(batch order, position)``,
-then one aggregation on ``doc`` whose groups hold one entry per distinct key
-(bounded by the key count, not by the number of batches).  The template is a
-short literal list folded into the expression: no cross join, no broadcast.
+then one aggregation on ``doc`` for the template's keys (bounded by the
+template).  Keys outside the template stay one row each (``combine_entries``);
+only the one-row record gathers them.  The template is a short literal list
+folded into the expression: no cross join, no broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.jsonfn import is_truthy_json, object_entries
+from pagewright.operators.ranking import rank_within
 
 # A template is a few dozen keys; guard against passing data as a template.
 MAX_TEMPLATE_KEYS = 10_000
@@ -113,50 +115,56 @@ def last_non_empty(entries: DataFrame, doc_col: str, order: Column, keep_zero: b
     )
 
 
+def _template_hits(found: DataFrame, keys: Sequence[str], doc_col: str) -> DataFrame:
+    """``(doc, _filled)``: one entry per template key, in template order.
+
+    The aggregate holds template keys only, so its rows are bounded by the
+    template, whatever other keys a document has; every document gets a row.
+    """
+    tkeys = _literal_keys(keys)
+    hit = F.col("value").isNotNull() & F.array_contains(tkeys, F.col("key"))
+    per_doc = found.groupBy(doc_col).agg(
+        F.map_from_entries(F.collect_list(F.when(hit, F.struct("key", "value")))).alias("_found")
+    )
+    return per_doc.select(doc_col, F.transform(tkeys, lambda k: F.struct(
+        k.alias("key"),
+        F.coalesce(F.try_element_at(F.col("_found"), k), F.lit(DEFAULT_VALUE)).alias("value"),
+        F.when(F.try_element_at(F.col("_found"), k).isNull(), F.lit("default"))
+        .otherwise(F.lit("found"))
+        .alias("origin"),
+    )).alias("_filled"))
+
+
+def _literal_keys(keys: Sequence[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+
+
+def _is_extra(keys: Sequence[str]) -> Column:
+    return F.col("value").isNotNull() & F.col("key").isNotNull() & ~F.array_contains(_literal_keys(keys), F.col("key"))
+
+
 def with_defaults(found: DataFrame, template, doc_col: str = "doc") -> DataFrame:
     """Fill the template per document: ``(doc, ord, key, value, origin)``.
 
     Template keys first in template order, value ``""`` where nothing was
     found (origin ``default``); other found keys after, in order of first
-    sighting (origin ``extra``).  One row per document is built from that
-    document's distinct keys and exploded again; no join with the template.
+    sighting (origin ``extra``).  Template entries come from one bounded row
+    per document; the other keys, of which a document may have any number,
+    stay one row each and are numbered by the skew-safe rank.
     """
     keys = template_keys(template)
-    tkeys = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
-    per_doc = found.groupBy(doc_col).agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("value").isNotNull() & F.col("key").isNotNull(), F.struct("key", "value")))
-        ).alias("_found"),
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("value").isNotNull() & ~F.array_contains(tkeys, F.col("key")),
-                    F.struct(F.col("first_seen").alias("s"), F.col("key").alias("k"), F.col("value").alias("v")),
-                )
-            )
-        ).alias("_extra"),
-    )
-    filled = F.transform(
-        tkeys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.coalesce(F.try_element_at(F.col("_found"), k), F.lit(DEFAULT_VALUE)).alias("value"),
-            F.when(F.try_element_at(F.col("_found"), k).isNull(), F.lit("default"))
-            .otherwise(F.lit("found"))
-            .alias("origin"),
-        ),
-    )
-    extra = F.transform(
-        F.col("_extra"), lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"), F.lit("extra").alias("origin"))
-    )
-    out = per_doc.select(doc_col, F.posexplode(F.concat(filled, extra)).alias("_o", "_e"))
-    return out.select(
+    filled = _template_hits(found, keys, doc_col).select(doc_col, F.posexplode("_filled").alias("_o", "_e")).select(
         doc_col,
         (F.col("_o") + 1).cast("bigint").alias("ord"),
         F.col("_e.key").alias("key"),
         F.col("_e.value").alias("value"),
         F.col("_e.origin").alias("origin"),
     )
+    extra = rank_within(found.where(_is_extra(keys)), [doc_col], ["first_seen", "key"], "_rank")
+    extra = extra.select(
+        doc_col, (F.col("_rank") + len(keys)).cast("bigint").alias("ord"), "key", "value", F.lit("extra").alias("origin")
+    )
+    return filled.unionByName(extra)
 
 
 def combine_entries(batches: DataFrame, template, doc_col: str = "doc", batch_col: str = "batch_no",
@@ -166,12 +174,17 @@ def combine_entries(batches: DataFrame, template, doc_col: str = "doc", batch_co
     ``order_col`` orders the batches (default ``batch_col``; pass a
     ``natural_key`` of a file name to order by names).
     """
-    order_expr = F.col(order_col) if isinstance(order_col, str) else (order_col if order_col is not None else F.col(batch_col))
-    e = reply_entries(batches.withColumn("_border", order_expr), json_col, [doc_col, "_border"], outer=True)
-    found = last_non_empty(e, doc_col, F.struct(F.col("_border"), F.col("pos")), keep_zero)
+    found = _found_values(batches, doc_col, batch_col, json_col, order_col, keep_zero)
     return with_defaults(found, template, doc_col)
 
 
+def _found_values(batches: DataFrame, doc_col: str, batch_col: str, json_col: str,
+                  order_col: Column | str | None, keep_zero: bool) -> DataFrame:
+    order = F.col(batch_col) if order_col is None else F.col(order_col) if isinstance(order_col, str) else order_col
+    e = reply_entries(batches.withColumn("_border", order), json_col, [doc_col, "_border"], outer=True)
+    return last_non_empty(e, doc_col, F.struct(F.col("_border"), F.col("pos")), keep_zero)
+
+
 def entries_to_record(entries: DataFrame, doc_col: str = "doc", out: str = "record") -> DataFrame:
     """Write ``(doc, ord, key, value)`` rows back as one JSON object per document."""
     g = entries.groupBy(doc_col).agg(
@@ -187,6 +200,22 @@ def entries_to_record(entries: DataFrame, doc_col: str = "doc", out: str = "reco
 def combine_last_non_empty(batches: DataFrame, template, doc_col: str = "doc", batch_col: str = "batch_no",
                            json_col: str = "j", order_col: Column | str | None = None,
                            keep_zero: bool = False) -> DataFrame:
-    """One JSON record per document from its batch replies: ``(doc, record)``."""
-    entries = combine_entries(batches, template, doc_col, batch_col, json_col, order_col, keep_zero)
-    return entries_to_record(entries, doc_col)
+    """One JSON record per document from its batch replies: ``(doc, record)``.
+
+    The record holds every key of its document in one row by definition, so
+    it is built in one aggregate; ``combine_entries`` is the bounded form.
+    """
+    keys = template_keys(template)
+    found = _found_values(batches, doc_col, batch_col, json_col, order_col, keep_zero)
+    tkeys = _literal_keys(keys)
+    hit = F.col("value").isNotNull() & F.array_contains(tkeys, F.col("key"))
+    g = found.groupBy(doc_col).agg(
+        F.map_from_entries(F.collect_list(F.when(hit, F.struct("key", "value")))).alias("_found"),
+        F.array_sort(F.collect_list(F.when(_is_extra(keys), F.struct("first_seen", "key", "value")))).alias("_extra"),
+    )
+    parts = F.concat(
+        F.transform(tkeys, lambda k: F.concat(
+            _json_string(k), F.lit(":"), F.coalesce(F.try_element_at(F.col("_found"), k), F.lit(DEFAULT_VALUE)))),
+        F.transform("_extra", lambda e: F.concat(_json_string(e["key"]), F.lit(":"), e["value"])),
+    )
+    return g.select(doc_col, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("record"))

@@ -77,3 +77,13 @@ def test_check_grounded_splits_a_hot_document(spark):
     finally:
         for k, v in saved.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_check_grounded_cuts_a_documents_values_into_chunks(spark):
+    """More values than a chunk holds: every value is still tested on every page."""
+    n = 5 * checks.VALUES_PER_CHUNK
+    values = spark.createDataFrame([(1, f"k{i}", f"<v{i}>") for i in range(n)], "doc int, key string, value string")
+    pages = spark.createDataFrame(
+        [(1, " ".join(f"<V{i}>" for i in range(p, n, 6))) for p in range(3)], "doc int, text string")
+    got = {r.value: r.grounded for r in checks.check_grounded(values, pages).collect()}
+    assert got == {f"<v{i}>": i % 6 < 3 for i in range(n)}

@@ -114,3 +114,24 @@ def test_template_rows_and_load(spark, tmp_path):
     assert [(r.ord, r.key) for r in t] == [(1, "title"), (2, "authors"), (3, "survey")]
     assert t[2].example == '{"total":40}'
     assert combine.template_keys(combine.load_template(spark, str(p))) == ["title", "authors", "survey"]
+
+
+def test_entries_and_record_agree_with_open_keys(spark):
+    """A document with many keys of its own: rows in order of first sighting, record the same."""
+    rows = [("d", b, dumps({f"k{b * 7 % 40}_{i}": i + 1 for i in range(5)} | {"title": f"t{b}"})) for b in range(40)]
+    rows += [(None, 1, dumps({"x": 1})), ("e", 1, "{}")]
+    df = spark.createDataFrame(rows, "doc string, batch_no int, j string")
+    entries = combine.combine_entries(df, TEMPLATE).collect()
+    record = {r.doc: json.loads(r.record) for r in combine.combine_last_non_empty(df, TEMPLATE).collect()}
+    for doc in ["d", "e", None]:
+        mine = sorted([r for r in entries if r.doc == doc], key=lambda r: r.ord)
+        assert [r.ord for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.key for r in mine] == list(record[doc])
+        assert {r.key: json.loads(r.value) for r in mine} == record[doc]
+    assert len(record["d"]) == 203 and list(record["d"])[3:8] == [f"k0_{i}" for i in range(5)]
+
+
+def test_record_keeps_numbers_and_nested_order(spark):
+    text = '{"title":"x","o":{"z":1,"b":{"y":2.50,"a":1.0}},"n":12.50,"e":1e5,"d":{"a":1,"a":2}}'
+    assert run(spark, [("d", 1, text)])["d"] == (
+        '{"title":"x","authors":"","date":"","o":{"z":1,"b":{"y":2.50,"a":1.0}},"n":12.50,"e":1e5,"d":{"a":1,"a":2}}')
