@@ -46,7 +46,8 @@ def call_model(df: DataFrame, fn: Callable[[str], str], payload_col: str = "payl
     workers are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``
     (64 MB by default).  ``batch_rows`` additionally lowers the session's
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` (never raises it), e.g.
-    to keep slow model calls in small batches.
+    to keep slow model calls in small batches; the setting stays for later
+    queries of the session.
     """
     from pyspark.sql.types import StructType
 
@@ -123,34 +124,47 @@ def payload_key(payload_col: str = "payload"):
     return F.sha2(F.col(payload_col), 256)
 
 
+_STORE_SCHEMA = f"request_key string, {REPLY_COLUMNS}, called_at timestamp"
+
+
+def _read_store(spark, path: str) -> DataFrame | None:
+    """The reply store, or None where there is no such folder yet (any other failure is raised)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(_STORE_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def call_model_cached(df: DataFrame, fn: Callable[[str], str], store_path: str, payload_col: str = "payload",
-                      **call_args) -> DataFrame:
+                      chunks: int = 1, **call_args) -> DataFrame:
     """``call_model`` through a reply store keyed by the payload's hash.
 
     Only payloads without an ``ok`` reply in ``store_path`` are sent, each
     distinct payload once; new replies are appended to the store (failed
     ones too, for the record; they are sent again next time).  Returns ``df``
-    with ``request_key`` and the reply columns, read back from the store.  A
-    rerun after a failure, or the same request in two documents, costs no
-    second call.
-    """
-    from pyspark.errors import AnalysisException
+    with ``request_key`` and the reply columns, read back from the store.
 
+    The calls run in ``chunks`` jobs, cut by the payload's hash, and each job
+    commits its replies.  A job that fails loses its own chunk only: a rerun
+    sends nothing of the finished ones.
+    """
     spark = df.sparkSession
     req = df.withColumn("request_key", payload_key(payload_col))
-    try:
-        done = spark.read.parquet(store_path).where(F.col("status") == "ok").select("request_key")
-    except AnalysisException:
-        done = None
     todo = req.select("request_key", payload_col).dropDuplicates(["request_key"])
-    if done is not None:
-        todo = todo.join(done, "request_key", "left_anti")
-    new = call_model(todo, fn, payload_col, **call_args).drop(payload_col)
-    new.write.mode("append").parquet(store_path)
-    store = spark.read.parquet(store_path)
+    for chunk in range(chunks):
+        part = todo.where(F.pmod(F.xxhash64("request_key"), F.lit(chunks)) == chunk) if chunks > 1 else todo
+        store = _read_store(spark, store_path)
+        if store is not None:
+            part = part.join(store.where(F.col("status") == "ok").select("request_key"), "request_key", "left_anti")
+        new = call_model(part, fn, payload_col, **call_args).drop(payload_col)
+        new.withColumn("called_at", F.current_timestamp()).write.mode("append").parquet(store_path)
     # One reply per key: the ok one if any, else the latest failure.
-    best = store.groupBy("request_key").agg(
+    best = _read_store(spark, store_path).groupBy("request_key").agg(
         F.max_by(F.struct("reply", "status", "attempts", "elapsed", "error"),
-                 F.struct((F.col("status") == "ok").alias("ok"), F.col("elapsed"))).alias("_r")
+                 F.struct((F.col("status") == "ok").alias("ok"), F.col("called_at"), F.col("elapsed"))).alias("_r")
     ).select("request_key", "_r.*")
     return req.join(best, "request_key", "left")

@@ -107,6 +107,25 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
     )
 
 
+def batch_selection(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col: str = "page_no") -> DataFrame:
+    """Fixed-size batching of any selection of a document's pages.
+
+    As ``assign_batches``, but pages are counted as they are listed: batches
+    go by the page's rank within its document, and ``num_pages``,
+    ``total_batches`` and ``pages_in_batch`` describe the selection (a
+    ``num_pages`` column carried from before the selection is replaced).
+    """
+    listed = rank_within(df.drop("num_pages"), [doc_col], [page_col], "_place")
+    out = assign_batches(join_null_group(listed, page_count(listed, doc_col), doc_col), size, doc_col, "_place")
+    return out.drop("_place")
+
+
+def join_null_group(rows: DataFrame, per_group: DataFrame, key: str) -> DataFrame:
+    """Join one row per group onto ``rows``, a NULL group included."""
+    side = per_group.withColumnRenamed(key, "_jg")
+    return rows.join(side, F.col(key).eqNullSafe(F.col("_jg"))).drop("_jg")
+
+
 def collect_batches(df: DataFrame, payload_col: str, doc_col: str = "doc", page_col: str = "page_no",
                     batch_col: str = "batch_no", extra_cols: Sequence[str] = ()) -> DataFrame:
     """Gather each batch's pages in page order.

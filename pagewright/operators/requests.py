@@ -106,3 +106,33 @@ def build_request(batches: DataFrame, system: str, user: Column | str, pages_col
 def fields_prompt(template_json: str, description: str = DOC_DESCRIPTION) -> tuple[str, str]:
     """(system, user) texts of a template-filling request."""
     return FIELDS_SYSTEM + "\n" + description, FIELDS_USER + template_json
+
+
+# The reference's wording where the request holds markdown, and
+# where no template is given (indentation removed, one line per sentence).
+_IMAGES, _MARKDOWN = "analyze images", "analyze the following markdown text"
+NO_TEMPLATE = "\n".join([
+    "Given a multi-page markdown file, generate a JSON schema that represents the structure and content of the markdown file.",
+    "The resulting JSON Object should include all important fields such as headers, subheaders, lists, links, and text blocks.",
+    "The importance of markdown elements should be determined based on their semantic significance in the document structure; "
+    "For instance, headers and subheaders might be considered more important than regular text, "
+    "and lists might be considered more important than individual list items.",
+    "Structure the JSON Object to be respective of each page, and sections.",
+])
+
+
+def text_fields_prompt(template_json: str | None = None, description: str = DOC_DESCRIPTION) -> str:
+    """System text of a request over markdown; without a template the model chooses the fields."""
+    system = FIELDS_SYSTEM.replace(_IMAGES, _MARKDOWN) + "\n" + description
+    return system + "\n" + NO_TEMPLATE if template_json is None else system + " " + FIELDS_USER + template_json
+
+
+def build_text_request(df: DataFrame, system: str, text_col: str, out: str = "payload") -> DataFrame:
+    """Adds ``out``: the JSON-mode request whose user message is the row's text (no token cap)."""
+    messages = F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.col(text_col).alias("content")),
+    )
+    fields = [messages.alias("messages"), F.lit(TEMPERATURE).alias("temperature"),
+              F.struct(F.lit("json_object").alias("type")).alias("response_format")]
+    return df.withColumn(out, F.to_json(F.struct(*fields)))

@@ -144,6 +144,19 @@ def q_fixed_batches(spark, sf):
     return b.select("doc_id", "page_no", "batch_no", "num_pages", "total_batches", "pages_in_batch")
 
 
+@register("batches_of_selection", with_views(["text_pages"], f"""
+    SELECT doc_id, page_no, CAST((place - 1) // 2 + 1 AS BIGINT) AS batch_no, num_pages,
+           CAST(ceil(num_pages / 2.0) AS BIGINT) AS total_batches,
+           CAST(least(2, num_pages - (place - 1) // 2 * 2) AS BIGINT) AS pages_in_batch
+    FROM (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS place,
+                 CAST(count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS num_pages
+          FROM text_pages WHERE page_no >= {SELECT_FIRST})"""))
+def q_batches_of_selection(spark, sf):
+    picked = paging.select_pages(V.text_pages(spark, sf).select("doc_id", "page_no", "num_pages"), first=SELECT_FIRST)
+    return paging.batch_selection(picked, 2, "doc_id").select(
+        "doc_id", "page_no", "batch_no", "num_pages", "total_batches", "pages_in_batch")
+
+
 @register("batch_labels", with_views(["text_pages"], """
     SELECT doc_id, batch_no, start_page, end_page,
            'Pages_' || lpad(CAST(start_page AS VARCHAR), CAST(length(CAST(num_pages AS VARCHAR)) AS INTEGER), '0') || '_to_'

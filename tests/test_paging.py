@@ -174,3 +174,15 @@ def test_count_join_back_is_split_for_a_hot_document(spark):
     finally:
         for k, v in saved.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_batches_of_a_selection_count_what_is_listed(spark):
+    rows = [("d", p, 25) for p in range(3, 6)] + [("e", p, 30) for p in (1, 4, 9, 16, 25)] + [(None, 7, 9)]
+    df = spark.createDataFrame(rows, "doc string, page_no bigint, num_pages bigint")
+    got = {(r.doc, r.page_no): (r.batch_no, r.num_pages, r.total_batches, r.pages_in_batch)
+           for r in paging.batch_selection(df, 3).collect()}
+    assert got == {
+        ("d", 3): (1, 3, 1, 3), ("d", 4): (1, 3, 1, 3), ("d", 5): (1, 3, 1, 3),
+        ("e", 1): (1, 5, 2, 3), ("e", 4): (1, 5, 2, 3), ("e", 9): (1, 5, 2, 3),
+        ("e", 16): (2, 5, 2, 2), ("e", 25): (2, 5, 2, 2), (None, 7): (1, 1, 1, 1),
+    }
