@@ -17,31 +17,34 @@ from pyspark.sql import functions as F
 # The markdown rules say headings start with "##" or "###",
 # never a single "#", and the page number is marked on top.
 PAGE_MARK = "Page "
-# Entities decoded by the markup-to-markdown rules ("&amp;" is decoded last).
+# Entities decoded by the markup-to-markdown rules, then numeric ones, then "&".
 HTML_ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
     ("&nbsp;", " "),
     ("&copy;", "©"),
     ("&middot;", "·"),
-    ("&amp;", "&"),
 ]
+AMPERSAND = r"&(amp|#38|#[xX]26);"
+NUMERIC_ENTITY = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 # Markup-to-markdown rules, applied in order (Java replacement syntax).
 MARKUP_RULES = [
-    (r"(?s)<head>.*?</head>", ""),
-    (r"(?s)<script[^>]*>.*?</script>", ""),
-    (r"(?s)<style[^>]*>.*?</style>", ""),
+    (r"(?si)<head>.*?</head>", ""),
+    (r"(?si)<script[^>]*>.*?</script>", ""),
+    (r"(?si)<style[^>]*>.*?</style>", ""),
     (r"(?s)<!--.*?-->", ""),
-    (r"<h[12][^>]*>", "\n\n## "),
-    (r"<h[3-6][^>]*>", "\n\n### "),
-    (r"</h[1-6]>", "\n\n"),
-    (r"<li[^>]*>", "\n- "),
-    (r'<a href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
-    (r"<br */?>", "\n"),
-    (r"</?p( [^>]*)?>", "\n\n"),
-    (r"</?(div|ul|ol|nav|article|section|header|footer|main|table|tr|blockquote)( [^>]*)?>", "\n\n"),
+    (r"(?i)<h[12]( [^>]*)?>", "\n\n## "),
+    (r"(?i)<h[3-6]( [^>]*)?>", "\n\n### "),
+    (r"(?i)</h[1-6]>", "\n\n"),
+    (r"(?i)<li( [^>]*)?>", "\n- "),
+    (r'(?i)<a( [^>]*)? href="([^"]*)"[^>]*>([^<]*)</a>', "[$3]($2)"),
+    (r"(?i)<a( [^>]*)? href='([^']*)'[^>]*>([^<]*)</a>", "[$3]($2)"),
+    (r"(?i)<br */?>", "\n"),
+    (r"(?i)</?p( [^>]*)?>", "\n\n"),
+    (r"(?i)</t[dh]>\s*<t[dh]( [^>]*)?>", " | "),
+    (r"(?i)</?tr( [^>]*)?>", "\n"),
+    (r"(?i)</?(div|ul|ol|nav|article|section|header|footer|main|table|blockquote)( [^>]*)?>", "\n\n"),
     (r"<[^>]+>", ""),
 ]
 # What the markdown cleaner removes (the reference lists images, "click
@@ -123,18 +126,38 @@ def _replace_all(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
+def _numeric_entities(text: Column) -> Column:
+    """``&#n;`` and ``&#xh;`` decoded; what is no character, or "&", stays as it is."""
+    def char(code: Column) -> Column:
+        is_hex = F.lower(F.substring(code, 1, 1)) == "x"
+        digits = F.when(is_hex, F.upper(code.substr(F.lit(2), F.length(code)))).otherwise(F.hex(code.try_cast("bigint")))
+        point = F.conv(digits, 16, 10).cast("bigint")
+        good = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF) & (point != 38)
+        return F.when(good, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+
+    def decode(t: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_ENTITY), 1))
+        return F.aggregate(codes, t, lambda done, code: F.coalesce(
+            F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), char(code)), done))
+
+    # A one-element array computes the text once for both uses.
+    return F.transform(F.array(text), decode)[0]
+
+
 def html_to_markdown(html: Column, page_no: Column | None = None) -> Column:
     """Markdown of one page of markup, by rule.
 
     Head, scripts, styles and comments are dropped; h1/h2 become ``##``,
     h3-h6 ``###``; list items ``- ``; links ``[text](href)``; paragraphs and
-    breaks become blank lines / newlines; other tags are dropped and common
-    entities decoded; runs of blank lines are squeezed.  ``Page <n>`` is put
-    on top when ``page_no`` is given.
+    breaks become blank lines / newlines; a table row is a line, its cells
+    parted by `` | ``; other tags are dropped, common and numeric entities
+    decoded; runs of blank lines are squeezed.  Tags match in either case.
+    ``Page <n>`` is put on top when ``page_no`` is given.
     """
     c = _replace_all(html, MARKUP_RULES)
     for entity, char in HTML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
+    c = F.regexp_replace(_numeric_entities(c), AMPERSAND, "&")
     c = _replace_all(c, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])
     if page_no is not None:
         c = F.concat(F.lit(PAGE_MARK), page_no.cast("string"), F.lit("\n\n"), c)
@@ -159,14 +182,20 @@ def json_string(col: Column | str) -> Column:
     return F.to_json(_c(col).cast("variant"))
 
 
+# A "Label: value" line; patterns valid in Java and RE2 alike.
+FIELD_LINE = r"(?s)^(\p{L}[^:]{0,59}):[ \t]+(.+)\z"
+LINK = r"\[([^\]]*)\]\(([^)]*)\)"
+
+
 def line_kind(line: Column) -> Column:
-    """Kind of a markdown line: header, subheader, list, link, text or blank."""
+    """Kind of a markdown line: header, subheader, list, link, field (``Label: value``), text or blank."""
     return (
         F.when(line.rlike(r"^## "), F.lit("header"))
         .when(line.rlike(r"^### "), F.lit("subheader"))
         .when(line.rlike(r"^[-*] "), F.lit("list"))
         .when(line.rlike(r"\[[^\]]*\]\([^)]*\)"), F.lit("link"))
         .when(F.trim(line) == "", F.lit("blank"))
+        .when(line.rlike(FIELD_LINE), F.lit("field"))
         .otherwise(F.lit("text"))
     )
 
@@ -188,44 +217,85 @@ def markdown_lines(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataF
     )
 
 
-def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """Outline per page and section: counts of lists, links and text lines.
+def _json_list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
 
-    Output ``(keys..., section_no, section, level, n_lists, n_links, n_text,
-    n_chars)``; headers rank above subheaders (``level`` 2 / 3, 0 before the
-    first heading).
+def _fields_json(fields: Column) -> Column:
+    """``{"label": "value"}`` in order of first sighting; a repeated label holds the list of its values."""
+    def entry(label: Column) -> Column:
+        values = F.transform(F.filter(fields, lambda f: f["label"] == label), lambda f: json_string(f["value"]))
+        text = F.when(F.size(values) == 1, F.element_at(values, 1)).otherwise(_json_list(values))
+        return F.concat(json_string(label), F.lit(":"), text)
+
+    labels = F.array_distinct(F.transform(fields, lambda f: f["label"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(labels, entry), ","), F.lit("}"))
+
+
+def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
+    """Outline per page and section: its content, and counts of lists, links, fields and text lines.
+
+    Output ``(keys..., section_no, section, level, n_lists, n_links, n_fields,
+    n_text, n_chars, content)``; headers rank above subheaders (``level`` 2 /
+    3, 0 before the first heading).  ``content`` is the section as JSON:
+    ``{"Section": heading, "Fields": {label: value}, "Lists": [...], "Links":
+    [{"Text", "Href"}], "Text": [...]}``, in line order; ``Links`` holds the
+    links of every line.  A section is a part of one page, so the lists
+    gathered here are bounded by the page.
     """
     lines = markdown_lines(df, md_col, key_cols)
-    kind = F.col("kind")
-    return lines.groupBy(*key_cols, "section_no").agg(
+    kind, line = F.col("kind"), F.col("line")
+
+    def in_order(value: Column, *kinds: str) -> Column:
+        wanted = F.when(kind.isin(*kinds), F.struct("line_no", value.alias("v")))
+        return F.transform(F.array_sort(F.collect_list(wanted)), lambda x: x["v"])
+
+    links = F.arrays_zip(
+        F.regexp_extract_all(line, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(line, F.lit(LINK), 2).alias("h"))
+    field = F.struct(F.regexp_extract(line, FIELD_LINE, 1).alias("label"), F.regexp_extract(line, FIELD_LINE, 2).alias("value"))
+    linked = F.when(F.size(links) > 0, F.struct("line_no", links.alias("v")))
+    out = lines.groupBy(*key_cols, "section_no").agg(
         F.max(F.when(kind.isin("header", "subheader"), F.col("section"))).alias("section"),
         F.coalesce(
             F.max(F.when(kind == "header", F.lit(2)).when(kind == "subheader", F.lit(3))), F.lit(0)
         ).cast("bigint").alias("level"),
         F.sum((kind == "list").cast("bigint")).alias("n_lists"),
         F.sum((kind == "link").cast("bigint")).alias("n_links"),
+        F.sum((kind == "field").cast("bigint")).alias("n_fields"),
         F.sum((kind == "text").cast("bigint")).alias("n_text"),
-        F.sum(F.when(kind.isin("list", "link", "text"), F.length("line")).otherwise(0)).cast("bigint").alias("n_chars"),
+        F.sum(F.when(kind.isin("list", "link", "field", "text"), F.length("line")).otherwise(0)).cast("bigint").alias("n_chars"),
+        in_order(field, "field").alias("_fields"),
+        in_order(F.regexp_replace(line, r"^[-*] ", ""), "list").alias("_lists"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(linked)), lambda x: x["v"])).alias("_links"),
+        in_order(line, "text").alias("_text"),
     ).withColumn("section", F.coalesce(F.col("section"), F.lit("")))
+    content = F.concat(
+        F.lit('{"Section":'), json_string("section"),
+        F.lit(',"Fields":'), _fields_json(F.col("_fields")),
+        F.lit(',"Lists":'), _json_list(F.transform("_lists", json_string)),
+        F.lit(',"Links":'), _json_list(F.transform("_links", lambda x: F.concat(
+            F.lit('{"Text":'), json_string(x["t"]), F.lit(',"Href":'), json_string(x["h"]), F.lit("}")))),
+        F.lit(',"Text":'), _json_list(F.transform("_text", json_string)), F.lit("}"),
+    )
+    return out.withColumn("content", content).drop("_fields", "_lists", "_links", "_text")
 
 
 def page_entries(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "entry") -> DataFrame:
     """One ``"Page n": {"Header": h, "Sections": [...]}`` entry per page.
 
     ``Header`` is the page's first heading (``""`` if none); ``Sections``
-    lists the other headings in order.  Groups are single pages (bounded).
+    lists the page's sections with their content, the lines before the first
+    heading (section 0) first when there is anything in them.  Groups are
+    single pages (bounded).
     """
+    has_content = (F.col("section_no") > 0) | (F.col("n_chars") > 0)
     per_page = outline.groupBy(doc_col, page_col).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("section_no") > 0, F.struct("section_no", "section")))
-        ).alias("_s")
+        F.max(F.when(F.col("section_no") == 1, F.col("section"))).alias("_header"),
+        F.array_sort(F.collect_list(F.when(has_content, F.struct("section_no", "content")))).alias("_s"),
     )
     page_obj = F.concat(
-        F.lit('{"Header":'),
-        json_string(F.coalesce(F.get(F.col("_s"), 0)["section"], F.lit(""))),
-        F.lit(',"Sections":['),
-        F.array_join(F.transform(F.slice(F.col("_s"), 2, 1 << 30), lambda s: json_string(s["section"])), ","),
-        F.lit("]}"),
+        F.lit('{"Header":'), json_string(F.coalesce(F.col("_header"), F.lit(""))),
+        F.lit(',"Sections":'), _json_list(F.transform("_s", lambda s: s["content"])), F.lit("}"),
     )
     entry = F.concat(F.lit('"Page '), F.col(page_col).cast("string"), F.lit('":'), page_obj)
     return per_page.select(doc_col, page_col, entry.alias(out))

@@ -668,41 +668,70 @@ _LINES_SQL = """
                         WHEN regexp_matches(line, '^[-*] ') THEN 'list'
                         WHEN regexp_matches(line, '\\[[^\\]]*\\]\\([^)]*\\)') THEN 'link'
                         WHEN trim(line) = '' THEN 'blank'
+                        WHEN regexp_matches(line, '^\\p{L}[^:]{0,59}:[ \\t]+(?s:.)') THEN 'field'
                         ELSE 'text' END AS kind
             FROM (SELECT doc, page_no, unnest(string_split(md, chr(10))) AS line,
                          generate_subscripts(string_split(md, chr(10)), 1) AS line_no
                   FROM markdown_pages))"""
-_OUTLINE_SQL = """
+_FIELDS_SQL = """
+      SELECT doc, page_no, section_no,
+             string_agg(to_json(label)::VARCHAR || ':' || CASE WHEN n = 1 THEN vals ELSE '[' || vals || ']' END, ','
+                        ORDER BY first_line) AS fields
+      FROM (SELECT doc, page_no, section_no, label, count(*) AS n, min(line_no) AS first_line,
+                   string_agg(to_json(val)::VARCHAR, ',' ORDER BY line_no) AS vals
+            FROM (SELECT *, regexp_extract(line, '^([^:]*):', 1) AS label,
+                         regexp_extract(line, '^[^:]*:[ \\t]+((?s:.)+)$', 1) AS val
+                  FROM lines WHERE kind = 'field')
+            GROUP BY doc, page_no, section_no, label)
+      GROUP BY doc, page_no, section_no"""
+_SECTIONS_SQL = """
       SELECT doc, page_no, CAST(section_no AS BIGINT) AS section_no,
              coalesce(max(CASE WHEN kind IN ('header', 'subheader') THEN regexp_replace(line, '^#+ ', '') END), '') AS section,
              CAST(coalesce(max(CASE WHEN kind = 'header' THEN 2 WHEN kind = 'subheader' THEN 3 END), 0) AS BIGINT) AS level,
              CAST(sum(CASE WHEN kind = 'list' THEN 1 ELSE 0 END) AS BIGINT) AS n_lists,
              CAST(sum(CASE WHEN kind = 'link' THEN 1 ELSE 0 END) AS BIGINT) AS n_links,
+             CAST(sum(CASE WHEN kind = 'field' THEN 1 ELSE 0 END) AS BIGINT) AS n_fields,
              CAST(sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END) AS BIGINT) AS n_text,
-             CAST(sum(CASE WHEN kind IN ('list', 'link', 'text') THEN length(line) ELSE 0 END) AS BIGINT) AS n_chars
-      FROM lines GROUP BY doc, page_no, section_no"""
+             CAST(sum(CASE WHEN kind IN ('list', 'link', 'field', 'text') THEN length(line) ELSE 0 END) AS BIGINT) AS n_chars,
+             string_agg(CASE WHEN kind = 'list' THEN to_json(line[3:])::VARCHAR END, ',' ORDER BY line_no) AS lists,
+             string_agg(CASE WHEN kind = 'text' THEN to_json(line)::VARCHAR END, ',' ORDER BY line_no) AS texts,
+             string_agg(CASE WHEN links <> '' THEN links END, ',' ORDER BY line_no) AS links
+      FROM (SELECT *, array_to_string(list_transform(
+                   regexp_extract_all(line, '\\[[^\\]]*\\]\\([^)]*\\)'),
+                   lambda l: '{"Text":' || to_json(regexp_extract(l, '^\\[([^\\]]*)', 1))::VARCHAR
+                        || ',"Href":' || to_json(regexp_extract(l, '\\]\\(([^)]*)', 1))::VARCHAR || '}'), ',') AS links
+            FROM lines)
+      GROUP BY doc, page_no, section_no"""
+_OUTLINE_SQL = """
+      SELECT s.doc, s.page_no, s.section_no, section, level, n_lists, n_links, n_fields, n_text, n_chars,
+             '{"Section":' || to_json(section)::VARCHAR || ',"Fields":{' || coalesce(fields, '')
+             || '},"Lists":[' || coalesce(lists, '') || '],"Links":[' || coalesce(links, '')
+             || '],"Text":[' || coalesce(texts, '') || ']}' AS content
+      FROM sections s LEFT JOIN fields f ON f.doc = s.doc AND f.page_no = s.page_no AND f.section_no = s.section_no"""
+_ENTRY_SQL = """
+      SELECT doc, page_no,
+             '"Page ' || CAST(page_no AS VARCHAR) || '":{"Header":'
+             || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
+             || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 0 OR n_chars > 0 THEN content END, ','
+                                                       ORDER BY section_no), '') || ']}' AS entry
+      FROM outline GROUP BY doc, page_no"""
 
 
 def _outline_sql(body: str) -> str:
-    return with_views(["markdown_pages"], body, [("lines", _LINES_SQL), ("outline", _OUTLINE_SQL)])
+    ctes = [("lines", _LINES_SQL), ("fields", _FIELDS_SQL), ("sections", _SECTIONS_SQL),
+            ("outline", _OUTLINE_SQL), ("entries", _ENTRY_SQL)]
+    return with_views(["markdown_pages"], body, ctes)
 
 
-@register("markdown_outline", _outline_sql(
-    "SELECT doc, page_no, section_no, section, level, n_lists, n_links, n_text, n_chars FROM outline"))
+@register("markdown_outline", _outline_sql("SELECT * FROM outline"))
 def q_markdown_outline(spark, sf):
     from pagewright.operators import extract
 
     return extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
 
 
-@register("assemble_pages", _outline_sql("""
-    SELECT doc, '{' || string_agg('"Page ' || CAST(page_no AS VARCHAR) || '":' || page_obj, ',' ORDER BY page_no) || '}' AS record
-    FROM (SELECT doc, page_no,
-                 '{"Header":' || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
-                 || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 1 THEN to_json(section)::VARCHAR END, ','
-                                                           ORDER BY section_no), '') || ']}' AS page_obj
-          FROM outline GROUP BY doc, page_no)
-    GROUP BY doc"""))
+@register("assemble_pages", _outline_sql(
+    "SELECT doc, '{' || string_agg(entry, ',' ORDER BY page_no) || '}' AS record FROM entries GROUP BY doc"))
 def q_assemble_pages(spark, sf):
     from pagewright.operators import extract
 
@@ -711,13 +740,7 @@ def q_assemble_pages(spark, sf):
 
 
 # The bounded form of assemble_pages: one entry row per page.
-@register("page_entries", _outline_sql("""
-    SELECT doc, page_no,
-           '"Page ' || CAST(page_no AS VARCHAR) || '":{"Header":'
-           || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
-           || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 1 THEN to_json(section)::VARCHAR END, ','
-                                                     ORDER BY section_no), '') || ']}' AS entry
-    FROM outline GROUP BY doc, page_no"""))
+@register("page_entries", _outline_sql("SELECT doc, page_no, entry FROM entries"))
 def q_page_entries(spark, sf):
     from pagewright.operators import extract
 

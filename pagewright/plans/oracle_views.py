@@ -7,8 +7,6 @@ DuckDB writes back-references as ``\\1`` and needs the ``'g'`` flag.
 
 from __future__ import annotations
 
-from pagewright.operators.extract import CLEAN_PATTERNS, HTML_ENTITIES, MARKUP_RULES
-
 NL = "chr(10)"
 
 
@@ -19,28 +17,52 @@ def _sql_str(s: str) -> str:
     return f" || {NL} || ".join(quoted)
 
 
+# The markup rules, stated here on their own (nothing is imported from the
+# operators): each step is (pattern, replacement) for a global regexp_replace.
+_DROPPED = [r"(?is)<head>.*?</head>", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>",
+            r"(?s)<!--.*?-->"]
+_BLOCKS = ["div", "ul", "ol", "nav", "article", "section", "header", "footer", "main", "table", "blockquote"]
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "copy": "©", "middot": "·"}
+_SQUEEZE = [("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n"), ("\\A\\n+|\\n+\\z", "")]
+_MARKUP = (
+    [(p, "") for p in _DROPPED]
+    + [(f"(?i)<h{n}( [^>]*)?>", "\n\n" + ("##" if n < 3 else "###") + " ") for n in range(1, 7)]
+    + [("(?i)</h[1-6]>", "\n\n"), ("(?i)<li( [^>]*)?>", "\n- ")]
+    + [(f"(?i)<a( [^>]*)? href={q}([^{q}]*){q}[^>]*>([^<]*)</a>", "[\\3](\\2)") for q in "\"'"]
+    + [("(?i)<br */?>", "\n"), ("(?i)</?p( [^>]*)?>", "\n\n"),
+       ("(?i)</t[dh]>[\\s]*<t[dh]( [^>]*)?>", " | "), ("(?i)</?tr( [^>]*)?>", "\n")]
+    + [(f"(?i)</?{tag}( [^>]*)?>", "\n\n") for tag in _BLOCKS]
+    + [("<[^>]+>", "")]
+)
+
+
 def regex_chain(expr: str, rules) -> str:
     for pattern, repl in rules:
-        pattern = pattern.replace("(?dm)", "(?m)")  # RE2 has no UNIX_LINES flag; "\n" is its only line end
-        repl = repl.replace("$1", "\\1").replace("$2", "\\2")
-        expr = f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', {_sql_str(repl)}, 'g')"
+        expr = f"regexp_replace({expr}, {_sql_str(pattern)}, {_sql_str(repl)}, 'g')"
     return expr
 
 
 def html_to_markdown_sql(html: str, page_no: str | None) -> str:
-    """SQL twin of ``extract.html_to_markdown``."""
-    e = regex_chain(html, MARKUP_RULES)
-    for entity, char in HTML_ENTITIES:
-        e = f"replace({e}, {_sql_str(entity)}, {_sql_str(char)})"
-    e = regex_chain(e, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])
+    """The markup-to-markdown rules in SQL."""
+    e = regex_chain(html, _MARKUP)
+    for name, char in _ENTITIES.items():
+        e = f"replace({e}, '&{name};', {_sql_str(char)})"
+    # Numeric entities: every distinct one replaced by its character.
+    number = ("CASE WHEN lower(n[1]) = 'x' THEN CAST('0x' || n[2:] AS BIGINT) ELSE CAST(n AS BIGINT) END")
+    e = (f"(SELECT list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([xX][0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});', 1))), "
+         f"lambda acc, n: CASE WHEN {number} IN (0, 38) OR {number} > 1114111 OR {number} BETWEEN 55296 AND 57343 THEN acc "
+         f"ELSE replace(acc, '&#' || n || ';', chr(CAST({number} AS INTEGER))) END) FROM (SELECT {e} AS t))")
+    e = regex_chain(e, [("&(amp|#38|#[xX]26);", "&"), *_SQUEEZE])
     if page_no is not None:
         e = f"'Page ' || CAST({page_no} AS VARCHAR) || {NL} || {NL} || {e}"
     return e
 
 
 def clean_markdown_sql(md: str) -> str:
-    e = regex_chain(md, [(p, "") for p in CLEAN_PATTERNS])
-    return regex_chain(e, [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", "")])
+    """The markdown cleaner's rules in SQL: image links, two phrases, lines that are a page number."""
+    removed = [r"!\[[^\]]*\]\([^)]*\)", "(?i)click here", "(?i)listen to this article",
+               r"(?m)^[ \t]*(Page[ \t]+)?[0-9]+[ \t]*$"]
+    return regex_chain(md, [(p, "") for p in removed] + _SQUEEZE)
 
 
 def truthy_sql(v: str) -> str:

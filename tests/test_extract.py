@@ -69,4 +69,45 @@ def test_page_entries_rebuild_the_assembled_record(spark):
         rebuilt.setdefault(r.doc, []).append(r.entry)
     records = {r.doc: r.record for r in extract.assemble_pages(o, "doc").collect()}
     assert {d: "{" + ",".join(es) + "}" for d, es in rebuilt.items()} == records
-    assert json.loads(records[1])["Page 1"] == {"Header": "a1", "Sections": ["a2"]}
+    page = json.loads(records[1])["Page 1"]
+    assert page["Header"] == "a1"
+    assert [(x["Section"], x["Text"]) for x in page["Sections"]] == [("", ["# A"]), ("a1", []), ("a2", [])]
+    assert json.loads(records[1])["Page 10"]["Sections"][0]["Text"] == ["no headings"]
+
+
+def test_sections_carry_fields_lists_links_and_text(spark):
+    md = ("Page 1\n\n## Bill of lading\nDate: 9 May\n\n### Goods\nKind: rope\nKind: tar\nSee the list:\n"
+          '- two "coils"\n- [map](/m)\nAt [quay](/q) or [dock](/d)\n10:30 sharp')
+    df = spark.createDataFrame([(1, 1, md)], "doc int, page_no int, md string")
+    outline = extract.markdown_outline(df, "md", ["doc", "page_no"])
+    got = json.loads("{" + extract.page_entries(outline, "doc").first().entry + "}")
+    assert got == {"Page 1": {"Header": "Bill of lading", "Sections": [
+        {"Section": "", "Fields": {}, "Lists": [], "Links": [], "Text": ["Page 1"]},
+        {"Section": "Bill of lading", "Fields": {"Date": "9 May"}, "Lists": [], "Links": [], "Text": []},
+        {"Section": "Goods", "Fields": {"Kind": ["rope", "tar"]}, "Lists": ['two "coils"', "[map](/m)"],
+         "Links": [{"Text": "map", "Href": "/m"}, {"Text": "quay", "Href": "/q"}, {"Text": "dock", "Href": "/d"}],
+         "Text": ["See the list:", "10:30 sharp"]},
+    ]}}
+    assert [(r.section_no, r.n_fields) for r in outline.orderBy("section_no").collect()] == [(0, 0), (1, 1), (2, 2)]
+
+
+MARKUP_CASES = [
+    ("<table><tr><th>Qty</th><th>Price</th></tr><tr><td>12</td> <td class=n>34</td></tr></table>", "Qty | Price\n\n12 | 34"),
+    ("<H1>Up</H1>next<P>par</P><UL><LI>one</LI></UL>", "## Up\n\nnext\n\npar\n\n- one"),
+    ('<a class="b" href="/x">go</a> <A HREF=\'/y\' id=1>on</A> <abbr href="/z">no</abbr>', "[go](/x) [on](/y) no"),
+    ("&#233;&#xE9;&#x1F600; &#39;q&#39; &amp;#65; &#38;lt; &#0;&#xD800;", "\u00e9\u00e9\U0001f600 'q' &#65; &lt; &#0;&#xD800;"),
+    ("<header>top</header><head><title>t</title></head>x", "top\n\nx"),
+]
+
+
+def test_markup_cases_in_spark_and_in_the_oracle(spark):
+    import duckdb
+
+    from pagewright.plans.oracle_views import html_to_markdown_sql
+
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(MARKUP_CASES)], "i int, html string")
+    got = {r.i: r.md for r in df.select("i", extract.html_to_markdown(F.col("html")).alias("md")).collect()}
+    for i, (html, want) in enumerate(MARKUP_CASES):
+        assert got[i] == want
+        sql = f"SELECT {html_to_markdown_sql('html', None)} FROM (SELECT ?::VARCHAR AS html)"
+        assert duckdb.execute(sql, [html]).fetchone()[0] == want
