@@ -142,8 +142,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(count(*) AS BIGINT) AS num_pages
         FROM conversations GROUP BY conv_id"""),
     "image_dims": (("binder_pages",), """
-        SELECT page_id, doc, page_no, CAST(600 + (page_id * 37) % 1500 AS BIGINT) AS width,
-               CAST(800 + (page_id * 53) % 1700 AS BIGINT) AS height FROM binder_pages"""),
+        SELECT page_id, doc, page_no, CAST(600 + (length(html) * 37) % 1500 AS BIGINT) AS width,
+               CAST(800 + (length(html) * 53) % 1700 AS BIGINT) AS height FROM binder_pages"""),
     "markdown_pages": (("binder_pages",), f"""
         SELECT doc, page_no, {html_to_markdown_sql('html', 'page_no')} AS md FROM binder_pages"""),
 }

@@ -199,14 +199,15 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, doc, page_no, width, height) of the binder pages as if scanned."""
+    """(page_id, doc, page_no, width, height) of the binder pages as if scanned,
+    both sizes following from the length of the page's markup."""
     b = binder_pages(spark, sf_dir)
     return b.select(
         "page_id",
         "doc",
         "page_no",
-        (F.lit(600) + (F.col("page_id") * 37) % 1500).cast("bigint").alias("width"),
-        (F.lit(800) + (F.col("page_id") * 53) % 1700).cast("bigint").alias("height"),
+        (F.lit(600) + (F.length("html") * 37) % 1500).cast("bigint").alias("width"),
+        (F.lit(800) + (F.length("html") * 53) % 1700).cast("bigint").alias("height"),
     )
 
 

@@ -29,11 +29,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition on a unique ``key`` if the input has too few partitions."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: leave the plan as is
-        return df
-    if splits < cores:
-        return df.repartition(cores, key)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
