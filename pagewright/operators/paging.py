@@ -203,10 +203,9 @@ def stitch_parts(parts: DataFrame, doc_col: str, label_col: str, content_col: st
     from pagewright.functions.textfn import natural_key as nk
 
     blocks = parts.select(doc_col, label_col, stitch_block(label_col, content_col, page_token_col).alias(out))
-    # Rank the small (doc, label) keys only, then bring the text back by key.
-    keys = parts.select(doc_col, label_col)
-    ranked = rank_within(keys, [doc_col], [nk(label_col), F.col(label_col)], "part_no", **rank_args)
-    return ranked.join(blocks, [doc_col, label_col]).select(doc_col, "part_no", out)
+    # The rows themselves are ranked: a label may repeat within a document, so it can't serve as a join key.
+    ranked = rank_within(blocks, [doc_col], [nk(label_col), F.col(label_col), F.col(out)], "part_no", **rank_args)
+    return ranked.select(doc_col, "part_no", out)
 
 
 def stitch_pages(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",

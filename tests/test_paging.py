@@ -186,3 +186,13 @@ def test_batches_of_a_selection_count_what_is_listed(spark):
         ("e", 1): (1, 5, 2, 3), ("e", 4): (1, 5, 2, 3), ("e", 9): (1, 5, 2, 3),
         ("e", 16): (2, 5, 2, 2), ("e", 25): (2, 5, 2, 2), (None, 7): (1, 1, 1, 1),
     }
+
+
+def test_stitch_parts_keeps_rows_with_equal_labels_apart(spark):
+    rows = [("d", "Pages_2_to_2", "b"), ("d", "Pages_2_to_2", "a"), ("d", "Pages_10_to_10", "c"), ("e", "Pages_1_to_1", "x")]
+    df = spark.createDataFrame(rows, "doc string, label string, content string")
+    parts = paging.stitch_parts(df, "doc", "label", "content").orderBy("doc", "part_no").collect()
+    assert [(r.doc, r.part_no, r.markdown.split()[-1]) for r in parts] == [
+        ("d", 1, "a"), ("d", 2, "b"), ("d", 3, "c"), ("e", 1, "x")]
+    whole = {r.doc: r.markdown for r in paging.stitch_pages(df, "doc", "label", "content").collect()}
+    assert whole["d"] == "".join(r.markdown for r in parts if r.doc == "d")

@@ -104,6 +104,13 @@ def main(argv) -> None:
             V.batch_json(spark, sf).withColumn("doc", F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")))
             .withColumn("batch_no", F.col("batch_no") * 1000000 + F.col("doc")), V.BINDER_TEMPLATE),
     }
+    def template_entries():
+        bj = V.batch_json(spark, sf).withColumn("doc", F.when(F.col("doc") % 3 == 0, F.lit(HOT)).otherwise(F.col("doc")))
+        numbered = bj.withColumn("j", F.regexp_replace("j", '"part_', F.concat(F.lit('"p'), F.col("batch_no"), F.lit("_"), F.xxhash64("j"), F.lit("_"))))
+        return combine.combine_entries(numbered, V.BINDER_TEMPLATE)
+
+    cases["template defaults: open keys of a hot document as rows"] = template_entries
+
     def hot_binder_values():
         from pagewright.operators import combine as C
 
@@ -135,7 +142,7 @@ def main(argv) -> None:
     cases["page count join-back: join_per_group"] = lambda: paging.assign_batches(scanned, 10, "doc_id")
     # Sort-merge join with AQE's skew split; thresholds lowered to this data size
     # (the defaults, 256 MB and 5x the median, apply at cluster scale).
-    cases["grounding: per-document value arrays, AQE skew split"] = grounded
+    cases["grounding: chunks of values, AQE skew split"] = grounded
     skew_conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
