@@ -1,6 +1,7 @@
 """Personal data and secrets: the contract's patterns as they stand, disguises, the network."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -155,3 +156,18 @@ def test_network_recalls_held_out_secrets_and_leaves_others():
     assert abs(p[truth].mean() - 1) < 0.1 and p[~truth].mean() < 0.1  # calibrated
     long = "x " + pick("0123456789abcdef", 200) + " y"
     assert len(secrets.windows(long, 2, 202)) == 5 and all(len(w) == 84 for w in secrets.windows(long, 2, 202))
+
+
+def test_rare_secrets_train_the_network(spark, caplog):
+    """One document in a thousand holds a secret: all of them are found for training, whatever the table's size."""
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(i, f"token={key(24)} end" if i % 1000 == 0 else f"see /docs/2024/{i:06d}/report-{i % 97}.html now") for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = secrets.labelled_findings(docs, max_findings=400)
+    assert found.filter("y = 1").count() == 60 and found.filter("y = 0").count() <= 4 * 200
+    assert secrets.train_model(docs, max_findings=400) is not None
+    few = docs.filter("doc_id % 1000 <> 0 or doc_id = 0")
+    with caplog.at_level("WARNING"):
+        assert secrets.train_model(few, max_findings=400) is None
+    assert "no secret network" in caplog.text and "1 labelled secrets" in caplog.text
