@@ -171,3 +171,36 @@ def test_rare_secrets_train_the_network(spark, caplog):
     with caplog.at_level("WARNING"):
         assert secrets.train_model(few, max_findings=400) is None
     assert "no secret network" in caplog.text and "1 labelled secrets" in caplog.text
+
+
+@pytest.mark.parametrize("text, run", [
+    ("set pwd=hunter2x now", "hunter2x"), ('"pass": "correcthorse",', "correcthorse"), ("credential: opensesame", "opensesame"),
+    ("Authorization: Bearer abcdefgh", "abcdefgh"), ("use x9Kq21Lmzz there", "x9Kq21Lmzz"),
+    ("and CORRECTHORSEBATTERYSTAPLE end", "CORRECTHORSEBATTERYSTAPLE"),
+])
+def test_short_and_digit_free_runs_are_scored(text, run):
+    assert run in [text[s:e] for s, e in secrets.candidates(text)]
+    everything = secrets.CharCnn()
+    everything.thresholds = [0.0] * len(everything.thresholds)
+    assert run in [text[s:e] for s, _, e in secrets.added_findings(text, secrets.base_findings(text), everything)]
+
+
+def test_prose_words_and_names_are_no_values():
+    assert secrets.candidates("international understanding, otherwise 2024-01-01") == []
+    text = "'password': 'abcd1234'"
+    assert [text[s:e] for s, e in secrets.values(text, secrets.base_findings(text))] == ["abcd1234"]
+    assert secrets.shape_of("abcdefgh") != secrets.shape_of("abcdefgh" * 2 + "x")
+
+
+def test_network_finds_short_secrets_by_their_context(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    word = lambda n: "".join(rng.choices("etaoinshrdlu", k=n))
+    size = lambda: rng.randint(8, 15)
+    rows = [(i, f"{word(5)} {f'token={key(size())}' if i % 2 else f'note: {word(size())}'} {word(4)} {word(6)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.train_model(docs, max_findings=4000)
+    new = [f"{word(5)} Bearer {key(12)} {word(4)} {word(6)}" for _ in range(100)]
+    plain = [f"{word(5)} credential: {word(12)} {word(4)} {word(6)}" for _ in range(100)]
+    hits = lambda texts: sum(bool(secrets.added_findings(t, secrets.base_findings(t), model)) for t in texts)
+    assert hits(new) >= 80 and hits(plain) <= 10
