@@ -44,7 +44,9 @@ TRAIN_DOCS = 2000  # labelled documents per language that are counted, about
 MAX_NODES = 200_000  # sequences of each length that the model keeps
 FOLDS = 5
 BLOCK = 1 << 19  # bytes scored at a time
-REJECT_BITS = 12.0  # bits per byte; a text that every model codes half as long again as it is, is in no learned language
+REJECT_BITS = 12.0  # bits per letter that reject a text if no held-out text tells the limit
+WORDS = (1, 2, 4, 8, 16, 32, 64)  # sizes of the held-out snippets that set the limits
+QUANTILE, SLACK = 0.999, 1.5  # a limit is this multiple of that quantile of the snippets' bits per letter
 
 
 @dataclass
@@ -93,6 +95,19 @@ def count_sequences(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
     return counted.groupBy("lang", "k", "seq").agg(F.sum("n").alias("n"))
 
 
+def distinct_texts(labelled: DataFrame) -> dict[str, int]:
+    """Different texts per language; only their hashes move."""
+    hashed = labelled.select("lang", F.xxhash64("text").alias("h")).distinct()
+    return {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def draw(labelled: DataFrame, sizes: dict[str, int], max_docs: int) -> DataFrame:
+    """About ``max_docs`` different texts of each language, by hash; all if it has no more."""
+    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.filter(place < share[F.col("lang")]).select("lang", "text").distinct()
+
+
 def train(labelled: DataFrame, order: int = MAX_ORDER, max_docs: int = TRAIN_DOCS, max_nodes: int = MAX_NODES) -> Model | None:
     """A model from ``lang, text`` (neither null); None if there is nothing to learn from."""
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -284,11 +299,12 @@ def predict(rows: DataFrame, text: Column, model: Model | None, carry: list[str]
     return rows.select(*names, F.when(known, text).alias("_scored")).mapInArrow(score, schema)
 
 
-def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, text`` of the documents to learn from: labelled, not held out, with a letter."""
+def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                  held_out: bool = False) -> DataFrame:
+    """``lang, text`` of the documents to learn from: labelled, not held out (or only those), with a letter."""
     text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
-    train_on = (crc_bucket(F.col(f"`{id_col}`"), FOLDS) != 0) & lang.isNotNull() & text.rlike(r"\p{L}")
-    return docs.filter(train_on).select(lang.alias("lang"), text.alias("text"))
+    fold = (crc_bucket(F.col(f"`{id_col}`"), FOLDS) == 0) == F.lit(held_out)
+    return docs.filter(fold & lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), text.alias("text"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -302,14 +318,49 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows of ``docs`` in some learned language: not ``und``, and not far beyond its model.
+def letters_of(text: Column) -> Column:
+    """The words of a text, one space apart: no key (a run of key characters with a digit), digit, symbol or emoji."""
+    key = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
+    return F.trim(F.regexp_replace(F.regexp_replace(text.cast("string"), key, " "), r"[^\p{L}\p{M}]++", " "))
 
-    Without a single labelled document there is nothing to reject by, and every row stays.
+
+def bits_per_letter(letters: Column) -> Column:
+    return F.col("bits_per_byte") * F.octet_length(letters) / F.char_length(letters)
+
+
+def rejection_limits(model: Model, held: DataFrame) -> dict[int, float]:
+    """Bits per letter beyond which a text of so many words is in no learned language, from held-out ``lang, text``."""
+    words = F.split(letters_of(F.col("text")), " ")
+    rows = draw(held, distinct_texts(held), TRAIN_DOCS).select(words.alias("_words"))
+    middle = F.floor(F.size("_words") / 2).cast("int")
+    cut = [F.struct(F.lit(w).alias("w"), F.array_join(F.slice("_words", at, w), " ").alias("t"), (F.size("_words") >= w - 1 + at).alias("whole"))
+           for w in WORDS for at in (F.lit(1), F.greatest(F.lit(1), middle))]
+    snippets = rows.select(F.explode(F.array(*cut)).alias("s")).filter("s.whole and s.t <> ''").select("s.w", "s.t")
+    rated = predict(snippets, F.col("t"), model).withColumn("rate", bits_per_letter(F.col("t")))
+    found = rated.groupBy("w").agg(F.percentile_approx("rate", QUANTILE, 100_000).alias("q")).collect()
+    return {r["w"]: r["q"] * SLACK for r in found if r["q"] is not None}
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                  reject_bits: float | None = None) -> DataFrame:
+    """The rows of ``docs`` in some learned language: with a letter, and labelled with one or not far beyond its model.
+
+    Only words are judged (``letters_of``), in bits per letter: a text without
+    any but with a letter stays.  The limit follows from held-out snippets of
+    about as many words, so it moves with what the model learned;
+    ``reject_bits`` sets a fixed one.  Without a single labelled document
+    there is nothing to reject by, and every row stays.
     """
     model = train(labelled_rows(docs, id_col, text_col, lang_col))
     if model is None:
         return docs
-    out = predict(packed(docs), F.col(f"_row.`{text_col}`"), model)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < reject_bits)).select("_row.*")
+    limits = {} if reject_bits is not None else rejection_limits(model, labelled_rows(docs, id_col, text_col, lang_col, held_out=True))
+    letters = letters_of(F.col(f"_row.`{text_col}`"))
+    count = F.size(F.split(letters, " "))
+    limit = F.lit(REJECT_BITS if reject_bits is None else float(reject_bits))
+    for i, (w, bits) in enumerate(sorted(limits.items())):
+        limit = F.lit(bits) if i == 0 else F.when(count >= w, F.lit(bits)).otherwise(limit)
+    out = predict(packed(docs), letters, model)
+    learned = F.coalesce(F.col(f"_row.`{lang_col}`").cast("string").isin(model.languages), F.lit(False))
+    fits = learned | (letters == "") | (bits_per_letter(letters) < limit)
+    return out.filter(F.col(f"_row.`{text_col}`").cast("string").rlike(r"\p{L}") & fits).select("_row.*")

@@ -110,3 +110,13 @@ def test_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
     assert langid.drop_rejected(unlabelled).count() == len(data)
     assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rejection_judges_words_only(spark):
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text", "lang")
+    clean = ["The key is Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdo and it is new.", "thank you \U0001f600\U0001f680",
+             "for i in range(len(rows)): print(rows[i])"]
+    foreign = ["Ω" * 50, "съешь же ещё этих мягких французских булок"]
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(clean + foreign)] + [(-99, "Ωχ ψω", "en")], docs.schema)
+    kept = {r["doc_id"] for r in langid.drop_rejected(docs.unionByName(odd)).filter("doc_id < 0").collect()}
+    assert kept == {-1, -2, -3, -99}
