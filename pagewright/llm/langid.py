@@ -9,9 +9,9 @@ code length under a language is a sum over its bytes.  The shortest code
 names the language; the score is that language's posterior probability under
 equal priors.
 
-Training.  Counts come from at most about ``TRAIN_DOCS`` labelled documents
-per language (a documented bound; documents are drawn by a hash of their text,
-whole texts) and are summed by Spark.  Sequences rarer than one threshold are
+Training.  Counts come from at most about ``TRAIN_DOCS`` different labelled
+texts per language (a documented bound; texts are drawn by their hash, whole,
+and copies count once, in the share as in the counts) and are summed by Spark.  Sequences rarer than one threshold are
 left out so that at most ``MAX_NODES`` of each length stay; a suffix or prefix
 is at least as frequent as the sequence, so the trees stay closed.  The model
 is that bounded table and is what tasks receive.
@@ -110,12 +110,10 @@ def draw(labelled: DataFrame, sizes: dict[str, int], max_docs: int) -> DataFrame
 
 def train(labelled: DataFrame, order: int = MAX_ORDER, max_docs: int = TRAIN_DOCS, max_nodes: int = MAX_NODES) -> Model | None:
     """A model from ``lang, text`` (neither null); None if there is nothing to learn from."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = distinct_texts(labelled)
     if not sizes:
         return None
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.filter(place < share[F.col("lang")])
+    drawn = draw(labelled, sizes, max_docs)
     counts = count_sequences(drawn, order)
     counts = materialize(counts, "langid-counts")
     total = counts.groupBy("k", "seq").agg(F.sum("n").alias("n"))

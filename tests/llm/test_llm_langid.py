@@ -120,3 +120,15 @@ def test_rejection_judges_words_only(spark):
     odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(clean + foreign)] + [(-99, "Ωχ ψω", "en")], docs.schema)
     kept = {r["doc_id"] for r in langid.drop_rejected(docs.unionByName(odd)).filter("doc_id < 0").collect()}
     assert kept == {-1, -2, -3, -99}
+
+
+def test_copies_do_not_crowd_out_other_texts(spark):
+    """Of 40,040 rows of a language 40,000 are one text; the other 40 are learned from, and the copies count once."""
+    texts = spark.range(40_040).select(F.lit("x").alias("lang"), F.when(F.col("id") < 40_000, "same copy")
+                                       .otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    sizes = langid.distinct_texts(texts)
+    assert sizes == {"x": 41}
+    drawn = [r["text"] for r in langid.draw(texts, sizes, 1000).collect()]
+    assert len(drawn) == len(set(drawn)) == 41
+    model = langid.train(texts, order=1, max_docs=1000)
+    assert langid.code_lengths(model, [b"text"]).min() < 8 * 4
