@@ -6,9 +6,12 @@ character of its output which source characters it came from:
 
 * homoglyphs: full-width and mathematical forms, other scripts' digits,
   Cyrillic and Greek look-alikes; zero-width characters disappear;
-* spelled digits: runs of three or more digit words become digits, ``plus``
-  before a digit becomes ``+``;
-* at/dot disguises: ``[at]``, ``(dot)``, ``[.]``, and ``name at host dot tld``.
+* spelled digits: digit words become digits in runs of words and digits that
+  hold three digits or more, commas between them spaces; ``plus`` before a
+  digit becomes ``+``;
+* at/dot disguises: ``[at]``, ``(dot)``, ``[.]``, spoken ``at`` and ``dot``, in
+  any mix with plain ones: spoken ones between the pieces of an address whose
+  host ends like a domain (2 to 6 letters of one case), ``dot`` also between numbers.
 
 Identifiers are detected again in the rewritten text; a hit that contains a
 rewritten place is mapped back to its source characters and added.  Base spans
@@ -58,9 +61,13 @@ DIGIT_WORDS = {
 }
 PLUS = re.compile(r"(?<![^\W_])plus\x20(?=[0-9])", re.IGNORECASE)
 BRACKETED = re.compile(r"([\[({<])\x20*(at|@|dot|\.|punkt|punto|point|arroba)\x20*([\])}>])\x20*", re.IGNORECASE)
-SPOKEN = re.compile(r"[A-Za-z0-9._%+-]+(\x20+at\x20+)[A-Za-z0-9-]+((?:\x20+dot\x20+[A-Za-z0-9-]+)*\x20+dot\x20+"
-                    r"(?:com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|it|uk|us|ch|at|ru|cn|jp))(?![^\W_])", re.IGNORECASE)
-SPOKEN_DOT = re.compile(r"\x20+dot\x20+", re.IGNORECASE)
+AT = re.compile(r"(?P<spoken>(?<=\x20)at\x20+)|[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*|@", re.IGNORECASE)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+DOT = re.compile(r"(?P<spoken>\x20+dot\x20+)|\x20*[\[({<]\x20*(?:dot|\.|punkt|punto|point)\x20*[\])}>]\x20*|\.", re.IGNORECASE)
+ENDING = re.compile(r"[a-z]{2,6}|[A-Z]{2,6}")
+NUMBER_DOT = re.compile(r"(?<=[0-9])\x20+dot\x20+(?=[0-9])", re.IGNORECASE)
+NUMBER = re.compile(r"[0-9]+")
+BETWEEN = re.compile(r"[\x20,-]{1,3}")
 CLOSES = {"[": "]", "(": ")", "{": "}", "<": ">"}
 
 
@@ -145,23 +152,34 @@ def _lower(text: str) -> str:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    """Digit words in runs of three or more, one or two spaces or hyphens apart."""
+    """Digit words in runs of words and numbers, up to three spaces, commas or hyphens apart, of three digits or more."""
     low, hits = _lower(text), []
+    alone = lambda at, end: not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum())
     for word, digit in DIGIT_WORDS.items():
         at = low.find(word)
         while at >= 0:
             end = at + len(word)
-            if not (at and low[at - 1].isalnum()) and not (end < len(low) and low[end].isalnum()):
+            if alone(at, end):
                 hits.append((at, end, digit))
             at = low.find(word, end)
-    edits, run = [], []
-    for hit in [*sorted(hits), None]:
-        if run and (hit is None or not (1 <= hit[0] - run[-1][1] <= 2 and set(low[run[-1][1]:hit[0]]) <= {" ", "-"})):
-            if len(run) >= 3:
-                edits += run
-            run = []
+    if not hits:
+        return []
+    hits += [(m.start(), m.end(), None) for m in NUMBER.finditer(low) if alone(*m.span())]
+    edits, run, size = [], [], 0
+    for hit in [*sorted(hits, key=lambda h: h[:2]), None]:
+        if run and (hit is None or not BETWEEN.fullmatch(low, run[-1][1], hit[0])):
+            if size >= 3:
+                for i, (start, end, digit) in enumerate(run):
+                    last = run[i - 1] if i else None
+                    # Next to a word, detection wants one space or hyphen.
+                    if last and (digit or last[2]) and low[last[1]:start] not in (" ", "-"):
+                        edits.append((last[1], start, " "))
+                    if digit:
+                        edits.append((start, end, digit))
+            run, size = [], 0
         if hit:
             run.append(hit)
+            size += 1 if hit[2] else hit[1] - hit[0]
     return edits
 
 
@@ -177,13 +195,50 @@ def _at_dot(text: str) -> list[tuple[int, int, str]]:
             while start and text[start - 1] == " ":
                 start -= 1
             edits.append((start, m.end(), "@" if m.group(2).lower() in ("at", "@", "arroba") else "."))
-    if " dot " in text or " DOT " in text or " Dot " in text:
-        for m in SPOKEN.finditer(text):
-            edits.append((m.start(1), m.end(1), "@"))
-            edits += [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(text, m.start(2), m.end(2))]
+    for m in AT.finditer(text):
+        edits += _spoken(text, m)
+    edits += [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)]
     return sorted(set(edits))
 
 
+def _spoken(text: str, at: re.Match) -> list[tuple[int, int, str]]:
+    """Edits for the spoken parts of the address around an ``at``; none unless a host with a domain's ending follows."""
+    start = at.start()
+    while start and text[start - 1] == " ":
+        start -= 1
+    if not start or text[start - 1] not in LOCAL:
+        return []
+    dots, edits, whole = [], [], False
+    label = LABEL.match(text, at.end())
+    while label and (dot := DOT.match(text, label.end())) and (label := LABEL.match(text, dot.end())):
+        if dot["spoken"]:
+            dots.append((dot.start(), dot.end(), "."))
+        after = text[label.end():label.end() + 1]
+        if ENDING.fullmatch(label.group()) and not after.isalnum():
+            edits, whole = list(dots), True
+    if not whole:
+        return []
+    if at["spoken"]:
+        edits.append((start, at.end(), "@"))
+    elif not edits:
+        return []
+    # Spoken dots of the name before it.
+    while True:
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        gap = start
+        while gap and text[gap - 1] == " ":
+            gap -= 1
+        before = gap - 3
+        while before > 0 and text[before - 1] == " ":
+            before -= 1
+        if gap < start and text[max(0, gap - 3):gap].lower() == "dot" and 0 < before < gap - 3 and text[before - 1] in LOCAL:
+            edits.append((before, start, "."))
+            start = before
+        else:
+            return edits
+
+
 class Rewritten:
     """A text after some edits, with the way back to the source's offsets."""
 

@@ -204,3 +204,24 @@ def test_network_finds_short_secrets_by_their_context(spark):
     plain = [f"{word(5)} credential: {word(12)} {word(4)} {word(6)}" for _ in range(100)]
     hits = lambda texts: sum(bool(secrets.added_findings(t, secrets.base_findings(t), model)) for t in texts)
     assert hits(new) >= 80 and hits(plain) <= 10
+
+
+@pytest.mark.parametrize("text, kind, source", [
+    ("to john [at] example dot com now", "email", "john [at] example dot com"),
+    ("to john at example.com now", "email", "john at example.com"),
+    ("to john at example [dot] com now", "email", "john at example [dot] com"),
+    ("to john@example dot com now", "email", "john@example dot com"),
+    ("to john at example dot dev.", "email", "john at example dot dev"),
+    ("to john dot doe at example dot co dot nl.", "email", "john dot doe at example dot co dot nl"),
+    ("host 192 dot 168 dot 1 dot 1!", "ip", "192 dot 168 dot 1 dot 1"),
+    ("call plus one, five, five, five, two, one, two, three, four now", "phone", "plus one, five, five, five, two, one, two, three, four"),
+    ("call +1 five five 5 123 4567 now", "phone", "+1 five five 5 123 4567"),
+    ("arrive at this.Then go, at the dot", None, None),
+])
+def test_mixed_disguises(text, kind, source):
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.hidden(text)] == ([(kind, source)] if kind else [])
+
+
+def test_mixed_disguises_are_linear():
+    for unit in (" dot ", "a at a dot ", "a dot ", "1 dot ", "one, ", "a at a.", " ", "[ "):
+        pii.hidden(unit * 60_000)
