@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import embed_join, exact_dedup, langid, mixing, packing, pii, secrets, sharding, simhash, warc
+from pagewright.llm import (
+    embed_join, exact_dedup, langid, mixing, packing, periodic, pii, secrets, sharding, simhash, warc,
+)
 
 SHARDS = 40
 
@@ -73,10 +75,21 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    out = periodic.periodic_runs(periodic.plant_runs(_table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_secret_scan, op3_sharding, op4_warc, op5_simhash, op6_mixing, op7_embedding_dedup,
-        op8_pii, op9_packing, op10_language_id,
+        op8_pii, op9_packing, op10_language_id, op11_periodic_runs,
     )
 }
 
