@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import (
-    embed_join, exact_dedup, langid, mixing, packing, periodic, pii, secrets, sharding, simhash, warc,
+    embed_join, exact_dedup, langid, mixing, packing, periodic, pii, resample, secrets, sharding, simhash, warc,
 )
 
 SHARDS = 40
@@ -86,10 +86,14 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+def op13_resampling(spark, sf_dir):
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_secret_scan, op3_sharding, op4_warc, op5_simhash, op6_mixing, op7_embedding_dedup,
-        op8_pii, op9_packing, op10_language_id, op11_periodic_runs,
+        op8_pii, op9_packing, op10_language_id, op11_periodic_runs, op13_resampling,
     )
 }
 
