@@ -171,7 +171,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     at = F.col("_row")
     texts = with_row_key(docs).select("_key", at[id_col].alias("_id"), text_of(at[text_col]).alias("_text"))
-    # Sketched before the shuffle: both sides of the last join read this one exchange.
+    # Sketched before the shuffle: both sides of the last join read this one exchange.  Spark sees that
+    # it is the same one as long as both ids are kept, so a caller keeps ``next_id``.
     texts = texts.withColumn("_sketch", _bytes(sketch(F.col("_text"), k)))
     sent = texts.join(_ordered(docs, id_col, text_col), "_key").select(
         F.col("_before").alias("_to"), F.col("_id").alias("next_id"), F.left("_text", F.col("_wanted")).alias("_tail"), F.col("_sketch").alias("_next"))

@@ -92,7 +92,7 @@ def op12_fingerprints(spark, sf_dir):
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint.as_text(F.col("sketch")).alias("fingerprint"), fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_id",
     )
 
 
@@ -169,14 +169,15 @@ ORACLE: dict[str, str] = {
         FROM c LEFT JOIN n USING (vec_id)""",
     "op12_fingerprints": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-             n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
+             n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next,
+                          coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
              e AS (SELECT *, left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited FROM n),
              t AS (SELECT DISTINCT unnest([text, next, edited]) AS t FROM e),
              w AS (SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
              s AS (SELECT t, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
                                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END AS s FROM w),
              h AS (SELECT t, list_sort(list_distinct(list_transform(s, lambda x: substring(md5(x), 1, 16))))[1:128] AS h FROM s),
-             j AS (SELECT e.doc_id, e.text, e.edited, a.h AS a, b.h AS b, c.h AS c,
+             j AS (SELECT e.doc_id, e.next_id, e.text, e.edited, a.h AS a, b.h AS b, c.h AS c,
                           list_sort(list_distinct(list_concat(a.h, b.h)))[1:128] AS ab, list_sort(list_distinct(list_concat(a.h, c.h)))[1:128] AS ac
                    FROM e JOIN h a ON a.t = e.text JOIN h b ON b.t = e.edited JOIN h c ON c.t = e.next)
         SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
@@ -184,6 +185,6 @@ ORACLE: dict[str, str] = {
                CASE WHEN len(ab) = 0 THEN 1.0::DOUBLE
                     ELSE len(list_intersect(list_intersect(ab, a), b))::DOUBLE / len(ab) END AS near_edited,
                CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE
-                    ELSE len(list_intersect(list_intersect(ac, a), c))::DOUBLE / len(ac) END AS near_next
+                    ELSE len(list_intersect(list_intersect(ac, a), c))::DOUBLE / len(ac) END AS near_next, next_id
         FROM j""",
 }

@@ -28,12 +28,12 @@ def like(a, b):
 def expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     out = []
-    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+    for (i, text), (after_id, after) in zip(rows, rows[1:] + rows[:1]):
         text, after = text or "", after or ""
         m = len(text) // 4
         edited = text[:len(text) - m] + after[:m]
         a, b, c = plain(text), plain(edited), plain(after)
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), like(a, b), like(a, c)))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), like(a, b), like(a, c), after_id))
     return sorted(map(str, out))
 
 
@@ -118,3 +118,14 @@ def test_sketches_merge(spark):
 def test_main_path_is_native(spark):
     plan = fp.fingerprint_edits(spark.read.parquet(f"{SF_ORACLE}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_texts_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries.QUERIES["op12_fingerprints"](spark, SF_ORACLE)
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("ReusedExchange") == 1 and final.count("documents.parquet") == 1
