@@ -79,11 +79,31 @@ def test_check_grounded_splits_a_hot_document(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_check_grounded_cuts_a_documents_values_into_chunks(spark):
-    """More values than a chunk holds: every value is still tested on every page."""
-    n = 5 * checks.VALUES_PER_CHUNK
-    values = spark.createDataFrame([(1, f"k{i}", f"<v{i}>") for i in range(n)], "doc int, key string, value string")
-    pages = spark.createDataFrame(
-        [(1, " ".join(f"<V{i}>" for i in range(p, n, 6))) for p in range(3)], "doc int, text string")
-    got = {r.value: r.grounded for r in checks.check_grounded(values, pages).collect()}
-    assert got == {f"<v{i}>": i % 6 < 3 for i in range(n)}
+def test_check_grounded_short_values_and_odd_characters(spark):
+    """Values shorter than a gram, at the ends of a page, with wide characters, quotes and line breaks."""
+    texts = ["ab", "xa b", "über\nGröße 日本語 😀 a.b*c", "", "Ω", "İstanbul ẞ"]
+    values = ["a", "b", "ab", "xa", "b*c", "日本", "語", "😀", "größe", "R\ng", "zz", "ω", "x a", "ß", "İ", "本語 😀 a"]
+    rows = [(d, "k", v) for d in range(len(texts)) for v in values] + [(None, "k", "ab")]
+    vdf = spark.createDataFrame(rows, "doc int, key string, value string")
+    sdf = spark.createDataFrame([*enumerate(texts), (0, "ab"), (None, "ab"), (1, None)], "doc int, text string")
+    got = {(r.doc, r.value): r.grounded for r in checks.check_grounded(vdf, sdf).collect()}
+    # Spark's own lower() on both sides is the rule; only where a text holds a value is tested here.
+    low = {r.v: r.l for r in spark.sql("SELECT explode(array(%s)) AS v" % ",".join(
+        "'" + x.replace("\n", "\\n") + "'" for x in [*values, *texts])).selectExpr("v", "lower(v) AS l").collect()}
+    want = {(d, v): low[v] in low[texts[d]] for d in range(len(texts)) for v in values} | {(None, "ab"): False}
+    assert got == want
+
+
+def test_check_grounded_many_values_meet_only_their_pages(spark):
+    """10,000 values on 2,000 pages of one document: meetings grow with the hits, not with values times pages."""
+    n, pages = 10_000, 2_000
+    values = spark.createDataFrame([(1, f"k{i}", f"<v{i:05d}>" if i % 2 else f"absent {i:05d}") for i in range(n)],
+                                   "doc int, key string, value string")
+    sources = spark.createDataFrame(
+        [(1, " ".join(f"<V{i:05d}>" for i in range(p, n, pages))) for p in range(pages)], "doc int, text string")
+    out = checks.check_grounded(values, sources)
+    got = {r.value: r.grounded for r in out.collect()}
+    assert len(got) == n and all(found == v.startswith("<") for v, found in got.items())
+    # Rows that the gram index hands to the final look: about one page for each value that is there.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
