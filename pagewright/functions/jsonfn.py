@@ -134,3 +134,43 @@ def object_entries(json_text: Column | str) -> Column:
             e["key"].substr(F.lit(2), F.length(e["key"]) - 2).alias("key"), _value_text(e["value"]).alias("value")
         ),
     )
+
+
+# What json_kind knows, by the first character of a value's text.
+_KIND_BY_START = {'"': "string", "{": "object", "[": "array", "t": "boolean", "f": "boolean", "n": "null"}
+
+
+def json_kind(json_text: Column) -> Column:
+    """Kind of a JSON value from its text: string, object, array, boolean, null or number."""
+    kinds = F.create_map(*[F.lit(x) for pair in _KIND_BY_START.items() for x in pair])
+    return F.coalesce(F.try_element_at(kinds, F.substring(json_text, 1, 1)), F.lit("number"))
+
+
+def json_children(json_text: Column) -> Column:
+    """``array<struct<key, value>>``: an object's entries, an array's items (``key`` NULL), none for other values.
+
+    Values are texts as written, repeated keys are all there.  Text that is
+    not valid JSON has no children.
+    """
+    first = F.substring(json_text, 1, 1)
+    items = F.transform(
+        F.from_json(F.when((first == "[") & is_valid_json(json_text), _marked(json_text)), "array<string>"),
+        lambda v: F.struct(F.lit(None).cast("string").alias("key"), _value_text(v).alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.coalesce(F.when(first == "[", items).otherwise(object_entries(F.when(first == "{", json_text))), none)
+
+
+# Strings of a JSON text, and all but the brackets.
+_NOT_BRACKETS = rf'(?s)"{_BODY}"|[^\[\]{{}}]'
+
+
+def json_depth(json_text: Column) -> Column:
+    """How deep objects and arrays are nested (0: a scalar)."""
+    brackets = F.split(F.regexp_replace(json_text, _NOT_BRACKETS, ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, c):
+        now = acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(brackets, zero, step, lambda acc: acc["most"])

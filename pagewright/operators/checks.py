@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.jsonfn import object_entries
+from pagewright.functions.jsonfn import json_kind, object_entries
 from pagewright.operators.combine import template_keys
 from pagewright.operators.ranking import join_per_group
 from pagewright.session import ensure_checkpoint_dir
@@ -23,19 +23,6 @@ WORD_CHAR = r"[\p{L}\p{N}]"
 BITMAP_WORDS = 16  # longs of a document's bitmap of value grams
 
 
-def json_kind(json_text: Column) -> Column:
-    """Kind of a JSON value from its text: string, object, array, boolean, null or number."""
-    first = F.substring(json_text, 1, 1)
-    return (
-        F.when(first == '"', F.lit("string"))
-        .when(first == "{", F.lit("object"))
-        .when(first == "[", F.lit("array"))
-        .when(first.isin("t", "f"), F.lit("boolean"))
-        .when(first == "n", F.lit("null"))
-        .otherwise(F.lit("number"))
-    )
-
-
 def check_template(replies: DataFrame, template, key_cols: Sequence[str], json_col: str = "j",
                    examples: dict | None = None) -> DataFrame:
     """Problems per reply: ``(keys..., key, problem)``.

@@ -796,6 +796,79 @@ def q_check_template(spark, sf):
     return checks.check_template(V.batch_json(spark, sf), V.BINDER_TEMPLATE, ["doc", "batch_no"], "j", TEMPLATE_EXAMPLES)
 
 
+# The nested template as the rows (path, kind, parent): stated here on its own.
+_NESTED_SQL = """(VALUES ('$', 'object', NULL), ('document', 'object', '$'), ('document.title', 'string', 'document'),
+    ('document.lang', 'string', 'document'), ('document.author', 'string', 'document'), ('stats', 'object', '$'),
+    ('stats.pages', 'number', 'stats'), ('stats.mean', 'number', 'stats'), ('stats.range', 'object', 'stats'),
+    ('stats.range.first', 'number', 'stats.range'), ('stats.range.last', 'number', 'stats.range'), ('sheets', 'array', '$'),
+    ('sheets[]', 'object', 'sheets'), ('sheets[].id', 'number', 'sheets[]'), ('sheets[].heading', 'string', 'sheets[]'),
+    ('notes', 'array', '$'), ('notes[]', 'string', 'notes')) t(path, kind, above)"""
+
+
+@register("check_nested_template", with_views(["nested_nodes"], f"""
+    SELECT doc, batch_no, path, problem, count(*) AS n FROM (
+      SELECT p.doc, p.batch_no, t.path, 'missing' AS problem
+      FROM nested_nodes p JOIN {_NESTED_SQL} ON t.above = p.path AND p.kind = 'object' AND NOT t.path LIKE '%[]'
+      WHERE NOT EXISTS (SELECT 1 FROM nested_nodes c WHERE c.doc = p.doc AND c.batch_no = p.batch_no AND c.parent = p.id AND c.path = t.path)
+      UNION ALL
+      SELECT c.doc, c.batch_no, c.path, 'extra'
+      FROM nested_nodes c JOIN nested_nodes p ON c.doc = p.doc AND c.batch_no = p.batch_no AND c.parent = p.id
+      WHERE p.path IN (SELECT path FROM {_NESTED_SQL}) AND c.path NOT IN (SELECT path FROM {_NESTED_SQL})
+      UNION ALL
+      SELECT c.doc, c.batch_no, c.path, 'kind' FROM nested_nodes c JOIN {_NESTED_SQL} ON t.path = c.path
+      WHERE c.kind <> t.kind AND c.value <> '""'
+      UNION ALL
+      SELECT doc, batch_no, path, 'repeated'
+      FROM (SELECT doc, batch_no, path, row_number() OVER (PARTITION BY doc, batch_no, parent, path) AS k FROM nested_nodes
+            WHERE path NOT LIKE '%[]')
+      WHERE k > 1 AND path IN (SELECT path FROM {_NESTED_SQL}))
+    GROUP BY doc, batch_no, path, problem"""))
+def q_check_nested_template(spark, sf):
+    from pagewright.operators import shape
+
+    return shape.check_template_paths(V.nested_replies(spark, sf), V.NESTED_TEMPLATE, ["doc", "batch_no"])
+
+
+_SHAPE_SQL = """
+      SELECT c.doc, c.path, any_value(p.path) AS parent, any_value(CASE WHEN c.path LIKE '%[]' THEN NULL ELSE c.key END) AS key,
+             list_filter(['object', 'array', 'string', 'number', 'boolean', 'null'], lambda k: list_contains(list(c.kind), k)) AS kinds,
+             count(*) AS n_values,
+             CASE WHEN c.path LIKE '%[]' OR c.path = '$' THEN count(*) ELSE count(DISTINCT (c.batch_no, c.parent)) END AS n_present
+      FROM nested_nodes c LEFT JOIN nested_nodes p ON c.doc = p.doc AND c.batch_no = p.batch_no AND c.parent = p.id
+      GROUP BY c.doc, c.path"""
+
+
+@register("reply_shape", with_views(["nested_nodes"], """
+    SELECT s.*, CASE WHEN s.key IS NOT NULL THEN o.n END AS n_parents, coalesce(s.key IS NOT NULL AND o.n = n_present, false) AS required
+    FROM shapes s LEFT JOIN (SELECT doc, path, count(*) FILTER (WHERE kind = 'object') AS n FROM nested_nodes GROUP BY doc, path) o
+      ON o.doc = s.doc AND o.path = s.parent""", [("shapes", _SHAPE_SQL)]))
+def q_reply_shape(spark, sf):
+    from pagewright.operators import shape
+
+    return shape.shape_rows(V.nested_replies(spark, sf), "j", ["doc"])
+
+
+# One schema object for all replies: the oracle states which schema the fixture's replies have.
+@register("reply_schema", with_views(["nested_replies"], """
+    SELECT '{"type":"object","properties":{"document":{"type":"object","properties":{"author":{"type":"string"},'
+           || '"lang":{"type":' || CASE WHEN third > 0 THEN '["string","null"]' ELSE '"string"' END || '},"title":{"type":"string"}},"required":['
+           || CASE WHEN authors = n THEN '"author",' ELSE '' END || '"lang","title"]},'
+           || CASE WHEN third > 0 THEN '"extra.1":{"type":"object","properties":{"deep":{"type":"array","items":{"type":["object","number"],'
+              || '"properties":{"x":{"type":"boolean"}},"required":["x"]}}},"required":["deep"]},' ELSE '' END
+           || '"notes":{"type":"array","items":{"type":["string","number","null"]}},'
+           || '"sheets":{"type":"array","items":{"type":"object","properties":{"heading":{"type":"string"},"id":{"type":"number"}},"required":["id"]}},'
+           || '"stats":{"type":["object","string"],"properties":{"mean":{"type":"number"},"pages":{"type":["string","number"]},'
+           || '"range":{"type":"object","properties":{"first":{"type":"number"},"last":{"type":"number"},"step":{"type":"number"}},'
+           || '"required":["first","last"]}},"required":["mean","pages"]}},'
+           || '"required":["document",' || CASE WHEN third = n THEN '"extra.1",' ELSE '' END || '"notes","sheets","stats"]}' AS shape
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE batch_no = 3) AS third, count(*) FILTER (WHERE doc % 3 = 0) AS authors
+          FROM nested_replies)"""))
+def q_reply_schema(spark, sf):
+    from pagewright.operators import shape
+
+    return shape.shape_json(shape.shape_rows(V.nested_replies(spark, sf), "j"))
+
+
 @register("check_grounded", _combine_sql("""
     SELECT f.doc, f.key, f.value, bool_or(coalesce(instr(lower(b.html), lower(f.value)) > 0, false)) AS grounded
     FROM (SELECT doc, key, json_extract_string(value, '$') AS value FROM filled WHERE left(value, 1) = '"') f

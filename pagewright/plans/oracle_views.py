@@ -110,6 +110,29 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      min(page_id) AS first_id, max(page_id) AS last_id
               FROM (SELECT *, CAST((page_no - 1) // 2 + 1 AS BIGINT) AS batch_no FROM binder_fields)
               GROUP BY doc, batch_no)"""),
+    "nested_replies": (("binder_fields",), """
+        SELECT doc, batch_no,
+               '{"document":{"title":' || to_json(title)::VARCHAR || ',"lang":' || to_json(lang)::VARCHAR
+               || CASE WHEN doc % 3 = 0 THEN ',"author":"A"' ELSE '' END || CASE WHEN batch_no = 3 THEN ',"lang":null' ELSE '' END
+               || '},"stats":' || CASE doc % 4
+                    WHEN 0 THEN '{"pages":' || pages || ',"mean":1.50,"range":{"first":' || first_id || ',"last":' || last_id || '}}'
+                    WHEN 1 THEN '{"pages":"' || pages || '","mean":2}'
+                    WHEN 2 THEN '""'
+                    ELSE '{"pages":' || pages || ',"mean":-1e2,"range":{"first":' || first_id || ',"last":' || last_id || ',"step":1}}' END
+               || ',"sheets":[{"id":' || first_id || ',"heading":' || to_json(h1)::VARCHAR || '},{"id":' || last_id || '}],"notes":'
+               || CASE WHEN batch_no % 2 = 1 THEN '["a [b]",1,null]' ELSE '[]' END
+               || CASE WHEN batch_no = 3 THEN ',"extra.1":{"deep":[1,{"x":true}]}' ELSE '' END || '}' AS j
+        FROM (SELECT doc, batch_no, arg_min(title, page_no) AS title, arg_max(lang, page_no) AS lang, arg_min(h1, page_no) AS h1,
+                     count(*) AS pages, min(page_id) AS first_id, max(page_id) AS last_id
+              FROM (SELECT *, CAST((page_no - 1) // 2 + 1 AS BIGINT) AS batch_no FROM binder_fields)
+              GROUP BY doc, batch_no)"""),
+    # All values of the nested replies: path without array positions, the object or array above, the kind.
+    "nested_nodes": (("nested_replies",), r"""
+        SELECT r.doc, r.batch_no, t.id, t.parent,
+               CASE WHEN t.parent IS NULL THEN '$' ELSE regexp_replace(substr(t.fullkey, 3), '\[[0-9]+\]', '[]', 'g') END AS path,
+               t.key, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number'
+                                  WHEN 'DOUBLE' THEN 'number' ELSE lower(t.type) END AS kind, t.value::VARCHAR AS value
+        FROM nested_replies r, json_tree(r.j) t"""),
     "dirty_replies": ((), f"""
         SELECT event_id,
                CASE event_id % 5

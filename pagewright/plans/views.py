@@ -109,6 +109,47 @@ def batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc", "batch_no", F.concat(fixed.substr(F.lit(1), F.length(fixed) - 1), own).alias("j"))
 
 
+# Template of the nested replies: two objects deep, an array of objects and one of strings.
+NESTED_TEMPLATE = (
+    '{"document":{"title":"","lang":"","author":""},"stats":{"pages":0,"mean":0,"range":{"first":0,"last":0}},'
+    '"sheets":[{"id":0,"heading":""}],"notes":[""]}'
+)
+
+
+def nested_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, batch_no, j): nested replies that keep to ``NESTED_TEMPLATE`` in some batches and not in others.
+
+    By ``doc % 4`` the statistics are whole, lack the range and hold a text,
+    are "not found" (``""``), or have a key more; every third document names
+    an author; the second sheet has no heading; odd batches mix kinds in
+    ``notes`` and the third repeats a key and adds an object of its own.
+    """
+    b = _batches(spark, sf_dir)
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    def quoted(name):
+        return F.to_json(F.col(name).cast("variant"))
+
+    n, first, last = F.col("pages"), F.col("first_id"), F.col("last_id")
+    third = F.col("batch_no") == 3
+    author = F.when(F.col("doc") % 3 == 0, F.lit(',"author":"A"')).otherwise(F.lit(""))
+    again = F.when(third, F.lit(',"lang":null')).otherwise(F.lit(""))
+    span = text('"range":{"first":', first, ',"last":', last)
+    stats = (
+        F.when(F.col("doc") % 4 == 0, text('{"pages":', n, ',"mean":1.50,', span, "}}"))
+        .when(F.col("doc") % 4 == 1, text('{"pages":"', n, '","mean":2}'))
+        .when(F.col("doc") % 4 == 2, F.lit('""'))
+        .otherwise(text('{"pages":', n, ',"mean":-1e2,', span, ',"step":1}}'))
+    )
+    notes = F.when(F.col("batch_no") % 2 == 1, F.lit('["a [b]",1,null]')).otherwise(F.lit("[]"))
+    own = F.when(third, F.lit(',"extra.1":{"deep":[1,{"x":true}]}')).otherwise(F.lit(""))
+    j = text('{"document":{"title":', quoted("title"), ',"lang":', quoted("lang"), author, again, '},"stats":', stats,
+             ',"sheets":[{"id":', first, ',"heading":', quoted("h1"), '},{"id":', last, '}],"notes":', notes, own, "}")
+    return b.select("doc", "batch_no", j.alias("j"))
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = binder_fields(spark, sf_dir).withColumn(
         "batch_no", (F.expr(f"(page_no - 1) div {PAGES_PER_REPLY}") + 1).cast("bigint")
