@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The markdown rules say headings start with "##" or "###",
@@ -200,23 +200,6 @@ def line_kind(line: Column) -> Column:
     )
 
 
-def markdown_lines(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """One row per markdown line: ``(keys..., line_no, line, kind, section_no, section)``.
-
-    ``section`` is the latest header or subheader at or above the line
-    (``""`` before the first one); the running window spans one page, which
-    was already one input row, so it adds no hot task.
-    """
-    lines = df.select(*key_cols, F.posexplode(F.split(F.col(md_col), "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("line_no", (F.col("line_no") + 1).cast("bigint")).withColumn("kind", line_kind(F.col("line")))
-    is_head = F.col("kind").isin("header", "subheader")
-    w = Window.partitionBy(*key_cols).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    heading_text = F.when(is_head, F.regexp_replace(F.col("line"), r"^#+ ", ""))
-    return lines.withColumn("section_no", F.sum(is_head.cast("bigint")).over(w)).withColumn(
-        "section", F.coalesce(F.last(heading_text, ignorenulls=True).over(w), F.lit(""))
-    )
-
-
 def _json_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
@@ -232,82 +215,186 @@ def _fields_json(fields: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(labels, entry), ","), F.lit("}"))
 
 
-def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
-    """Outline per page and section: its content, and counts of lists, links, fields and text lines.
-
-    Output ``(keys..., section_no, section, level, n_lists, n_links, n_fields,
-    n_text, n_chars, content)``; headers rank above subheaders (``level`` 2 /
-    3, 0 before the first heading).  ``content`` is the section as JSON:
-    ``{"Section": heading, "Fields": {label: value}, "Lists": [...], "Links":
-    [{"Text", "Href"}], "Text": [...]}``, in line order; ``Links`` holds the
-    links of every line.  A section is a part of one page, so the lists
-    gathered here are bounded by the page.
+# How much an element of a page matters: headings before lists, a list before its items, all before plain text.
+IMPORTANCE = {"header": 6, "subheader": 5, "list": 4, "field": 3, "link": 3, "item": 2, "text": 1}
+SECTION_START = r"\n(?=###? )"
+
+
+def markdown_sections(md: Column) -> Column:
+    """The sections of a page in order: ``array<struct<section_no, level, section, parent_no, path, start, lines>>``.
+
+    A section is a heading with the lines up to the next one; what stands
+    before the first heading is section 0 (``level`` 0, no heading).  One
+    ``aggregate`` over the sections keeps the open header: a subheader's
+    ``parent_no`` is that header's number (NULL for headers, and for subheaders
+    without a header above), and ``path`` the headings from the top down, parted
+    by " > ".  ``start`` is the section's first line (from 1), ``lines`` its
+    lines as ``struct<line, kind>``.  All inside the page's row.
     """
-    lines = markdown_lines(df, md_col, key_cols)
-    kind, line = F.col("kind"), F.col("line")
+    def read(piece: Column) -> Column:
+        def line(x: Column) -> Column:
+            return F.struct(x.alias("line"), line_kind(x).alias("kind"))
+
+        return F.transform(F.split(piece, "\n", -1), line)
+
+    def heading(lines: Column) -> Column:
+        return F.regexp_replace(lines[0]["line"], r"^#+ ", "")
 
-    def in_order(value: Column, *kinds: str) -> Column:
-        wanted = F.when(kind.isin(*kinds), F.struct("line_no", value.alias("v")))
-        return F.transform(F.array_sort(F.collect_list(wanted)), lambda x: x["v"])
+    zero = F.struct(
+        F.lit(1).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("no"), F.lit(None).cast("bigint").alias("open"),
+        F.lit(None).cast("string").alias("title"),
+        F.array().cast("array<struct<no:bigint,parent:bigint,path:string,start:bigint>>").alias("out"))
 
-    links = F.arrays_zip(
+    def step(acc: Column, lines: Column) -> Column:
+        kind = lines[0]["kind"]
+        is_sub = kind == "subheader"
+        no = acc["no"] + F.when(kind.isin("header", "subheader"), 1).otherwise(0)
+        path = F.when(is_sub, F.concat_ws(" > ", acc["title"], heading(lines))).when(kind == "header", heading(lines)).otherwise(F.lit(""))
+        here = F.struct(no.alias("no"), F.when(is_sub, acc["open"]).alias("parent"), path.alias("path"), acc["line"].alias("start"))
+        return F.struct(
+            (acc["line"] + F.size(lines)).alias("line"), no.alias("no"), F.when(kind == "header", no).otherwise(acc["open"]).alias("open"),
+            F.when(kind == "header", heading(lines)).otherwise(acc["title"]).alias("title"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    def number(pieces: Column) -> Column:
+        placed = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+        def joined(at: Column) -> Column:
+            def one(lines: Column, i: Column) -> Column:
+                kind = lines[0]["kind"]
+                level = F.when(kind == "header", 2).when(kind == "subheader", 3).otherwise(0).cast("bigint")
+                p = F.get(at, i)
+                return F.struct(p["no"].alias("section_no"), level.alias("level"), F.when(level > 0, heading(lines)).otherwise(F.lit("")).alias("section"),
+                                p["parent"].alias("parent_no"), p["path"].alias("path"), p["start"].alias("start"), lines.alias("lines"))
+
+            return F.transform(pieces, one)
+
+        return F.flatten(F.transform(F.array(placed), joined))
+
+    pieces = F.transform(F.split(md, SECTION_START, -1), read)
+    return F.flatten(F.transform(F.array(pieces), number))
+
+
+def _links(line: Column) -> Column:
+    return F.arrays_zip(
         F.regexp_extract_all(line, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(line, F.lit(LINK), 2).alias("h"))
-    field = F.struct(F.regexp_extract(line, FIELD_LINE, 1).alias("label"), F.regexp_extract(line, FIELD_LINE, 2).alias("value"))
-    linked = F.when(F.size(links) > 0, F.struct("line_no", links.alias("v")))
-    out = lines.groupBy(*key_cols, "section_no").agg(
-        F.max(F.when(kind.isin("header", "subheader"), F.col("section"))).alias("section"),
-        F.coalesce(
-            F.max(F.when(kind == "header", F.lit(2)).when(kind == "subheader", F.lit(3))), F.lit(0)
-        ).cast("bigint").alias("level"),
-        F.sum((kind == "list").cast("bigint")).alias("n_lists"),
-        F.sum((kind == "link").cast("bigint")).alias("n_links"),
-        F.sum((kind == "field").cast("bigint")).alias("n_fields"),
-        F.sum((kind == "text").cast("bigint")).alias("n_text"),
-        F.sum(F.when(kind.isin("list", "link", "field", "text"), F.length("line")).otherwise(0)).cast("bigint").alias("n_chars"),
-        in_order(field, "field").alias("_fields"),
-        in_order(F.regexp_replace(line, r"^[-*] ", ""), "list").alias("_lists"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(linked)), lambda x: x["v"])).alias("_links"),
-        in_order(line, "text").alias("_text"),
-    ).withColumn("section", F.coalesce(F.col("section"), F.lit("")))
+
+
+def _summary(s: Column) -> Column:
+    """A section's counts and its content as JSON, up to the closing brace."""
+    def of_kind(kind: str) -> Column:
+        return F.transform(F.filter(s["lines"], lambda x: x["kind"] == kind), lambda x: x["line"])
+
+    def field(line: Column) -> Column:
+        return F.struct(F.regexp_extract(line, FIELD_LINE, 1).alias("label"), F.regexp_extract(line, FIELD_LINE, 2).alias("value"))
+
+    def count(kind: str) -> Column:
+        return F.size(of_kind(kind)).cast("bigint")
+
+    lists = F.transform(of_kind("list"), lambda x: json_string(F.regexp_replace(x, r"^[-*] ", "")))
+    links = F.transform(F.flatten(F.transform(s["lines"], lambda x: _links(x["line"]))), lambda x: F.concat(
+        F.lit('{"Text":'), json_string(x["t"]), F.lit(',"Href":'), json_string(x["h"]), F.lit("}")))
+    weight = F.when(s["level"] == 2, F.lit(IMPORTANCE["header"])).when(s["level"] == 3, F.lit(IMPORTANCE["subheader"])).otherwise(
+        F.lit(IMPORTANCE["text"])).cast("bigint")
     content = F.concat(
-        F.lit('{"Section":'), json_string("section"),
-        F.lit(',"Fields":'), _fields_json(F.col("_fields")),
-        F.lit(',"Lists":'), _json_list(F.transform("_lists", json_string)),
-        F.lit(',"Links":'), _json_list(F.transform("_links", lambda x: F.concat(
-            F.lit('{"Text":'), json_string(x["t"]), F.lit(',"Href":'), json_string(x["h"]), F.lit("}")))),
-        F.lit(',"Text":'), _json_list(F.transform("_text", json_string)), F.lit("}"),
-    )
-    return out.withColumn("content", content).drop("_fields", "_lists", "_links", "_text")
+        F.lit('{"Section":'), json_string(s["section"]), F.lit(',"Importance":'), weight.cast("string"),
+        F.lit(',"Fields":'), _fields_json(F.transform(of_kind("field"), field)),
+        F.lit(',"Lists":'), _json_list(lists), F.lit(',"Links":'), _json_list(links),
+        F.lit(',"Text":'), _json_list(F.transform(of_kind("text"), json_string)))
+    chars = F.aggregate(s["lines"], F.lit(0).cast("bigint"), lambda n, x: n + F.when(
+        x["kind"].isin("list", "link", "field", "text"), F.length(x["line"])).otherwise(0))
+    return F.struct(
+        s["section_no"].alias("section_no"), s["section"].alias("section"), s["level"].alias("level"),
+        s["parent_no"].alias("parent_no"), s["path"].alias("path"), weight.alias("importance"),
+        count("list").alias("n_lists"), count("link").alias("n_links"), count("field").alias("n_fields"),
+        count("text").alias("n_text"), chars.alias("n_chars"), content.alias("content"))
+
 
+def _summaries(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
+    """``(keys..., _s)``: the sections of a page as one array, put together in its row."""
+    staged = df.where(F.col(md_col).isNotNull()).select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
+    return staged.select(*key_cols, F.transform("_sections", _summary).alias("_s"))
 
-def page_entries(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "entry") -> DataFrame:
-    """One ``"Page n": {"Header": h, "Sections": [...]}`` entry per page.
 
-    ``Header`` is the page's first heading (``""`` if none); ``Sections``
-    lists the page's sections with their content, the lines before the first
-    heading (section 0) first when there is anything in them.  Groups are
-    single pages (bounded).
+def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
+    """Outline per page and section: its place, its content, and counts of lists, links, fields and text lines.
+
+    Output ``(keys..., section_no, section, level, parent_no, path, importance,
+    n_lists, n_links, n_fields, n_text, n_chars, content)``; headers rank above
+    subheaders (``level`` 2 / 3, 0 before the first heading), ``parent_no`` and
+    ``path`` as in ``markdown_sections``, ``importance`` from ``IMPORTANCE``.
+    ``content`` is the section as JSON: ``{"Section": heading, "Importance": n,
+    "Fields": {label: value}, "Lists": [...], "Links": [{"Text", "Href"}],
+    "Text": [...]}``, in line order; ``Links`` holds the links of every line.
+    The lines are folded inside the page's row: nothing is shuffled.
     """
-    has_content = (F.col("section_no") > 0) | (F.col("n_chars") > 0)
-    per_page = outline.groupBy(doc_col, page_col).agg(
-        F.max(F.when(F.col("section_no") == 1, F.col("section"))).alias("_header"),
-        F.array_sort(F.collect_list(F.when(has_content, F.struct("section_no", "content")))).alias("_s"),
-    )
-    page_obj = F.concat(
-        F.lit('{"Header":'), json_string(F.coalesce(F.col("_header"), F.lit(""))),
-        F.lit(',"Sections":'), _json_list(F.transform("_s", lambda s: s["content"])), F.lit("}"),
-    )
-    entry = F.concat(F.lit('"Page '), F.col(page_col).cast("string"), F.lit('":'), page_obj)
-    return per_page.select(doc_col, page_col, entry.alias(out))
+    out = _summaries(df, md_col, key_cols).select(*key_cols, F.inline("_s"))
+    return out.withColumn("content", F.concat("content", F.lit("}")))
+
+
+def markdown_elements(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
+    """Every element of a page with its weight: ``(keys..., line_no, kind, importance, section_no, path, text)``.
+
+    Kinds are those of ``IMPORTANCE``: a run of list lines is a ``list`` (its
+    text is the number of items) followed by its items.  Blank lines are no
+    elements.  Inside the page's row, as the outline.
+    """
+    weights = F.create_map(*[F.lit(x) for kv in IMPORTANCE.items() for x in kv])
+
+    def element(s: Column, i: Column, kind: Column, text: Column) -> Column:
+        return F.struct((s["start"] + i).alias("line_no"), kind.alias("kind"), F.try_element_at(weights, kind).cast("bigint").alias("importance"),
+                        s["section_no"].alias("section_no"), s["path"].alias("path"), text.alias("text"))
+
+    def of_section(s: Column) -> Column:
+        lines = s["lines"]
+        listed = F.transform(lines, lambda x: x["kind"] == "list")
+
+        def of_line(x: Column, i: Column) -> Column:
+            is_item = x["kind"] == "list"
+            first = is_item & ~F.coalesce(F.get(listed, i - 1), F.lit(False))
+            after = F.slice(listed, i + 1, F.size(listed))
+            run = F.when(F.array_position(after, False) > 0, F.array_position(after, False) - 1).otherwise(F.size(after))
+            kind = F.when(is_item, F.lit("item")).otherwise(x["kind"])
+            text = F.when(is_item, F.regexp_replace(x["line"], r"^[-*] ", "")).when(
+                kind.isin("header", "subheader"), F.regexp_replace(x["line"], r"^#+ ", "")).otherwise(x["line"])
+            one = F.array(element(s, i, kind, text))
+            return F.when(first, F.concat(F.array(element(s, i, F.lit("list"), run.cast("string"))), one)).when(x["kind"] != "blank", one)
+
+        return F.flatten(F.filter(F.transform(lines, of_line), lambda e: e.isNotNull()))
+
+    staged = df.where(F.col(md_col).isNotNull()).select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
+    return staged.select(*key_cols, F.inline(F.flatten(F.transform("_sections", of_section))))
+
+
+def page_entries(df: DataFrame, md_col: str, doc_col: str, page_col: str = "page_no", out: str = "entry") -> DataFrame:
+    """One ``"Page n": {"Header": h, "Sections": [...]}`` entry per page of markdown.
+
+    ``Header`` is the page's first heading (``""`` if none).  ``Sections`` lists
+    the page's sections with their content, the lines before the first heading
+    (section 0) first when there is anything in them; a header's subheaders
+    stand in its own ``"Sections"``.  Built inside the page's row.
+    """
+    def nested(all_sections: Column) -> Column:
+        def children(s: Column) -> Column:
+            below = F.filter(all_sections, lambda c: c["parent_no"] == s["section_no"])
+            return _json_list(F.transform(below, lambda c: F.concat(c["content"], F.lit(',"Sections":[]}'))))
+
+        top = F.filter(all_sections, lambda s: s["parent_no"].isNull() & ((s["section_no"] > 0) | (s["n_chars"] > 0)))
+        return _json_list(F.transform(top, lambda s: F.concat(s["content"], F.lit(',"Sections":'), children(s), F.lit("}"))))
+
+    first = F.filter("_s", lambda s: s["section_no"] == 1)
+    header = F.coalesce(F.get(F.transform(first, lambda s: s["section"]), F.lit(0)), F.lit(""))
+    body = F.concat(F.lit('{"Header":'), json_string(header), F.lit(',"Sections":'), nested(F.col("_s")), F.lit("}"))
+    entry = F.concat(F.lit('"Page '), F.col(page_col).cast("string"), F.lit('":'), body)
+    return _summaries(df, md_col, [doc_col, page_col]).select(doc_col, page_col, entry.alias(out))
 
 
-def assemble_pages(outline: DataFrame, doc_col: str, page_col: str = "page_no", out: str = "record") -> DataFrame:
-    """One JSON object per document: ``{"Page n": {...}, ...}`` in page order.
+def assemble_pages(df: DataFrame, md_col: str, doc_col: str, page_col: str = "page_no", out: str = "record") -> DataFrame:
+    """One JSON object per document: ``{"Page n": {...}, ...}`` in page order, from its pages of markdown.
 
     The record is one row per document by definition; for documents too large
     for one row keep ``page_entries`` (one row per page) instead.
     """
-    e = page_entries(outline, doc_col, page_col, "_entry")
+    e = page_entries(df, md_col, doc_col, page_col, "_entry")
     g = e.groupBy(doc_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("p"), F.col("_entry").alias("e")))).alias("_e")
     )

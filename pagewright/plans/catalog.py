@@ -704,17 +704,28 @@ _SECTIONS_SQL = """
       GROUP BY doc, page_no, section_no"""
 _OUTLINE_SQL = """
       SELECT s.doc, s.page_no, s.section_no, section, level, n_lists, n_links, n_fields, n_text, n_chars,
-             '{"Section":' || to_json(section)::VARCHAR || ',"Fields":{' || coalesce(fields, '')
+             CASE WHEN level = 3 THEN above END AS parent_no,
+             CASE WHEN level = 3 AND above IS NOT NULL THEN above_title || ' > ' || section ELSE section END AS path,
+             CASE level WHEN 2 THEN 6::BIGINT WHEN 3 THEN 5::BIGINT ELSE 1::BIGINT END AS importance,
+             '{"Section":' || to_json(section)::VARCHAR || ',"Importance":' || CASE level WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 1 END
+             || ',"Fields":{' || coalesce(fields, '')
              || '},"Lists":[' || coalesce(lists, '') || '],"Links":[' || coalesce(links, '')
              || '],"Text":[' || coalesce(texts, '') || ']}' AS content
-      FROM sections s LEFT JOIN fields f ON f.doc = s.doc AND f.page_no = s.page_no AND f.section_no = s.section_no"""
+      FROM (SELECT *, max(CASE WHEN level = 2 THEN section_no END) OVER up AS above,
+                   last_value(CASE WHEN level = 2 THEN section END IGNORE NULLS) OVER up AS above_title
+            FROM sections WINDOW up AS (PARTITION BY doc, page_no ORDER BY section_no)) s
+      LEFT JOIN fields f ON f.doc = s.doc AND f.page_no = s.page_no AND f.section_no = s.section_no"""
 _ENTRY_SQL = """
       SELECT doc, page_no,
              '"Page ' || CAST(page_no AS VARCHAR) || '":{"Header":'
              || to_json(coalesce(max(CASE WHEN section_no = 1 THEN section END), ''))::VARCHAR
-             || ',"Sections":[' || coalesce(string_agg(CASE WHEN section_no > 0 OR n_chars > 0 THEN content END, ','
+             || ',"Sections":[' || coalesce(string_agg(CASE WHEN parent_no IS NULL AND (section_no > 0 OR n_chars > 0)
+                                                            THEN content[:-2] || ',"Sections":[' || coalesce(inside, '') || ']}' END, ','
                                                        ORDER BY section_no), '') || ']}' AS entry
-      FROM outline GROUP BY doc, page_no"""
+      FROM (SELECT o.*, (SELECT string_agg(c.content[:-2] || ',"Sections":[]}', ',' ORDER BY c.section_no) FROM outline c
+                         WHERE c.doc = o.doc AND c.page_no = o.page_no AND c.parent_no = o.section_no) AS inside
+            FROM outline o)
+      GROUP BY doc, page_no"""
 
 
 def _outline_sql(body: str) -> str:
@@ -735,8 +746,7 @@ def q_markdown_outline(spark, sf):
 def q_assemble_pages(spark, sf):
     from pagewright.operators import extract
 
-    o = extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
-    return extract.assemble_pages(o, "doc")
+    return extract.assemble_pages(V.markdown_pages(spark, sf), "md", "doc")
 
 
 # The bounded form of assemble_pages: one entry row per page.
@@ -744,8 +754,23 @@ def q_assemble_pages(spark, sf):
 def q_page_entries(spark, sf):
     from pagewright.operators import extract
 
-    o = extract.markdown_outline(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
-    return extract.page_entries(o, "doc")
+    return extract.page_entries(V.markdown_pages(spark, sf), "md", "doc")
+
+
+@register("outline_elements", _outline_sql("""
+    SELECT l.doc, l.page_no, l.line_no, e.kind, e.weight AS importance, l.section_no, o.path,
+           CASE WHEN e.kind = 'list' THEN CAST(n_items AS VARCHAR) WHEN e.kind = 'item' THEN line[3:]
+                WHEN e.kind IN ('header', 'subheader') THEN regexp_replace(line, '^#+ ', '') ELSE line END AS text
+    FROM (SELECT *, CASE WHEN kind = 'list' THEN count(*) OVER (PARTITION BY doc, page_no, section_no, kind, run) END AS n_items,
+                 kind = 'list' AND row_number() OVER (PARTITION BY doc, page_no, section_no, kind, run ORDER BY line_no) = 1 AS starts
+          FROM (SELECT *, line_no - row_number() OVER (PARTITION BY doc, page_no, section_no, kind ORDER BY line_no) AS run FROM lines)) l
+    JOIN (VALUES ('header', 6::BIGINT), ('subheader', 5), ('list', 4), ('field', 3), ('link', 3), ('item', 2), ('text', 1)) e(kind, weight)
+      ON e.kind = CASE WHEN l.kind = 'list' THEN 'item' ELSE l.kind END OR (e.kind = 'list' AND l.starts)
+    JOIN outline o ON o.doc = l.doc AND o.page_no = l.page_no AND o.section_no = l.section_no"""))
+def q_outline_elements(spark, sf):
+    from pagewright.operators import extract
+
+    return extract.markdown_elements(V.markdown_pages(spark, sf), "md", ["doc", "page_no"])
 
 
 _TYPE_SQL = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT'

@@ -9,31 +9,31 @@ from pagewright.operators import extract
 PAGE = """Harbour Tide Report
 By Vela Norn, Tarn Ombly
 Date: day 9 of the count
-Total savings: 71%
-Small firms: 18%
+Spring tide: 71%
+Neap tide: 18%
 Basins: north; south"""
 
 RULES = [
     ("title", r"^([^\n]*)"),
     ("authors", r"(?:By |, )([A-Z][a-z]+ [A-Z][a-z]+)", "all"),
     ("date", r"Date: ([^\n]*)"),
-    ("survey_results.expected_savings.total", r"Total savings: ([0-9]+)%", "int"),
-    ("survey_results.expected_savings.small", r"Small firms: ([0-9]+)%", "int"),
-    ("survey_results.expected_savings.large", r"Large firms: ([0-9]+)%", "int"),
-    ("brief", r"Brief: ([^\n]*)"),
+    ("tide_levels.high_water.spring", r"Spring tide: ([0-9]+)%", "int"),
+    ("tide_levels.high_water.neap", r"Neap tide: ([0-9]+)%", "int"),
+    ("tide_levels.high_water.storm", r"Storm tide: ([0-9]+)%", "int"),
+    ("summary", r"Summary: ([^\n]*)"),
 ]
 
 
 def test_nested_template_record(spark):
     df = spark.createDataFrame([(1, PAGE)], "doc int, text string")
     rec = json.loads(extract.template_record(df, "text", RULES).first().j)
-    assert list(rec) == ["title", "authors", "date", "survey_results", "brief"]
+    assert list(rec) == ["title", "authors", "date", "tide_levels", "summary"]
     assert rec == {
         "title": "Harbour Tide Report",
         "authors": ["Vela Norn", "Tarn Ombly"],
         "date": "day 9 of the count",
-        "survey_results": {"expected_savings": {"total": 71, "small": 18, "large": None}},
-        "brief": "",
+        "tide_levels": {"high_water": {"spring": 71, "neap": 18, "storm": None}},
+        "summary": "",
     }
 
 
@@ -44,9 +44,13 @@ def test_markdown_rules(spark):
     df = spark.createDataFrame([(html,)], "html string")
     md = df.select(extract.html_to_markdown(F.col("html"), F.lit(2)).alias("md")).first().md
     assert md == "Page 2\n\n- [A](/a)\n\n## Head\n\nOne & two\n\n### Sub\n\nThree\nfour"
-    lines = extract.markdown_lines(spark.createDataFrame([(1, md)], "doc int, md string"), "md", ["doc"])
-    kinds = [r.kind for r in lines.orderBy("line_no").collect()]
-    assert kinds == ["text", "blank", "list", "blank", "header", "blank", "text", "blank", "subheader", "blank", "text", "text"]
+    elements = extract.markdown_elements(spark.createDataFrame([(1, md)], "doc int, md string"), "md", ["doc"])
+    got = [(r.line_no, r.kind, r.importance, r.section_no, r.path, r.text) for r in elements.collect()]
+    assert got == [
+        (1, "text", 1, 0, "", "Page 2"), (3, "list", 4, 0, "", "1"), (3, "item", 2, 0, "", "[A](/a)"), (5, "header", 6, 1, "Head", "Head"),
+        (7, "text", 1, 1, "Head", "One & two"), (9, "subheader", 5, 2, "Head > Sub", "Sub"),
+        (11, "text", 1, 2, "Head > Sub", "Three"), (12, "text", 1, 2, "Head > Sub", "four"),
+    ]
 
 
 def test_clean_markdown(spark):
@@ -62,12 +66,11 @@ def test_page_entries_rebuild_the_assembled_record(spark):
         [(1, 2, "# B\n## b1"), (1, 1, "# A\n## a1\n## a2"), (1, 10, "no headings"), (2, 1, "## only sub")],
         "doc int, page_no int, md string",
     )
-    o = extract.markdown_outline(md, "md", ["doc", "page_no"])
-    entries = extract.page_entries(o, "doc").collect()
+    entries = extract.page_entries(md, "md", "doc").collect()
     rebuilt = {}
     for r in sorted(entries, key=lambda r: (r.doc, r.page_no)):
         rebuilt.setdefault(r.doc, []).append(r.entry)
-    records = {r.doc: r.record for r in extract.assemble_pages(o, "doc").collect()}
+    records = {r.doc: r.record for r in extract.assemble_pages(md, "md", "doc").collect()}
     assert {d: "{" + ",".join(es) + "}" for d, es in rebuilt.items()} == records
     page = json.loads(records[1])["Page 1"]
     assert page["Header"] == "a1"
@@ -80,17 +83,50 @@ def test_sections_carry_fields_lists_links_and_text(spark):
           '- two "coils"\n- [map](/m)\nAt [quay](/q) or [dock](/d)\n10:30 sharp')
     df = spark.createDataFrame([(1, 1, md)], "doc int, page_no int, md string")
     outline = extract.markdown_outline(df, "md", ["doc", "page_no"])
-    got = json.loads("{" + extract.page_entries(outline, "doc").first().entry + "}")
+    got = json.loads("{" + extract.page_entries(df, "md", "doc").first().entry + "}")
     assert got == {"Page 1": {"Header": "Bill of lading", "Sections": [
-        {"Section": "", "Fields": {}, "Lists": [], "Links": [], "Text": ["Page 1"]},
-        {"Section": "Bill of lading", "Fields": {"Date": "9 May"}, "Lists": [], "Links": [], "Text": []},
-        {"Section": "Goods", "Fields": {"Kind": ["rope", "tar"]}, "Lists": ['two "coils"', "[map](/m)"],
-         "Links": [{"Text": "map", "Href": "/m"}, {"Text": "quay", "Href": "/q"}, {"Text": "dock", "Href": "/d"}],
-         "Text": ["See the list:", "10:30 sharp"]},
+        {"Section": "", "Importance": 1, "Fields": {}, "Lists": [], "Links": [], "Text": ["Page 1"], "Sections": []},
+        {"Section": "Bill of lading", "Importance": 6, "Fields": {"Date": "9 May"}, "Lists": [], "Links": [], "Text": [], "Sections": [
+            {"Section": "Goods", "Importance": 5, "Fields": {"Kind": ["rope", "tar"]}, "Lists": ['two "coils"', "[map](/m)"],
+             "Links": [{"Text": "map", "Href": "/m"}, {"Text": "quay", "Href": "/q"}, {"Text": "dock", "Href": "/d"}],
+             "Text": ["See the list:", "10:30 sharp"], "Sections": []}]},
     ]}}
     assert [(r.section_no, r.n_fields) for r in outline.orderBy("section_no").collect()] == [(0, 0), (1, 1), (2, 2)]
 
 
+def plain_outline(md):
+    """(section_no, level, section, parent_no, path, number of lines) by one walk over the lines."""
+    out, open_no, open_title = [], None, None
+    for line in md.split("\n"):
+        level = 2 if line.startswith("## ") else 3 if line.startswith("### ") else 0
+        if level or not out:
+            no = (out[-1][0] if out else 0) + (level > 0)
+            title = line.lstrip("#")[1:] if level else ""
+            parent = open_no if level == 3 else None
+            path = f"{open_title} > {title}" if parent is not None else title
+            out.append([no, level, title, parent, path, 0])
+            if level == 2:
+                open_no, open_title = no, title
+        out[-1][5] += 1
+    return [tuple(x) for x in out]
+
+
+def test_sections_nest_as_a_plain_walk_says(spark):
+    import random
+
+    rng = random.Random(6)
+    lines = ["## A", "### b", "text", "", "- item", "## ", "### ", "#### deep", "# one", "##no", " ## indented", "x: y", "[l](/l)", "\r", "## C\r"]
+    pages = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 25)))) for i in range(200)] + [(998, "## only"), (999, "")]
+    df = spark.createDataFrame([*pages, (1000, None)], "id int, md string")
+    got = {}
+    for r in df.where("md is not null").select("id", F.inline(extract.markdown_sections(F.col("md")))).collect():
+        got.setdefault(r.id, []).append((r.section_no, r.level, r.section, r.parent_no, r.path, len(r.lines)))
+    assert got == {i: plain_outline(md) for i, md in pages}
+    outline = extract.markdown_outline(df, "md", ["id"])
+    assert outline.count() == sum(len(plain_outline(md)) for _, md in pages)
+    assert "Exchange" not in outline._jdf.queryExecution().executedPlan().toString()
+
+
 MARKUP_CASES = [
     ("<table><tr><th>Qty</th><th>Price</th></tr><tr><td>12</td> <td class=n>34</td></tr></table>", "Qty | Price\n\n12 | 34"),
     ("<H1>Up</H1>next<P>par</P><UL><LI>one</LI></UL>", "## Up\n\nnext\n\npar\n\n- one"),
