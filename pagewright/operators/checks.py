@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.jsonfn import json_kind, object_entries
+from pagewright.functions.jsonfn import compute_once, json_kind, object_entries
 from pagewright.operators.combine import template_keys
 from pagewright.operators.ranking import join_per_group
 from pagewright.session import ensure_checkpoint_dir
@@ -130,7 +130,7 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
         ensure_checkpoint_dir(v.sparkSession)
         v = v.checkpoint(eager=True)
     wanted = v.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).alias("_d"), "_lv").distinct()
-    grams = wanted.select("_d", "_lv", F.explode(value_grams(F.col("_lv"))).alias("_g"))
+    grams = compute_once(wanted, _gs=value_grams(F.col("_lv"))).select("_d", "_lv", F.explode("_gs").alias("_g"))
     word, bit = _place(F.col("_g"))
     bitmaps = grams.withColumn("_w", word).withColumn("_b", bit).groupBy("_d").agg(
         F.array(*[F.coalesce(F.bit_or(F.when(F.col("_w") == i, F.col("_b"))), F.lit(0).cast("bigint")) for i in range(BITMAP_WORDS)]).alias("_bits"))
@@ -143,14 +143,14 @@ def check_grounded(values: DataFrame, sources: DataFrame, doc_col: str = "doc",
         return F.get(F.col("_bits"), w).bitwiseAND(b) != 0
 
     cut = pages.select("_d", "_p", page_grams(F.col("_src")).alias("_grams"))
-    found = join_per_group(cut, bitmaps, ["_d"]).select("_d", "_p", F.explode(F.filter("_grams", in_bitmap)).alias("_g"))
+    found = compute_once(join_per_group(cut, bitmaps, ["_d"]), _gs=F.filter("_grams", in_bitmap)).select("_d", "_p", F.explode("_gs").alias("_g"))
     counts = found.groupBy("_d", "_g").agg(F.count("_p").alias("_n"))  # _p: both uses of found read one exchange
     rarest = grams.join(counts, ["_d", "_g"], "left").groupBy("_d", "_lv").agg(
         F.min(F.struct(F.coalesce(F.col("_n"), F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r")
     ).where(F.col("_r.n") > 0).select("_d", "_lv", F.col("_r.g").alias("_g"))
     meet = found.join(rarest, ["_d", "_g"]).groupBy("_d", "_p").agg(F.collect_set("_lv").alias("_vals"))
-    hits = pages.join(meet, ["_d", "_p"]).select(
-        "_d", F.explode(F.filter("_vals", lambda x: F.instr(F.col("_src"), x) > 0)).alias("_lv")).distinct()
+    looked = compute_once(pages.join(meet, ["_d", "_p"]), _hits=F.filter("_vals", lambda x: F.instr(F.col("_src"), x) > 0))
+    hits = looked.select("_d", F.explode("_hits").alias("_lv")).distinct()
     out = v.join(hits.withColumn("grounded", F.lit(True)), (F.col(doc_col) == F.col("_d")) & (v["_lv"] == hits["_lv"]), "left")
     return out.select(doc_col, *key_cols, value_col, F.coalesce(F.col("grounded"), F.lit(False)).alias("grounded"))
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.jsonfn import compute_once
+
 # The markdown rules say headings start with "##" or "###",
 # never a single "#", and the page number is marked on top.
 PAGE_MARK = "Page "
@@ -311,8 +313,8 @@ def _summary(s: Column) -> Column:
 
 def _summaries(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
     """``(keys..., _s)``: the sections of a page as one array, put together in its row."""
-    staged = df.where(F.col(md_col).isNotNull()).select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
-    return staged.select(*key_cols, F.transform("_sections", _summary).alias("_s"))
+    staged = df.select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
+    return compute_once(staged, _s=F.transform("_sections", _summary)).drop("_sections")
 
 
 def markdown_outline(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> DataFrame:
@@ -361,8 +363,9 @@ def markdown_elements(df: DataFrame, md_col: str, key_cols: Sequence[str]) -> Da
 
         return F.flatten(F.filter(F.transform(lines, of_line), lambda e: e.isNotNull()))
 
-    staged = df.where(F.col(md_col).isNotNull()).select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
-    return staged.select(*key_cols, F.inline(F.flatten(F.transform("_sections", of_section))))
+    staged = df.select(*key_cols, markdown_sections(F.col(md_col)).alias("_sections"))
+    staged = compute_once(staged, _e=F.flatten(F.transform("_sections", of_section)))
+    return staged.select(*key_cols, F.inline("_e"))
 
 
 def page_entries(df: DataFrame, md_col: str, doc_col: str, page_col: str = "page_no", out: str = "entry") -> DataFrame:
@@ -385,7 +388,7 @@ def page_entries(df: DataFrame, md_col: str, doc_col: str, page_col: str = "page
     header = F.coalesce(F.get(F.transform(first, lambda s: s["section"]), F.lit(0)), F.lit(""))
     body = F.concat(F.lit('{"Header":'), json_string(header), F.lit(',"Sections":'), nested(F.col("_s")), F.lit("}"))
     entry = F.concat(F.lit('"Page '), F.col(page_col).cast("string"), F.lit('":'), body)
-    return _summaries(df, md_col, [doc_col, page_col]).select(doc_col, page_col, entry.alias(out))
+    return _summaries(df, md_col, [doc_col, page_col]).where(F.col("_s").isNotNull()).select(doc_col, page_col, entry.alias(out))
 
 
 def assemble_pages(df: DataFrame, md_col: str, doc_col: str, page_col: str = "page_no", out: str = "record") -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.jsonfn import is_valid_json, json_children, json_depth, json_kind
+from pagewright.functions.jsonfn import compute_once, is_valid_json, json_children, json_depth, json_kind
 
 ROOT = "$"
 KINDS = ["object", "array", "string", "number", "boolean", "null"]
@@ -73,7 +73,8 @@ def json_nodes(df: DataFrame, json_col: str, key_cols: Sequence[str], depth: int
     for name, level in _levels(F.col("_j"), depth, lambda n: F.substring(n["value"], 1, 1).isin("{", "[")):
         whole = whole.withColumn(name, level)
     every = F.concat(*[F.col(f"_n{k}") for k in range(depth + 1)])
-    rows = whole.where(F.col("_j").isNotNull()).select(*key_cols, F.explode(every).alias("_v"))
+    rows = compute_once(whole.select(*key_cols, "_j", every.alias("_all")), _every=F.col("_all"))
+    rows = rows.where(F.col("_j").isNotNull()).select(*key_cols, F.explode("_every").alias("_v"))
     kind = F.when((F.col("_v.path") == ROOT) & ~is_valid_json(F.col("_v.value")), F.lit("invalid")).otherwise(json_kind(F.col("_v.value")))
     return rows.select(*key_cols, "_v.path", "_v.parent", "_v.key", kind.alias("kind"), "_v.repeated")
 
@@ -172,11 +173,11 @@ def check_template_paths(replies: DataFrame, template: str | dict, key_cols: Seq
     free = [p for p in open_items if p not in known_paths]
     looked_at = F.filter(every, lambda n: ~n["path"].isin(*free)) if free else every
     found = F.when(F.col("_ok"), F.flatten(F.transform(looked_at, of_value))).otherwise(F.array(problem(F.lit(ROOT), "invalid")))
-    df = df.select(*key_cols, found.alias("_all"))
+    df = compute_once(df, _all=found)
     counted = F.transform(F.array_distinct("_all"), lambda p: F.struct(
         p["path"].alias("path"), p["problem"].alias("problem"),
         F.size(F.filter("_all", lambda x: x == p)).cast("bigint").alias("n")))
-    return df.select(*key_cols, F.inline(counted))
+    return compute_once(df, _counted=counted).select(*key_cols, F.inline("_counted"))
 
 
 # ------------------------------------------------------------ common shape
