@@ -639,6 +639,19 @@ def q_fill_template(spark, sf):
     return extract.fill_template(p, "html", V.BINDER_RULES).select("page_id", "title", "lang", "h1")
 
 
+# The oracle knows the values that the forms were made from, not the labels.
+@register("fill_from_labels", """
+    SELECT c_custkey, '{"customer":{"name":' || to_json(c_name)::VARCHAR || ',"segment":' || to_json(c_mktsegment)::VARCHAR
+           || '},"account":{"balance":' || printf('%.2f', c_acctbal) || ',"nation_key":' || c_nationkey
+           || '},"tags":[' || to_json(c_mktsegment)::VARCHAR || ',"k' || c_custkey % 7 || '"]}' AS j, 5::BIGINT AS n_matches
+    FROM customer""")
+def q_fill_from_labels(spark, sf):
+    from pagewright.operators import align
+
+    filled = align.fill_from_labels(V.form_pages(spark, sf), "md", V.FORM_TEMPLATE, ["c_custkey"])
+    return filled.select("c_custkey", "j", F.size("matches").cast("bigint").alias("n_matches"))
+
+
 @register("to_markdown", with_views(["markdown_pages"], "SELECT doc, page_no, md FROM markdown_pages"))
 def q_to_markdown(spark, sf):
     return V.markdown_pages(spark, sf)

@@ -7,7 +7,7 @@ the same views in DuckDB SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.textfn import page_label
@@ -165,6 +165,35 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Template that form pages are filled against.
+FORM_TEMPLATE = '{"customer":{"name":"","segment":""},"account":{"balance":0,"nation_key":0},"tags":[""]}'
+# Four ways to label a form's values: name, segment, balance, nation, tags.
+FORM_LABELS = [
+    ("Customer Name", "Segment", "Balance", "Nation key", "Tags"),
+    ("customer-name", "Customer segment", "Account Balance", "NationKey", "tag"),
+    ("**Name of customer**", "SEGMENT", "account_balance", "Account nation key", "Tags"),
+    ("Custmer name", "Segmnt", "Acount balance", "Nation Kee", "Tagss"),
+]
+
+
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, md): a form per customer, labelled in one of four ways, with lines that belong to no key."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                   spread_by="c_custkey")
+    style = F.get(F.lit([list(x) for x in FORM_LABELS]), (F.col("c_custkey") % 4).cast("int"))
+
+    def line(k: int, value: Column) -> Column:
+        return F.concat(style[k], F.lit(": "), value)
+
+    balance = F.format_number("c_acctbal", 2)
+    tags = F.concat(F.col("c_mktsegment"), F.lit("; k"), (F.col("c_custkey") % 7).cast("string"))
+    md = F.concat_ws(
+        "\n", F.lit("Page 1\nRemark: paid on time"), line(0, F.col("c_name")), F.concat(F.lit("- "), line(1, F.col("c_mktsegment"))),
+        F.lit("## Account"), line(2, F.concat(F.lit("EUR "), balance)), F.lit("10:30 sharp"), line(3, F.col("c_nationkey").cast("string")),
+        F.lit("### Notes\nFax: 12 34"), line(4, tags))
+    return c.select("c_custkey", md.alias("md"))
+
+
 def dirty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, r, prompt_tokens, completion_tokens): reply texts in five shapes.
 
