@@ -10,9 +10,10 @@ boundary, and it started at most ``max_pages - 1`` pages earlier.  So a
 document's pages, ranked by page number, are cut into segments of ``SEGMENT``
 pages.  Each segment works out, for every number of pages that the open batch
 may already hold, how many batches it opens and how many pages its last one
-holds.  These small tables are followed in order, one row per segment, and
-then every segment numbers its own pages.  One plan for documents of every
-size; no task holds more than a segment's pages.
+holds.  Following these small tables is a composition, so they are composed in
+a tree, ``FAN`` at a time, and the state at each segment's start comes back down
+the tree; then every segment numbers its own pages.  One plan for documents of
+every size; no row holds more than ``SEGMENT`` pages or ``FAN`` tables.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.jsonfn import compute_once
 from pagewright.operators.ranking import rank_within
 from pagewright.session import ensure_checkpoint_dir
 
 SEGMENT = 128  # pages
+FAN = 128  # tables composed into one
 
 
 def _opens(acc: Column, t: Column, max_tokens: int, max_pages: int) -> Column:
@@ -53,6 +56,50 @@ def _segment_table(max_tokens: int, max_pages: int) -> Column:
     return F.array(*entries)
 
 
+def _segment_starts(tables: DataFrame, max_pages: int) -> DataFrame:
+    """``(_d, _i, _start)``: pages in the open batch and batches opened before each table of ``_d, _i, _table``.
+
+    Following tables one after another is a composition, so ``FAN`` neighbours
+    are composed into one table, those again, until a document has one.  Then
+    the starts go back down: a composed table's start is that of its first
+    part, and gives the starts of the others.  A row holds ``FAN`` tables at
+    most, however many a document has; a level divides them by ``FAN``.
+    """
+    def composed(kids: Column, j: int) -> Column:
+        def step(acc, k):
+            e = F.get(k["t"], acc["cnt"])
+            return F.struct(e["cnt"].alias("cnt"), e["used"].alias("used"), (acc["opened"] + e["opened"]).alias("opened"))
+
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(kids, F.struct(F.lit(j).alias("cnt"), zero.alias("used"), zero.alias("opened")), step)
+
+    def walk(acc, k):
+        e = F.get(k["t"], acc["cnt"])
+        here = F.struct(k["i"].alias("i"), F.struct(acc["cnt"].alias("cnt"), acc["b"].alias("b")).alias("s"))
+        return F.struct(e["cnt"].alias("cnt"), (acc["b"] + e["opened"]).alias("b"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    last = tables.agg(F.max("_i")).first()[0]
+    levels, level = [], tables
+    while True:
+        kids = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_table").alias("t"))))
+        level = level.groupBy("_d", F.floor(F.col("_i") / FAN).alias("_up")).agg(kids.alias("_kids"))
+        levels.append(level)
+        if last is None or last < FAN:
+            break
+        last //= FAN
+        level = level.select("_d", F.col("_up").alias("_i"), F.array(*[composed(F.col("_kids"), j) for j in range(max_pages + 1)]).alias("_table"))
+    begin = F.struct(F.lit(0).alias("cnt"), F.lit(0).cast("bigint").alias("b"))
+    starts = levels[-1].select("_d", F.col("_up").alias("_i"), begin.alias("_start"))
+    for level in reversed(levels):
+        known = starts.select(F.col("_d").alias("_kd"), F.col("_i").alias("_ki"), "_start")
+        both = level.join(known, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_up") == F.col("_ki")))
+        init = F.struct(F.col("_start.cnt").alias("cnt"), F.col("_start.b").alias("b"),
+                        F.array().cast("array<struct<i:bigint,s:struct<cnt:int,b:bigint>>>").alias("out"))
+        walked = compute_once(both, _walked=F.aggregate("_kids", init, walk)["out"])
+        starts = walked.select("_d", F.explode("_walked").alias("_w")).select("_d", F.col("_w.i").alias("_i"), F.col("_w.s").alias("_start"))
+    return starts
+
+
 def _sum_of_last(col: str, j: Column | int) -> Column:
     """Tokens of the last ``j`` pages in ``col``."""
     j = F.lit(j) if isinstance(j, int) else j
@@ -88,16 +135,8 @@ def budget_batches(pages: DataFrame, max_tokens: int, max_pages: int = 10, doc:
     ensure_checkpoint_dir(pages.sparkSession)
     segments = segments.checkpoint()
 
-    follow = F.struct(F.lit(0).alias("cnt"), F.lit(0).cast("bigint").alias("b"),
-                      F.array().cast("array<struct<cnt:int,b:bigint>>").alias("starts"))
-
-    def walk(acc, s):
-        entry = F.get(s["t"], acc["cnt"])
-        here = F.struct(acc["cnt"].alias("cnt"), acc["b"].alias("b"))
-        return F.struct(entry["cnt"].alias("cnt"), (acc["b"] + entry["opened"]).alias("b"), F.concat(acc["starts"], F.array(here)).alias("starts"))
-
-    per_doc = segments.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct(F.col("_seg").alias("s"), F.col("_table").alias("t")))).alias("_all"))
-    starts = per_doc.select(F.col("_d").alias("_d2"), F.posexplode(F.aggregate("_all", follow, walk)["starts"]).alias("_s2", "_start"))
+    starts = _segment_starts(segments.select("_d", F.col("_seg").alias("_i"), "_table"), max_pages)
+    starts = starts.select(F.col("_d").alias("_d2"), F.col("_i").alias("_s2"), "_start")
 
     def number(acc, x):
         new = _opens(acc, x["t"], max_tokens, max_pages)

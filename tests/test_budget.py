@@ -51,3 +51,21 @@ def test_selected_pages_null_tokens_and_null_document(spark, monkeypatch, segmen
     assert [got[(1, p)][1] for p in range(43, 48)] == [1, 1, 2, 2, 3]
     assert [got[(None, p)][1] for p in (2, 5, 9)] == [1, 2, 3]
     assert [got[(3, p)] for p in range(1, 5)] == [(None, 1), (None, 1), (None, 1), (None, 2)]
+
+
+@pytest.mark.parametrize("segment,fan", [(3, 2), (5, 3), (128, 2)])
+def test_tree_of_tables_equals_greedy(spark, monkeypatch, segment, fan):
+    """Several levels of composed tables, one document far longer than the rest, gaps in the numbers."""
+    monkeypatch.setattr(budget, "SEGMENT", segment)
+    monkeypatch.setattr(budget, "FAN", fan)
+    rnd = random.Random(5)
+    rows, expected = [], {}
+    for d, n in ((1, 700), (2, 1), (None, 130), (4, 37)):
+        pages = sorted(rnd.sample(range(10_000), n))
+        toks = [rnd.choice([0, 50, 300, 900, 1500, 5000]) for _ in range(n)]
+        rows += [(d, p, t) for p, t in zip(pages, toks)]
+        expected |= {(d, p): b for p, b in zip(pages, py_greedy(toks, 2000, 7))}
+    df = spark.createDataFrame(rows, "doc int, page_no bigint, tokens bigint").repartition(5)
+    got = budget.budget_batches(df, 2000, 7).collect()
+    assert {(r.doc, r.page_no): r.batch_no for r in got} == expected
+    assert budget.budget_batches(df.limit(0), 2000, 7).collect() == []
