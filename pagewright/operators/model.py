@@ -162,8 +162,15 @@ def call_model_cached(df: DataFrame, fn: Callable[[str], str], store_path: str,
             part = part.join(store.where(F.col("status") == "ok").select("request_key"), "request_key", "left_anti")
         new = call_model(part, fn, payload_col, **call_args).drop(payload_col)
         new.withColumn("called_at", F.current_timestamp()).write.mode("append").parquet(store_path)
-    # One reply per key: the ok one if any, else the latest failure.
-    best = _read_store(spark, store_path).groupBy("request_key").agg(
+    return best_replies(req, spark, store_path)
+
+
+def best_replies(req: DataFrame, spark, store_path: str) -> DataFrame:
+    """``req`` with one stored reply per ``request_key``: the ok one if any, else the latest failure."""
+    store = _read_store(spark, store_path)
+    if store is None:
+        store = spark.createDataFrame([], _STORE_SCHEMA)
+    best = store.groupBy("request_key").agg(
         F.max_by(F.struct("reply", "status", "attempts", "elapsed", "error"),
                  F.struct((F.col("status") == "ok").alias("ok"), F.col("called_at"), F.col("elapsed"))).alias("_r")
     ).select("request_key", "_r.*")

@@ -597,31 +597,36 @@ def q_build_requests(spark, sf):
     return _requests(spark, sf).select("doc_id", "batch_no", "payload")
 
 
-def rule_reply(payload: str) -> str:
-    """A deterministic stand-in model: counts the pages and characters sent."""
-    import json
-    import math
+# What a request holds, read back from its payload.
+@register("request_contents", _request_sql("""
+    SELECT doc_id, batch_no, n_pages, CAST(n_chars AS BIGINT) AS n_chars, CAST(ceil(length(payload) / 4.0) AS BIGINT) AS prompt_tokens
+    FROM req"""))
+def q_request_contents(spark, sf):
+    from pagewright.operators import waves
 
-    req = json.loads(payload)
-    parts = req["messages"][1]["content"][1:]
-    content = json.dumps(
-        {"pages": len(parts), "chars": sum(len(p.get("text") or "") for p in parts)}, separators=(",", ":")
-    )
-    usage = {"prompt_tokens": math.ceil(len(payload) / 4), "completion_tokens": math.ceil(len(content) / 4)}
-    return json.dumps({"choices": [{"message": {"content": content}}], "usage": usage})
+    parts = F.from_json("payload", "messages array<struct<content:array<struct<text:string>>>>")["messages"][1]["content"]
+    sent = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    chars = F.aggregate(sent, F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(F.length(p["text"]), F.lit(0)))
+    return _requests(spark, sf).select(
+        "doc_id", "batch_no", F.size(sent).cast("bigint").alias("n_pages"), chars.alias("n_chars"),
+        waves.request_tokens("payload").alias("prompt_tokens"))
 
 
-@register("call_model", _request_sql("""
-    SELECT doc_id, batch_no, 'ok' AS status, 1 AS attempts,
-           '{"pages":' || CAST(n_pages AS VARCHAR) || ',"chars":' || CAST(n_chars AS VARCHAR) || '}' AS content,
-           CAST(ceil(length(payload) / 4.0) AS BIGINT) AS prompt_tokens
-    FROM req"""))
-def q_call_model(spark, sf):
-    from pagewright.operators import model
+WAVE_TOKENS, WAVE_REQUESTS = 60_000, 25  # limits of a minute
+
+
+@register("request_waves", _request_sql(f"""
+    SELECT doc_id, batch_no, tokens, CAST(floor((upto - cost) / (1000000000 - max(cost) OVER ())) AS BIGINT) AS wave
+    FROM (SELECT *, sum(cost) OVER (ORDER BY key, doc_id, batch_no ROWS UNBOUNDED PRECEDING) AS upto
+          FROM (SELECT doc_id, batch_no, key, tokens,
+                       greatest(CAST(ceil(CAST(tokens AS DECIMAL(38, 0)) * 1000000000 / {WAVE_TOKENS}) AS BIGINT), 1000000000 // {WAVE_REQUESTS}) AS cost
+                FROM (SELECT doc_id, batch_no, sha256(payload) AS key, CAST(ceil(length(payload) / 4.0) AS BIGINT) AS tokens FROM req)))"""))
+def q_request_waves(spark, sf):
+    from pagewright.operators import model, waves
 
-    called = model.call_model(_requests(spark, sf).select("doc_id", "batch_no", "payload"), rule_reply, base_delay=0.0)
-    out = replies.reply_fields(called)
-    return out.select("doc_id", "batch_no", "status", "attempts", "content", "prompt_tokens")
+    sized = _requests(spark, sf).select("doc_id", "batch_no", model.payload_key("payload").alias("_key"), waves.request_tokens("payload").alias("tokens"))
+    planned = waves.plan_waves(sized, "tokens", ["_key", "doc_id", "batch_no"], WAVE_TOKENS, WAVE_REQUESTS)
+    return planned.select("doc_id", "batch_no", "tokens", "wave")
 
 
 # -------------------------------------------------------- 2.9 extraction
