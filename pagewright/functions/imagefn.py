@@ -77,7 +77,9 @@ def image_size(content: Column | str) -> Column:
         )
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_WALK)), init, step)
-    onwards = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(c))), walked, step)
+    # As many steps as bytes, in root times root: a sequence of the file's length is never built.
+    root = F.sequence(F.lit(1), F.ceil(F.sqrt(F.greatest(F.lit(1), F.octet_length(c)))).cast("int"))
+    onwards = F.aggregate(root, walked, lambda acc, _: F.when(acc["done"], acc).otherwise(F.aggregate(root, acc, step)))
     walked = F.when(walked["done"], walked).otherwise(onwards)
     jpeg = F.hex(F.substring(c, 1, 2)) == JPEG_START
     jpeg_size = F.struct(walked["width"].alias("width"), walked["height"].alias("height"))

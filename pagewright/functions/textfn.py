@@ -56,6 +56,11 @@ def file_stem(col: Column | str, url: bool = True) -> Column:
     return F.regexp_extract(base, r"^(\.*.*?)(\.[^.]*)?\z", 1)
 
 
+def decoded_path(col: Column | str) -> Column:
+    """The path of ``_metadata.file_path``, which is written as a URI (``%20`` for a space, a plus as it is)."""
+    return F.url_decode(F.replace(_c(col), F.lit("+"), F.lit("%2B")))
+
+
 def file_extension(col: Column | str) -> Column:
     """Last extension of the base name including the dot, or ''."""
     path = F.regexp_replace(_c(col), r"[?#].*\z", "")

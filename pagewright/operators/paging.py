@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.textfn import batch_label, file_stem, natural_key
 from pagewright.functions.jsonfn import compute_once
-from pagewright.operators.ranking import join_per_group, rank_within
+from pagewright.operators.ranking import join_per_group, rank_within, running_total
 
 # Fixed values from the reference: the request limit of ten images, and the
 # header the stitcher writes before each part.
@@ -89,7 +89,8 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
     document), ``total_batches = ceil(num_pages / size)`` and
     ``pages_in_batch``.  A ``num_pages`` column already present (as
     ``explode_pages`` gives) is used as is; otherwise the per-document count
-    is a partial aggregate joined back.
+    is a partial aggregate joined back.  A page number outside 1..n fails the
+    job: a selection of pages goes through ``batch_selection``.
     """
     size = int(size)
     with_batch = df.withColumn(
@@ -99,6 +100,10 @@ def assign_batches(df: DataFrame, size: int = 10, doc_col: str = "doc", page_col
         out = with_batch
     else:
         out = join_per_group(with_batch, page_count(df, doc_col), [doc_col], "left")
+    outside = (F.col(page_col) < 1) | (F.col(page_col) > F.col("num_pages"))
+    out = out.withColumn("batch_no", F.when(outside, F.raise_error(F.concat(
+        F.lit("page "), F.col(page_col).cast("string"), F.lit(" of a document with "), F.col("num_pages").cast("string"),
+        F.lit(" pages: a selection goes through batch_selection"))).cast("bigint")).otherwise(F.col("batch_no")))
     return out.withColumn(
         "total_batches", F.ceil(F.col("num_pages") / F.lit(float(size))).cast("bigint")
     ).withColumn(
@@ -208,6 +213,17 @@ def stitch_parts(parts: DataFrame, doc_col: str, label_col: str, content_col: st
     return ranked.select(doc_col, "part_no", out)
 
 
+def part_offsets(parts: DataFrame, doc_col: str = "doc", part_col: str = "part_no", md_col: str = "markdown") -> DataFrame:
+    """Where each stitched part lies in its document: adds ``byte_start, byte_end`` (UTF-8, end exclusive).
+
+    A distributed prefix sum over the parts' lengths, so every part can be
+    written on its own and put into place by whoever reads it.
+    """
+    sized = parts.withColumn("_bytes", F.octet_length(md_col).cast("bigint"))
+    summed = running_total(sized, [part_col], "_bytes", "byte_end", group_cols=[doc_col])
+    return summed.select(*parts.columns, (F.col("byte_end") - F.col("_bytes")).alias("byte_start"), "byte_end")
+
+
 def stitch_pages(parts: DataFrame, doc_col: str, label_col: str, content_col: str, out: str = "markdown",
                  page_token_col: str | None = None) -> DataFrame:
     """Concatenate a document's parts in natural order of their labels.

@@ -92,26 +92,34 @@ def rank_within(
 
 
 def running_total(df: DataFrame, order_cols: Sequence[Column | str], value_col: str, out: str = "total",
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
     """Add ``out`` = the sum of ``value_col`` over all rows up to and with each row, in the order of ``order_cols``.
 
+    With ``group_cols`` every group has its own sums (NULL groups are groups).
     A prefix sum in two steps: rows are range-partitioned and sorted, each task
-    adds up its own, and one row per task gives the sums of earlier tasks.
-    ``order_cols`` must make the order total; the sorted rows are written once
-    with ``checkpoint()``, as in ``rank_within``.  NULL values count as 0.
+    adds up its own, and one row per (group, task) gives the sums of earlier
+    tasks.  ``order_cols`` must make the order total; the sorted rows are
+    written once with ``checkpoint()``, as in ``rank_within``.  NULL values
+    count as 0.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order_cols]
+    keys = [F.col(g) for g in group_cols]
     ordered = (
-        df.repartitionByRange(num_partitions or _num_partitions(df), *order).sortWithinPartitions(*order)
+        df.repartitionByRange(num_partitions or _num_partitions(df), *keys, *order).sortWithinPartitions(*keys, *order)
         .withColumn("_pw_task", F.spark_partition_id()).withColumn("_pw_pos", F.monotonically_increasing_id())
     )
     ensure_checkpoint_dir(df.sparkSession)
     ordered = ordered.checkpoint(eager=True)
     value = F.coalesce(F.col(value_col), F.lit(0))
-    sums = ordered.groupBy("_pw_task").agg(F.sum(value).alias("_pw_sum"))
-    earlier = Window.orderBy("_pw_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    offsets = sums.select(F.col("_pw_task").alias("_pw_t"), F.coalesce(F.sum("_pw_sum").over(earlier), F.lit(0)).alias("_pw_offset"))
-    here = Window.partitionBy("_pw_task").orderBy("_pw_pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ordered.groupBy(*group_cols, "_pw_task").agg(F.sum(value).alias("_pw_sum"))
+    # Without groups this window has one row per task.
+    earlier = Window.partitionBy(*group_cols).orderBy("_pw_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(g).alias(f"_pw_g{i}") for i, g in enumerate(group_cols)], F.col("_pw_task").alias("_pw_t"),
+        F.coalesce(F.sum("_pw_sum").over(earlier), F.lit(0)).alias("_pw_offset"))
+    here = Window.partitionBy(*group_cols, "_pw_task").orderBy("_pw_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = ordered.withColumn("_pw_local", F.sum(value).over(here))
-    joined = local.join(offsets, F.col("_pw_task") == F.col("_pw_t"))
-    return joined.select(*[c for c in df.columns if c != out], (F.col("_pw_offset") + F.col("_pw_local")).alias(out))
+    match = F.col("_pw_task") == F.col("_pw_t")
+    for i, g in enumerate(group_cols):
+        match = match & F.col(g).eqNullSafe(F.col(f"_pw_g{i}"))
+    return local.join(offsets, match).select(*[c for c in df.columns if c != out], (F.col("_pw_offset") + F.col("_pw_local")).alias(out))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.jsonfn import clean_json, compute_once, is_valid_json
+from pagewright.functions.textfn import text_tokens
 
 # Shape of a chat-completion reply (the fields the reference reads).
 REPLY_SCHEMA = (
@@ -72,3 +73,13 @@ def flag_truncated(df: DataFrame, completion_col: str = "completion_tokens", val
     at_cap = F.col(completion_col) >= F.lit(cap)
     flagged = df.where(at_cap | ~F.col(valid_col))
     return flagged.withColumn("reason", F.when(at_cap, F.lit("cap")).otherwise(F.lit("unparsed")))
+
+
+def flag_large_templates(df: DataFrame, template_col: str = "template", cap: int = MAX_COMPLETION_TOKENS) -> DataFrame:
+    """Templates whose filled form may not fit a reply: estimated tokens at or above the completion cap.
+
+    The reply repeats the template, so its size bounds the reply's from below.
+    Adds ``template_tokens``.
+    """
+    sized = df.withColumn("template_tokens", text_tokens(template_col))
+    return sized.where(F.col("template_tokens") >= F.lit(cap))

@@ -70,8 +70,8 @@ def _template_json(template) -> str:
 
 def page_batches(pages: DataFrame, size: int = 10, doc_col: str = "doc", payload_col: str = "payload",
                  extra_cols=()) -> DataFrame:
-    """Pages numbered 1..n per document -> labelled batches of ``size`` pages."""
-    b = paging.assign_batches(pages, size, doc_col)
+    """Pages of each document (all, or any selection) -> labelled batches of ``size`` pages, in page order."""
+    b = paging.batch_selection(pages, size, doc_col)
     c = paging.collect_batches(b, payload_col, doc_col, extra_cols=["num_pages", *extra_cols])
     return c.withColumn("label", batch_label("start_page", "end_page", "num_pages"))
 

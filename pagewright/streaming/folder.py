@@ -4,7 +4,8 @@ The reference processes whatever is in its input folder and stops.  On Spark
 the same work can run incrementally: a file stream picks up new documents,
 each micro-batch goes through a batch flow, and results are appended per
 batch.  The checkpoint location makes restarts resume where they stopped
-(files already processed are not processed again).
+(files already processed are not processed again).  A stream sees additions
+only; ``sources.snapshot`` finds changed and removed files.
 
 Nothing here is stateful across batches: a document arrives whole, so no
 watermark or state store is needed.
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.textfn import file_stem
+from pagewright.functions.textfn import decoded_path, file_stem
 
 
 def document_stream(spark: SparkSession, path: str, glob: str = "*", max_files_per_trigger: int = 100) -> DataFrame:
@@ -26,7 +27,7 @@ def document_stream(spark: SparkSession, path: str, glob: str = "*", max_files_p
         spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", max_files_per_trigger).load(path)
     )
-    return raw.select(file_stem(F.col("_metadata.file_path")).alias("doc"), F.col("value").alias("text"))
+    return raw.select(file_stem(decoded_path("_metadata.file_path"), url=False).alias("doc"), F.col("value").alias("text"))
 
 
 def run_incremental(stream: DataFrame, flow: Callable[[DataFrame], DataFrame], out_path: str,
