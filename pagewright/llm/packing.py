@@ -43,17 +43,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.common import materialize, positions, rank_by_position, ship, text_of
-from pagewright.llm.tokens import Encoder
+from pagewright.llm.tokens import shared_encoder
 
 CAPACITY = 2048
 SEPARATOR = 0
 SMALL = 32
-RUNS_PER_TASK = 50_000
+RANGES = 8  # of sizes, swept apart
 RUNS = "is_doc int, size long, tokens long, per long, start long, n long, g_size long, g_start long"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def tokenize_pieces(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+def tokenize_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
                     capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
     ship()
@@ -68,7 +68,7 @@ def tokenize_pieces(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
         import numpy as np
         import pyarrow as pa
 
-        encoder = Encoder(ranks_path)
+        encoder = shared_encoder(vocabulary)
         end = np.array([SEPARATOR], "<u4")
 
         def out(at, rows, ids):
@@ -184,14 +184,11 @@ def _sweep(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def _swept(runs: DataFrame, n_runs: int) -> list[DataFrame]:
-    """Sweeps size ranges in parallel, then what they left over across the ranges; written tables."""
+def _swept(runs: DataFrame) -> list[DataFrame]:
+    """Sweeps ``RANGES`` size ranges in parallel, then what they left over across the ranges; written tables."""
     order = [F.desc("size"), "is_doc", "tokens", "per", "start"]
-    ranges = -(-n_runs // RUNS_PER_TASK)
-    if ranges <= 1:
-        return [materialize(runs.coalesce(1).sortWithinPartitions(*order).mapInArrow(_sweep, RUNS), "packing-parts")]
     parts = materialize(
-        runs.repartitionByRange(ranges, F.desc("size")).sortWithinPartitions(*order).mapInArrow(_sweep, RUNS), "packing-parts"
+        runs.repartitionByRange(RANGES, F.desc("size")).sortWithinPartitions(*order).mapInArrow(_sweep, RUNS), "packing-parts"
     )
     left = parts.filter("g_size is null")
     rest = materialize(left.coalesce(1).sortWithinPartitions(*order).mapInArrow(_sweep, RUNS), "packing-parts")
@@ -235,7 +232,7 @@ def plan_packing(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 chosen[(r["size"], r["per"], r["start"])] = (count, first)
                 want, first = want - count, first + count
         usable = state.filter((F.col("is_doc") == 1) | (F.col("size") >= small))  # smaller gaps are finished
-        swept = _swept(usable.mapInArrow(_open_runs(chosen, capacity), RUNS), len(runs) + 2 * len(chosen))
+        swept = _swept(usable.mapInArrow(_open_runs(chosen, capacity), RUNS))
         parts = reduce(DataFrame.unionByName, swept)
         plans.append(parts.filter("is_doc > 0 and g_size is not null").select(
             "tokens", "per", F.col("start").alias("rank"), "n", F.col("g_start").alias("sequence"), (F.lit(capacity) - F.col("g_size")).alias("offset")
@@ -265,10 +262,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).withColumnRenamed("_offset", "offset")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
-    return pack(tokenize_pieces(docs, ranks_path, id_col, text_col, capacity, with_ids), capacity)
+    return pack(tokenize_pieces(docs, vocabulary, id_col, text_col, capacity, with_ids), capacity)
 
 
 def sequences(packed_pieces: DataFrame) -> DataFrame:

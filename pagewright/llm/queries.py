@@ -18,11 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ranks_path() -> str:
+def vocabulary_path() -> str:
     """The vocabulary that packing encodes with."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -68,7 +68,7 @@ def op8_pii(spark, sf_dir):
 
 
 def op9_packing(spark, sf_dir):
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), ranks_path())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_language_id(spark, sf_dir):

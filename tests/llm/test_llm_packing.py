@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from conftest import SF_ORACLE
 from pagewright.llm import packing, tokens
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -23,15 +23,46 @@ def library():
 
 def test_ids_equal_the_library(library, monkeypatch):
     rng = random.Random(4)
-    alphabet = [" ", "  ", "\n", "\t", "a", "bc", "'s", "12", "é", " ", "!", "<|endoftext|>", "\r\n", "中", "'ll", "　", "\x85", "\x1f"]
+    alphabet = [" ", "  ", "\n", "\t", "a", "bc", "'s", "12", "é", " ", "!", "<|endoftext|>", "\r\n", "中", "'ll", "　", "\x85", "\x1f", "²", "Ⅷ", "\u0301", "_", "٣", "\ua7ce", "\u1c89", "½", "ª", "\u200b", "\U0001f600", "İ"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    encoder = tokens.Encoder(RANKS)
+    encoder = tokens.Encoder(VOCABULARY)
     for piece in (tokens.PIECE, 5):
         monkeypatch.setattr(tokens, "PIECE", piece)
         for t in texts:
             assert encoder.encode(t).tolist() == library(t)
 
 
+def test_every_character_is_cut_as_the_library_cuts_it(library):
+    """All characters, each in four neighbourhoods: looked-up pieces give the library's ids."""
+    encoder = tokens.Encoder(VOCABULARY)
+    for low in range(0, 0x30000, 64):
+        for ch in map(chr, range(low, low + 64, 1 if low < 0x3100 else 16)):
+            if not "\ud800" <= ch <= "\udfff":
+                t = f"1{ch}!{ch}a{ch} {ch}"
+                assert encoder.encode(t).tolist() == library(t), hex(ord(ch))
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "a", "1", "!", "é"])
+def test_long_runs(library, run):
+    text = f"start {run * (3_000_000 // len(run))}x end" if run.isspace() else f"start {run * 200_000} end"
+    assert tokens.Encoder(VOCABULARY).encode(text).tolist() == library(text)
+
+
+def test_what_is_remembered_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    encoder = tokens.Encoder(VOCABULARY)
+    text = " ".join(f"w{i}x {i}" for i in range(500)) + " " + "long" * 50
+    assert encoder.encode(text).tolist() == library(text) and len(encoder.known) <= 51
+
+
+def test_long_white_space_packs(spark, library):
+    texts = [" " * 3_000_000, "\n" * 3_000_000 + "x", "a" + "\t" * 3_000_000]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), VOCABULARY).collect()
+    for i, t in enumerate(texts):
+        assert sum(r["length"] for r in got if r["doc_id"] == i) == len(library(t)) + 1
+    check_places(got, 2048)
+
+
 def check_places(rows, capacity):
     by = {}
     for r in rows:
@@ -49,7 +80,7 @@ def test_documents_against_the_library(spark, library):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(None, "null id"), (-1, None), (-2, ""), (-3, "a b " * 5000)], "doc_id long, text string")
     docs = docs.unionByName(odd)
-    got = packing.pack_documents(docs, RANKS, with_ids=True).collect()
+    got = packing.pack_documents(docs, VOCABULARY, with_ids=True).collect()
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
@@ -87,7 +118,7 @@ def test_plans(spark, lengths, capacity, most):
 
 
 def test_ranges_swept_apart_agree_on_the_rules(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RUNS_PER_TASK", 5)
+    monkeypatch.setattr(packing, "RANGES", 40)
     lengths = [i * 7 % 40 + 1 for i in range(300)]
     got = plan_rows(spark, lengths, 64)
     assert len(got) == 300 and check_places(got, 64) <= 1.06 * sum(lengths) / 64 + 1
@@ -95,6 +126,6 @@ def test_ranges_swept_apart_agree_on_the_rules(spark, monkeypatch):
 
 def test_empty_table_and_clashes(spark):
     schema = "doc_id long, text string, piece string, _rank int, length string"
-    assert packing.pack_documents(spark.createDataFrame([], schema), RANKS).collect() == []
-    got = packing.pack_documents(spark.createDataFrame([(1, "x", "p", 1, "l"), (1, "x", "p", 1, "l")], schema), RANKS).collect()
+    assert packing.pack_documents(spark.createDataFrame([], schema), VOCABULARY).collect() == []
+    got = packing.pack_documents(spark.createDataFrame([(1, "x", "p", 1, "l"), (1, "x", "p", 1, "l")], schema), VOCABULARY).collect()
     assert len(got) == 2 and check_places(got, 2048) == 1
