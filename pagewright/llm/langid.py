@@ -42,6 +42,7 @@ from pagewright.llm.common import crc_bucket, materialize, packed, plus, ship
 MAX_ORDER = 3
 TRAIN_DOCS = 2000  # labelled documents per language that are counted, about
 MAX_NODES = 200_000  # sequences of each length that the model keeps
+MAX_CELLS = 8_000_000  # of them times languages: many labels share fewer sequences
 FOLDS = 5
 BLOCK = 1 << 19  # bytes scored at a time
 REJECT_BITS = 12.0  # bits per letter that reject a text if no held-out text tells the limit
@@ -118,6 +119,7 @@ def train(labelled: DataFrame, order: int = MAX_ORDER, max_docs: int = TRAIN_DOC
     counts = materialize(counts, "langid-counts")
     total = counts.groupBy("k", "seq").agg(F.sum("n").alias("n"))
     by_count = total.groupBy("k", F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("seqs")).collect()
+    max_nodes = min(max_nodes, max(1000, MAX_CELLS // len(sizes)))
     least = 1  # the smallest count that leaves at most max_nodes sequences of any length
     for k in range(1, order + 2):
         kept = 0
@@ -203,9 +205,12 @@ def code_lengths(model: Model, raws: list[bytes]):
     """Bits of each text under each language: ``(len(raws), languages)``."""
     import numpy as np
 
-    out = np.zeros((len(raws), len(model.languages)))
+    n_languages = len(model.languages)
+    out = np.zeros((len(raws), n_languages))
     group: list[int] = []
     held = 0
+    # A block's costs are as many as its bytes times the languages.
+    block_bytes = min(BLOCK, max(1 << 10, 8 * BLOCK // n_languages))
 
     def score(at: list[int]) -> None:
         # One boundary byte before each text; its class leaves every context.
@@ -217,16 +222,16 @@ def code_lengths(model: Model, raws: list[bytes]):
         out[at] = np.add.reduceat(bits, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
 
     for i, raw in enumerate(raws):
-        if len(raw) > BLOCK:  # in blocks, each with its preceding context
+        if len(raw) > block_bytes:  # in blocks, each with its preceding context
             symbols = np.frombuffer(raw, np.uint8)
-            for start in range(0, len(raw), BLOCK):
+            for start in range(0, len(raw), block_bytes):
                 first = max(0, start - model.order)
-                block = model.classes[symbols[first:start + BLOCK]]
+                block = model.classes[symbols[first:start + block_bytes]]
                 out[i] += _bits(model, block)[start - first:].sum(axis=0, dtype=np.float64)
             continue
         group.append(i)
         held += len(raw)
-        if held >= BLOCK:
+        if held >= block_bytes:
             score(group)
             group, held = [], 0
     if group:
@@ -271,13 +276,14 @@ def predict(rows: DataFrame, text: Column, model: Model | None, carry: list[str]
     text = text.cast("string")
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     schema = plus(rows.select(*names).schema, "lang_pred string, score double, bits_per_byte double")
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # Plain lists and arrays: the class travels with the function, workers need no package.
+    shared = rows.sparkSession.sparkContext.broadcast(dict(vars(model)))
 
     def score(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        model = shared.value
+        model = Model(**shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             raws = [t.as_buffer() if t.is_valid else b"" for t in texts]
@@ -341,24 +347,39 @@ def rejection_limits(model: Model, held: DataFrame) -> dict[int, float]:
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   reject_bits: float | None = None) -> DataFrame:
-    """The rows of ``docs`` in some learned language: with a letter, and labelled with one or not far beyond its model.
+    """The rows of ``docs`` in some learned language: with a letter, and not far beyond every model.
 
-    Only words are judged (``letters_of``), in bits per letter: a text without
+    The text decides, whatever the label says.  Labelled texts are learned from
+    in two halves by a hash of the text, and a document is judged by the model
+    of the other half: foreign text under a learned label can't vouch for itself
+    or its copies.  A label that only one half has keeps its rows.  Only words are judged (``letters_of``), in bits per letter: a text without
     any but with a letter stays.  The limit follows from held-out snippets of
     about as many words, so it moves with what the model learned;
     ``reject_bits`` sets a fixed one.  Without a single labelled document
     there is nothing to reject by, and every row stays.
     """
-    model = train(labelled_rows(docs, id_col, text_col, lang_col))
-    if model is None:
+    def half(text: Column) -> Column:
+        return F.shiftright(F.xxhash64(text), 40).bitwiseAND(F.lit(1))
+
+    labelled = labelled_rows(docs, id_col, text_col, lang_col)
+    held = labelled_rows(docs, id_col, text_col, lang_col, held_out=True)
+    models = [train(labelled.filter(half(F.col("text")) == i)) for i in (0, 1)]
+    if models == [None, None]:
         return docs
-    limits = {} if reject_bits is not None else rejection_limits(model, labelled_rows(docs, id_col, text_col, lang_col, held_out=True))
-    letters = letters_of(F.col(f"_row.`{text_col}`"))
+    row, text = packed(docs), F.col(f"_row.`{text_col}`").cast("string")
+    rows = row.filter(text.rlike(r"\p{L}"))
+    letters = letters_of(text)
     count = F.size(F.split(letters, " "))
-    limit = F.lit(REJECT_BITS if reject_bits is None else float(reject_bits))
-    for i, (w, bits) in enumerate(sorted(limits.items())):
-        limit = F.lit(bits) if i == 0 else F.when(count >= w, F.lit(bits)).otherwise(limit)
-    out = predict(packed(docs), letters, model)
-    learned = F.coalesce(F.col(f"_row.`{lang_col}`").cast("string").isin(model.languages), F.lit(False))
-    fits = learned | (letters == "") | (bits_per_letter(letters) < limit)
-    return out.filter(F.col(f"_row.`{text_col}`").cast("string").rlike(r"\p{L}") & fits).select("_row.*")
+    parts = []
+    for i, model in enumerate(models):  # the other half's model judges, or the only one
+        judge = models[1 - i] or model
+        limits = {} if reject_bits is not None else rejection_limits(judge, held)
+        limit = F.lit(REJECT_BITS if reject_bits is None else float(reject_bits))
+        for k, (w, bits) in enumerate(sorted(limits.items())):
+            limit = F.lit(bits) if k == 0 else F.when(count >= w, F.lit(bits)).otherwise(limit)
+        out = predict(rows.filter(half(text) == i), letters, judge)
+        # A label of too few texts for both halves can't be judged.
+        alone = sorted(set(model.languages) - set(judge.languages)) if model else []
+        rare = F.coalesce(F.col(f"_row.`{lang_col}`").cast("string").isin(alone), F.lit(False))
+        parts.append(out.filter(rare | (letters == "") | (bits_per_letter(letters) < limit)).select("_row.*"))
+    return parts[0].unionByName(parts[1])

@@ -117,9 +117,9 @@ def test_rejection_judges_words_only(spark):
     clean = ["The key is Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdo and it is new.", "thank you \U0001f600\U0001f680",
              "for i in range(len(rows)): print(rows[i])"]
     foreign = ["Ω" * 50, "съешь же ещё этих мягких французских булок"]
-    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(clean + foreign)] + [(-99, "Ωχ ψω", "en")], docs.schema)
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(clean + foreign)] + [(-99, "съешь же ещё этих мягких французских булок", "en")], docs.schema)
     kept = {r["doc_id"] for r in langid.drop_rejected(docs.unionByName(odd)).filter("doc_id < 0").collect()}
-    assert kept == {-1, -2, -3, -99}
+    assert kept == {-1, -2, -3}  # a learned label does not keep foreign text
 
 
 def test_copies_do_not_crowd_out_other_texts(spark):
@@ -132,3 +132,40 @@ def test_copies_do_not_crowd_out_other_texts(spark):
     assert len(drawn) == len(set(drawn)) == 41
     model = langid.train(texts, order=1, max_docs=1000)
     assert langid.code_lengths(model, [b"text"]).min() < 8 * 4
+
+
+def test_clean_labelled_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    kept = langid.drop_rejected(docs)
+    gone = lettered.join(kept, "doc_id", "left_anti").count()
+    assert gone <= 0.002 * lettered.count()
+
+
+def test_many_labels_stay_within_the_bound(spark):
+    rows = [(f"l{i}", f"word{i} text number {i * 7919 % 1000} of label {i}") for i in range(1000)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    cells = max(c.size for c in model.cost)
+    assert len(model.languages) == 1000 and cells <= langid.MAX_CELLS + 1000 * 1000
+    bits = langid.code_lengths(model, [t.encode() for _, t in rows[:20]])
+    assert bits.argmin(axis=1).tolist() == [model.languages.index(f"l{i}") for i in range(20)]
+
+
+def test_workers_need_no_package(tmp_path):
+    """From a folder outside the repository, workers without it on their path."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(langid.__file__)).rsplit("/", 1)[0]!r})
+from pagewright.session import local_session
+from pagewright.llm import langid
+spark = local_session(2, 2)
+docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("abra kadabra", "x"), ("zebra crossing", "y")] * 20)], "doc_id long, text string, lang string")
+print("rows", langid.identify(docs).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 40" in out.stdout, out.stderr[-2000:]
