@@ -18,10 +18,10 @@ Files: each task writes its records into gzip archives of one member per
 record and starts a new one at ``roll_bytes``; the manifest a write returns
 lists the archives of the task attempts that succeeded, so files left by a
 lost executor are never read.  Files are opened through ``pyarrow.fs`` by URI
-(``file:``, ``hdfs:``, ``s3:``, ``gs:``), and record bodies are streamed.
+(``file:``, ``hdfs:``, ``s3:``, ``gs:``); one record's body is held at a time.
 
-Nulls: a null payload is empty; a null id is kept (written as an empty id
-header) and sorts after every id.  Payloads under ``min_bytes`` are never
+Nulls: a null payload is empty; a null id is kept (written as a fresh
+``urn:uuid``, which reads back as null) and sorts after every id.  Payloads under ``min_bytes`` are never
 revisits.  Of repeated rows (same id and payload) one is the response and the
 others revisit that id.  An empty table writes no archive and reads as empty.
 """
@@ -74,23 +74,30 @@ def _record(record_id, url, payload, digest, kind, refers_to, date) -> bytes:
     """One WARC 1.1 record; a revisit has the headers of its response and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{f'urn:uuid:{uuid.uuid4()}' if record_id is None else f'urn:record:{record_id}'}>",
         f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(ch if ch > " " else "%%%02X" % ord(ch) for ch in url))
     if kind == "revisit":
         head.append(f"WARC-Profile: {REVISIT_PROFILE}")
-        head.append(f"WARC-Refers-To: <urn:record:{'' if refers_to is None else refers_to}>")
+        if refers_to is not None:
+            head.append(f"WARC-Refers-To: <urn:record:{refers_to}>")
     block = http if kind == "revisit" else http + payload
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z",
+def write_archives(records: DataFrame, path: str | None = None, date: str | None = None,
                    roll_bytes: int = ROLL_BYTES, level: int = 4) -> DataFrame:
-    """Write ``records`` (see ``mark_revisits``) as archives under ``path``; returns the written manifest."""
+    """Write ``records`` (see ``mark_revisits``) as archives under ``path``; returns the written manifest.
+
+    ``date`` is the records' date, by default the time of writing (UTC).
+    """
+    from datetime import UTC, datetime
+
     ship()
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = path or shared_path(records.sparkSession, "warc")
 
     def write(batches: Iterator) -> Iterator:
@@ -147,7 +154,7 @@ def _members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _of(urn: str | None) -> str | None:
-    return (urn[len("<urn:record:"):-1] or None) if urn else None
+    return (urn[len("<urn:record:"):-1] or None) if urn and urn.startswith("<urn:record:") else None
 
 
 def read_headers(manifest: DataFrame) -> DataFrame:
@@ -182,8 +189,8 @@ def read_headers(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    # One archive is one row: spread them, a task streams its archives one by one.
-    paths = manifest.select("path").repartition("path")
+    # One archive is one row.  A stated number of tasks is not coalesced: as many as there are archives.
+    paths = manifest.select("path").repartition(max(1, manifest.count()), "path")
     return paths.mapInArrow(read, schema)
 
 
