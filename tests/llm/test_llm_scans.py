@@ -182,7 +182,7 @@ def test_short_and_digit_free_runs_are_scored(text, run):
     assert run in [text[s:e] for s, e in secrets.candidates(text)]
     everything = secrets.CharCnn()
     everything.thresholds = [0.0] * len(everything.thresholds)
-    assert run in [text[s:e] for s, _, e in secrets.added_findings(text, secrets.base_findings(text), everything)]
+    assert run in [text[s:e] for s, _, e in secrets.added_findings([text], [secrets.base_findings(text)], everything)[0]]
 
 
 def test_prose_words_and_names_are_no_values():
@@ -202,7 +202,7 @@ def test_network_finds_short_secrets_by_their_context(spark):
     model = secrets.train_model(docs, max_findings=4000)
     new = [f"{word(5)} Bearer {key(12)} {word(4)} {word(6)}" for _ in range(100)]
     plain = [f"{word(5)} credential: {word(12)} {word(4)} {word(6)}" for _ in range(100)]
-    hits = lambda texts: sum(bool(secrets.added_findings(t, secrets.base_findings(t), model)) for t in texts)
+    hits = lambda texts: sum(map(bool, secrets.added_findings(texts, [secrets.base_findings(t) for t in texts], model)))
     assert hits(new) >= 80 and hits(plain) <= 10
 
 
@@ -225,3 +225,40 @@ def test_mixed_disguises(text, kind, source):
 def test_mixed_disguises_are_linear():
     for unit in (" dot ", "a at a dot ", "a dot ", "1 dot ", "one, ", "a at a.", " ", "[ "):
         pii.hidden(unit * 60_000)
+
+
+def test_dense_text_is_scanned_in_linear_time():
+    """Candidates meet findings by search, not one by one: 4 MB of both."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"token={i:012x}ab pwd: {i:010d}xyz" for i in range(n))
+        start = time.perf_counter()
+        base = secrets.base_findings(text)
+        touching = secrets.Touching([(s, e) for s, _, e in base])
+        hits = sum(touching(s, e) for s, e in secrets.candidates(text))
+        assert len(base) == n and hits == n
+        return time.perf_counter() - start, len(text)
+
+    small, _ = seconds(10_000)
+    large, size = seconds(110_000)
+    assert size > 4_000_000 and large < 25 * max(small, 0.05)
+
+
+def test_touching_equals_comparing_all():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(s, s + rng.randrange(0, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        touching = secrets.Touching(spans)
+        for start in range(60):
+            end = start + rng.randrange(1, 9)
+            assert touching(start, end) == any(s < end and start < e for s, e in spans if s < e) or any(s == e for s, e in spans)
+
+
+def test_only_the_smallest_hashes_reach_the_driver(spark):
+    rows = [(hash(("h", i)) * 1_000_003 % (1 << 64) - (1 << 63), bytes([i % 256]), 1, 0) for i in range(5000)]
+    found = spark.createDataFrame(rows, "h long, x binary, y int, shape int").repartition(8)
+    for size in (1, 50, 4000, 6000):
+        assert [r["h"] for r in secrets._smallest(found, size)] == sorted(r[0] for r in rows)[:size]
