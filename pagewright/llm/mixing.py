@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import WORD, materialize, text_of, with_row_key
+from pagewright.operators.ranking import running_total
 
 WEIGHTS = (3, 1, 2)  # by position of the source, repeating
 SHARE = 1.5  # of all sizes
 MAX_REPEATS = 2
-QUEUE_SLICE = 4096  # rows of a source's hash range
 FINISH_SLICE = 65_536  # entries of a range of virtual time
 
 
@@ -80,20 +80,14 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def _queued(sized: DataFrame, totals: DataFrame) -> DataFrame:
-    """Adds ``_cum``: the source's cumulative size in shuffled order, the row included."""
+    """Adds ``_cum``: the source's cumulative size in shuffled order, the row included.
+
+    A distributed prefix sum: rows are range-sorted by source, hash and row, so
+    neither a hot source nor ids that repeat (one hash) are in one task.
+    """
     per_source = totals.withColumnRenamed("source", "_s")
     rows = sized.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    place = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rows = rows.withColumn("_slice", F.floor(place * F.ceil(F.col("_rows") / QUEUE_SLICE)).cast("long"))
-    slices = rows.groupBy("_rank", "_slice").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_rank").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("_rank", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = (
-        Window.partitionBy("_rank", "_slice").orderBy("_hash", "_id", "size", "_key")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = rows.withColumn("_inside", F.sum("size").over(inside))
-    return rows.join(offsets, ["_rank", "_slice"]).withColumn("_cum", F.col("_offset") + F.col("_inside"))
+    return running_total(rows, ["_hash", "_id", "size", "_key"], "size", "_cum", group_cols=["_rank"])
 
 
 def _cut(queue: DataFrame, totals: DataFrame, share: float, max_repeats: int):
@@ -156,8 +150,8 @@ def _sized(rows: DataFrame, id_col: Column, source: Column, text: Column, key: C
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS,
         id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: ``id_col, source, size, source_size, target, copies`` (times taken)."""
-    c = lambda name: F.col(f"`{name}`")
-    sized = _sized(docs, c(id_col), c(source_col), c(text_col), F.lit(None).cast("string"))
+    c = lambda name: F.col(f"_row.`{name}`")
+    sized = _sized(with_row_key(docs), c(id_col), c(source_col), c(text_col), F.col("_key"))
     return _mixed(sized, weights, share, max_repeats).drop("_key").withColumnRenamed("_id", id_col)
 
 

@@ -53,8 +53,7 @@ def sample():
 
 
 def test_targets_and_fairness(spark, monkeypatch):
-    for queue, finish in ((4096, 65_536), (16, 50)):
-        monkeypatch.setattr(mixing, "QUEUE_SLICE", queue)
+    for finish in (65_536, 50):
         monkeypatch.setattr(mixing, "FINISH_SLICE", finish)
         rows = sample()
         df = spark.createDataFrame(rows, SCHEMA)
