@@ -4,7 +4,7 @@ The library looks at one piece of text at a time: its split rule cuts a text
 into words with the space before them, numbers, other marks and runs of white
 space, and merges never cross a cut.  So a piece has the same ids wherever it
 stands, and the library needs to see it only once: pieces are cut here by the
-same rule and looked up; the library encodes those that are new.
+same rule and looked up; the library's model encodes those that are new.
 
 The rule here is written with Python's character classes.  They agree with
 the library's on the characters of Unicode 3.2 but for a few, which are found
@@ -14,10 +14,11 @@ by their properties; a text with any other character goes to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 PIECE = 1 << 18  # characters encoded at a time
-KEPT = 400_000  # pieces remembered; beyond it they are forgotten and encoded again
+KEPT = 1_000_000  # pieces remembered; beyond it they are forgotten and encoded again
 # The split rule starts a new token at a single space between two non-space
 # characters, so a text may be cut there.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,18 +36,24 @@ def _agrees(ch: str) -> bool:
             and ch.isspace() == white and ch.isalnum() == (kind[0] == "L" or kind == "Nd"))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it prints, else the next one from 256 on."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printing else next(others)) for b in range(256)}
+
+
 class Pieces(dict):
-    """Ids of a piece as bytes, unsigned 32-bit; what is not known yet is asked of the library."""
+    """Ids of a piece as bytes, unsigned 32-bit; what is not known yet is asked of the library's model."""
 
     def __init__(self, library):
-        self.library = library
+        self.model, self.letters = library.model, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
         if len(self) >= KEPT:
             self.clear()
-        ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
