@@ -44,7 +44,7 @@ TRAIN_DOCS = 2000  # labelled documents per language that are counted, about
 MAX_NODES = 200_000  # sequences of each length that the model keeps
 MAX_CELLS = 8_000_000  # of them times languages: many labels share fewer sequences
 FOLDS = 5
-BLOCK = 1 << 19  # bytes scored at a time
+BLOCK = 1 << 18  # bytes scored at a time
 REJECT_BITS = 12.0  # bits per letter that reject a text if no held-out text tells the limit
 WORDS = (1, 2, 4, 8, 16, 32, 64)  # sizes of the held-out snippets that set the limits
 QUANTILE, SLACK = 0.999, 1.5  # a limit is this multiple of that quantile of the snippets' bits per letter
