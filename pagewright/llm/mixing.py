@@ -8,10 +8,10 @@ sorted by finish time and taken until the total budget (the sum of targets)
 is used up.  A source's queue reaches time 1 exactly at its target, so each
 source ends within about one document of it.
 
-Scale.  Cumulative sums never gather a source: the shuffle key is a uniform
-hash, so a source is cut into equal hash ranges of about ``QUEUE_SLICE`` rows,
-range totals give the offsets, and only rows of one range meet in a task.  The
-global sort is cut the same way, by virtual time, which is uniform over
+Scale.  Cumulative sums never gather a source: rows are range-sorted by source,
+hash and row, each task adds up its own, and one row per source and task gives
+the offsets, so neither a hot source nor an id that repeats is in one task.  The
+global sort is cut into slices of virtual time, which is uniform over
 entries by construction; slices entirely before the cut are taken, those
 after it are not, and only the slice that holds the cut is sorted row by row.
 The text is read once, for its size.

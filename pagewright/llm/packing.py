@@ -7,8 +7,8 @@ Pieces are then packed by bulk-synchronous best fit:
 1. documents and gaps (open sequences) are range-sorted by size, descending;
 2. a successor sweep of each range matches a document with the smallest free
    gap that holds it, one document per gap and round: in the sorted order gaps
-   go on a stack and documents take from its top.  What a range leaves over is
-   swept again across ranges;
+   go on a stack and documents take from its top.  Ranges are always swept apart;
+   what they leave over is swept once more across them;
 3. conflicts for a gap are resolved by rank: the document earlier in the order
    takes it, the next one the next larger gap;
 4. matched gaps shrink; the round ends.  Before the next one, as many new
