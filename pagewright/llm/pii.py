@@ -4,14 +4,18 @@ Base identifiers (email, ip, card, phone) are found in the text as it stands.
 Then a chain of small transducers rewrites disguises, remembering for every
 character of its output which source characters it came from:
 
-* homoglyphs: full-width and mathematical forms, other scripts' digits,
-  Cyrillic and Greek look-alikes; zero-width characters disappear;
+* homoglyphs: full-width, mathematical, letter-like, raised and circled forms,
+  other scripts' digits, Cyrillic and Greek look-alikes; zero-width characters disappear;
 * spelled digits: digit words become digits in runs of words and digits that
   hold three digits or more, commas between them spaces; ``plus`` before a
   digit becomes ``+``;
 * at/dot disguises: ``[at]``, ``(dot)``, ``[.]``, spoken ``at`` and ``dot``, in
   any mix with plain ones: spoken ones between the pieces of an address whose
-  host ends like a domain (2 to 6 letters of one case), ``dot`` also between numbers.
+  host ends like a domain (2 to 6 letters of one case), ``dot`` also between numbers;
+  ``_at_`` with ``_dot_`` (or hyphens); an ``@`` with spaces about it.  Where ``at`` is
+  the only disguise ("met at example.com"), the name must look like one (letters with
+  a digit, dot or underscore) or follow a word of address (``mail``, ``to``) and be no
+  ordinary word; ``www`` or an article after ``at`` starts no mail host.
 
 Identifiers are detected again in the rewritten text; a hit that contains a
 rewritten place is mapped back to its source characters and added.  Base spans
@@ -50,8 +54,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOKALIKES = "аaеeоoрpсcхxуyіiјjѕsһhԁdԛqԝwАAВBЕEКKМMНHОOРPСCТTХXУYІIЈJЅSαaοoνvρpιiκkυuΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX"
 ZERO_WIDTH = "­​‌‍‎‏⁠﻿"
 # Characters that a transducer may rewrite.
-ODD = re.compile("[­Ͱ-ӿԀ-ԯ٠-٩۰-۹०-९​-‏․⁠⁰-₉"
-                 "①-⑳﹒﹢﹫﻿！-～\U0001d400-\U0001d7ff]")
+ODD = re.compile("[­ʰ-ʸˡ-ˣͰ-ӿԀ-ԯ٠-٩۰-۹०-९ᴬ-ᵪ​-‏․⁠⁰-ₜ"
+                 "\u2100-\u214f①-⑳\u24b6-\u24ea﹒﹢﹫﻿！-～\U0001d400-\U0001d7ff\U0001f130-\U0001f149]")
 # Digit words of the languages at hand.
 DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -61,7 +65,10 @@ DIGIT_WORDS = {
 }
 PLUS = re.compile(r"(?<![^\W_])plus\x20(?=[0-9])", re.IGNORECASE)
 BRACKETED = re.compile(r"([\[({<])\x20*(at|@|dot|\.|punkt|punto|point|arroba)\x20*([\])}>])\x20*", re.IGNORECASE)
-AT = re.compile(r"(?P<spoken>(?<=\x20)at\x20+)|[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*|@", re.IGNORECASE)
+AT = re.compile(r"(?P<spoken>(?<=\x20)at\x20+)|[\[({<]\x20*(?:at|@|arroba)\x20*[\])}>]\x20*|(?P<sign>@\x20*)", re.IGNORECASE)
+JOINED_AT = re.compile(r"(?P<by>[_-])at(?P=by)", re.IGNORECASE)
+JOINED_LABEL = {"_": re.compile(r"[A-Za-z0-9-]+"), "-": re.compile(r"[A-Za-z0-9]+")}
+JOINED_DOT = {by: re.compile(f"{by}dot{by}", re.IGNORECASE) for by in "_-"}
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 DOT = re.compile(r"(?P<spoken>\x20+dot\x20+)|\x20*[\[({<]\x20*(?:dot|\.|punkt|punto|point)\x20*[\])}>]\x20*|\.", re.IGNORECASE)
 ENDING = re.compile(r"[a-z]{2,6}|[A-Z]{2,6}")
@@ -69,6 +76,22 @@ NUMBER_DOT = re.compile(r"(?<=[0-9])\x20+dot\x20+(?=[0-9])", re.IGNORECASE)
 NUMBER = re.compile(r"[0-9]+")
 BETWEEN = re.compile(r"[\x20,-]{1,3}")
 CLOSES = {"[": "]", "(": ")", "{": "}", "<": ">"}
+BEFORE = 48  # characters that may tell a name from a word
+NAME_LIMIT = 64  # characters that a name before an ``@`` may have
+NAME_LIKE = re.compile(r"[A-Za-z][._+-]?[0-9]|[A-Za-z0-9][._][A-Za-z]")
+# What makes a word before a spoken ``at`` a name: a word of address right before it, or up to two words earlier.
+ADDRESSED = re.compile(r"""(?:\b(?:to|cc|bcc|from|by|via|contact|ask|reach|write|ping|email|address)|mail(?:ed|ing|s)?|mailto)"""
+                       r"""(?:[:\x20]+[A-Za-z]+){0,2}?[:\x20"'(<]+\Z""", re.IGNORECASE)
+NO_HOST = ("www", "the", "a", "an")  # a site or a phrase after a spoken ``at``, no mail host
+# Words that stand before a spoken ``at`` in prose.
+ORDINARY = frozenset(
+    "a about again all also am an and any are arrive arrived article articles available based be been book books buy by check code data details do "
+    "docs done download event events file files find found free get go going guide he held help her here him hosted i images information is "
+    "it join listed live lives located look looked looking looks made me meet meeting met more not now of offered on one online "
+    "only open or order out over page pages parked photos posted prices published read reading reads register seen see sell shop shopping show "
+    "shown site sold someone something staff start started stay stayed stop store stored story talk that the their them there they "
+    "things this those today up us visit was watch we were what work worked working works yesterday you".split()
+)
 
 
 # ------------------------------------------------------------------ detection
@@ -197,20 +220,43 @@ def _at_dot(text: str) -> list[tuple[int, int, str]]:
             edits.append((start, m.end(), "@" if m.group(2).lower() in ("at", "@", "arroba") else "."))
     for m in AT.finditer(text):
         edits += _spoken(text, m)
+    edits += _joined_up(text)
     edits += [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)]
     return sorted(set(edits))
 
 
+def _joined_up(text: str) -> list[tuple[int, int, str]]:
+    """Edits for ``name_at_host_dot_com``, with underscores or with hyphens; the host needs one such dot."""
+    edits, done = [], 0
+    for at in JOINED_AT.finditer(text):
+        by, dots = at["by"], []
+        label = JOINED_LABEL[by].match(text, at.end())
+        while label and (dot := JOINED_DOT[by].match(text, label.end())) and (after := JOINED_LABEL[by].match(text, dot.end())):
+            dots.append((dot.start(), dot.end(), "."))
+            label = after
+        if not dots or not ENDING.fullmatch(label.group()) or text[label.end():label.end() + 1] in ("_", "-"):
+            continue
+        start = at.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at.start():
+            edits += [(m.start(), m.end(), ".") for m in JOINED_DOT[by].finditer(text, start + 1, at.start())]
+            edits += [(at.start(), at.end(), "@"), *dots]
+            done = label.end()
+    return edits
+
+
 def _spoken(text: str, at: re.Match) -> list[tuple[int, int, str]]:
-    """Edits for the spoken parts of the address around an ``at``; none unless a host with a domain's ending follows."""
+    """Edits for the spoken and spaced parts of the address around an ``at``; none unless a host with a domain's ending follows."""
     start = at.start()
     while start and text[start - 1] == " ":
         start -= 1
     if not start or text[start - 1] not in LOCAL:
         return []
-    dots, edits, whole = [], [], False
-    label = LABEL.match(text, at.end())
+    dots, edits, whole, plain = [], [], False, True
+    first = label = LABEL.match(text, at.end())
     while label and (dot := DOT.match(text, label.end())) and (label := LABEL.match(text, dot.end())):
+        plain = plain and dot.group() == "."
         if dot["spoken"]:
             dots.append((dot.start(), dot.end(), "."))
         after = text[label.end():label.end() + 1]
@@ -218,11 +264,20 @@ def _spoken(text: str, at: re.Match) -> list[tuple[int, int, str]]:
             edits, whole = list(dots), True
     if not whole:
         return []
-    if at["spoken"]:
+    spaced = at["sign"] is not None and at.end() - start > 1
+    name = _spoken_name(text, start)
+    if at["spoken"] or spaced:
+        if first.group().lower() in NO_HOST or plain and not name and not _is_name(text, start, spaced):
+            return []
         edits.append((start, at.end(), "@"))
     elif not edits:
         return []
-    # Spoken dots of the name before it.
+    return edits + name
+
+
+def _spoken_name(text: str, start: int) -> list[tuple[int, int, str]]:
+    """Edits for the spoken dots of the name that ends at ``start``."""
+    edits = []
     while True:
         while start and text[start - 1] in LOCAL:
             start -= 1
@@ -239,6 +294,17 @@ def _spoken(text: str, at: re.Match) -> list[tuple[int, int, str]]:
             return edits
 
 
+def _is_name(text: str, end: int, signed: bool) -> bool:
+    """Whether the piece that ends at ``end`` is the name of an address rather than a word of prose; a sign speaks for a name."""
+    start = end
+    while start > max(0, end - NAME_LIMIT) and text[start - 1] in LOCAL:
+        start -= 1
+    name = text[start:end]
+    if not name[-1].isalnum() or name.lower() in ORDINARY:
+        return False
+    return signed or bool(NAME_LIKE.search(name) or ADDRESSED.search(text[max(0, start - BEFORE):start]))
+
+
 class Rewritten:
     """A text after some edits, with the way back to the source's offsets."""
 

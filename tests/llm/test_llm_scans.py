@@ -217,16 +217,67 @@ def test_network_finds_short_secrets_by_their_context(spark):
     ("call plus one, five, five, five, two, one, two, three, four now", "phone", "plus one, five, five, five, two, one, two, three, four"),
     ("call +1 five five 5 123 4567 now", "phone", "+1 five five 5 123 4567"),
     ("arrive at this.Then go, at the dot", None, None),
+    ("we met at example.com today", None, None),
+    ("look at www.example.com for it", None, None),
+    ("I am at home.now really", None, None),
+    ("go to details at example.com", None, None),
+    ("write to john at www dot example dot com", None, None),
+    ("to \U0001d457\U0001d45cℎ\U0001d45b@example.com now", "email", "\U0001d457\U0001d45cℎ\U0001d45b@example.com"),
+    ("to ⓙohn@example.com now", "email", "ⓙohn@example.com"),
+    ("to john ＠ example.com now", "email", "john ＠ example.com"),
+    ("to john_at_example_dot_com now", "email", "john_at_example_dot_com"),
+    ("to john-dot-doe-at-example-dot-co-dot-uk.", "email", "john-dot-doe-at-example-dot-co-dot-uk"),
+    ("john.doe at example.com", "email", "john.doe at example.com"),
+    ("open look_at_example_dot_ and look_at_me.txt, up-at-dawn-dot-", None, None),
 ])
 def test_mixed_disguises(text, kind, source):
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.hidden(text)] == ([(kind, source)] if kind else [])
 
 
 def test_mixed_disguises_are_linear():
-    for unit in (" dot ", "a at a dot ", "a dot ", "1 dot ", "one, ", "a at a.", " ", "[ "):
+    for unit in (" dot ", "a at a dot ", "a dot ", "1 dot ", "one, ", "a at a.", " ", "[ ", "_at_", "a_at_b_dot_", "a_at_b_dot_co ", "-dot-", "a @ ",
+                 "to a at b.co ", "ⓐ"):
         pii.hidden(unit * 60_000)
 
 
+def planted_addresses(seed, n):
+    """(text, source of the hidden address or None) of invented sentences: half with a disguise, half prose about places and sites."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("etaoinshrdlubcm", k=rng.randint(3, 8)))
+    circled = lambda s: "".join(chr(ord(c) - 97 + 0x24D0) for c in s)
+    styled = lambda s: "".join("ℎ" if c == "h" else chr(ord(c) - 97 + 0x1D44E) for c in s)
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) for c in s)
+    forms = [
+        lambda a, b, c: f"{a} [at] {b} [dot] {c}", lambda a, b, c: f"{a} (at) {b}.{c}", lambda a, b, c: f"{a} at {b} dot {c}",
+        lambda a, b, c: f"{a}@{b} dot {c}", lambda a, b, c: f"{a}_at_{b}_dot_{c}", lambda a, b, c: f"{a}-at-{b}-dot-{c}",
+        lambda a, b, c: f"{circled(a)}@{b}.{c}", lambda a, b, c: f"{styled(a)}@{styled(b)}.{c}", lambda a, b, c: f"{wide(a)}＠{b}.{c}",
+        lambda a, b, c: f"{a} ＠ {b}.{c}", lambda a, b, c: f"{a} @ {b}.{c}", lambda a, b, c: f"{a}.{word()} at {b}.{c}",
+        lambda a, b, c: f"{a} at {b} (dot) {c}", lambda a, b, c: f"{a}\u200b@{b}.{c}",
+    ]
+    prose = [
+        lambda b, c: f"we met at {b}.{c} today", lambda b, c: f"look at www.{b}.{c} for it", lambda b, c: f"more is at {b}.{c} now",
+        lambda b, c: f"they stayed at {b}.then {word()} left", lambda b, c: f"the {word()} at {b}.{c} was shut",
+        lambda b, c: f"open up_at_{b}.{c} and {word()}_dot_{b}", lambda b, c: f"point at the dot {c} of {b}", lambda b, c: f"a {word()} ⓐ at {b}",
+    ]
+    out = []
+    for i in range(n):
+        end = rng.choice(["com", "org", "net", "de", "info"])
+        if i % 2:
+            source = rng.choice(forms)(word(), word(), end)
+            out.append((f"{word()} {rng.choice(['mail', 'write to', 'reach'])} {source}, {word()}", source))
+        else:
+            out.append((f"{word()}, {rng.choice(prose)(word(), end)} {word()}", None))
+    return out
+
+
+def test_precision_and_recall_of_planted_addresses():
+    truth, found, right = 0, 0, 0
+    for text, source in planted_addresses(11, 4000):
+        got = [text[s:e] for s, k, e in pii.hidden(text)]
+        truth, found, right = truth + (source is not None), found + len(got), right + (source in got)
+    assert right / truth >= 0.99 and right / found >= 0.99, (truth, found, right)
+
+
 def test_dense_text_is_scanned_in_linear_time():
     """Candidates meet findings by search, not one by one: 4 MB of both."""
     import time
