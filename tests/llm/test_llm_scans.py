@@ -176,7 +176,8 @@ def test_rare_secrets_train_the_network(spark, caplog):
 @pytest.mark.parametrize("text, run", [
     ("set pwd=hunter2x now", "hunter2x"), ('"pass": "correcthorse",', "correcthorse"), ("credential: opensesame", "opensesame"),
     ("Authorization: Bearer abcdefgh", "abcdefgh"), ("use x9Kq21Lmzz there", "x9Kq21Lmzz"),
-    ("and CORRECTHORSEBATTERYSTAPLE end", "CORRECTHORSEBATTERYSTAPLE"),
+    ("and CORRECTHORSEBATTERYSTAPLE end", "CORRECTHORSEBATTERYSTAPLE"), ("pwd: p@ssW0rd!x now", "p@ssW0rd!x"),
+    ("a note correcthorsebat here", "correcthorsebat"), ("code 8842190375 end", "8842190375"), ("login=a$b&c~9#z now", "a$b&c~9#z"),
 ])
 def test_short_and_digit_free_runs_are_scored(text, run):
     assert run in [text[s:e] for s, e in secrets.candidates(text)]
@@ -185,8 +186,10 @@ def test_short_and_digit_free_runs_are_scored(text, run):
     assert run in [text[s:e] for s, _, e in secrets.added_findings([text], [secrets.base_findings(text)], everything)[0]]
 
 
-def test_prose_words_and_names_are_no_values():
-    assert secrets.candidates("international understanding, otherwise 2024-01-01") == []
+def test_prose_words_have_shapes_of_their_own_and_names_are_no_values():
+    text = "international understanding, otherwise. 2024-01-01 opensesame1 Well-known"
+    shapes = [secrets.SHAPES[secrets.shape_of(text[s:e]) % 5] for s, e in secrets.candidates(text)]
+    assert shapes == ["word", "word", "word", "digits", "mixed", "word"]
     text = "'password': 'abcd1234'"
     assert [text[s:e] for s, e in secrets.values(text, secrets.base_findings(text))] == ["abcd1234"]
     assert secrets.shape_of("abcdefgh") != secrets.shape_of("abcdefgh" * 2 + "x")
@@ -206,6 +209,44 @@ def test_network_finds_short_secrets_by_their_context(spark):
     assert hits(new) >= 80 and hits(plain) <= 10
 
 
+def test_short_secrets_with_symbols_are_found_and_prose_is_left_alone(spark):
+    rng = random.Random(9)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = lower + lower.upper() + digits
+    word = lambda low, high: "".join(rng.choices("etaoinshrdlucm", k=rng.randint(low, high)))
+    prose = lambda n: " ".join(word(3, 12) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    number = lambda: f"{rng.randint(1, 99999999):08d}"
+    rows = []
+    for i in range(3000):
+        key = "".join(rng.choices(every, k=rng.randint(8, 15))) if i % 3 else word(8, 12)
+        said = rng.choice(["password", "secret", "api_key", "token"]) + rng.choice(["=", ": ", ' = "'])
+        rows.append((i, f"{prose(8)} {said}{key} {prose(8)} {number()} {prose(3)}" if i % 2 else f"{prose(16)} see: {word(8, 12)} {number()}"))
+    model = secrets.train_model(spark.createDataFrame(rows, "doc_id long, text string"), max_findings=4000)
+    hits = lambda texts: secrets.added_findings(texts, [secrets.base_findings(t) for t in texts], model)
+    planted = ["".join(rng.choices(every, k=n - 3)) + rng.choice("!@#$%") + rng.choice(digits) + rng.choice(lower) for n in range(8, 16) for _ in range(40)]
+    texts = [f"{prose(6)} pwd: {key} {prose(6)}" for key in planted]
+    found = sum(key in [t[s:e] for s, _, e in spans] for key, t, spans in zip(planted, texts, hits(texts)))
+    assert found >= 0.9 * len(planted)
+    clean = [f"{prose(60)} {number()} {prose(5)}" for _ in range(500)]
+    words = sum(len(secrets.candidates(t)) for t in clean)
+    assert words > 10_000 and sum(map(len, hits(clean))) <= 0.001 * words
+
+
+def test_rows_of_any_width_score_alike():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcXYZ019!é", k=rng.randint(1, 16))) for _ in range(300)) + " lastrun12"
+    spans = secrets.candidates(text)
+    codes = secrets.text_codes(text)
+    model = secrets.CharCnn(3)
+    wide, narrow = secrets.window_rows(codes, spans), secrets.window_rows(codes, spans, secrets.NARROW)
+    assert max(e - s for s, e in spans) <= 16 and np.abs(model.logits(wide) - model.logits(narrow)).max() < 1e-5
+    assert np.abs(model.logits(wide) - model._forward(wide.astype(np.int64))[3]).max() < 1e-4
+    for s, e in spans:
+        before, after = text[max(0, s - 24):s], text[e:e + 12]
+        want = "\0" * (24 - len(before)) + before + text[s:e] + "\0" * (48 - (e - s)) + after + "\0" * (12 - len(after))
+        assert secrets.windows(text, s, e) == [[c if (c := ord(ch)) != 1 and c < 127 else 1 for ch in want]]
+
+
 @pytest.mark.parametrize("text, kind, source", [
     ("to john [at] example dot com now", "email", "john [at] example dot com"),
     ("to john at example.com now", "email", "john at example.com"),
