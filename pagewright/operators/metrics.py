@@ -110,6 +110,7 @@ def usage_report(log: DataFrame, stats: DataFrame, prices: DataFrame) -> DataFra
     def cost(c):
         return F.coalesce(money(c), F.lit("n/a"))
 
+    # Labels and indents of the report's lines.
     text = F.concat_ws(
         "\n",
         F.concat(

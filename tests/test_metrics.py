@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import textfn
 from pagewright.operators import metrics
 
-# Sample log of the reference (document, model, request, prompt, completion).
+# Sample log of the reference (document, model, request, prompt, completion).
 SAMPLE_LOG = [
     ("convert-me-to-markdown", "GPT-4-Vision Preview", 1, 7053, 2064),
     ("convert-me-to-markdown", "GPT-4-Turbo 1106", 1, 2363, 284),
