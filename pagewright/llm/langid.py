@@ -9,9 +9,8 @@ code length under a language is a sum over its bytes.  The shortest code
 names the language; the score is that language's posterior probability under
 equal priors.
 
-Training.  Counts come from at most about ``TRAIN_DOCS`` different labelled
-texts per language (a documented bound; texts are drawn by their hash, whole,
-and copies count once, in the share as in the counts) and are summed by Spark.  Sequences rarer than one threshold are
+Training.  Counts come from all different labelled texts, whole (copies count
+once), and are summed by Spark.  Sequences rarer than one threshold are
 left out so that at most ``MAX_NODES`` of each length stay; a suffix or prefix
 is at least as frequent as the sequence, so the trees stay closed.  The model
 is that bounded table and is what tasks receive.
@@ -34,17 +33,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import crc_bucket, materialize, packed, plus, ship
 
 MAX_ORDER = 3
-TRAIN_DOCS = 2000  # labelled documents per language that are counted, about
 MAX_NODES = 200_000  # sequences of each length that the model keeps
 MAX_CELLS = 8_000_000  # of them times languages: many labels share fewer sequences
 FOLDS = 5
 BLOCK = 1 << 18  # bytes scored at a time
+COUNTED = 1 << 20  # sequences that a task counts at a time
 REJECT_BITS = 12.0  # bits per letter that reject a text if no held-out text tells the limit
 WORDS = (1, 2, 4, 8, 16, 32, 64)  # sizes of the held-out snippets that set the limits
 QUANTILE, SLACK = 0.999, 1.5  # a limit is this multiple of that quantile of the snippets' bits per letter
@@ -63,34 +63,69 @@ class Model:
 
 
 def count_sequences(texts: DataFrame, order: int = MAX_ORDER) -> DataFrame:
-    """``lang, k, seq, n`` from ``lang, text``: counts of byte sequences of length 1 to ``order + 1``."""
+    """``lang, k, seq, n`` from ``lang, text``: counts of byte sequences of length 1 to ``order + 1``.
+
+    Only sequences of the full length are sorted, as symbols of 9 bits with 256
+    after a text's end; the shorter ones are their prefixes.  A task holds at
+    most about ``COUNTED`` of them before it adds up or hands on what it has.
+    """
     ship()
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            parts: dict = {}
-            for lang, t in zip(langs, texts):
-                raw = np.frombuffer(t.as_buffer(), np.uint8).astype(np.uint64)
+        def summed(s, n):
+            """Sums of ``n`` over equal ``s``, which are sorted."""
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            return s[first], np.add.reduceat(n, first)
+
+        def added(parts: list, new: list):
+            s = np.sort(np.concatenate(new))
+            parts = [*parts, summed(s, np.ones(len(s), np.int64))]
+            s, n = (np.concatenate(x) for x in zip(*parts))
+            at = np.argsort(s, kind="stable")
+            return [summed(s[at], n[at])]
+
+        def counted(found: dict) -> Iterator:
+            for lang, parts in found.items():
                 for k in range(1, order + 2):
-                    if len(raw) < k:
+                    s, n = parts[0]
+                    s = s >> np.uint64(9 * (order + 1 - k))
+                    inside = (s & np.uint64(511)) < 256  # ends within its text
+                    if not inside.any():
                         break
-                    seq = np.zeros(len(raw) - k + 1, np.uint64)
+                    s, n = summed(s[inside], n[inside])
+                    seq = np.zeros(len(s), np.uint64)
                     for i in range(k):
-                        seq = (seq << np.uint64(8)) | raw[i:len(raw) - k + 1 + i]
-                    s, n = np.unique(seq, return_counts=True)
-                    parts.setdefault((lang, k), []).append((s, n))
-            for (lang, k), found in parts.items():
-                s, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([x for _, x in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(s), pa.string()), pa.array(np.full(len(s), k, np.int32)),
-                    pa.array(s.view(np.int64)), pa.array(n),
-                ], names=["lang", "k", "seq", "n"])
+                        seq |= ((s >> np.uint64(9 * i)) & np.uint64(255)) << np.uint64(8 * i)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(s), pa.string()), pa.array(np.full(len(s), k, np.int32)),
+                        pa.array(seq.view(np.int64)), pa.array(n),
+                    ], names=["lang", "k", "seq", "n"])
+
+        found: dict = {}  # language: its sequences so far, added up
+        new: dict = {}
+        held = 0
+        for batch in batches:
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = np.frombuffer(t.as_buffer(), np.uint8)
+                for start in range(0, len(raw), COUNTED):
+                    part = raw[start:start + COUNTED + order]
+                    symbols = np.full(len(part) + order, 256, np.uint64)
+                    symbols[:len(part)] = part
+                    seq = np.zeros(len(part), np.uint64)
+                    for i in range(order + 1):
+                        seq = (seq << np.uint64(9)) | symbols[i:i + len(part)]
+                    new.setdefault(lang, []).append(seq[:COUNTED])
+                    held += len(new[lang][-1])
+                    if held >= COUNTED:
+                        found |= {k: added(found.get(k, []), some) for k, some in new.items()}
+                        new, held = {}, 0
+                        if sum(len(parts[0][0]) for parts in found.values()) >= COUNTED:
+                            yield from counted(found)
+                            found = {}
+        yield from counted(found | {k: added(found.get(k, []), some) for k, some in new.items()})
 
     counted = texts.select("lang", "text").mapInArrow(count, "lang string, k int, seq long, n long")
     return counted.groupBy("lang", "k", "seq").agg(F.sum("n").alias("n"))
@@ -109,28 +144,39 @@ def draw(labelled: DataFrame, sizes: dict[str, int], max_docs: int) -> DataFrame
     return labelled.filter(place < share[F.col("lang")]).select("lang", "text").distinct()
 
 
-def train(labelled: DataFrame, order: int = MAX_ORDER, max_docs: int = TRAIN_DOCS, max_nodes: int = MAX_NODES) -> Model | None:
-    """A model from ``lang, text`` (neither null); None if there is nothing to learn from."""
-    sizes = distinct_texts(labelled)
-    if not sizes:
+def train(labelled: DataFrame, order: int = MAX_ORDER, max_docs: int | None = None, max_nodes: int = MAX_NODES) -> Model | None:
+    """A model from all different ``lang, text`` (neither null); None if there is nothing to learn from.
+
+    ``max_docs`` has it learn from about so many of each language instead.
+    """
+    if max_docs is None:
+        texts = labelled.select("lang", "text").distinct()
+    elif sizes := distinct_texts(labelled):
+        texts = draw(labelled, sizes, max_docs)
+    else:
+        return None
+    counts = materialize(count_sequences(texts, order), "langid-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
         return None
-    drawn = draw(labelled, sizes, max_docs)
-    counts = count_sequences(drawn, order)
-    counts = materialize(counts, "langid-counts")
     total = counts.groupBy("k", "seq").agg(F.sum("n").alias("n"))
-    by_count = total.groupBy("k", F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("seqs")).collect()
-    max_nodes = min(max_nodes, max(1000, MAX_CELLS // len(sizes)))
+    # Counts to four digits: few different ones, however large they get.
+    digits = F.greatest(F.lit(0), F.length(F.col("n").cast("string")) - 4)
+    level = F.col("n") - F.col("n") % F.pow(F.lit(10.0), digits).cast("long")
+    by_count = total.groupBy("k", level.alias("n")).agg(F.count(F.lit(1)).alias("seqs")).collect()
+    max_nodes = min(max_nodes, max(1000, MAX_CELLS // len(languages)))
     least = 1  # the smallest count that leaves at most max_nodes sequences of any length
     for k in range(1, order + 2):
         kept = 0
         for r in sorted((r for r in by_count if r["k"] == k), key=lambda r: -r["n"]):
             kept += r["seqs"]
             if kept > max_nodes:
-                least = max(least, r["n"] + 1)
+                least = max(least, r["n"] + 10 ** max(0, len(str(r["n"])) - 4))
                 break
     keep = total.filter(F.col("n") >= least).select("k", "seq")
-    rows = counts.join(keep, ["k", "seq"]).toPandas()
-    return build_model(sorted(sizes), rows, order)
+    # Arrow: as Python rows the counts would take many times their size.
+    rows = counts.join(keep, ["k", "seq"]).select("lang", "k", "seq", "n").toArrow().to_pandas()
+    return build_model(languages, rows, order)
 
 
 def build_model(languages: list[str], rows, order: int) -> Model | None:
@@ -266,8 +312,16 @@ def _bits(model: Model, c):
     return bits
 
 
-def predict(rows: DataFrame, text: Column, model: Model | None, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``rows`` (all by default) with ``lang_pred, score, bits_per_byte`` of ``text``."""
+def shared_model(spark: SparkSession, model: Model) -> Broadcast:
+    """Plain lists and arrays: the class travels with the function, workers need no package."""
+    return spark.sparkContext.broadcast(dict(vars(model)))
+
+
+def predict(rows: DataFrame, text: Column, model: Model | None, carry: list[str] | None = None, shared: Broadcast | None = None) -> DataFrame:
+    """The columns ``carry`` of ``rows`` (all by default) with ``lang_pred, score, bits_per_byte`` of ``text``.
+
+    ``shared`` is the model as ``shared_model`` sent it, if it was sent before.
+    """
     names = carry or rows.columns
     if model is None:
         return rows.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
@@ -276,8 +330,7 @@ def predict(rows: DataFrame, text: Column, model: Model | None, carry: list[str]
     text = text.cast("string")
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     schema = plus(rows.select(*names).schema, "lang_pred string, score double, bits_per_byte double")
-    # Plain lists and arrays: the class travels with the function, workers need no package.
-    shared = rows.sparkSession.sparkContext.broadcast(dict(vars(model)))
+    shared = shared or shared_model(rows.sparkSession, model)
 
     def score(batches: Iterator) -> Iterator:
         import numpy as np
@@ -332,15 +385,19 @@ def bits_per_letter(letters: Column) -> Column:
     return F.col("bits_per_byte") * F.octet_length(letters) / F.char_length(letters)
 
 
-def rejection_limits(model: Model, held: DataFrame) -> dict[int, float]:
-    """Bits per letter beyond which a text of so many words is in no learned language, from held-out ``lang, text``."""
+def held_snippets(held: DataFrame) -> DataFrame:
+    """``w, t``: the first and the middle ``w`` words of every different held-out ``lang, text``."""
     words = F.split(letters_of(F.col("text")), " ")
-    rows = draw(held, distinct_texts(held), TRAIN_DOCS).select(words.alias("_words"))
+    rows = held.select("lang", "text").distinct().select(words.alias("_words"))
     middle = F.floor(F.size("_words") / 2).cast("int")
     cut = [F.struct(F.lit(w).alias("w"), F.array_join(F.slice("_words", at, w), " ").alias("t"), (F.size("_words") >= w - 1 + at).alias("whole"))
            for w in WORDS for at in (F.lit(1), F.greatest(F.lit(1), middle))]
-    snippets = rows.select(F.explode(F.array(*cut)).alias("s")).filter("s.whole and s.t <> ''").select("s.w", "s.t")
-    rated = predict(snippets, F.col("t"), model).withColumn("rate", bits_per_letter(F.col("t")))
+    return rows.select(F.explode(F.array(*cut)).alias("s")).filter("s.whole and s.t <> ''").select("s.w", "s.t")
+
+
+def rejection_limits(model: Model, snippets: DataFrame, shared: Broadcast | None = None) -> dict[int, float]:
+    """Bits per letter beyond which a text of so many words is in no learned language, from all ``held_snippets``."""
+    rated = predict(snippets, F.col("t"), model, shared=shared).withColumn("rate", bits_per_letter(F.col("t")))
     found = rated.groupBy("w").agg(F.percentile_approx("rate", QUANTILE, 100_000).alias("q")).collect()
     return {r["w"]: r["q"] * SLACK for r in found if r["q"] is not None}
 
@@ -353,8 +410,8 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in two halves by a hash of the text, and a document is judged by the model
     of the other half: foreign text under a learned label can't vouch for itself
     or its copies.  A label that only one half has keeps its rows.  Only words are judged (``letters_of``), in bits per letter: a text without
-    any but with a letter stays.  The limit follows from held-out snippets of
-    about as many words, so it moves with what the model learned;
+    any but with a letter stays.  The limit follows from snippets of about as many words
+    of all held-out texts, so it moves with what the model learned;
     ``reject_bits`` sets a fixed one.  Without a single labelled document
     there is nothing to reject by, and every row stays.
     """
@@ -368,18 +425,24 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return docs
     row, text = packed(docs), F.col(f"_row.`{text_col}`").cast("string")
     rows = row.filter(text.rlike(r"\p{L}"))
-    letters = letters_of(text)
-    count = F.size(F.split(letters, " "))
+    snippets = materialize(held_snippets(held), "langid-snippets") if reject_bits is None else None
     parts = []
     for i, model in enumerate(models):  # the other half's model judges, or the only one
         judge = models[1 - i] or model
-        limits = {} if reject_bits is not None else rejection_limits(judge, held)
+        shared = shared_model(docs.sparkSession, judge)
+        limits = rejection_limits(judge, snippets, shared) if reject_bits is None else {}
         limit = F.lit(REJECT_BITS if reject_bits is None else float(reject_bits))
         for k, (w, bits) in enumerate(sorted(limits.items())):
-            limit = F.lit(bits) if k == 0 else F.when(count >= w, F.lit(bits)).otherwise(limit)
-        out = predict(rows.filter(half(text) == i), letters, judge)
+            limit = F.lit(bits) if k == 0 else F.when(F.col("_words") >= w, F.lit(bits)).otherwise(limit)
+        lettered = rows.filter(half(text) == i).select("_row", letters_of(text).alias("_letters"))
+        sized = lettered.select(
+            "_row", "_letters", F.size(F.split("_letters", " ")).alias("_words"),
+            F.octet_length("_letters").alias("_bytes"), F.char_length("_letters").alias("_chars"),
+        )
+        out = predict(sized, F.col("_letters"), judge, carry=["_row", "_words", "_bytes", "_chars"], shared=shared)
         # A label of too few texts for both halves can't be judged.
         alone = sorted(set(model.languages) - set(judge.languages)) if model else []
         rare = F.coalesce(F.col(f"_row.`{lang_col}`").cast("string").isin(alone), F.lit(False))
-        parts.append(out.filter(rare | (letters == "") | (bits_per_letter(letters) < limit)).select("_row.*"))
+        rate = F.col("bits_per_byte") * F.col("_bytes") / F.col("_chars")
+        parts.append(out.filter(rare | (F.col("_chars") == 0) | (rate < limit)).select("_row.*"))
     return parts[0].unionByName(parts[1])

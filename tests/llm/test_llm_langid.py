@@ -169,3 +169,43 @@ print("rows", langid.identify(docs).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 40" in out.stdout, out.stderr[-2000:]
+
+
+def test_counts_are_exact_whatever_a_task_holds(spark, monkeypatch):
+    rows = [(lang, t) for lang, some in TEXTS.items() for t in some]
+    key = ["lang", "k", "seq"]
+    for counted in (1, 3, 20):
+        monkeypatch.setattr(langid, "COUNTED", counted)
+        got = langid.count_sequences(spark.createDataFrame(rows, "lang string, text string").coalesce(1), 3)
+        got = got.groupBy(*key).agg(F.sum("n").alias("n")).toPandas()
+        assert got.sort_values(key).values.tolist() == counts(TEXTS, 3).sort_values(key).values.tolist()
+
+
+def test_every_labelled_text_is_counted(spark, monkeypatch):
+    seen = {}
+    build = langid.build_model
+    monkeypatch.setattr(langid, "build_model", lambda languages, rows, order: seen.update(rows=rows) or build(languages, rows, order))
+    texts = [f"text number {i}" for i in range(5000)]
+    docs = spark.createDataFrame([("x", t) for t in texts + texts[:100]], "lang string, text string")
+    langid.train(docs, order=1)
+    rows = seen["rows"]
+    assert rows[rows["k"] == 1]["n"].sum() == sum(map(len, texts))
+
+
+def test_every_held_out_text_sets_the_limits(spark, monkeypatch):
+    monkeypatch.setattr(langid, "QUANTILE", 1.0)
+    limits = []
+    found = langid.rejection_limits
+    monkeypatch.setattr(langid, "rejection_limits", lambda *a: limits.append(found(*a)) or limits[-1])
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    held = [i for i in range(60_000) if fold(i) == 0][:10_000]
+    learned = [i for i in range(2000) if fold(i)]
+    word = next(w for w in ("ΩΩ", "ΨΨ", "ΔΔ", "ΣΣ", "ΛΛ", "ΞΞ", "ΠΠ")  # one that a draw of 2,000 by hash leaves out
+                if spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(1 << 30)).alias("h")).first()["h"] > 1 << 29)
+    rows = [(i, word if i == held[0] else f"abra cadabra {'abc'[i % 3] * (i % 40 + 1)} n{i}", "x") for i in held]
+    rows += [(i, f"abra cadabra {'abc'[i % 3] * (i % 40 + 1)}", "x") for i in learned]
+    langid.drop_rejected(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count()
+    # Two unseen bytes a letter: the word costs far more than any other.
+    assert len(limits) == 2 and all(x[1] > 1.5 * 16 for x in limits)
