@@ -354,3 +354,59 @@ def test_only_the_smallest_hashes_reach_the_driver(spark):
     found = spark.createDataFrame(rows, "h long, x binary, y int, shape int").repartition(8)
     for size in (1, 50, 4000, 6000):
         assert [r["h"] for r in secrets._smallest(found, size)] == sorted(r[0] for r in rows)[:size]
+
+
+def _keys_and_words(n):
+    rng = random.Random(11)
+    pick = lambda chars, k: "".join(rng.choices(chars, k=k))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [f"{pick(letters, 5)} token={pick(letters + '0123456789', 20)} end" if i % 3 == 0 else
+            f"{pick(letters, 4)} see {pick(letters, 9)}{'' if i % 2 else '/' + pick('0123456789', 3) + pick(letters, 2)} now" for i in range(n)]
+
+
+def test_every_candidate_trains_the_network_and_sets_its_thresholds(spark):
+    """Documents that the first weights don't see still change the weights, the calibration and the thresholds."""
+    texts, size = _keys_and_words(3000), 400
+    of: dict = {}
+    for t in texts:
+        for _, h, sort, _ in secrets.labelled_windows(t, secrets.hash_factors()):
+            for x, k in zip(h.tolist(), sort.tolist()):
+                of.setdefault(k, []).append((x, t))
+    drawn = sorted({t for some in of.values() for _, t in sorted(some)[:size // 4]})
+    assert len(drawn) < len(texts) / 4
+    rows = lambda some: spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string")
+    a, b = (secrets.train_model(rows(some), max_findings=size) for some in (texts, drawn))
+    assert np.abs(a.p["w2"] - b.p["w2"]).max() > 1e-6 and abs(a.scale - b.scale) > 1e-6 and a.thresholds != b.thresholds
+    again = secrets.train_model(rows(texts[::-1]).repartition(3), max_findings=size)
+    assert np.allclose(a.p["conv"], again.p["conv"], atol=1e-6) and np.allclose(a.thresholds, again.thresholds, atol=1e-4)
+
+
+def test_table_gradient_is_the_slope_over_every_candidate(spark):
+    texts, model = _keys_and_words(300), secrets.CharCnn(3)
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(3)
+    dealt = np.array([0]), np.array([4])
+    n, sums = secrets.table_gradient(docs, model, dealt)
+    x, y = [], []
+    for t in texts:
+        for rows, h, sort, _ in secrets.labelled_windows(t, secrets.hash_factors()):
+            rows[((h >> 40) & 1 == 1) & (sort != 3), :24] = 0
+            x.append(rows[h % 5 < 3])
+            y.append(sort[h % 5 < 3] >= 2)
+    x, y = np.concatenate(x).astype(np.int64), np.concatenate(y).astype(float)
+    assert n.sum() == len(x) and n[2:].sum() == y.sum()
+
+    def loss():
+        z = model._forward(x)[3]
+        return (np.logaddexp(0, z) - y * z).sum()
+
+    total, at = sums.sum(axis=0), 0
+    for k, w in model.p.items():
+        g = total[at:at + w.size]
+        at += w.size
+        i = int(np.abs(g).argmax())
+        w.flat[i] += 1e-5
+        up = loss()
+        w.flat[i] -= 2e-5
+        down = loss()
+        w.flat[i] += 1e-5
+        assert abs((up - down) / 2e-5 - g[i]) <= 1e-2 * max(1, abs(g[i])), k
