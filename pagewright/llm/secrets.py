@@ -51,7 +51,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEY = r"A-Za-z0-9+/_.=!@#$%^&*~?-"  # characters of keys and passwords
-RUN = re.compile(f"[{KEY}]{{8,}}")
 LONG = 16  # candidates from this length on have thresholds of their own
 NAMED = re.compile(f"[A-Za-z_][A-Za-z0-9_.-]*=(?=[{KEY}]{{8}})(?!=)")
 # Words and numbers as prose has them, with the marks between and after them.
@@ -72,27 +71,23 @@ PLAIN = 3  # from this shape on only the context tells
 log = logging.getLogger(__name__)
 
 
-def base_findings(text: str) -> list[tuple[int, int, int]]:
-    """``(start, kind number, end)`` of the rules' findings, in order."""
+def base_findings(text: str, long: bool = True) -> list[tuple[int, int, int]]:
+    """``(start, kind number, end)`` of the rules' findings, in order; ``long``: the text may hold 32 key characters in a row."""
     found = []
     low = text.lower()
     if any(n in low for n in NAMES):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if long:
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs that the network scores; of ``name=value`` only the value."""
-    out = []
-    for m in RUN.finditer(text):
-        start, end = m.span()
-        if "=" in m.group() and (name := NAMED.match(text, start, end)):
-            start = name.end()
-        out.append((start, end))
-    return out
+    found = Texts([text])
+    return list(zip((found.start - BEFORE).tolist(), (found.stop - BEFORE).tolist()))
 
 
 class Touching:
@@ -109,6 +104,13 @@ class Touching:
         i = bisect_left(self.starts, end) - 1
         return i >= 0 and self.ends[i] > start
 
+    def each(self, start, stop):
+        """The same for arrays of spans."""
+        import numpy as np
+
+        i = np.searchsorted(np.array(self.starts, np.int64), stop) - 1
+        return (i >= 0) & (np.array([*self.ends, 0], np.int64)[i] > start)
+
 
 def values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Where the keys of the base findings are: of an assignment only its value."""
@@ -127,8 +129,118 @@ def shape_of(token: str) -> int:
     return short + (1 if token.isupper() else 2)
 
 
-def is_plain(text: str, start: int, end: int) -> bool:
-    return bool(WORDS.fullmatch(text, start, end) or NUMBERS.fullmatch(text, start, end))
+# What a candidate's characters are, one bit each; the last one marks a letter that no word goes on with.
+DIGIT, LOW_HEX, LOW, UPPER, MARK, OTHER, BREAK = (1 << i for i in range(7))
+
+
+def _bits(char: str) -> int:
+    """The bits of a character; none for what no key is made of."""
+    of = ((DIGIT, "[0-9]"), (LOW_HEX, "[a-f]"), (LOW, "[g-z]"), (UPPER, "[A-Z]"), (MARK, MARKS), (OTHER, f"[{KEY}]"))
+    return next((bit for bit, some in of if re.fullmatch(some, char)), 0)
+
+
+def _shape(bits: int) -> int:
+    """Of the bits of all characters of a long token together its shape, as ``shape_of`` has it."""
+    letters = bits & (LOW_HEX | LOW | UPPER)
+    if letters and not bits & (DIGIT | OTHER | BREAK):
+        return 3
+    if bits & DIGIT and not letters and not bits & OTHER:
+        return 4
+    if not bits & ~(DIGIT | LOW_HEX | BREAK):
+        return 0
+    return 1 if bits & UPPER and not bits & (LOW_HEX | LOW) else 2
+
+
+CODES = bytes(c if 1 < c < 127 else 1 for c in range(256))  # of each character; 127 and above: any beyond ASCII
+BITS = bytes(_bits(chr(c)) if 1 < c < 127 else 0 for c in range(256))
+SHAPE = bytes(_shape(bits) for bits in range(128))
+
+
+class Texts:
+    """Several texts as one array of character codes with pads around each, and the candidates of all of them.
+
+    ``codes[at[i]]`` is the first character of text ``i``; ``start`` and
+    ``stop`` are the candidates' places in ``codes``, in order, ``shape`` their shapes.
+    """
+
+    def __init__(self, texts: list[str]):
+        import numpy as np
+
+        gap = "\0" * BEFORE
+        joined = gap + gap.join(texts) + "\0" * (INSIDE + AFTER)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.texts, self.at = texts, BEFORE + np.cumsum(size + BEFORE) - size - BEFORE
+        if joined.isascii():
+            raw = joined.encode("ascii")
+        else:
+            raw = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 127).astype(np.uint8).tobytes()
+        codes, bits = (np.frombuffer(bytearray(raw.translate(table)), np.uint8) for table in (CODES, BITS))
+        codes[:BEFORE] = 0
+        codes[(self.at + size)[:, None] + np.arange(BEFORE)] = 0
+        codes[-INSIDE - AFTER:] = 0
+        edge = np.diff((bits > 0).view(np.int8))
+        start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        long = stop - start >= 8
+        start, stop = start[long], stop[long]
+        self.long = np.zeros(len(texts), bool)  # texts with 32 key characters in a row
+        self.long[np.searchsorted(self.at, start[stop - start >= 32], "right") - 1] = True
+        equal = np.flatnonzero(codes == ord("="))
+        run = np.searchsorted(start, equal, "right") - 1
+        for i in np.unique(run[(run >= 0) & (equal < np.append(stop, 0)[run])]).tolist():
+            if name := NAMED.match(joined, start[i], stop[i]):
+                start[i] = name.end()
+        up, low = (bits & UPPER) > 0, (bits & (LOW_HEX | LOW)) > 0
+        bits[1:] |= (low[:-1] & up[1:]) * np.uint8(BREAK)
+        bits[2:] |= (up[:-2] & up[1:-1] & low[2:]) * np.uint8(BREAK)
+        self.codes, self.start, self.stop, self.shape = codes, start, stop, np.zeros(0, int)
+        if len(start):
+            all_bits = np.bitwise_or.reduceat(bits, np.stack([start, stop], axis=1).ravel())[::2]
+            self.shape = np.frombuffer(SHAPE, np.uint8)[all_bits].astype(int) + len(SHAPES) * (stop - start < LONG)
+
+    def bases(self) -> list[list[tuple[int, int, int]]]:
+        return [base_findings(t, long) for t, long in zip(self.texts, self.long.tolist())]
+
+    def keep(self, some) -> None:
+        self.start, self.stop, self.shape = self.start[some], self.stop[some], self.shape[some]
+
+    def touching(self, spans: list[list[tuple[int, int]]]):
+        """Which candidates touch one of ``spans``, given per text."""
+        import numpy as np
+
+        found = [(at + s, at + e) for at, some in zip(self.at.tolist(), spans) for s, e in some]
+        return Touching(found).each(self.start, self.stop) if found else np.zeros(len(self.start), bool)
+
+    def label(self) -> None:
+        """Sets ``sort``, 2 * secret + plain, and leaves out what is neither: the name in front of a secret."""
+        bases = self.bases()
+        secret = self.touching([values(t, base) if base else [] for t, base in zip(self.texts, bases)])
+        some = secret | ~self.touching([[(s, e) for s, _, e in base] for base in bases])
+        self.keep(some)
+        self.sort = 2 * secret[some] + (self.shape % len(SHAPES) >= PLAIN)
+
+    def rows(self, start, stop):
+        """Rows of codes of spans of at most ``INSIDE`` characters, as ``window_rows`` has them."""
+        import numpy as np
+
+        view = np.lib.stride_tricks.sliding_window_view
+        out = np.empty((len(start), BEFORE + INSIDE + AFTER), np.uint8)
+        out[:, :BEFORE] = view(self.codes, BEFORE)[start - BEFORE]
+        out[:, BEFORE:BEFORE + INSIDE] = view(self.codes, INSIDE)[start] * (np.arange(INSIDE) < (stop - start)[:, None])
+        out[:, BEFORE + INSIDE:] = view(self.codes, AFTER)[stop]
+        return out
+
+
+def text_blocks(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts, about ``BLOCK`` characters together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + BEFORE
+        if size >= BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def windows(text: str, start: int, end: int) -> list[list[int]]:
@@ -220,6 +332,10 @@ class CharCnn:
 
     def _responses(self, x):
         """The convolution's output for rows of codes, before its cut at zero."""
+        return self._grams(x.T).swapaxes(0, 1)
+
+    def _grams(self, x):
+        """The same along the first axis of ``x``: for each place there, of all rows."""
         import numpy as np
 
         if self._tables is None:
@@ -228,11 +344,11 @@ class CharCnn:
             pair = lambda a, b: (conv[a][:, None] + conv[b][None]).reshape(-1, FILTERS)
             self._tables = pair(0, 1), pair(2, 3), conv[4] + self.p["bias"].astype(np.float32)
         first, second, last = self._tables
-        size, some = x.shape[1] - WIDTH + 1, x.astype(np.intp)
-        pairs = some[:, :-1] * 128 + some[:, 1:]
-        conv = np.take(first, pairs[:, :size], axis=0)
-        conv += np.take(second, pairs[:, 2:2 + size], axis=0)
-        conv += np.take(last, some[:, 4:], axis=0)
+        size, some = len(x) - WIDTH + 1, x.astype(np.intp)
+        pairs = some[:-1] * 128 + some[1:]
+        conv = np.take(first, pairs[:size], axis=0)
+        conv += np.take(second, pairs[2:2 + size], axis=0)
+        conv += np.take(last, some[4:], axis=0)
         return conv
 
     def logits(self, x):
@@ -247,6 +363,144 @@ class CharCnn:
             out.append(np.maximum(pooled @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0])
         return np.concatenate(out)
 
+    def _pooled_spans(self, codes, start, stop, alone, grams: bool = False):
+        """Pooled responses of spans of 8 to ``SHORT`` characters that share ``codes``; ``alone``: without what is before.
+
+        Neighbouring spans see the same characters, so the convolution runs
+        once along the text.  The largest response of a stretch is the larger
+        one of the stretches of 4 or 8 that cover it.  Only the few
+        places where a span's pads come into view are a span's own.  With
+        ``grams`` follow all fives of codes, times ``FILTERS``, and which of them is behind each value.
+        """
+        import numpy as np
+
+        def numbered(conv, numbers, out=None):
+            out = np.empty(conv.shape) if out is None else out
+            out[...] = conv
+            out.view(np.int64)[...] |= numbers
+            return out
+
+        lo = int(start[0]) - BEFORE
+        part, s, e = codes[lo:int(stop.max()) + AFTER], start - lo, stop - lo
+        four = np.lib.stride_tricks.sliding_window_view(part, 4)
+        tail, head = np.zeros((12, len(s)), np.uint8), np.zeros((8, int(alone.sum())), np.uint8)
+        tail[:4], tail[8:], head[4:] = four[e - 4].T, four[e].T, four[s[alone]].T
+        own = [self._grams(head), self._grams(tail), self._grams(np.zeros((WIDTH, 1), np.uint8))]
+        if grams:
+            # A response takes 24 of a double's 53 binary places: its place goes into the rest, the first one the largest
+            # (where responses are negative, it doesn't matter which one it is).
+            at = [head.shape[1] * 4, len(part), tail.shape[1] * 8, 1]
+            last = sum(at) - 1
+            own = [numbered(x, np.arange(last - first, last - first - x.size // FILTERS, -1).reshape(*x.shape[:-1], 1))
+                   for x, first in zip(own, (0, at[0] + at[1], last))]
+            countdown = np.repeat(np.arange(CELL + BEFORE + INSIDE + AFTER)[::-1], FILTERS).reshape(-1, FILTERS)
+        head_conv, tail_conv, pad = own
+        # Where in a table of largest responses each span's three stretches are found.
+        a = np.where(alone, s, s - 2)
+        size, length = CELL + BEFORE + INSIDE + AFTER, e - 4 - a
+        level = np.where(length < 8, 0, size)
+        where = np.stack([size + s - BEFORE, size + s - 16, level + a, level + e - 4 - np.where(length < 8, 4, 8), size + s - 10, size + e], axis=1)
+        out = np.empty((len(s), 3, FILTERS), tail_conv.dtype)
+        levels, narrow, added = np.empty((2, size, FILTERS), out.dtype), np.empty((2, size, FILTERS), out.dtype), np.empty((2, size, FILTERS), np.float32)
+        flat, wide_ones = levels.reshape(-1, FILTERS), np.flatnonzero(length > 16)
+        some = part.astype(np.intp)
+        pairs = some[:-1] * 128 + some[1:]
+        first, second, third = self._tables
+        cuts = [0, *(np.flatnonzero(np.diff((s - BEFORE) // CELL)) + 1).tolist(), len(s)]
+        for i, j in zip(cuts, cuts[1:]):
+            begin = int(s[i]) - BEFORE
+            n = int(e[i:j].max()) + AFTER - begin - WIDTH + 1
+            conv, more = added[:, :n]
+            np.take(first, pairs[begin:begin + n], axis=0, out=conv, mode="clip")
+            for table, at_code in ((second, pairs[begin + 2:begin + 2 + n]), (third, some[begin + 4:begin + 4 + n])):
+                np.take(table, at_code, axis=0, out=more, mode="clip")
+                np.add(conv, more, out=conv)
+            if grams:
+                conv = numbered(conv, countdown[:n], narrow[1, :n])
+            wide = np.maximum(conv[:-1], conv[1:], out=narrow[0, :n - 1])
+            for k, shift in enumerate((2, 4)):
+                wide = np.maximum(wide[:-shift], wide[shift:], out=levels[k, :len(wide) - shift])
+            got = np.take(flat, where[i:j] - begin, axis=0, mode="clip")
+            np.maximum(got[:, 0:4:2], got[:, 1:4:2], out=out[i:j, :2])
+            np.maximum(out[i:j, 0], got[:, 4], out=out[i:j, 0])
+            out[i:j, 2] = got[:, 5]
+            long = wide_ones[slice(*np.searchsorted(wide_ones, (i, j)))]
+            for k in range(8, SHORT, 8) if len(long) else ():
+                out[long, 1] = np.maximum(out[long, 1], flat[where[long, 2] + np.minimum(k, length[long] - 8) - begin])
+            if grams:
+                out[i:j].view(np.int64)[...] += last - at[0] - begin - size + 1
+        for r, places in ((1, (*tail_conv[:6], pad[0])), (2, tail_conv[6:])):
+            most = places[0]
+            for x in places[1:]:
+                np.maximum(most, x, out=most)
+            np.maximum(out[:, r], most, out=out[:, r])
+        if len(head_conv[0]):
+            out[alone, 0] = np.maximum(np.maximum(head_conv[0], head_conv[1]), pad[0])
+            out[alone, 1] = np.maximum(np.maximum(head_conv[2], head_conv[3]), out[alone, 1])
+        out = out.reshape(len(s), 3 * FILTERS)
+        if not grams:
+            return np.maximum(out, 0)
+        places = out.view(np.int64) & PLACE
+        out.view(np.int64)[...] ^= places
+        seen = [np.concatenate([head[w:w + 4].ravel(), part[w:], part[:w], tail[w:w + 8].ravel(), part[:1] * 0])[::-1] for w in range(WIDTH)]
+        return np.maximum(out, 0), [x * np.uint16(FILTERS) for x in seen], places
+
+    @staticmethod
+    def _stretches(start, stop) -> Iterator:
+        """Indices of short spans, in the order of the text, those of a stretch of it together."""
+        import numpy as np
+
+        order = np.argsort(start, kind="stable")
+        order = order[(stop - start)[order] <= SHORT]
+        cuts = np.flatnonzero(np.diff(start[order] // STRETCH)) + 1
+        return (some for some in np.split(order, cuts) if len(some))
+
+    def span_logits(self, texts: Texts, start, stop, alone):
+        """``logits`` of spans of 8 to ``INSIDE`` characters."""
+        import numpy as np
+
+        p, out = self.p, np.zeros(len(start))
+        for some in self._stretches(start, stop):
+            pooled = self._pooled_spans(texts.codes, start[some], stop[some], alone[some])
+            out[some] = np.maximum(pooled @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0]
+        rest = np.flatnonzero(stop - start > SHORT)
+        if len(rest):
+            x = texts.rows(start[rest], stop[rest])
+            x[alone[rest], :BEFORE] = 0
+            out[rest] = self.logits(x)
+        return out
+
+    def span_gradients(self, texts: Texts, start, stop, alone, y, sort):
+        """``gradients`` of spans of 8 to ``INSIDE`` characters."""
+        import numpy as np
+
+        out = np.zeros((4, sum(w.size for w in self.p.values())))
+        conv, filters = np.zeros((WIDTH, 4 * 128 * FILTERS)), np.tile(np.arange(FILTERS), 3)
+        for some in self._stretches(start, stop):
+            pooled, seen, places = self._pooled_spans(texts.codes, start[some], stop[some], alone[some], grams=True)
+            hidden = np.maximum(pooled @ self.p["w1"] + self.p["b1"], 0)
+            d = 1 / (1 + np.exp(-np.clip(hidden @ self.p["w2"] + self.p["b2"][0], -60, 60))) - y[some]
+            dh = np.outer(d, self.p["w2"]) * (hidden > 0)
+            dp = (dh @ self.p["w1"].T) * (pooled > 0)
+            full = np.flatnonzero(dp)
+            weight, places = dp.take(full), places.take(full)
+            cell = (sort[some][:, None] * (128 * FILTERS) + filters).take(full)
+            for w in range(WIDTH):
+                conv[w] += np.bincount(cell + seen[w].take(places), weight, conv.shape[1])
+            for k in np.unique(sort[some]):
+                here = sort[some] == k
+                rest = pooled[here].T @ dh[here], dh[here].sum(axis=0), hidden[here].T @ d[here], d[here].sum()
+                out[k, conv.size // 4 + FILTERS:] += np.concatenate([np.ravel(g) for g in rest])
+        conv = conv.reshape(WIDTH, 4, 128, FILTERS)
+        # The first characters tell how much each filter gets.
+        out[:, :conv.size // 4 + FILTERS] = np.concatenate([conv.swapaxes(0, 1).reshape(4, -1), conv[0].sum(axis=1)], axis=1)
+        rest = np.flatnonzero(stop - start > SHORT)
+        if len(rest):
+            x = texts.rows(start[rest], stop[rest])
+            x[alone[rest], :BEFORE] = 0
+            out += self.gradients(x, y[rest], sort[rest])
+        return out
+
     def probability(self, x):
         return self.calibrated(self.logits(x))
 
@@ -406,22 +660,22 @@ def _mixed(h):
 
 def labelled_windows(text: str, factors) -> Iterator:
     """``rows, h, sort, spans`` of a text's labelled candidates, ``WINDOWS`` at a time; sort: 2 * secret + plain."""
+    found = Texts([text])
+    found.label()
+    for some, rows, h in hashed_rows(found, factors):
+        at, stop = found.start[some] - BEFORE, found.stop[some] - BEFORE
+        yield rows, h, found.sort[some], list(zip(at.tolist(), stop.tolist(), (found.sort[some] >= 2).tolist()))
+
+
+def hashed_rows(found: Texts, factors) -> Iterator:
+    """``some, rows, h``: of each ``WINDOWS`` candidates where they are, their (first) rows of codes and hashes of these."""
     import numpy as np
 
-    spans = candidates(text)
-    if base := base_findings(text):
-        in_key, in_base = Touching(values(text, base)), Touching([(s, e) for s, _, e in base])
-        labels = [(s, e, in_key(s, e)) for s, e in spans]
-        # The name in front of a secret is neither.
-        labels = [(s, e, secret) for s, e, secret in labels if secret or not in_base(s, e)]
-    else:
-        labels = [(s, e, False) for s, e in spans]
-    codes = text_codes(text) if labels else None
-    for i in range(0, len(labels), WINDOWS):
-        some = labels[i:i + WINDOWS]
-        sort = np.array([2 * y + is_plain(text, s, e) for s, e, y in some])
-        rows = window_rows(codes, [(s, min(e, s + INSIDE)) for s, e, _ in some])
-        yield rows, _mixed(rows.astype(np.uint64) @ factors), sort, some
+    for i in range(0, len(found.start), WINDOWS):
+        some = slice(i, i + WINDOWS)
+        start = found.start[some]
+        rows = found.rows(start, np.minimum(found.stop[some], start + INSIDE))
+        yield some, rows, _mixed(rows.astype(np.uint64) @ factors)
 
 
 def hash_factors():
@@ -443,14 +697,14 @@ def labelled_findings(docs: DataFrame, text_col: str = "text", max_findings: int
         factors = hash_factors()
         top = np.iinfo(np.int64).max
         limits = np.full(4, top)
-        for batch in batches:
-            for t in batch.column(0):
-                text = t.as_py()
-                for rows, h, sort, some in labelled_windows(text, factors):
-                    for j in np.flatnonzero(h <= limits[sort]):
-                        s, e, y = some[j]
-                        least[sort[j]].add((int(h[j]), rows[j].tobytes(), int(y), shape_of(text[s:e])))
-                    limits = np.array([top if x.limit is None else x.limit[0] for x in least])
+        for texts in text_blocks(t.as_py() for batch in batches for t in batch.column(0)):
+            found = Texts(texts)
+            found.label()
+            for some, rows, h in hashed_rows(found, factors):
+                sort, shape = found.sort[some], found.shape[some]
+                for j in np.flatnonzero(h <= limits[sort]):
+                    least[sort[j]].add((int(h[j]), rows[j].tobytes(), int(sort[j] // 2), int(shape[j])))
+                limits = np.array([top if x.limit is None else x.limit[0] for x in least])
         rows = [r for some in least for r in some.entries()]
         if rows:
             yield pa.RecordBatch.from_arrays(
@@ -483,24 +737,21 @@ def folds_of(h, dealt):
 
 
 def candidate_blocks(batches: Iterator, dealt, wanted: tuple) -> Iterator:
-    """``x, h, sort, shape, fold`` of every labelled candidate of the ``wanted`` folds; many texts a block."""
+    """``found, h, fold`` of the labelled candidates of the ``wanted`` folds; many texts a block."""
     import numpy as np
 
-    factors, held, size = hash_factors(), [], 0
-    for batch in batches:
-        for t in batch.column(0):
-            text = t.as_py()
-            for rows, h, sort, spans in labelled_windows(text, factors):
-                fold = folds_of(h, dealt)
-                here = np.flatnonzero(np.isin(fold, wanted))
-                shape = np.array([shape_of(text[spans[j][0]:spans[j][1]]) if fold[j] == 4 else 0 for j in here], int)
-                held.append((rows[here], h[here], sort[here], shape, fold[here]))
-                size += len(here)
-                if size >= WINDOWS:
-                    yield [np.concatenate(c) for c in zip(*held)]
-                    held, size = [], 0
-    if size:
-        yield [np.concatenate(c) for c in zip(*held)]
+    factors = hash_factors()
+    for texts in text_blocks(t.as_py() for batch in batches for t in batch.column(0)):
+        found = Texts(texts)
+        found.label()
+        if not len(found.start):
+            continue
+        h = np.concatenate([h for _, _, h in hashed_rows(found, factors)])
+        fold = folds_of(h, dealt)
+        here = np.isin(fold, wanted)
+        found.keep(here)
+        found.sort = found.sort[here]
+        yield found, h[here], fold[here]
 
 
 def table_gradient(docs: DataFrame, model: CharCnn, dealt, text_col: str = "text"):
@@ -518,10 +769,11 @@ def table_gradient(docs: DataFrame, model: CharCnn, dealt, text_col: str = "text
         from pyspark import TaskContext
 
         n, sums = np.zeros(4, np.int64), 0.0
-        for x, h, sort, _, _ in candidate_blocks(batches, dealt, (0, 1, 2)):
-            x[((h >> 40) & 1 == 1) & (sort != 3), :BEFORE] = 0
+        for found, h, _ in candidate_blocks(batches, dealt, (0, 1, 2)):
+            sort, start = found.sort, found.start
+            alone = ((h >> 40) & 1 == 1) & (sort != 3)
             n += np.bincount(sort, minlength=4)
-            sums = sums + model.gradients(x, (sort >= 2).astype(float), sort)
+            sums = sums + model.span_gradients(found, start, np.minimum(found.stop, start + INSIDE), alone, (sort >= 2).astype(float), sort)
         if n.any():
             at = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"part": pa.array([at % GROUPS], pa.int32()), "at": pa.array([at], pa.int32()),
@@ -573,17 +825,19 @@ def held_out_scores(docs: DataFrame, model: CharCnn, dealt, text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["key", "h", "n"])
 
         others = np.zeros(2 * 10 * span, np.int64)  # by fold, shape and step
-        for x, h, sort, shape, fold in candidate_blocks(batches, dealt, (3, 4)):
-            alone = x.copy()
-            alone[:, :BEFORE] = 0
-            fair = (fold == 3) | (sort % 2 == 0)
-            for way, some, here in ((0, x, (fold == 3) | fair | x[:, :BEFORE].any(axis=1)), (1, alone, fair)):
-                step = np.floor(np.clip(model.logits(some[here]), -60, 60) * BINS).astype(np.int64) + 60 * BINS
-                key = ((fold[here] - 3) * 10 + shape[here]) * span + step
-                secret = sort[here] >= 2
-                others += np.bincount(key[~secret], minlength=len(others))
-                if secret.any():
-                    yield rows(key[secret] + len(others), h[here][secret] ^ way, np.ones(secret.sum(), np.int64))
+        for found, h, fold in candidate_blocks(batches, dealt, (3, 4)):
+            fair = (fold == 3) | (found.sort % 2 == 0)
+            # The character just before a candidate is a pad only where its text starts.
+            at = np.concatenate([np.flatnonzero(fair | (found.codes[found.start - 1] > 0)), np.flatnonzero(fair)])
+            way = np.arange(len(at)) >= len(at) - fair.sum()
+            start, stop = found.start[at], np.minimum(found.stop, found.start + INSIDE)[at]
+            step = np.floor(np.clip(model.span_logits(found, start, stop, way), -60, 60) * BINS).astype(np.int64) + 60 * BINS
+            shape = np.where(fold == 4, found.shape, 0)
+            key = ((fold[at] - 3) * 10 + shape[at]) * span + step
+            secret = found.sort[at] >= 2
+            np.add.at(others, key[~secret], 1)
+            if secret.any():
+                yield rows(key[secret] + len(others), h[at][secret] ^ way[secret], np.ones(secret.sum(), np.int64))
         at = np.flatnonzero(others)
         if len(at):
             yield rows(at, [None] * len(at), others[at])
@@ -632,49 +886,45 @@ def train_model(docs: DataFrame, text_col: str = "text", max_findings: int = MAX
     return model
 
 
-WINDOWS = 20_000  # scored in one call
+WINDOWS = 20_000  # rows of codes made at once
 NARROW = 24  # width of a short candidate's window: its characters and eight pads or more
+SHORT = INSIDE - 5  # up to this length a window holds five pads, and the convolution is read off the text's own
+BLOCK = STRETCH = 1 << 16  # characters of texts, and of one text, handled together
+CELL = 1 << 12  # characters whose convolution is held at once
+PLACE = (1 << 29) - 1  # what a double has beyond a single
 
 
 def added_findings(texts: list[str], bases: list[list[tuple[int, int, int]]], model: CharCnn) -> list[list[tuple[int, int, int]]]:
-    """For each text the candidates clear of every base finding that the network takes for secrets; windows of many texts a call."""
+    """For each text the candidates clear of every base finding that the network takes for secrets."""
+    out: list[list[tuple[int, int, int]]] = []
+    for block in text_blocks(iter(texts)):
+        out += added_to(Texts(block), bases[len(out):len(out) + len(block)], model)
+    return out
+
+
+def added_to(found: Texts, bases: list[list[tuple[int, int, int]]], model: CharCnn) -> list[list[tuple[int, int, int]]]:
+    """The same for the texts of one block."""
     import numpy as np
 
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    lowest = min(model.thresholds)
-    held = {NARROW: ([], []), INSIDE: ([], [])}  # by width: (text, start, end, windows), rows of codes
-
-    def score(width: int) -> None:
-        spans, rows = held[width]
-        if spans:
-            first = np.cumsum([0, *[n for *_, n in spans[:-1]]])
-            best = np.maximum.reduceat(model.probability(np.concatenate(rows)), first)
-            for j in np.flatnonzero(best >= lowest):
-                i, s, e, _ = spans[j]
-                if best[j] >= model.thresholds[shape_of(texts[i][s:e])]:
-                    out[i].append((s, 3, e))
-            held[width] = [], []
-
-    for i, (text, base) in enumerate(zip(texts, bases)):
-        spans = candidates(text)
-        if base:
-            in_base = Touching([(s, e) for s, _, e in base])
-            spans = [(s, e) for s, e in spans if not in_base(s, e)]
-        if not spans:
-            continue
-        codes = text_codes(text)
-        for width, some in ((NARROW, [x for x in spans if x[1] - x[0] <= LONG]), (INSIDE, [x for x in spans if x[1] - x[0] > LONG])):
-            # A candidate's windows stay together, and one of any length is cut into as many as it needs.
-            for k in range(0, len(some), WINDOWS):
-                part = some[k:k + WINDOWS]
-                pieces = [(at, min(e, at + INSIDE)) for s, e in part for at in range(s, e, INSIDE)]
-                held[width][0].extend((i, s, e, -(-(e - s) // INSIDE)) for s, e in part)
-                held[width][1].append(window_rows(codes, pieces, width))
-                if sum(map(len, held[width][1])) >= WINDOWS:
-                    score(width)
-    score(NARROW)
-    score(INSIDE)
-    return [sorted(x) for x in out]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in bases]
+    found.keep(~found.touching([[(s, e) for s, _, e in base] for base in bases]))
+    short = found.stop - found.start <= SHORT
+    start, stop = found.start[short], found.stop[short]
+    best = np.zeros(len(found.start))
+    best[short] = model.calibrated(model.span_logits(found, start, stop, np.zeros(len(start), bool)))
+    rest = np.flatnonzero(~short)
+    # A candidate of any length is cut into as many windows as it needs.
+    size = -(-(found.stop - found.start)[rest] // INSIDE)
+    owner = np.repeat(rest, size)
+    begin = found.start[owner] + INSIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size))
+    for i in range(0, len(owner), WINDOWS):
+        some, at = owner[i:i + WINDOWS], begin[i:i + WINDOWS]
+        np.maximum.at(best, some, model.probability(found.rows(at, np.minimum(found.stop[some], at + INSIDE))))
+    hits = np.flatnonzero(best >= np.array(model.thresholds)[found.shape])
+    of = np.searchsorted(found.at, found.start[hits], "right") - 1
+    for i, s, e in zip(of.tolist(), (found.start[hits] - found.at[of]).tolist(), (found.stop[hits] - found.at[of]).tolist()):
+        out[i].append((s, 3, e))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -699,12 +949,13 @@ def find_secrets(docs: DataFrame, model: CharCnn | None, id_col: str = "doc_id",
         types = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             rows = []
-            texts = batch.column(1).to_pylist()
-            bases = [base_findings(text) for text in texts]
-            added = added_findings(texts, bases, model) if model is not None else [[] for _ in texts]
-            for base, more in zip(bases, added):
-                rows.append((*[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(joined(base).encode()).hexdigest(),
-                             joined(sorted(base + more)), len(more)))
+            for texts in text_blocks(t.as_py() for t in batch.column(1)):
+                found = Texts(texts)
+                bases = found.bases()
+                added = added_to(found, bases, model) if model is not None else [[] for _ in texts]
+                for base, more in zip(bases, added):
+                    rows.append((*[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(joined(base).encode()).hexdigest(),
+                                 joined(sorted(base + more)), len(more)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=schema.names

@@ -410,3 +410,45 @@ def test_table_gradient_is_the_slope_over_every_candidate(spark):
         down = loss()
         w.flat[i] += 1e-5
         assert abs((up - down) / 2e-5 - g[i]) <= 1e-2 * max(1, abs(g[i])), k
+
+
+def _odd_texts(n):
+    rng = random.Random(17)
+    pieces = [*"abzXY09.=-/!@# \0\x01é_\n", "password=", "token: ", "AKIA", "0f" * 17, "\ud800", "İ", "Word-", "UPPER", "name=", "2024"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(n)]
+    return texts + ["", *("é" * (k % 2) + "a" * k + x for k in range(110) for x in ("", " b", "é"))]
+
+
+def test_candidates_of_many_texts_together_are_those_of_each():
+    texts, run = _odd_texts(400), re.compile(f"[{secrets.KEY}]{{8,}}")
+    found = secrets.Texts(texts)
+    of = np.searchsorted(found.at, found.start, "right") - 1
+    got = list(zip(of.tolist(), (found.start - found.at[of]).tolist(), (found.stop - found.at[of]).tolist()))
+    want = []
+    for i, text in enumerate(texts):
+        for m in run.finditer(text):
+            name = secrets.NAMED.match(text, *m.span())
+            want.append((i, name.end() if name else m.start(), m.end()))
+    assert got == want and found.shape.tolist() == [secrets.shape_of(texts[i][s:e]) for i, s, e in want]
+    assert found.bases() == [secrets.base_findings(t) for t in texts]
+    found.label()
+    labels = [[*secrets.labelled_windows(t, secrets.hash_factors())] for t in texts]
+    assert found.sort.tolist() == [k for some in labels for _, _, sort, _ in some for k in sort]
+    (_, rows, h), = secrets.hashed_rows(found, secrets.hash_factors())
+    assert (rows == np.concatenate([x for some in labels for x, *_ in some])).all() and h.tolist() == [x for some in labels for _, y, *_ in some for x in y]
+
+
+def test_responses_along_the_text_are_those_of_each_window(monkeypatch):
+    """Scores and slopes of every candidate, one convolution for all, as from its own row of codes."""
+    monkeypatch.setattr(secrets, "CELL", 256)
+    texts = _odd_texts(400) + _keys_and_words(200)
+    found, model = secrets.Texts(texts), secrets.CharCnn(3)
+    found.label()
+    start, stop = found.start, np.minimum(found.stop, found.start + secrets.INSIDE)
+    alone = np.arange(len(start)) % 3 == 0
+    x, y = found.rows(start, stop), (found.sort >= 2).astype(float)
+    x[alone, :secrets.BEFORE] = 0
+    order = np.random.default_rng(2).permutation(len(start))  # in any order
+    assert np.abs(model.span_logits(found, start[order], stop[order], alone[order]) - model.logits(x)[order]).max() < 1e-9
+    got, want = model.span_gradients(found, start, stop, alone, y, found.sort), model.gradients(x, y, found.sort)
+    assert np.abs(got - want).max() <= 1e-9 * np.abs(want).max() and set(found.sort.tolist()) == {0, 1, 2, 3}
