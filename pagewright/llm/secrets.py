@@ -24,6 +24,10 @@ with too few secrets keeps clear of every other candidate of that shape).  A sec
 in both, any other candidate as often as it is there; logits are counted in steps of ``1 / BINS``.
 Candidates above their threshold that touch no base finding are added with kind ``cnn``.
 
+Candidates are found, labelled and shaped by arrays over many texts at once.  Their windows overlap, so the
+convolution runs once along the text and every candidate takes its largest
+responses from there (``_pooled_spans``); the few that fill their window are read by rows of codes.
+
 The model is a few thousand numbers and goes to every task; scanning is one
 pass over whole texts in Arrow batches, without a shuffle.  Nulls: a null text
 is empty and has no span; a null id is kept.  Repeated rows get equal answers;
@@ -153,6 +157,7 @@ def _shape(bits: int) -> int:
 
 CODES = bytes(c if 1 < c < 127 else 1 for c in range(256))  # of each character; 127 and above: any beyond ASCII
 BITS = bytes(_bits(chr(c)) if 1 < c < 127 else 0 for c in range(256))
+NAME_END = bytes(chr(c) in "dtnyDTNY\"' " for c in range(128))
 SHAPE = bytes(_shape(bits) for bits in range(128))
 
 
@@ -179,11 +184,15 @@ class Texts:
         codes[(self.at + size)[:, None] + np.arange(BEFORE)] = 0
         codes[-INSIDE - AFTER:] = 0
         edge = np.diff((bits > 0).view(np.int8))
-        start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        start, stop = (np.flatnonzero(edge) + 1).reshape(-1, 2).T
         long = stop - start >= 8
         start, stop = start[long], stop[long]
-        self.long = np.zeros(len(texts), bool)  # texts with 32 key characters in a row
-        self.long[np.searchsorted(self.at, start[stop - start >= 32], "right") - 1] = True
+        # Access keys are 16 key characters in a row, hex keys 32; before an assignment's sign is its name, a quote or a space.
+        sign = np.flatnonzero((codes == ord("=")) | (codes == ord(":")))
+        sign = sign[np.frombuffer(NAME_END, np.uint8)[codes[sign - 1]] > 0]
+        self.some, self.long = np.zeros((2, len(texts)), bool)
+        for flag, places in ((self.some, sign), (self.some, start[stop - start >= 16]), (self.long, start[stop - start >= 32])):
+            flag[np.searchsorted(self.at, places, "right") - 1] = True
         equal = np.flatnonzero(codes == ord("="))
         run = np.searchsorted(start, equal, "right") - 1
         for i in np.unique(run[(run >= 0) & (equal < np.append(stop, 0)[run])]).tolist():
@@ -198,7 +207,7 @@ class Texts:
             self.shape = np.frombuffer(SHAPE, np.uint8)[all_bits].astype(int) + len(SHAPES) * (stop - start < LONG)
 
     def bases(self) -> list[list[tuple[int, int, int]]]:
-        return [base_findings(t, long) for t, long in zip(self.texts, self.long.tolist())]
+        return [base_findings(t, long) if some else [] for t, some, long in zip(self.texts, self.some.tolist(), self.long.tolist())]
 
     def keep(self, some) -> None:
         self.start, self.stop, self.shape = self.start[some], self.stop[some], self.shape[some]
@@ -225,7 +234,7 @@ class Texts:
         view = np.lib.stride_tricks.sliding_window_view
         out = np.empty((len(start), BEFORE + INSIDE + AFTER), np.uint8)
         out[:, :BEFORE] = view(self.codes, BEFORE)[start - BEFORE]
-        out[:, BEFORE:BEFORE + INSIDE] = view(self.codes, INSIDE)[start] * (np.arange(INSIDE) < (stop - start)[:, None])
+        out[:, BEFORE:BEFORE + INSIDE] = view(self.codes, INSIDE)[start] * (np.arange(INSIDE, dtype=np.uint8) < (stop - start).astype(np.uint8)[:, None])
         out[:, BEFORE + INSIDE:] = view(self.codes, AFTER)[stop]
         return out
 
@@ -487,10 +496,15 @@ class CharCnn:
             cell = (sort[some][:, None] * (128 * FILTERS) + filters).take(full)
             for w in range(WIDTH):
                 conv[w] += np.bincount(cell + seen[w].take(places), weight, conv.shape[1])
-            for k in np.unique(sort[some]):
-                here = sort[some] == k
-                rest = pooled[here].T @ dh[here], dh[here].sum(axis=0), hidden[here].T @ d[here], d[here].sum()
-                out[k, conv.size // 4 + FILTERS:] += np.concatenate([np.ravel(g) for g in rest])
+            rest = np.zeros((4, out.shape[1] - len(conv[0]) // 4 * WIDTH - FILTERS))
+            found = np.bincount(sort[some], minlength=4)
+            often = int(found.argmax())
+            for k in np.flatnonzero(found):
+                # The most frequent sort has what the others leave of the sum over all rows.
+                here = slice(None) if k == often else sort[some] == k
+                rest[k] = np.concatenate([np.ravel(pooled[here].T @ dh[here]), dh[here].sum(axis=0), hidden[here].T @ d[here], [d[here].sum()]])
+            rest[often] -= rest.sum(axis=0) - rest[often]
+            out[:, -rest.shape[1]:] += rest
         conv = conv.reshape(WIDTH, 4, 128, FILTERS)
         # The first characters tell how much each filter gets.
         out[:, :conv.size // 4 + FILTERS] = np.concatenate([conv.swapaxes(0, 1).reshape(4, -1), conv[0].sum(axis=1)], axis=1)
